@@ -23,7 +23,8 @@ def _spark(df: DataFrame):
 
 
 def keyword_hits(docs: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "text",
-                 how: str = "left", extra_text: list[str] | None = None) -> DataFrame:
+                 how: str = "left", extra_text: list[str] | None = None,
+                 carry: list[str] | None = None) -> DataFrame:
     """(id, domain, domain_ord, keyword, kw_ord, occ) for every vocabulary keyword the
     text contains (case-insensitive substring). ``how="left"`` keeps documents with no
     hit as one row with null keyword columns."""
@@ -31,11 +32,12 @@ def keyword_hits(docs: DataFrame, vocab, id_col: str = "doc_id", text_col: str =
     text = F.lower(F.col(text_col))
     if extra_text:
         text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in [text_col] + extra_text]))
-    t = docs.select(F.col(id_col).alias("_id"), text.alias("_t"))
+    carry = carry or []
+    t = docs.select(F.col(id_col).alias("_id"), text.alias("_t"), *carry)
     j = t.join(F.broadcast(vdf), F.col("_t").contains(F.col("kw")), how)
     return j.select(F.col("_id").alias(id_col), "domain", "domain_ord", "keyword", "kw_ord",
                     F.when(F.col("kw").isNotNull(), occurrences("_t", "kw")).alias("occ"),
-                    "weight")
+                    "weight", *carry)
 
 
 def _domains(vocab) -> list[str]:
@@ -43,10 +45,12 @@ def _domains(vocab) -> list[str]:
 
 
 def _per_domain_sums(hits: DataFrame, id_col: str, n_domains: int, value: Column,
-                     prefix: str = "_v") -> DataFrame:
-    """One row per document with one summed column per domain ordinal."""
+                     prefix: str = "_v", carry: list[str] | None = None) -> DataFrame:
+    """One row per document with one summed column per domain ordinal; ``carry``
+    columns (constant per document) ride along."""
     aggs = [F.sum(F.when(F.col("domain_ord") == i, value).otherwise(F.lit(0))).alias(f"{prefix}{i}")
             for i in range(n_domains)]
+    aggs += [F.first(c).alias(c) for c in (carry or [])]
     return hits.groupBy(id_col).agg(*aggs)
 
 
@@ -74,18 +78,31 @@ def fallback_units(occ: Column) -> Column:
 
 
 def domain_scores_fallback(docs: DataFrame, vocab=None, id_col: str = "doc_id",
-                           text_col: str = "text") -> DataFrame:
+                           text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Fallback CV analysis: per domain 0.5 + Σ over present keywords (0.025 for one
     occurrence, else 0.05·min(occ, 3)), capped at 1.0. Returns one row per document
     with ``score_<i>`` columns, ``main_domain`` and ``main_score``."""
     vocab = V.FALLBACK_KEYWORDS if vocab is None else vocab
     domains = _domains(vocab)
-    hits = keyword_hits(docs, vocab, id_col, text_col)
-    wide = _per_domain_sums(hits, id_col, len(domains), fallback_units(F.col("occ")), "_u")
+    carry = carry or []
+    hits = keyword_hits(docs, vocab, id_col, text_col, carry=carry)
+    wide = _per_domain_sums(hits, id_col, len(domains), fallback_units(F.col("occ")), "_u", carry)
     scores = [F.least(F.lit(1.0), F.lit(0.5) + F.col(f"_u{i}") * F.lit(0.025)) for i in range(len(domains))]
     main, best = argmax_domain(scores, domains)
     return wide.select(id_col, *[s.alias(f"score_{i}") for i, s in enumerate(scores)],
-                       main.alias("main_domain"), best.alias("main_score"))
+                       main.alias("main_domain"), best.alias("main_score"), *carry)
+
+
+def analyze_documents(docs: DataFrame, vocab=None, skills: list[str] | None = None,
+                      id_col: str = "doc_id", text_col: str = "text", skill_limit: int = 10,
+                      carry: list[str] | None = None) -> DataFrame:
+    """Fallback analysis in one pass: domain scores, main domain and the first
+    ``skill_limit`` vocabulary skills (extracted narrowly, carried through the single
+    aggregation)."""
+    from talentgrid.operators.skills import extract_skills
+    skills = V.TECHNICAL_SKILLS if skills is None else skills
+    d = extract_skills(docs, skills, text_col, skill_limit)
+    return domain_scores_fallback(d, vocab, id_col, text_col, carry=["skills"] + (carry or []))
 
 
 def domain_scores_fallback_long(docs: DataFrame, vocab=None, id_col: str = "doc_id",

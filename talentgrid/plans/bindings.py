@@ -73,3 +73,29 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"),
         html_to_text("html").alias("description"),
         "url")
+
+
+TEST_TITLES = ["Nicht", "Token", "License", "Para", "Avec"]
+TEST_DEFAULT_TITLES = ["Untitled", "Generic", "Other"]
+
+
+def cv_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cv_id, domain, main_score, skills): fallback analysis of every document."""
+    from talentgrid.operators.classify import analyze_documents
+    docs = cvs(spark, sf_dir)
+    a = analyze_documents(docs, LANG_VOCAB, TEST_SKILLS, id_col="cv_id")
+    return a.select("cv_id", F.col("main_domain").alias("domain"), "main_score", "skills")
+
+
+def offer_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(offer_id, domain, raw_score, text, title_lower, ord): offers with their text
+    lower-cased once and their domain from the same fallback classifier."""
+    from talentgrid.operators.classify import domain_scores_fallback
+    o = offers(spark, sf_dir).select(
+        "offer_id", F.lower(F.col("title")).alias("title_lower"),
+        F.lower(F.concat_ws(" ", "title", "description")).alias("text"))
+    a = domain_scores_fallback(o, LANG_VOCAB, id_col="offer_id", text_col="text",
+                               carry=["title_lower", "text"])
+    return a.select("offer_id", F.col("main_domain").alias("domain"),
+                    F.col("main_score").alias("raw_score"), "text", "title_lower",
+                    F.col("offer_id").alias("ord"))

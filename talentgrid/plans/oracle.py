@@ -35,3 +35,131 @@ SELECT doc_id, main_domain, round(main_score, 6) AS main_score FROM (
          row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, domain_ord) AS rn
   FROM s) WHERE rn = 1
 """
+
+
+# ------------------------------------------------------------------ shared CTE builders
+def d1_cte(name: str, src: str, id_col: str, text_expr: str, vocab) -> str:
+    """CTEs computing fallback scores of ``src``; yields ``{name}`` with
+    (id, main_domain, main_score)."""
+    return f"""
+{name}_v AS (SELECT * FROM {vocab_values(vocab)}),
+{name}_d AS (SELECT {id_col} AS id, {text_expr} AS t FROM {src}),
+{name}_h AS (SELECT d.id, v.domain_ord, (length(d.t) - length(replace(d.t, v.kw, ''))) // length(v.kw) AS occ
+             FROM {name}_d d JOIN {name}_v v ON contains(d.t, v.kw)),
+{name}_u AS (SELECT id, domain_ord, sum(CASE WHEN occ > 1 THEN 2 * least(occ, 3) ELSE 1 END) AS units
+             FROM {name}_h GROUP BY id, domain_ord),
+{name}_dd AS (SELECT DISTINCT domain, domain_ord FROM {name}_v),
+{name}_s AS (SELECT d.id, dd.domain, dd.domain_ord,
+                    least(1.0::DOUBLE, 0.5::DOUBLE + coalesce(u.units, 0) * 0.025::DOUBLE) AS score
+             FROM {name}_d d CROSS JOIN {name}_dd dd
+             LEFT JOIN {name}_u u ON u.id = d.id AND u.domain_ord = dd.domain_ord),
+{name} AS (SELECT id, domain AS main_domain, score AS main_score FROM (
+             SELECT id, domain, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, domain_ord) AS rn
+             FROM {name}_s) WHERE rn = 1)"""
+
+
+def skills_cte(name: str, src: str, id_col: str, text_expr: str, skills, limit: int | None = 10) -> str:
+    """``{name}`` = (id, skill, skill_ord, kw, rn) for the first ``limit`` contained skills."""
+    lim = f"WHERE rn <= {limit}" if limit else ""
+    return f"""
+{name}_v AS (SELECT * FROM {skill_values(skills)}),
+{name}_all AS (SELECT s.{id_col} AS id, v.skill, v.skill_ord, v.kw,
+                      row_number() OVER (PARTITION BY s.{id_col} ORDER BY v.skill_ord) AS rn
+               FROM {src} s JOIN {name}_v v ON contains({text_expr}, v.kw)),
+{name} AS (SELECT * FROM {name}_all {lim})"""
+
+
+def cv_offer_ctes() -> str:
+    """cv(cv_id, domain, n), cvsk(cv_id, skill, kw, pos), off(offer_id, domain, raw_score, text, title_lower)."""
+    return f"""WITH
+{d1_cte('cvd1', 'documents', 'doc_id', 'lower(text)', B.LANG_VOCAB)},
+{skills_cte('cvsk0', 'documents', 'doc_id', 'lower(s.text)', B.TEST_SKILLS)},
+cvsk AS (SELECT id AS cv_id, skill, kw, rn - 1 AS pos FROM cvsk0),
+cv AS (SELECT d.id AS cv_id, d.main_domain AS domain,
+              (SELECT count(*) FROM cvsk WHERE cvsk.cv_id = d.id) AS n
+       FROM cvd1 d),
+pg AS (SELECT page_id AS offer_id,
+              regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title,
+              {html_text_sql('html')} AS description FROM pages),
+pgt AS (SELECT offer_id, lower(title) AS title_lower, lower(concat_ws(' ', title, description)) AS text FROM pg),
+{d1_cte('od1', 'pgt', 'offer_id', 'text', B.LANG_VOCAB)},
+off AS (SELECT p.offer_id, o.main_domain AS domain, o.main_score AS raw_score, p.text, p.title_lower
+        FROM pgt p JOIN od1 o ON o.id = p.offer_id),
+hits AS (SELECT k.cv_id, o.offer_id, count(*) AS h FROM cvsk k JOIN off o ON contains(o.text, k.kw)
+         GROUP BY k.cv_id, o.offer_id),
+pairs AS (SELECT c.cv_id, c.domain AS cv_domain, c.n, o.offer_id, o.domain AS o_domain, o.raw_score,
+                 coalesce(hits.h, 0) AS h
+          FROM cv c CROSS JOIN off o LEFT JOIN hits ON hits.cv_id = c.cv_id AND hits.offer_id = o.offer_id)"""
+
+
+ORACLE["extract_skills"] = f"""WITH
+{skills_cte('sk', 'documents', 'doc_id', 'lower(s.text)', B.TEST_SKILLS)}
+SELECT d.doc_id, coalesce(string_agg(sk.skill, ',' ORDER BY sk.skill_ord), '') AS skills,
+       count(sk.skill)::BIGINT AS n_skills
+FROM documents d LEFT JOIN sk ON sk.id = d.doc_id GROUP BY d.doc_id
+"""
+
+ORACLE["extract_titles"] = f"""WITH
+{skills_cte('tt', 'documents', 'doc_id', 'lower(s.text)', B.TEST_TITLES, None)},
+agg AS (SELECT d.doc_id, string_agg(tt.skill, ',' ORDER BY tt.skill_ord) AS all_t,
+               count(tt.skill) AS n FROM documents d LEFT JOIN tt ON tt.id = d.doc_id GROUP BY d.doc_id),
+top3 AS (SELECT d.doc_id, string_agg(tt.skill, ',' ORDER BY tt.skill_ord) AS t3
+         FROM documents d JOIN tt ON tt.id = d.doc_id WHERE tt.rn <= 3 GROUP BY d.doc_id)
+SELECT agg.doc_id,
+       CASE WHEN agg.n = 0 THEN {q(','.join(B.TEST_DEFAULT_TITLES))} ELSE top3.t3 END AS job_titles,
+       CASE WHEN agg.n = 0 THEN {q(B.TEST_DEFAULT_TITLES[0])} ELSE split_part(agg.all_t, ',', 1) END AS best_title
+FROM agg LEFT JOIN top3 USING (doc_id)
+"""
+
+ORACLE["skill_frequency"] = f"""WITH
+{skills_cte('sk', 'documents', 'doc_id', 'lower(s.text)', B.TEST_SKILLS, None)}
+SELECT skill, count(*)::BIGINT AS n_docs FROM sk GROUP BY skill
+"""
+
+ORACLE["match_rules_topk"] = cv_offer_ctes() + """,
+sc AS (SELECT cv_id, offer_id, h, o_domain = cv_domain AS domain_match,
+              least(1.0::DOUBLE, (0.1::DOUBLE + CASE WHEN o_domain = cv_domain THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END)
+                    + CASE WHEN n > 0 THEN least(0.6::DOUBLE, (h / n) * 0.6::DOUBLE) ELSE 0.0::DOUBLE END) AS score
+       FROM pairs),
+rk AS (SELECT *, row_number() OVER (PARTITION BY cv_id ORDER BY score DESC, offer_id) AS rank
+       FROM sc WHERE score >= 0.3)
+SELECT cv_id, rank::BIGINT AS rank, offer_id, round(score, 6) AS score, h::BIGINT AS matched_skills, domain_match
+FROM rk WHERE rank <= 5
+"""
+
+ORACLE["match_bonus_topk"] = cv_offer_ctes() + """,
+sc AS (SELECT cv_id, offer_id, raw_score, h,
+              least(0.3::DOUBLE, h * 0.05::DOUBLE) AS skills_bonus,
+              (raw_score + CASE WHEN o_domain = cv_domain THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END)
+                + least(0.3::DOUBLE, h * 0.05::DOUBLE) AS score
+       FROM pairs),
+rk AS (SELECT *, row_number() OVER (PARTITION BY cv_id ORDER BY score DESC, offer_id) AS rank FROM sc)
+SELECT cv_id, rank::BIGINT AS rank, offer_id, round(raw_score, 6) AS raw_score, round(skills_bonus, 6) AS skills_bonus,
+       h::BIGINT AS matched_skills, round(score, 6) AS score
+FROM rk WHERE rank <= 5
+"""
+
+
+def _weights_values() -> str:
+    rows = [(d, kw.lower(), int(round(w * 100))) for d, kws in B.LANG_WEIGHTS.items() for kw, w in kws.items()]
+    return values(rows, ["domain", "kw", "u"])
+
+
+ORACLE["match_weighted_topk"] = cv_offer_ctes() + f""",
+wv AS (SELECT * FROM {_weights_values()}),
+ku AS (SELECT o.offer_id, wv.domain, least(30, sum(wv.u)) AS kw_u FROM off o JOIN wv ON contains(o.text, wv.kw)
+       GROUP BY o.offer_id, wv.domain),
+lastpos AS (SELECT cv_id, kw, max(pos) AS lp FROM cvsk GROUP BY cv_id, kw),
+su AS (SELECT k.cv_id, o.offer_id, count(*) AS h,
+              sum(CASE WHEN l.lp < 3 THEN 15 ELSE 10 END + CASE WHEN contains(o.title_lower, k.kw) THEN 5 ELSE 0 END) AS s_u
+       FROM cvsk k JOIN lastpos l ON l.cv_id = k.cv_id AND l.kw = k.kw
+       JOIN off o ON contains(o.text, k.kw) GROUP BY k.cv_id, o.offer_id),
+sc AS (SELECT p.cv_id, p.offer_id, coalesce(su.h, 0) AS h, coalesce(ku.kw_u, 0) AS kw_u,
+              least(100, 20 + least(50, coalesce(su.s_u, 0)) + coalesce(ku.kw_u, 0)) / 100.0::DOUBLE AS score
+       FROM pairs p LEFT JOIN su ON su.cv_id = p.cv_id AND su.offer_id = p.offer_id
+       LEFT JOIN ku ON ku.offer_id = p.offer_id AND ku.domain = p.cv_domain),
+rk AS (SELECT *, row_number() OVER (PARTITION BY cv_id ORDER BY score DESC, offer_id) AS rank FROM sc)
+SELECT cv_id, rank::BIGINT AS rank, offer_id, round(score, 6) AS score, h::BIGINT AS matched_skills,
+       kw_u::BIGINT AS domain_units
+FROM rk WHERE rank <= 5
+"""

@@ -42,3 +42,60 @@ def q_main_domain(spark, sf):
     docs = B.table(spark, sf, "documents")
     out = C.domain_scores_fallback(docs, B.LANG_VOCAB)
     return out.select("doc_id", "main_domain", r6("main_score").alias("main_score"))
+
+
+# ------------------------------------------------------------------ skills / titles
+from talentgrid.operators import skills as S  # noqa: E402
+from talentgrid.operators import match as M  # noqa: E402
+
+
+@register("extract_skills")
+def q_extract_skills(spark, sf):
+    docs = B.table(spark, sf, "documents")
+    out = S.extract_skills(docs, B.TEST_SKILLS, "text", limit=10)
+    return out.select("doc_id", F.array_join("skills", ",").alias("skills"),
+                      F.size("skills").cast("long").alias("n_skills"))
+
+
+@register("extract_titles")
+def q_extract_titles(spark, sf):
+    docs = B.table(spark, sf, "documents")
+    out = S.extract_titles(docs, B.TEST_TITLES, "text", B.TEST_DEFAULT_TITLES)
+    return out.select("doc_id", F.array_join("job_titles", ",").alias("job_titles"), "best_title")
+
+
+@register("skill_frequency")
+def q_skill_frequency(spark, sf):
+    docs = S.extract_skills(B.table(spark, sf, "documents"), B.TEST_SKILLS, "text", limit=None)
+    return S.skill_frequency(docs).select("skill", F.col("n_docs").cast("long").alias("n_docs"))
+
+
+# ------------------------------------------------------------------ matching
+MATCH_K = 5
+MATCH_MIN_SCORE = 0.3
+
+
+@register("match_rules_topk")
+def q_match_rules_topk(spark, sf):
+    out = M.match_rules(B.cv_analysis(spark, sf), B.offer_analysis(spark, sf), B.TEST_SKILLS,
+                        B.LANGS, k=MATCH_K, min_score=MATCH_MIN_SCORE)
+    return out.select("cv_id", F.col("rank").cast("long").alias("rank"), "offer_id",
+                      r6("score").alias("score"), F.col("matched_skills").cast("long").alias("matched_skills"),
+                      "domain_match")
+
+
+@register("match_bonus_topk")
+def q_match_bonus_topk(spark, sf):
+    out = M.match_bonus(B.cv_analysis(spark, sf), B.offer_analysis(spark, sf), B.TEST_SKILLS,
+                        B.LANGS, k=MATCH_K)
+    return out.select("cv_id", F.col("rank").cast("long").alias("rank"), "offer_id",
+                      r6("raw_score").alias("raw_score"), r6("skills_bonus").alias("skills_bonus"),
+                      F.col("matched_skills").cast("long").alias("matched_skills"), r6("score").alias("score"))
+
+
+@register("match_weighted_topk")
+def q_match_weighted_topk(spark, sf):
+    out = M.match_weighted(B.cv_analysis(spark, sf), B.offer_analysis(spark, sf), B.TEST_SKILLS,
+                           B.LANG_WEIGHTS, k=MATCH_K)
+    return out.select("cv_id", F.col("rank").cast("long").alias("rank"), "offer_id", r6("score").alias("score"),
+                      F.col("matched_skills").cast("long").alias("matched_skills"), "domain_units")
