@@ -157,44 +157,48 @@ def domain_scores_basic(docs: DataFrame, vocab=None, skills=None, id_col: str =
 
 
 # --------------------------------------------------------------------------- D3
+def _lookup_sum(m: Column):
+    def merge(acc, sk):
+        return acc + F.coalesce(F.try_element_at(m, sk), F.lit(0))
+    return merge
+
+
 def domain_scores_extended(docs: DataFrame, vocab: dict, skills: list[str],
-                           skill_domain: dict, id_col: str = "doc_id",
-                           text_col: str = "text") -> DataFrame:
-    """Extended analyser: per domain min(0.5, 0.1 + 0.4·hits/len(vocab[d])) + 0.1 per
-    extracted skill mapped to the domain + 0.05 per (extracted skill, domain) where the
-    lower-cased skill is one of the domain's keywords; capped at 1. Duplicated keywords
-    count in hits and in the denominator. Rows ``(id, domain, domain_ord, score)``."""
+                           skill_domain: dict, id_col: str = "doc_id", text_col: str = "text",
+                           default_skills: list[str] | None = None) -> DataFrame:
+    """Extended analyser: per domain min(0.5, 0.1 + (hits/len(vocab[d]))·0.4) + 0.1 per
+    extracted skill mapped to the domain + 0.05 per extracted skill that is one of the
+    domain's keywords; capped at 1. Duplicated keywords count in hits and denominator.
+    Skills are extracted from the text (vocabulary order), ``default_skills`` when none.
+    The skill bonus is a narrow lookup in literal maps (units of 0.05), carried through
+    the single per-document aggregation. Rows ``(id, domain, domain_ord, score)``."""
+    from talentgrid.operators.skills import extract_skills
+    default_skills = V.DEFAULT_SKILLS_EXTENDED if default_skills is None else default_skills
     domains = list(vocab.keys())
     lens = [len(vocab[d]) for d in domains]
-    # keyword hits (units of one keyword entry) + skill bonuses (units of 0.05)
-    terms = {}
-    for d in domains:
-        rows = [(k, 1.0) for k in vocab[d]]
-        kw_lower = [k.lower() for k in vocab[d]]
-        for s in skills:
-            bonus = (2 if skill_domain.get(s) == d else 0) + (1 if s.lower() in kw_lower else 0)
-            if bonus:
-                rows.append(("\u0000skill:" + s, float(bonus)))
-        terms[d] = rows
-    spark = _spark(docs)
-    rows = []
-    for di, d in enumerate(domains):
-        for ti, (t, w) in enumerate(terms[d]):
-            is_skill = t.startswith("\u0000skill:")
-            kw = t[len("\u0000skill:"):] if is_skill else t
-            rows.append((d, di, kw, ti, kw.lower(), (-w if is_skill else w)))
-    vdf = spark.createDataFrame(rows, V.VOCAB_SCHEMA)
-    hits = keyword_hits(docs, vdf, id_col, text_col)
-    w = F.coalesce(F.col("weight"), F.lit(0.0))
-    kw_hits = _per_domain_sums(hits.withColumn("_w", F.when(w > 0, w).otherwise(0.0)), id_col,
-                               len(domains), F.col("_w"), "_k")
-    sk = (hits.withColumn("_s", F.when(w < 0, -w).otherwise(0.0))
-          .groupBy(id_col).agg(*[F.sum(F.when(F.col("domain_ord") == i, F.col("_s")).otherwise(0.0)).alias(f"_s{i}")
-                                 for i in range(len(domains))]))
-    wide = kw_hits.join(sk, id_col)
+    d = extract_skills(docs, skills, text_col, limit=None, default=default_skills, out_col="_sk")
+    bonus_cols = []
+    for i, dom in enumerate(domains):
+        kw_lower = {k.lower() for k in vocab[dom]}
+        units = {}
+        for sname in set(skills) | set(default_skills):
+            u = (2 if skill_domain.get(sname) == dom else 0) + (1 if sname.lower() in kw_lower else 0)
+            if u:
+                units[sname] = u
+        if units:
+            m = F.create_map(*[x for k, u in units.items() for x in (F.lit(k), F.lit(u))])
+            b = F.aggregate(F.col("_sk"), F.lit(0), _lookup_sum(m))
+        else:
+            b = F.lit(0)
+        bonus_cols.append(b.alias(f"_b{i}"))
+    d = d.select(id_col, text_col, *bonus_cols)
+    carry = [f"_b{i}" for i in range(len(domains))]
+    hits = keyword_hits(d, vocab, id_col, text_col, carry=carry)
+    wide = _per_domain_sums(hits, id_col, len(domains),
+                            F.when(F.col("kw_ord").isNotNull(), F.lit(1)).otherwise(F.lit(0)), "_k", carry)
     scores = [F.least(F.lit(1.0),
-                      F.least(F.lit(0.5), F.lit(0.1) + F.lit(0.4) * F.col(f"_k{i}") / F.lit(float(lens[i])))
-                      + F.col(f"_s{i}") * F.lit(0.05)) for i in range(len(domains))]
+                      F.least(F.lit(0.5), F.lit(0.1) + (F.col(f"_k{i}") / F.lit(float(lens[i]))) * F.lit(0.4))
+                      + F.col(f"_b{i}") * F.lit(0.05)) for i in range(len(domains))]
     wide = wide.select(id_col, *[s.alias(f"score_{i}") for i, s in enumerate(scores)])
     return long_scores(wide, id_col, domains, [f"score_{i}" for i in range(len(domains))])
 

@@ -99,3 +99,21 @@ def offer_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("offer_id", F.col("main_domain").alias("domain"),
                     F.col("main_score").alias("raw_score"), "text", "title_lower",
                     F.col("offer_id").alias("ord"))
+
+
+# basic analyser vocabulary (no surrounding spaces, so skills can contain keywords)
+BASIC_VOCAB = {
+    "en": ["the", "and", "that"],
+    "fr": ["pour", "dans", "avec"],
+    "de": ["nicht", "sich", "und"],
+    "es": ["para", "por", "los"],
+}
+# extended analyser: duplicated keyword on purpose (counts twice), skill → domain map
+EXT_VOCAB = {
+    "en": [" the ", " and ", " of ", " that ", " with ", " the ", "that"],
+    "fr": [" la ", " des ", " que ", " une ", " pour ", "pour"],
+    "de": [" die ", " der ", " und ", " nicht ", " sich ", "nicht"],
+    "es": [" los ", " del ", " las ", " por ", " para ", "para"],
+}
+EXT_SKILL_DOMAIN = {"The": "en", "And": "en", "Pour": "fr", "Avec": "fr", "Nicht": "de", "Para": "es",
+                    "Por": "es"}

@@ -163,3 +163,108 @@ SELECT cv_id, rank::BIGINT AS rank, offer_id, round(score, 6) AS score, h::BIGIN
        kw_u::BIGINT AS domain_units
 FROM rk WHERE rank <= 5
 """
+
+
+def _basic_oracle() -> str:
+    return f"""WITH
+v AS (SELECT * FROM {vocab_values(B.BASIC_VOCAB)}),
+sv AS (SELECT * FROM {skill_values(B.TEST_SKILLS)}),
+sdom AS (SELECT DISTINCT sv.skill, sv.kw, v.domain, v.domain_ord FROM sv JOIN v ON contains(sv.kw, v.kw)),
+d AS (SELECT doc_id, lower(text) AS t FROM documents),
+kh AS (SELECT d.doc_id, v.domain, count(*) AS c FROM d JOIN v ON contains(d.t, v.kw) GROUP BY 1, 2),
+sh AS (SELECT d.doc_id, sdom.domain, count(*) AS c FROM d JOIN sdom ON contains(d.t, sdom.kw) GROUP BY 1, 2),
+dd AS (SELECT DISTINCT domain FROM v),
+s AS (SELECT d.doc_id, dd.domain, coalesce(kh.c, 0) + 0.5::DOUBLE * coalesce(sh.c, 0) AS score
+      FROM d CROSS JOIN dd LEFT JOIN kh ON kh.doc_id = d.doc_id AND kh.domain = dd.domain
+      LEFT JOIN sh ON sh.doc_id = d.doc_id AND sh.domain = dd.domain)
+SELECT doc_id, domain, round(score::DOUBLE, 6) AS score FROM s WHERE score > 0
+"""
+
+
+ORACLE["domain_scores_basic"] = _basic_oracle()
+
+
+def _ext_oracle() -> str:
+    from talentgrid import vocab as VV
+    rows = []
+    defaults = VV.DEFAULT_SKILLS_EXTENDED
+    for di, (dom, kws) in enumerate(B.EXT_VOCAB.items()):
+        kl = {k.lower() for k in kws}
+        for sname in list(dict.fromkeys(B.TEST_SKILLS + defaults)):
+            u = (2 if B.EXT_SKILL_DOMAIN.get(sname) == dom else 0) + (1 if sname.lower() in kl else 0)
+            if u:
+                rows.append((sname, dom, u))
+    bonus = values(rows, ["skill", "domain", "u"]) if rows else "(SELECT NULL AS skill, NULL AS domain, 0 AS u) t"
+    dflt = values([(s,) for s in defaults], ["skill"])
+    return f"""WITH
+v AS (SELECT * FROM {vocab_values(B.EXT_VOCAB)}),
+vl AS (SELECT domain, count(*) AS len FROM v GROUP BY domain),
+sv AS (SELECT * FROM {skill_values(B.TEST_SKILLS)}),
+bu AS (SELECT * FROM {bonus}),
+df AS (SELECT * FROM {dflt}),
+d AS (SELECT doc_id, lower(text) AS t FROM documents),
+found AS (SELECT d.doc_id, sv.skill FROM d JOIN sv ON contains(d.t, sv.kw)),
+nf AS (SELECT d.doc_id, count(found.skill) AS n FROM d LEFT JOIN found USING (doc_id) GROUP BY d.doc_id),
+sk AS (SELECT doc_id, skill FROM found
+       UNION ALL SELECT nf.doc_id, df.skill FROM nf CROSS JOIN df WHERE nf.n = 0),
+b AS (SELECT sk.doc_id, bu.domain, sum(bu.u) AS u FROM sk JOIN bu ON bu.skill = sk.skill GROUP BY 1, 2),
+kh AS (SELECT d.doc_id, v.domain, count(*) AS c FROM d JOIN v ON contains(d.t, v.kw) GROUP BY 1, 2),
+s AS (SELECT d.doc_id, vl.domain,
+             least(1.0::DOUBLE, least(0.5::DOUBLE, 0.1::DOUBLE + (coalesce(kh.c, 0) / vl.len::DOUBLE) * 0.4::DOUBLE)
+                   + coalesce(b.u, 0) * 0.05::DOUBLE) AS score
+      FROM d CROSS JOIN vl LEFT JOIN kh ON kh.doc_id = d.doc_id AND kh.domain = vl.domain
+      LEFT JOIN b ON b.doc_id = d.doc_id AND b.domain = vl.domain)
+SELECT doc_id, domain, round(score, 6) AS score FROM s
+"""
+
+
+ORACLE["domain_scores_extended"] = _ext_oracle()
+
+ORACLE["guess_domain"] = f"""WITH
+v AS (SELECT * FROM {vocab_values(B.LANG_VOCAB)}),
+pg AS (SELECT page_id AS offer_id,
+              lower(concat_ws(' ', regexp_extract(html, '(?is)<title>(.*?)</title>', 1), {html_text_sql('html')})) AS t
+       FROM pages),
+h AS (SELECT pg.offer_id, v.domain, v.domain_ord,
+             sum((length(pg.t) - length(replace(pg.t, v.kw, ''))) // length(v.kw)) AS occ
+      FROM pg JOIN v ON contains(pg.t, v.kw) GROUP BY 1, 2, 3),
+dd AS (SELECT DISTINCT domain, domain_ord FROM v),
+s AS (SELECT pg.offer_id, dd.domain, dd.domain_ord, coalesce(h.occ, 0) AS occ
+      FROM pg CROSS JOIN dd LEFT JOIN h ON h.offer_id = pg.offer_id AND h.domain = dd.domain),
+b AS (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY occ DESC, domain_ord) AS rn FROM s)
+SELECT offer_id, CASE WHEN occ > 0 THEN domain END AS guessed_domain, occ::BIGINT AS occurrences FROM b WHERE rn = 1
+"""
+
+ORACLE["classify_confidence"] = f"""WITH
+v AS (SELECT * FROM {vocab_values(B.BASIC_VOCAB)}),
+d AS (SELECT doc_id, lower(text) AS t FROM documents),
+h AS (SELECT d.doc_id, v.domain, v.domain_ord, count(*) AS n FROM d JOIN v ON contains(d.t, v.kw) GROUP BY 1, 2, 3),
+dd AS (SELECT DISTINCT domain, domain_ord FROM v),
+s AS (SELECT d.doc_id, dd.domain, dd.domain_ord, coalesce(h.n, 0) AS n
+      FROM d CROSS JOIN dd LEFT JOIN h ON h.doc_id = d.doc_id AND h.domain = dd.domain),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, domain_ord) AS rn FROM s)
+SELECT doc_id, CASE WHEN n = 0 THEN 'en' ELSE domain END AS classification,
+       round(CASE WHEN n = 0 THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, n / 5.0::DOUBLE) END, 6) AS confidence
+FROM b WHERE rn = 1
+"""
+
+
+def _competence_oracle() -> str:
+    rows, tots = [], []
+    for d, cs in B.LANG_COMPETENCES.items():
+        for c, kws in cs.items():
+            tots.append((d, c, len(kws)))
+            for k in kws:
+                rows.append((d, c, k.lower()))
+    return f"""WITH
+cv AS (SELECT * FROM {values(rows, ['domain', 'competence', 'kw'])}),
+ct AS (SELECT * FROM {values(tots, ['domain', 'competence', 'n_total'])}),
+d AS (SELECT doc_id, lower(text) AS t FROM documents),
+h AS (SELECT d.doc_id, cv.domain, cv.competence, count(*) AS n FROM d JOIN cv ON contains(d.t, cv.kw) GROUP BY 1, 2, 3)
+SELECT d.doc_id, ct.domain, ct.competence, coalesce(h.n, 0)::BIGINT AS n_found, ct.n_total::BIGINT AS n_total,
+       round(coalesce(h.n, 0) / ct.n_total::DOUBLE, 6) AS level
+FROM d CROSS JOIN ct LEFT JOIN h ON h.doc_id = d.doc_id AND h.domain = ct.domain AND h.competence = ct.competence
+"""
+
+
+ORACLE["competence_coverage"] = _competence_oracle()

@@ -99,3 +99,38 @@ def q_match_weighted_topk(spark, sf):
                            B.LANG_WEIGHTS, k=MATCH_K)
     return out.select("cv_id", F.col("rank").cast("long").alias("rank"), "offer_id", r6("score").alias("score"),
                       F.col("matched_skills").cast("long").alias("matched_skills"), "domain_units")
+
+
+# ------------------------------------------------------------------ more classifiers
+@register("domain_scores_basic")
+def q_domain_scores_basic(spark, sf):
+    docs = B.table(spark, sf, "documents")
+    out = C.domain_scores_basic(docs, B.BASIC_VOCAB, B.TEST_SKILLS)
+    return out.select("doc_id", "domain", r6("score").alias("score"))
+
+
+@register("domain_scores_extended")
+def q_domain_scores_extended(spark, sf):
+    docs = B.table(spark, sf, "documents")
+    out = C.domain_scores_extended(docs, B.EXT_VOCAB, B.TEST_SKILLS, B.EXT_SKILL_DOMAIN)
+    return out.select("doc_id", "domain", r6("score").alias("score"))
+
+
+@register("guess_domain")
+def q_guess_domain(spark, sf):
+    o = B.offers(spark, sf)
+    return C.guess_domain(o, B.LANG_VOCAB, id_col="offer_id", title_col="title", text_col="description")
+
+
+@register("classify_confidence")
+def q_classify_confidence(spark, sf):
+    docs = B.table(spark, sf, "documents")
+    out = C.classify_confidence(docs, B.BASIC_VOCAB, default_domain="en")
+    return out.select("doc_id", "classification", r6("confidence").alias("confidence"))
+
+
+@register("competence_coverage")
+def q_competence_coverage(spark, sf):
+    docs = B.table(spark, sf, "documents")
+    out = C.competence_coverage(docs, B.LANG_COMPETENCES)
+    return out.select("doc_id", "domain", "competence", "n_found", "n_total", r6("level").alias("level"))
