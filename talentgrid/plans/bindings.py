@@ -117,3 +117,19 @@ EXT_VOCAB = {
 }
 EXT_SKILL_DOMAIN = {"The": "en", "And": "en", "Pour": "fr", "Avec": "fr", "Nicht": "de", "Para": "es",
                     "Por": "es"}
+
+
+# embeddings: domain = "L<label>", related labels are the neighbours label±1 (directed both ways)
+EMB_RELATED = {f"L{i}": [f"L{j}" for j in (i - 1, i + 1) if 0 <= j <= 9] for i in range(10)}
+
+
+def embedding_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(iid, vec, domain, ord) from the embeddings table."""
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("iid"), F.col("embedding").alias("vec"),
+                    F.concat(F.lit("L"), F.col("label").cast("string")).alias("domain"),
+                    F.col("vec_id").alias("ord"))
+
+
+def embedding_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_items(spark, sf_dir).select(F.col("iid").alias("qid"), "vec", "domain")

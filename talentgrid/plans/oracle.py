@@ -268,3 +268,49 @@ FROM d CROSS JOIN ct LEFT JOIN h ON h.doc_id = d.doc_id AND h.domain = ct.domain
 
 
 ORACLE["competence_coverage"] = _competence_oracle()
+
+
+# ------------------------------------------------------------------ embeddings
+def _emb_ctes() -> str:
+    rel = [(a, b) for a, bs in B.EMB_RELATED.items() for b in bs]
+    return f"""WITH
+e AS (SELECT vec_id, embedding::DOUBLE[] AS v, 'L' || label::VARCHAR AS dom FROM embeddings),
+rel AS (SELECT * FROM {values(rel, ['a', 'b'])}),
+p AS (SELECT q.vec_id AS qid, i.vec_id AS iid, list_cosine_similarity(q.v, i.v) AS cos,
+             CASE WHEN q.dom = i.dom THEN 1.0::DOUBLE WHEN r.a IS NOT NULL THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS dsim
+      FROM e q JOIN e i ON q.vec_id <> i.vec_id LEFT JOIN rel r ON r.a = q.dom AND r.b = i.dom)"""
+
+
+ORACLE["match_embedding_topk"] = _emb_ctes() + """,
+s AS (SELECT *, 0.7::DOUBLE * cos + 0.3::DOUBLE * dsim AS score FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, iid) AS rank FROM s)
+SELECT qid AS cv_id, rank::BIGINT AS rank, iid AS offer_id, round(cos, 6) AS cosine, round(dsim, 6) AS domain_sim,
+       round(score, 6) AS score FROM r WHERE rank <= 3
+"""
+
+ORACLE["vector_search_domain"] = _emb_ctes() + """,
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, iid) AS rank FROM p),
+t AS (SELECT *, max(CASE WHEN dsim = 1.0 THEN 1 ELSE 0 END) OVER (PARTITION BY qid) AS any_m FROM r WHERE rank <= 5)
+SELECT qid AS query_id, rank::BIGINT AS rank, iid AS item_id, round(cos, 6) AS cosine
+FROM t WHERE dsim = 1.0 OR any_m = 0
+"""
+
+_CENTROIDS = """
+comp AS (SELECT label, pos, avg(x) AS m FROM (
+           SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)
+         GROUP BY label, pos),
+cen AS (SELECT label, list(m ORDER BY pos) AS c FROM comp GROUP BY label)"""
+
+ORACLE["similarity_matrix"] = f"""WITH {_CENTROIDS}
+SELECT a.label::BIGINT AS label_a, b.label::BIGINT AS label_b, round(list_cosine_similarity(a.c, b.c), 6) AS cosine
+FROM cen a CROSS JOIN cen b
+"""
+
+ORACLE["composite_embedding"] = f"""WITH {_CENTROIDS},
+mix AS (SELECT e.vec_id, list_transform(list_zip(e.embedding::DOUBLE[], cen.c), lambda z: z[1] * 0.7 + z[2] * 0.3) AS m
+        FROM embeddings e JOIN cen ON cen.label = e.label),
+nm AS (SELECT vec_id, m, sqrt(list_sum(list_transform(m, lambda x: x * x))) AS n FROM mix),
+cm AS (SELECT vec_id, CASE WHEN n = 0 THEN m ELSE list_transform(m, lambda x: x / n) END AS c FROM nm)
+SELECT vec_id, round(c[1], 6) AS c0, round(list_sum(c), 6) AS csum,
+       round(sqrt(list_sum(list_transform(c, lambda x: x * x))), 6) AS cnorm FROM cm
+"""

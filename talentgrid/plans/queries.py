@@ -134,3 +134,49 @@ def q_competence_coverage(spark, sf):
     docs = B.table(spark, sf, "documents")
     out = C.competence_coverage(docs, B.LANG_COMPETENCES)
     return out.select("doc_id", "domain", "competence", "n_found", "n_total", r6("level").alias("level"))
+
+
+# ------------------------------------------------------------------ embeddings
+from talentgrid.operators import vectors as VX  # noqa: E402
+from talentgrid.functions import vectors as FV  # noqa: E402
+
+
+@register("match_embedding_topk")
+def q_match_embedding_topk(spark, sf):
+    out = VX.embedding_match(B.embedding_queries(spark, sf), B.embedding_items(spark, sf), k=3,
+                             related=B.EMB_RELATED, exclude_self=True)
+    return out.select(F.col("qid").alias("cv_id"), F.col("rank").cast("long").alias("rank"),
+                      F.col("iid").alias("offer_id"), r6("cos").alias("cosine"), r6("dsim").alias("domain_sim"),
+                      r6("score").alias("score"))
+
+
+@register("vector_search_domain")
+def q_vector_search_domain(spark, sf):
+    out = VX.vector_search(B.embedding_queries(spark, sf), B.embedding_items(spark, sf), limit=5,
+                           exclude_self=True)
+    return out.select(F.col("qid").alias("query_id"), F.col("rank").cast("long").alias("rank"),
+                      F.col("iid").alias("item_id"), r6("cos").alias("cosine"))
+
+
+def _label_centroids(spark, sf):
+    e = B.table(spark, sf, "embeddings")
+    return VX.centroids(e, "label")
+
+
+@register("similarity_matrix")
+def q_similarity_matrix(spark, sf):
+    c = _label_centroids(spark, sf)
+    items = c.select(F.col("label").cast("long").alias("iid"), F.col("centroid").alias("vec"),
+                     F.lit("c").alias("domain"), F.col("label").cast("long").alias("ord"))
+    out = VX.similarity_matrix(items)
+    return out.select(F.col("qid").alias("label_a"), F.col("iid").alias("label_b"), r6("cos").alias("cosine"))
+
+
+@register("composite_embedding")
+def q_composite_embedding(spark, sf):
+    e = B.table(spark, sf, "embeddings")
+    dv = _label_centroids(spark, sf).select("label", F.col("centroid").alias("dvec"))
+    out = VX.composite_embedding(e, dv, "label")
+    return out.select("vec_id", r6(F.element_at("composite", 1)).alias("c0"),
+                      r6(F.aggregate("composite", F.lit(0.0), lambda a, x: a + x)).alias("csum"),
+                      r6(FV.norm("composite")).alias("cnorm"))
