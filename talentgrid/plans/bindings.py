@@ -133,3 +133,20 @@ def embedding_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embedding_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_items(spark, sf_dir).select(F.col("iid").alias("qid"), "vec", "domain")
+
+
+def offer_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offer cards from pages: title, company (url host), location (url language), description."""
+    o = offers(spark, sf_dir)
+    return o.select("offer_id", "title",
+                    F.regexp_extract("url", r"://([^/]+)", 1).alias("company"),
+                    F.regexp_extract("url", r"/(en|fr|de|es)/", 1).alias("location"),
+                    "description")
+
+
+def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training examples from documents: instruction per language, input = text."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("ord"),
+                    F.concat(F.lit("Analyse ce texte ("), F.col("lang"), F.lit(").")).alias("instruction"),
+                    F.col("text").alias("input"), F.lit("-").alias("output"), F.col("lang").alias("domain"))

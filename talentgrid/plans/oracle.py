@@ -314,3 +314,60 @@ cm AS (SELECT vec_id, CASE WHEN n = 0 THEN m ELSE list_transform(m, lambda x: x
 SELECT vec_id, round(c[1], 6) AS c0, round(list_sum(c), 6) AS csum,
        round(sqrt(list_sum(list_transform(c, lambda x: x * x))), 6) AS cnorm FROM cm
 """
+
+
+# ------------------------------------------------------------------ ids / dedup / merge
+ORACLE["offer_ids"] = f"""
+WITH pg AS (SELECT page_id AS offer_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title,
+                   regexp_extract(url, '://([^/]+)', 1) AS company,
+                   regexp_extract(url, '/(en|fr|de|es)/', 1) AS location,
+                   {html_text_sql('html')} AS description FROM pages)
+SELECT offer_id, md5(concat_ws('|', nullif(title, ''), nullif(company, ''), nullif(location, ''),
+                               nullif(substring(description, 1, 100), ''))) AS offer_key FROM pg
+"""
+
+ORACLE["dedup_examples"] = """
+WITH ex AS (SELECT doc_id, 'Analyse ce texte (' || lang || ').' AS instruction,
+                   CASE WHEN length(text) > 2000 THEN substring(text, 1, 1997) || '...' ELSE text END AS input
+            FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY instruction, substring(input, 1, 100) ORDER BY doc_id) AS rn FROM ex)
+SELECT doc_id, length(input)::BIGINT AS input_len FROM r WHERE rn = 1
+"""
+
+
+def _greedy_sql(rounds: int = 12) -> str:
+    parts = ["""WITH s0 AS (SELECT doc_id AS o, md5(lower(text)) AS k1,
+                 split_part(text, chr(10), 1) AS title, source AS company, 0 AS st FROM documents)"""]
+    for i in range(1, rounds + 1):
+        p = f"s{i-1}"
+        parts.append(f""",
+a{i} AS (SELECT k1, min(CASE WHEN st <> 2 THEN o END) AS a1, min(CASE WHEN st = 1 THEN o END) AS p1 FROM {p} GROUP BY k1),
+b{i} AS (SELECT title, company, min(CASE WHEN st <> 2 THEN o END) AS a2, min(CASE WHEN st = 1 THEN o END) AS p2
+         FROM {p} GROUP BY title, company),
+s{i} AS (SELECT x.o, x.k1, x.title, x.company,
+                CASE WHEN x.st <> 0 THEN x.st
+                     WHEN a.p1 < x.o OR b.p2 < x.o THEN 2
+                     WHEN a.a1 = x.o AND b.a2 = x.o THEN 1 ELSE 0 END AS st
+         FROM {p} x JOIN a{i} a ON a.k1 = x.k1
+         JOIN b{i} b ON b.title IS NOT DISTINCT FROM x.title AND b.company IS NOT DISTINCT FROM x.company)""")
+    parts.append(f"""
+SELECT o AS doc_id, CASE WHEN st = 1 THEN TRUE WHEN st = 2 THEN FALSE END AS kept FROM s{rounds}""")
+    return "".join(parts)
+
+
+ORACLE["dedup_offers"] = _greedy_sql()
+
+
+def _sub(name: str) -> str:
+    return "(" + ORACLE[name].strip() + ")"
+
+
+ORACLE["hybrid_merge"] = f"""
+WITH v AS (SELECT cv_id, offer_id, score, 0 AS side, rank FROM {_sub('match_bonus_topk')}),
+s AS (SELECT cv_id, offer_id, score, 1 AS side, rank FROM {_sub('match_rules_topk')}),
+u AS (SELECT * FROM v UNION ALL
+      SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.cv_id = s.cv_id AND v.offer_id = s.offer_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY cv_id ORDER BY score DESC, side, rank) AS rk FROM u)
+SELECT cv_id, rk::BIGINT AS rank, offer_id, score, CASE WHEN side = 0 THEN 'vector' ELSE 'scraped' END AS source
+FROM r WHERE rk <= 5
+"""

@@ -180,3 +180,37 @@ def q_composite_embedding(spark, sf):
     return out.select("vec_id", r6(F.element_at("composite", 1)).alias("c0"),
                       r6(F.aggregate("composite", F.lit(0.0), lambda a, x: a + x)).alias("csum"),
                       r6(FV.norm("composite")).alias("cnorm"))
+
+
+# ------------------------------------------------------------------ ids / dedup / merge
+from talentgrid.functions import ids as IDS  # noqa: E402
+from talentgrid.operators import dedup as DD  # noqa: E402
+
+
+@register("offer_ids")
+def q_offer_ids(spark, sf):
+    c = B.offer_cards(spark, sf)
+    return c.select("offer_id", IDS.offer_id("title", "company", "location", "description").alias("offer_key"))
+
+
+@register("dedup_examples")
+def q_dedup_examples(spark, sf):
+    out = DD.dedup_examples(B.examples(spark, sf))
+    return out.select(F.col("ord").alias("doc_id"), F.length("input").cast("long").alias("input_len"))
+
+
+@register("dedup_offers")
+def q_dedup_offers(spark, sf):
+    d = B.table(spark, sf, "documents")
+    x = d.select(F.col("doc_id").alias("ord"), F.md5(F.lower("text")).alias("id"),
+                 F.substring_index("text", "\n", 1).alias("title"), F.col("source").alias("company"))
+    out = DD.greedy_dedup(x, "id", ["title", "company"], "ord")
+    return out.select(F.col("ord").alias("doc_id"), "kept")
+
+
+@register("hybrid_merge")
+def q_hybrid_merge(spark, sf):
+    vec = QUERIES["match_bonus_topk"](spark, sf)
+    scr = QUERIES["match_rules_topk"](spark, sf)
+    out = DD.hybrid_merge(vec, scr, MATCH_K)
+    return out.select("cv_id", F.col("rank").cast("long").alias("rank"), "offer_id", "score", "source")
