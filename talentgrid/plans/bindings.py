@@ -150,3 +150,18 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("ord"),
                     F.concat(F.lit("Analyse ce texte ("), F.col("lang"), F.lit(").")).alias("instruction"),
                     F.col("text").alias("input"), F.lit("-").alias("output"), F.col("lang").alias("domain"))
+
+
+def whole_word_skills(text_lower, skills: list[str]):
+    """Annotator stand-in: vocabulary skills present as whole ASCII words (stricter than
+    the substring extractor, so precision < 1)."""
+    arr = F.array(*[F.struct(F.lit(s).alias("name"), F.lit(f"(^|[^a-z]){s.lower()}([^a-z]|$)").alias("rx"))
+                    for s in skills])
+    return F.transform(F.filter(arr, lambda e: F.regexp(text_lower, e["rx"])), lambda e: e["name"])
+
+
+def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cv_id, true_domain = lang, true_skills) for every document."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("cv_id"), F.col("lang").alias("true_domain"),
+                    whole_word_skills(F.lower(F.col("text")), TEST_SKILLS).alias("true_skills"))

@@ -371,3 +371,93 @@ r AS (SELECT *, row_number() OVER (PARTITION BY cv_id ORDER BY score DESC, side,
 SELECT cv_id, rk::BIGINT AS rank, offer_id, score, CASE WHEN side = 0 THEN 'vector' ELSE 'scraped' END AS source
 FROM r WHERE rk <= 5
 """
+
+
+# ------------------------------------------------------------------ evaluation
+def _truth_ctes() -> str:
+    rx = [(s, s.lower(), f"(^|[^a-z]){s.lower()}([^a-z]|$)") for s in B.TEST_SKILLS]
+    return f"""
+trx AS (SELECT * FROM {values(rx, ['skill', 'kw', 'rx'])}),
+tr AS (SELECT d.doc_id AS cv_id, trx.skill FROM documents d JOIN trx ON regexp_matches(lower(d.text), trx.rx)),
+truth AS (SELECT doc_id AS cv_id, lang AS true_domain FROM documents),
+pt AS (SELECT c.cv_id, t.true_domain, c.domain AS pred_domain FROM cv c JOIN truth t USING (cv_id))"""
+
+
+ORACLE["accuracy"] = cv_offer_ctes() + "," + _truth_ctes() + """
+SELECT round(coalesce(avg(CASE WHEN true_domain = pred_domain THEN 1.0 ELSE 0.0 END)::DOUBLE, 0.0), 6) AS accuracy,
+       count(*)::BIGINT AS samples
+FROM pt WHERE true_domain <> '' AND pred_domain <> ''
+"""
+
+ORACLE["confusion"] = cv_offer_ctes() + "," + _truth_ctes() + f""",
+lab AS (SELECT * FROM {values([(x,) for x in B.LANGS], ['l'])}),
+c AS (SELECT true_domain, pred_domain, count(*) AS n FROM pt GROUP BY 1, 2)
+SELECT a.l AS true_label, b.l AS pred_label, coalesce(c.n, 0)::BIGINT AS n
+FROM lab a CROSS JOIN lab b LEFT JOIN c ON c.true_domain = a.l AND c.pred_domain = b.l
+"""
+
+_PRF_ROWS = """,
+ts AS (SELECT cv_id, lower(skill) AS s FROM tr GROUP BY 1, 2),
+ps AS (SELECT cv_id, lower(skill) AS s FROM cvsk GROUP BY 1, 2),
+nt AS (SELECT cv_id, count(*) AS nt FROM ts GROUP BY 1),
+np AS (SELECT cv_id, count(*) AS np FROM ps GROUP BY 1),
+ni AS (SELECT ts.cv_id, count(*) AS ni FROM ts JOIN ps ON ps.cv_id = ts.cv_id AND ps.s = ts.s GROUP BY 1),
+pr AS (SELECT nt.cv_id, coalesce(ni.ni, 0) / np.np AS p, coalesce(ni.ni, 0) / nt.nt AS r
+       FROM nt JOIN np USING (cv_id) LEFT JOIN ni USING (cv_id)),
+prf AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * (p * r) / (p + r) ELSE 0.0 END AS f FROM pr),
+m AS (SELECT coalesce(avg(p), 0.0) AS precision, coalesce(avg(r), 0.0) AS recall, coalesce(avg(f), 0.0) AS f1,
+             count(*) AS samples FROM prf)"""
+
+ORACLE["skills_prf"] = cv_offer_ctes() + "," + _truth_ctes() + _PRF_ROWS + """
+SELECT round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 6)
+         AS f1_of_means, samples::BIGINT AS samples FROM m
+"""
+
+ORACLE["weighted_prf"] = cv_offer_ctes() + "," + _truth_ctes() + """,
+c AS (SELECT true_domain AS t, pred_domain AS p, count(*) AS n FROM pt GROUP BY 1, 2),
+labs AS (SELECT t AS label FROM c UNION SELECT p FROM c),
+per AS (SELECT l.label,
+               coalesce((SELECT sum(n) FROM c WHERE c.t = l.label), 0) AS support,
+               coalesce((SELECT sum(n) FROM c WHERE c.p = l.label), 0) AS predicted,
+               coalesce((SELECT sum(n) FROM c WHERE c.t = l.label AND c.p = l.label), 0) AS tp FROM labs l),
+per2 AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS prec,
+                   CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS rec FROM per),
+per3 AS (SELECT *, CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END AS f1 FROM per2)
+SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(sum(prec * support) / sum(support), 6) AS precision,
+       round(sum(rec * support) / sum(support), 6) AS recall, round(sum(f1 * support) / sum(support), 6) AS f1,
+       sum(support)::BIGINT AS samples FROM per3
+"""
+
+ORACLE["matching_quality"] = f"""
+WITH res AS (SELECT cv_id, offer_id FROM {_sub('match_rules_topk')}),
+x AS (SELECT 1)""" + "," + cv_offer_ctes().replace("WITH", "", 1) + "," + _truth_ctes() + """,
+tsk AS (SELECT cv_id, lower(skill) AS s FROM tr GROUP BY 1, 2),
+ntk AS (SELECT cv_id, count(*) AS n FROM tsk GROUP BY 1),
+rows_ AS (SELECT r.cv_id, r.offer_id, o.domain AS offer_domain, o.text AS offer_text, t.true_domain, n.n
+          FROM res r JOIN off o USING (offer_id) JOIN truth t USING (cv_id) JOIN ntk n USING (cv_id)
+          WHERE t.true_domain <> ''),
+share AS (SELECT r.cv_id, r.offer_id, (SELECT count(*) FROM tsk WHERE tsk.cv_id = r.cv_id AND contains(r.offer_text, tsk.s)) / r.n AS sh,
+                 CASE WHEN r.offer_domain = r.true_domain THEN 1.0 ELSE 0.0 END AS dm FROM rows_ r)
+SELECT round(coalesce(avg(dm)::DOUBLE, 0.0), 6) AS domain_match_rate, round(coalesce(avg(sh), 0.0), 6) AS skills_match_rate,
+       count(*)::BIGINT AS samples FROM share
+"""
+
+ORACLE["retrieval_prf"] = f"""
+WITH m AS (SELECT DISTINCT cv_id, offer_id FROM {_sub('match_rules_topk')}),
+r AS (SELECT DISTINCT cv_id, offer_id FROM {_sub('match_weighted_topk')}),
+nm AS (SELECT cv_id, count(*) AS n_m FROM m GROUP BY 1),
+nr AS (SELECT cv_id, count(*) AS n_r FROM r GROUP BY 1),
+h AS (SELECT m.cv_id, count(*) AS n_h FROM m JOIN r USING (cv_id, offer_id) GROUP BY 1),
+x AS (SELECT coalesce(nm.cv_id, nr.cv_id) AS cv_id, coalesce(n_m, 0) AS n_m, coalesce(n_r, 0) AS n_r
+      FROM nm FULL JOIN nr USING (cv_id)),
+y AS (SELECT x.cv_id, CASE WHEN n_m > 0 THEN coalesce(n_h, 0) / n_m ELSE 0.0 END AS p,
+             CASE WHEN n_r > 0 THEN coalesce(n_h, 0) / n_r ELSE 0.0 END AS rc FROM x LEFT JOIN h USING (cv_id))
+SELECT cv_id, round(p, 6) AS precision, round(rc, 6) AS recall,
+       round(CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0.0 END, 6) AS f1 FROM y
+"""
+
+ORACLE["expected_vs_detected"] = cv_offer_ctes() + "," + _truth_ctes() + _PRF_ROWS + """,
+e AS (SELECT t.cv_id, (SELECT count(DISTINCT lower(skill)) FROM tr WHERE tr.cv_id = t.cv_id) AS expected FROM truth t)
+SELECT e.cv_id, expected::BIGINT AS expected, floor(expected * m.recall)::BIGINT AS detected FROM e CROSS JOIN m
+"""

@@ -214,3 +214,62 @@ def q_hybrid_merge(spark, sf):
     scr = QUERIES["match_rules_topk"](spark, sf)
     out = DD.hybrid_merge(vec, scr, MATCH_K)
     return out.select("cv_id", F.col("rank").cast("long").alias("rank"), "offer_id", "score", "source")
+
+
+# ------------------------------------------------------------------ evaluation
+from talentgrid.operators import evaluate as EV  # noqa: E402
+
+
+def _pred_truth(spark, sf):
+    a = B.cv_analysis(spark, sf).select("cv_id", F.col("domain").alias("pred_domain"),
+                                        F.col("skills").alias("pred_skills"))
+    return a.join(B.truth(spark, sf), "cv_id")
+
+
+@register("accuracy")
+def q_accuracy(spark, sf):
+    out = EV.domain_accuracy(_pred_truth(spark, sf))
+    return out.select(r6("accuracy").alias("accuracy"), F.col("samples").cast("long").alias("samples"))
+
+
+@register("confusion")
+def q_confusion(spark, sf):
+    return EV.confusion_matrix(_pred_truth(spark, sf), B.LANGS)
+
+
+@register("skills_prf")
+def q_skills_prf(spark, sf):
+    out = EV.skills_prf(_pred_truth(spark, sf))
+    return out.select(r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"),
+                      r6("f1_of_means").alias("f1_of_means"), F.col("samples").cast("long").alias("samples"))
+
+
+@register("weighted_prf")
+def q_weighted_prf(spark, sf):
+    out = EV.weighted_prf(_pred_truth(spark, sf))
+    return out.select(*[r6(c).alias(c) for c in ["accuracy", "precision", "recall", "f1"]], "samples")
+
+
+@register("matching_quality")
+def q_matching_quality(spark, sf):
+    res = QUERIES["match_rules_topk"](spark, sf).select("cv_id", "offer_id")
+    off = B.offer_analysis(spark, sf).select("offer_id", F.col("domain").alias("offer_domain"),
+                                             F.col("text").alias("offer_text"))
+    out = EV.matching_quality(res.join(off, "offer_id"), B.truth(spark, sf))
+    return out.select(r6("domain_match_rate").alias("domain_match_rate"),
+                      r6("skills_match_rate").alias("skills_match_rate"), F.col("samples").cast("long").alias("samples"))
+
+
+@register("retrieval_prf")
+def q_retrieval_prf(spark, sf):
+    matched = QUERIES["match_rules_topk"](spark, sf)
+    relevant = QUERIES["match_weighted_topk"](spark, sf)
+    out = EV.retrieval_prf(matched, relevant)
+    return out.select("cv_id", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"))
+
+
+@register("expected_vs_detected")
+def q_expected_vs_detected(spark, sf):
+    pt = _pred_truth(spark, sf)
+    rec = EV.skills_prf(pt)
+    return EV.expected_vs_detected(B.truth(spark, sf), rec)
