@@ -165,3 +165,16 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("cv_id"), F.col("lang").alias("true_domain"),
                     whole_word_skills(F.lower(F.col("text")), TEST_SKILLS).alias("true_skills"))
+
+
+def feedback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as feedback: a session is (user_id, event_type) with domain = event_type;
+    every event is a job rating (system score = value/100 capped at 1, user rating =
+    props.k mod 7 — 0 and 6 are invalid), overall rating = user_id mod 6 (0 = not given)."""
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", "user_id", "ts", F.col("event_type").alias("cv_domain"),
+                    F.least(F.lit(1.0), F.col("value") / F.lit(100.0)).alias("system_score"),
+                    (F.get_json_object("props", "$.k").cast("long") % 7).alias("user_rating"),
+                    (F.col("user_id") % 6).alias("overall_rating"),
+                    F.when(F.col("event_type") != "error", F.concat(F.lit("offer_"), F.col("event_id").cast("string")))
+                    .alias("job_id"))

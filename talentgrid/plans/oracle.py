@@ -461,3 +461,39 @@ ORACLE["expected_vs_detected"] = cv_offer_ctes() + "," + _truth_ctes() + _PRF_RO
 e AS (SELECT t.cv_id, (SELECT count(DISTINCT lower(skill)) FROM tr WHERE tr.cv_id = t.cv_id) AS expected FROM truth t)
 SELECT e.cv_id, expected::BIGINT AS expected, floor(expected * m.recall)::BIGINT AS detected FROM e CROSS JOIN m
 """
+
+
+# ------------------------------------------------------------------ feedback
+_FB = """fe AS (SELECT event_id, user_id, ts, event_type AS cv_domain, least(1.0::DOUBLE, value / 100.0::DOUBLE) AS system_score,
+              CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 AS user_rating, user_id % 6 AS overall_rating,
+              CASE WHEN event_type <> 'error' THEN 'offer_' || event_id::VARCHAR END AS job_id FROM events),
+vr AS (SELECT event_id, cv_domain, system_score, user_rating, coalesce(job_id, 'job_' || event_id::VARCHAR) AS job_id
+       FROM fe WHERE user_rating BETWEEN 1 AND 5)"""
+
+ORACLE["valid_ratings"] = f"""WITH {_FB}
+SELECT event_id, job_id, user_rating::BIGINT AS user_rating FROM vr
+"""
+
+ORACLE["feedback_stats"] = f"""WITH {_FB},
+se AS (SELECT user_id, cv_domain, any_value(overall_rating) AS overall_rating FROM fe GROUP BY 1, 2),
+s AS (SELECT cv_domain, GROUPING(cv_domain) AS g, count(*) AS sessions,
+             avg(CASE WHEN overall_rating > 0 THEN overall_rating END) AS avg_overall
+      FROM se GROUP BY GROUPING SETS ((cv_domain), ())),
+r AS (SELECT cv_domain, GROUPING(cv_domain) AS g, avg(abs(1.0::DOUBLE + system_score * 4.0::DOUBLE - user_rating)) AS d,
+             count(*) AS n FROM vr WHERE user_rating > 0 GROUP BY GROUPING SETS ((cv_domain), ()))
+SELECT CASE WHEN s.g = 1 THEN '__all__' ELSE s.cv_domain END AS domain, s.sessions::BIGINT AS sessions,
+       round(s.avg_overall, 6) AS avg_overall, coalesce(r.n, 0)::BIGINT AS n_ratings,
+       round(greatest(0.0::DOUBLE, 1.0::DOUBLE - r.d / 4.0::DOUBLE) * 100.0::DOUBLE, 6) AS agreement_pct
+FROM s LEFT JOIN r ON r.g = s.g AND r.cv_domain IS NOT DISTINCT FROM s.cv_domain
+"""
+
+ORACLE["feedback_sessions"] = """
+SELECT user_id, event_type AS cv_domain, md5(event_type || '||' || CAST(min(ts) AS VARCHAR)) AS session_id,
+       count(*)::BIGINT AS n_ratings FROM events GROUP BY user_id, event_type
+"""
+
+ORACLE["feedback_upsert"] = """
+WITH u AS (SELECT user_id, event_id, event_type, ts, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS src FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, src DESC) AS rn FROM u)
+SELECT user_id, event_id, event_type FROM r WHERE rn = 1
+"""

@@ -273,3 +273,41 @@ def q_expected_vs_detected(spark, sf):
     pt = _pred_truth(spark, sf)
     rec = EV.skills_prf(pt)
     return EV.expected_vs_detected(B.truth(spark, sf), rec)
+
+
+# ------------------------------------------------------------------ feedback
+from talentgrid.operators import feedback as FB  # noqa: E402
+
+
+@register("valid_ratings")
+def q_valid_ratings(spark, sf):
+    ev = B.feedback_events(spark, sf)
+    out = FB.valid_ratings(ev, pos_col="event_id")
+    return out.select("event_id", "job_id", F.col("user_rating").cast("long").alias("user_rating"))
+
+
+@register("feedback_stats")
+def q_feedback_stats(spark, sf):
+    ev = FB.valid_ratings(B.feedback_events(spark, sf), pos_col="event_id")
+    sessions = B.feedback_events(spark, sf).groupBy("user_id", "cv_domain").agg(F.first("overall_rating").alias("overall_rating"))
+    out = FB.feedback_stats(sessions, ev)
+    return out.select("domain", F.col("sessions").cast("long").alias("sessions"), r6("avg_overall").alias("avg_overall"),
+                      F.col("n_ratings").cast("long").alias("n_ratings"), r6("agreement_pct").alias("agreement_pct"))
+
+
+@register("feedback_sessions")
+def q_feedback_sessions(spark, sf):
+    ev = B.feedback_events(spark, sf)
+    s = ev.groupBy("user_id", "cv_domain").agg(F.min("ts").alias("ts"), F.count(F.lit(1)).alias("n_ratings"))
+    return s.select("user_id", "cv_domain",
+                    IDS.session_id("cv_domain", F.array().cast("array<string>"), F.col("ts").cast("string")).alias("session_id"),
+                    F.col("n_ratings").cast("long").alias("n_ratings"))
+
+
+@register("feedback_upsert")
+def q_feedback_upsert(spark, sf):
+    ev = B.table(spark, sf, "events").select("user_id", "event_id", "event_type", "ts")
+    existing = ev.filter(F.col("event_type") != "purchase")
+    updates = ev.filter(F.col("event_type") == "purchase")
+    out = FB.upsert_latest(existing, updates, "user_id", "ts")
+    return out.select("user_id", "event_id", "event_type")
