@@ -178,3 +178,20 @@ def feedback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("user_id") % 6).alias("overall_rating"),
                     F.when(F.col("event_type") != "error", F.concat(F.lit("offer_"), F.col("event_id").cast("string")))
                     .alias("job_id"))
+
+
+TEST_CATEGORY_MAP = {"en": "anglais", "fr": "francais", "de": "allemand"}
+TEST_TRAIN_DOMAINS = ["anglais", "francais", "allemand", "autre"]
+QUOTA = 200
+
+
+def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as raw training sources: long texts come from a "resume" file, short
+    ones from a "jobs" file; category = language; skills = first three test skills."""
+    from talentgrid.operators.skills import matched_terms
+    d = table(spark, sf_dir, "documents")
+    sk = F.slice(matched_terms(F.lower(F.col("text")), TEST_SKILLS), 1, 3)
+    return d.select(F.col("doc_id").alias("ord"), "text", F.col("lang").alias("category"),
+                    F.concat(F.when(F.col("n_chars") > 2000, F.lit("resume_")).otherwise(F.lit("jobs_")),
+                             F.col("source"), F.lit(".csv")).alias("source"),
+                    F.when(F.size(sk) > 0, F.array_join(sk, ", ")).alias("skills"))

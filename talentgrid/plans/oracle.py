@@ -497,3 +497,79 @@ WITH u AS (SELECT user_id, event_id, event_type, ts, CASE WHEN event_type = 'pur
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, src DESC) AS rn FROM u)
 SELECT user_id, event_id, event_type FROM r WHERE rn = 1
 """
+
+
+# ------------------------------------------------------------------ training data
+def _examples_cte() -> str:
+    cm = values(list(B.TEST_CATEGORY_MAP.items()), ["k", "v"])
+    return f"""
+{skills_cte('tsk', 'documents', 'doc_id', 'lower(s.text)', B.TEST_SKILLS, 3)},
+tsk3 AS (SELECT id, string_agg(skill, ', ' ORDER BY skill_ord) AS skills FROM tsk GROUP BY id),
+cm AS (SELECT * FROM {cm}),
+rows_ AS (SELECT d.doc_id AS ord, d.text, d.lang AS category,
+                 CASE WHEN n_chars > 2000 THEN 'resume_' ELSE 'jobs_' END || d.source || '.csv' AS source, t.skills
+          FROM documents d LEFT JOIN tsk3 t ON t.id = d.doc_id),
+r2 AS (SELECT r.*, coalesce(cm.v, 'autre') AS domain, coalesce(r.skills, 'Non spécifié') AS sk,
+              contains(lower(source), 'resume') OR contains(lower(source), 'cv') AS is_cv
+       FROM rows_ r LEFT JOIN cm ON cm.k = regexp_replace(r.category, '^\\s+|\\s+$', '', 'g')
+       WHERE r.text IS NOT NULL AND length(regexp_replace(r.text, '^\\s+|\\s+$', '', 'g')) > 10),
+ex AS (SELECT ord, text AS input, domain,
+              CASE WHEN is_cv THEN 'Analyse ce CV pour un poste dans le domaine ' || replace(domain, '_', ' ') || '.'
+                   ELSE 'Analyse cette offre d''emploi dans le domaine ' || replace(domain, '_', ' ') || '.' END AS instruction,
+              CASE WHEN is_cv THEN 'Compétences identifiées : ' || sk || '. Ce profil est adapté pour des postes en '
+                                   || replace(domain, '_', ' ') || '.'
+                   ELSE 'Compétences requises : ' || sk || '. Cette offre est classée dans le domaine '
+                        || replace(domain, '_', ' ') || '.' END AS output
+       FROM r2)"""
+
+
+ORACLE["training_examples"] = "WITH " + _examples_cte() + f""",
+li AS (SELECT * FROM {values([(d, i) for i, d in enumerate(B.TEST_TRAIN_DOMAINS)], ['d', 'i'])})
+SELECT ord AS doc_id, instruction, output, domain, coalesce(li.i, 0)::BIGINT AS label FROM ex LEFT JOIN li ON li.d = ex.domain
+"""
+
+
+def _expand_sql(prefixed: bool) -> str:
+    from talentgrid import vocab as VV
+    dl = ", ".join(q(d) for d in B.TEST_TRAIN_DOMAINS)
+    flt = "" if prefixed else f"WHERE domain IN ({dl})"
+    cvt = "[" + ", ".join(q(t) for t in VV.CV_TEMPLATES) + "]"
+    jbt = "[" + ", ".join(q(t) for t in VV.JOB_TEMPLATES) + "]"
+    is_cv = " OR ".join(f"contains(lower(instruction), {q(t)})" for t in VV.CV_INSTRUCTION_TERMS)
+    if prefixed:
+        instr = "'Pour le domaine ' || replace(domain, '_', ' ') || ': ' || instruction"
+    else:
+        instr = (f"replace((CASE WHEN {is_cv} THEN {cvt} ELSE {jbt} END)[(i % 5) + 1], '{{domain}}', "
+                 "replace(domain, '_', ' '))")
+    return "WITH " + _examples_cte() + f""",
+x AS (SELECT * FROM ex {flt}),
+c AS (SELECT domain, count(*) AS c FROM x GROUP BY domain),
+b AS (SELECT x.*, c.c, row_number() OVER (PARTITION BY x.domain ORDER BY ord) - 1 AS j
+      FROM x JOIN c USING (domain) WHERE c.c < {B.QUOTA}),
+v AS (SELECT b.*, unnest(range(j, {B.QUOTA} - c, c)) AS i FROM b WHERE j < {B.QUOTA} - c)
+SELECT ord AS doc_id, -1::BIGINT AS variant, domain, instruction FROM x
+UNION ALL
+SELECT ord AS doc_id, i::BIGINT AS variant, domain, {instr} AS instruction FROM v
+"""
+
+
+ORACLE["expand_examples"] = _expand_sql(False)
+ORACLE["expand_examples_prefixed"] = _expand_sql(True)
+
+ORACLE["render_prompts"] = "WITH " + _examples_cte() + """
+SELECT ord AS doc_id,
+       md5(CASE WHEN instruction <> '' AND input <> '' AND output <> ''
+                THEN '<s>[INST] ' || instruction || chr(10) || input || ' [/INST] ' || output || ' </s>'
+                ELSE '<s>[INST]  [/INST]  </s>' END) AS prompt_md5,
+       length(CASE WHEN instruction <> '' AND input <> '' AND output <> ''
+                THEN '<s>[INST] ' || instruction || chr(10) || input || ' [/INST] ' || output || ' </s>'
+                ELSE '<s>[INST]  [/INST]  </s>' END)::BIGINT AS prompt_len
+FROM ex
+"""
+
+ORACLE["stratified_split"] = "WITH " + _examples_cte() + """,
+h AS (SELECT ord, domain, md5(ord::VARCHAR || '|42') AS hh FROM ex),
+n AS (SELECT domain, count(*) AS n FROM h GROUP BY domain),
+r AS (SELECT h.*, row_number() OVER (PARTITION BY h.domain ORDER BY hh) AS rk, n.n FROM h JOIN n USING (domain))
+SELECT ord AS doc_id, domain, CASE WHEN rk <= floor(0.2 * n + 0.5) THEN 'eval' ELSE 'train' END AS split FROM r
+"""

@@ -311,3 +311,47 @@ def q_feedback_upsert(spark, sf):
     updates = ev.filter(F.col("event_type") == "purchase")
     out = FB.upsert_latest(existing, updates, "user_id", "ts")
     return out.select("user_id", "event_id", "event_type")
+
+
+# ------------------------------------------------------------------ training data
+from talentgrid.operators import training as TR  # noqa: E402
+
+
+def _examples(spark, sf):
+    rows = B.training_rows(spark, sf)
+    return TR.required_fields(TR.build_examples(rows, mapping=B.TEST_CATEGORY_MAP, default_domain="autre"))
+
+
+@register("training_examples")
+def q_training_examples(spark, sf):
+    ex = _examples(spark, sf)
+    return ex.select(F.col("ord").alias("doc_id"), "instruction", "output", "domain",
+                     TR.label_index(F.col("domain"), B.TEST_TRAIN_DOMAINS).cast("long").alias("label"))
+
+
+@register("expand_examples")
+def q_expand_examples(spark, sf):
+    out = TR.expand_to_quota(_examples(spark, sf), B.QUOTA, B.TEST_TRAIN_DOMAINS)
+    return out.select(F.col("ord").alias("doc_id"), F.col("variant").cast("long").alias("variant"), "domain",
+                      "instruction")
+
+
+@register("expand_examples_prefixed")
+def q_expand_examples_prefixed(spark, sf):
+    out = TR.expand_to_quota(_examples(spark, sf), B.QUOTA, None, prefix_variant=True)
+    return out.select(F.col("ord").alias("doc_id"), F.col("variant").cast("long").alias("variant"), "domain",
+                      "instruction")
+
+
+@register("render_prompts")
+def q_render_prompts(spark, sf):
+    out = TR.render_prompt(_examples(spark, sf))
+    return out.select(F.col("ord").alias("doc_id"), F.md5("formatted_text").alias("prompt_md5"),
+                      F.length("formatted_text").cast("long").alias("prompt_len"))
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf):
+    ex = _examples(spark, sf)
+    out = TR.stratified_split(ex, "domain", "ord", ratio=0.2, seed=42)
+    return out.select(F.col("ord").alias("doc_id"), "domain", "split")
