@@ -12,9 +12,41 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Python's str.isspace() set, written out so Java and RE2 read the same class.
+WS_MEMBERS = (r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+              r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+WS = "[" + WS_MEMBERS + "]"
+
+
+def portable_regex(p: str) -> str:
+    r"""Rewrite a Python (Unicode ``str``) pattern so Java and RE2 match alike:
+    ``\s`` → the explicit whitespace set, ``\d`` → ``\p{Nd}``."""
+    out, i, in_cls = [], 0, False
+    while i < len(p):
+        ch = p[i]
+        if ch == "\\" and i + 1 < len(p):
+            nxt = p[i + 1]
+            if nxt == "s":
+                out.append(WS_MEMBERS if in_cls else WS)
+            elif nxt == "d":
+                out.append(r"\p{Nd}")
+            else:
+                out.append(p[i:i + 2])
+            i += 2
+            continue
+        if ch == "[" and not in_cls:
+            in_cls = True
+        elif ch == "]" and in_cls:
+            in_cls = False
+        out.append(ch)
+        i += 1
+    return "".join(out)
+
+
 def trim_ws(c) -> Column:
-    """Strip every Unicode whitespace at both ends (``btrim`` only strips spaces)."""
-    return F.regexp_replace(col_(c), r"(?U)^\s+|\s+$", "")
+    """Strip every whitespace character Python's ``str.strip()`` strips (``btrim`` only
+    strips spaces)."""
+    return F.regexp_replace(col_(c), "^" + WS + "+|" + WS + "+$", "")
 
 
 def empty_to_null(c) -> Column:
@@ -63,7 +95,7 @@ def extract_salary(c, patterns=None) -> Column:
     c = col_(c)
     outs = []
     for p in patterns:
-        rx = "(?iU)" + p
+        rx = "(?iu)" + portable_regex(p)
         outs.append(F.when(c.rlike(rx), trim_ws(F.regexp_extract(c, rx, 1))))
     return F.coalesce(*outs)
 
@@ -72,7 +104,7 @@ def normalize_location(c, country_code: str = "fr", cities=None) -> Column:
     """First known city (list order) contained in the location, else the country
     name; other country codes keep the cleaned text."""
     cities = V.CITIES_BY_COUNTRY if cities is None else cities
-    cleaned = F.translate(trim_ws(col_(c)), "– ", "- ")
+    cleaned = F.translate(trim_ws(col_(c)), "\u2013\u00a0", "- ")
     if country_code not in cities:
         return cleaned
     low = F.lower(cleaned)

@@ -52,7 +52,7 @@ LANG_COMPETENCES = {
 }
 
 # intent keywords for chat turns (first group wins)
-TEST_INTENTS = [("question", ["?", " what ", " qué "]), ("greeting", [" hello", " bonjour", " hallo"])]
+TEST_INTENTS = [("competences", ["und", "der"]), ("entretien", ["the", "and"])]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -195,3 +195,5 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.when(F.col("n_chars") > 2000, F.lit("resume_")).otherwise(F.lit("jobs_")),
                              F.col("source"), F.lit(".csv")).alias("source"),
                     F.when(F.size(sk) > 0, F.array_join(sk, ", ")).alias("skills"))
+
+TEST_INTENTS_SPACEFREE = [("competences", ["und", "der"]), ("entretien", ["the", "and"])]

@@ -573,3 +573,83 @@ n AS (SELECT domain, count(*) AS n FROM h GROUP BY domain),
 r AS (SELECT h.*, row_number() OVER (PARTITION BY h.domain ORDER BY hh) AS rk, n.n FROM h JOIN n USING (domain))
 SELECT ord AS doc_id, domain, CASE WHEN rk <= floor(0.2 * n + 0.5) THEN 'eval' ELSE 'train' END AS split FROM r
 """
+
+
+# ------------------------------------------------------------------ intents / html / scalar text
+def _intent_sql() -> str:
+    parts = []
+    for name, kws in B.TEST_INTENTS:
+        cond = " OR ".join(f"contains(lower(text), {q(k.lower())})" for k in kws)
+        parts.append((name, cond))
+    flags = ", ".join(f"max(CASE WHEN {c} THEN 1 ELSE 0 END) AS f{i}" for i, (_, c) in enumerate(parts))
+    case = " ".join(f"WHEN f{i} = 1 THEN {q(n)}" for i, (n, _) in enumerate(parts))
+    return f"""
+WITH u AS (SELECT conv_id, {flags} FROM conversations WHERE role = 'user' GROUP BY conv_id),
+c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT c.conv_id, CASE {case} ELSE 'general' END AS intent FROM c LEFT JOIN u USING (conv_id)
+"""
+
+
+ORACLE["message_intent"] = _intent_sql()
+
+ORACLE["html_to_text"] = f"""
+SELECT page_id, length({html_text_sql('html')})::BIGINT AS text_len, md5({html_text_sql('html')}) AS text_md5 FROM pages
+"""
+
+
+def _salary_sql(col: str) -> str:
+    from talentgrid import vocab as VV
+    from talentgrid.functions.text import portable_regex, WS
+    outs = []
+    for p in VV.SALARY_PATTERNS:
+        rx = "(?i)" + portable_regex(p)
+        ex = f"regexp_replace(regexp_extract({col}, {q(rx)}, 1), {q('^' + WS + '+|' + WS + '+$')}, '', 'g')"
+        outs.append(f"CASE WHEN regexp_matches({col}, {q(rx)}) THEN {ex} END")
+    return "coalesce(" + ", ".join(outs) + ")"
+
+
+ORACLE["salary"] = f"SELECT doc_id, {_salary_sql('text')} AS salary FROM documents"
+
+
+def _location_sql(loc: str, cc: str) -> str:
+    from talentgrid import vocab as VV
+    from talentgrid.functions.text import WS
+    cleaned = f"translate(regexp_replace({loc}, {q('^' + WS + '+|' + WS + '+$')}, '', 'g'), '– ', '- ')"
+    if cc not in VV.CITIES_BY_COUNTRY:
+        return cleaned
+    whens = " ".join(f"WHEN contains(lower({cleaned}), {q(c.lower())}) THEN {q(c)}" for c in VV.CITIES_BY_COUNTRY[cc])
+    return f"CASE {whens} ELSE {q(VV.COUNTRY_NAMES[cc])} END"
+
+
+ORACLE["location"] = f"""
+WITH x AS (SELECT c_custkey, '  ' || n_name || ' ' || chr(8211) || ' ' || c_name || chr(160) || 'Paris' || chr(160) AS loc
+           FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT c_custkey, {_location_sql('loc', 'fr')} AS loc_fr, {_location_sql('loc', 'ma')} AS loc_ma,
+       {_location_sql('loc', 'us')} AS loc_other FROM x
+"""
+
+_SQ_MAP = values([("en", "engineer OR developer"), ("fr", "ingénieur OR développeur"),
+                  ("de", "Ingenieur OR Entwickler")], ["d", "tq"])
+
+
+def _search_query_sql() -> str:
+    return cv_offer_ctes() + f""",
+tq AS (SELECT * FROM {_SQ_MAP}),
+s3 AS (SELECT cv_id, string_agg('"' || skill || '"', ' ' ORDER BY pos) AS sp FROM cvsk WHERE pos < 3 GROUP BY cv_id),
+qq AS (SELECT c.cv_id, concat_ws(' ', CASE WHEN tq.tq IS NOT NULL AND tq.tq <> '' THEN '(' || tq.tq || ')' END, s3.sp) AS q0
+       FROM cv c LEFT JOIN tq ON tq.d = c.domain LEFT JOIN s3 ON s3.cv_id = c.cv_id),
+qs AS (SELECT cv_id, CASE WHEN q0 = '' THEN 'developer OR engineer' ELSE q0 END AS query FROM qq)"""
+
+
+ORACLE["search_query"] = _search_query_sql() + "\nSELECT cv_id, query FROM qs\n"
+
+ORACLE["search_url"] = _search_query_sql() + """
+SELECT cv_id, 'https://jobs.example.org/search?q=' || replace(url_encode(query), '%2F', '/') || '&l='
+              || replace(url_encode('Paris / Lyon'), '%2F', '/') || '&cc=fr' AS url FROM qs
+"""
+
+ORACLE["truncate"] = """
+SELECT doc_id, md5(CASE WHEN length(text) > 200 THEN substring(text, 1, 200) || '...' ELSE text END) AS t200_md5,
+       length(CASE WHEN length(text) > 2000 THEN substring(text, 1, 1997) || '...' ELSE text END)::BIGINT AS t2000_len
+FROM documents
+"""

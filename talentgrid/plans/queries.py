@@ -355,3 +355,72 @@ def q_stratified_split(spark, sf):
     ex = _examples(spark, sf)
     out = TR.stratified_split(ex, "domain", "ord", ratio=0.2, seed=42)
     return out.select(F.col("ord").alias("doc_id"), "domain", "split")
+
+
+# ------------------------------------------------------------------ intents / html / scalar text
+from talentgrid.operators import intent as IN  # noqa: E402
+from talentgrid.operators import html_cards as HC  # noqa: E402
+from talentgrid.functions import text as T  # noqa: E402
+
+
+@register("message_intent")
+def q_message_intent(spark, sf):
+    conv = B.table(spark, sf, "conversations")
+    return IN.message_intent(conv, B.TEST_INTENTS)
+
+
+@register("html_to_text")
+def q_html_to_text(spark, sf):
+    p = B.table(spark, sf, "pages")
+    t = T.html_to_text("html")
+    return p.select("page_id", F.length(t).cast("long").alias("text_len"), F.md5(t).alias("text_md5"))
+
+
+@register("html_cards")
+def q_html_cards(spark, sf):
+    cards = HC.html_cards(B.table(spark, sf, "pages"))
+    return HC.card_offers(cards, "fr", "https://example.org").select(
+        "page_id", "card_pos", "title", "location", "salary", "id")
+
+
+@register("salary")
+def q_salary(spark, sf):
+    d = B.table(spark, sf, "documents")
+    return d.select("doc_id", T.extract_salary("text").alias("salary"))
+
+
+@register("location")
+def q_location(spark, sf):
+    c = B.table(spark, sf, "customer")
+    n = B.table(spark, sf, "nation")
+    x = c.join(n, c.c_nationkey == n.n_nationkey)   # nation: 25 rows, AQE broadcasts it
+    loc = F.concat(F.lit("  "), F.col("n_name"), F.lit(" \u2013 "), F.col("c_name"), F.lit("\u00a0Paris\u00a0"))
+    return x.select("c_custkey",
+                    T.normalize_location(loc, "fr").alias("loc_fr"),
+                    T.normalize_location(loc, "ma").alias("loc_ma"),
+                    T.normalize_location(loc, "us").alias("loc_other"))
+
+
+@register("search_query")
+def q_search_query(spark, sf):
+    a = B.cv_analysis(spark, sf)
+    qry = T.search_query("domain", "skills", {"en": "engineer OR developer", "fr": "ingénieur OR développeur",
+                                               "de": "Ingenieur OR Entwickler"}, "developer OR engineer")
+    return a.select("cv_id", qry.alias("query"))
+
+
+@register("search_url")
+def q_search_url(spark, sf):
+    a = B.cv_analysis(spark, sf)
+    qry = T.search_query("domain", "skills", {"en": "engineer OR developer", "fr": "ingénieur OR développeur",
+                                               "de": "Ingenieur OR Entwickler"}, "developer OR engineer")
+    return a.select("cv_id", T.search_url("https://jobs.example.org/search", qry, F.lit("Paris / Lyon"),
+                                          F.lit("fr")).alias("url"))
+
+
+@register("truncate")
+def q_truncate(spark, sf):
+    d = B.table(spark, sf, "documents")
+    t200 = T.truncate("text", 200)
+    t2000 = T.truncate("text", 2000, 1997)
+    return d.select("doc_id", F.md5(t200).alias("t200_md5"), F.length(t2000).cast("long").alias("t2000_len"))
