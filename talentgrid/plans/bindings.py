@@ -197,3 +197,8 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.when(F.size(sk) > 0, F.array_join(sk, ", ")).alias("skills"))
 
 TEST_INTENTS_SPACEFREE = [("competences", ["und", "der"]), ("entretien", ["the", "and"])]
+
+# key-term stop words for the test corpus: the fixed French list plus frequent function words
+KEY_STOP = ["le", "la", "les", "un", "une", "des", "et", "ou", "de", "du", "ce", "cette", "ces",
+            "the", "and", "that", "with", "for", "der", "die", "und", "das", "los", "las", "del", "que", "por",
+            "para", "pour", "dans"]

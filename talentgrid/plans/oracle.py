@@ -653,3 +653,75 @@ SELECT doc_id, md5(CASE WHEN length(text) > 200 THEN substring(text, 1, 200) ||
        length(CASE WHEN length(text) > 2000 THEN substring(text, 1, 1997) || '...' ELSE text END)::BIGINT AS t2000_len
 FROM documents
 """
+
+
+# ------------------------------------------------------------------ filters / limits / counters
+ORACLE["offer_filters"] = """
+SELECT doc_id FROM documents WHERE lang = 'fr' AND source = 'src3'
+  AND (contains(lower(split_part(text, chr(10), 1)), 'pour') OR contains(lower(text), 'pour'))
+"""
+
+ORACLE["search_backfill"] = """
+SELECT p_partkey, hit FROM (
+  SELECT p_partkey, contains(lower(coalesce(p_name, '')), 'green') OR contains(lower(coalesce(p_type, '')), 'green') AS hit
+  FROM part) ORDER BY hit DESC, p_partkey LIMIT 100
+"""
+
+ORACLE["limit_then_sort"] = """
+WITH c AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 500)
+SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey)::BIGINT AS pos FROM c
+"""
+
+ORACLE["overfetch"] = """
+WITH c AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 100)
+SELECT o_orderkey, o_totalprice FROM c WHERE o_totalprice >= 100000.0 ORDER BY o_totalprice DESC, o_orderkey LIMIT 50
+"""
+
+ORACLE["split_by_source"] = """
+SELECT CASE WHEN coalesce(source, '') = 'src0' THEN 'src0' ELSE 'other' END AS side, count(*)::BIGINT AS n
+FROM documents GROUP BY 1
+"""
+
+ORACLE["ingest_counters"] = """
+WITH x AS (SELECT regexp_matches(html, '(?is)<title>.+?</title>') AS ok FROM pages)
+SELECT sum(CASE WHEN ok THEN 1 ELSE 0 END)::BIGINT AS success_count, sum(CASE WHEN ok THEN 0 ELSE 1 END)::BIGINT AS failed_count,
+       count(*)::BIGINT AS total_count,
+       round(coalesce(sum(CASE WHEN ok THEN 1 ELSE 0 END) * 100.0::DOUBLE / count(*), 0.0), 6) AS success_rate FROM x
+"""
+
+ORACLE["domain_counts"] = "SELECT lang AS domain, count(*)::BIGINT AS n FROM documents GROUP BY lang"
+
+ORACLE["score_bands"] = f"""
+SELECT CASE WHEN score >= 0.7 THEN 'high' WHEN score >= 0.5 THEN 'medium' WHEN score < 0.3 THEN 'low' ELSE 'neutral' END
+       AS band, count(*)::BIGINT AS n FROM {_sub('match_rules_topk')} GROUP BY 1
+"""
+
+
+def _terms_sql(src: str, id_col: str, text_expr: str, n: int, name: str) -> str:
+    stop = ", ".join(q(w) for w in B.KEY_STOP)
+    return f"""
+{name}_tok AS (SELECT {id_col} AS id, unnest(regexp_split_to_array(lower({text_expr}), '[^\\p{{L}}]+')) AS term FROM {src}),
+{name}_tf AS (SELECT id, term, count(*) AS tf FROM {name}_tok WHERE length(term) >= 3 AND term NOT IN ({stop}) GROUP BY 1, 2),
+{name}_df AS (SELECT term, count(*) AS df FROM {name}_tf GROUP BY term),
+{name}_n AS (SELECT count(*) AS n FROM {src}),
+{name}_s AS (SELECT t.id, t.term, t.tf, t.tf * ln(n.n / d.df) AS tfidf FROM {name}_tf t JOIN {name}_df d USING (term)
+             CROSS JOIN {name}_n n),
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tfidf DESC, term) AS term_rank
+                          FROM {name}_s) WHERE term_rank <= {n})"""
+
+
+ORACLE["key_terms"] = "WITH " + _terms_sql("documents", "doc_id", "text", 5, "kt") + """
+SELECT id AS doc_id, term, tf::BIGINT AS tf, round(tfidf, 6) AS tfidf, term_rank::BIGINT AS term_rank FROM kt
+"""
+
+ORACLE["keyword_overlap"] = f"""
+WITH pairs AS (SELECT DISTINCT cv_id, offer_id FROM {_sub('match_rules_topk')}),
+pg AS (SELECT page_id AS offer_id, {html_text_sql('html')} AS description FROM pages),
+""" + _terms_sql("documents", "doc_id", "text", 10, "ct").lstrip() + "," + _terms_sql("pg", "offer_id", "description", 10, "jt") + """,
+nj AS (SELECT id, count(*) AS n_job FROM jt GROUP BY id),
+inter AS (SELECT p.cv_id, p.offer_id, count(*) AS n_common FROM pairs p JOIN ct ON ct.id = p.cv_id
+          JOIN jt ON jt.id = p.offer_id AND jt.term = ct.term GROUP BY 1, 2)
+SELECT p.cv_id, p.offer_id, coalesce(i.n_common, 0)::BIGINT AS n_common,
+       CASE WHEN nj.n_job > 0 THEN floor((coalesce(i.n_common, 0) / nj.n_job) * 100)::BIGINT END AS overlap_pct
+FROM pairs p LEFT JOIN nj ON nj.id = p.offer_id LEFT JOIN inter i ON i.cv_id = p.cv_id AND i.offer_id = p.offer_id
+"""

@@ -424,3 +424,86 @@ def q_truncate(spark, sf):
     t200 = T.truncate("text", 200)
     t2000 = T.truncate("text", 2000, 1997)
     return d.select("doc_id", F.md5(t200).alias("t200_md5"), F.length(t2000).cast("long").alias("t2000_len"))
+
+
+# ------------------------------------------------------------------ filters / limits / counters
+from talentgrid.operators import offers as OF  # noqa: E402
+from talentgrid.operators import terms as TM  # noqa: E402
+
+
+@register("offer_filters")
+def q_offer_filters(spark, sf):
+    d = B.table(spark, sf, "documents")
+    x = OF.offer_filter(d, "fr", None, domain_col="lang")
+    x = x.filter(F.col("source") == "src3")
+    x = OF.keyword_search(x.withColumn("title", F.substring_index("text", "\n", 1)), "pour", ["title", "text"])
+    return x.select("doc_id")
+
+
+@register("search_backfill")
+def q_search_backfill(spark, sf):
+    p = B.table(spark, sf, "part")
+    return OF.search_with_backfill(p, "green", ["p_name", "p_type"], 100, "p_partkey").select("p_partkey", "hit")
+
+
+@register("limit_then_sort")
+def q_limit_then_sort(spark, sf):
+    o = B.table(spark, sf, "orders")
+    x = OF.limit_then_sort(o, 500, "o_orderkey", "o_totalprice")
+    from pyspark.sql import Window
+    # the window runs over the 500 capped rows only
+    return x.select("o_orderkey", F.row_number().over(Window.orderBy(F.col("o_totalprice").desc(), "o_orderkey"))
+                    .cast("long").alias("pos"))
+
+
+@register("overfetch")
+def q_overfetch(spark, sf):
+    o = B.table(spark, sf, "orders")
+    return OF.overfetch_top_k(o, 50, 100000.0, "o_orderkey", "o_totalprice").select("o_orderkey", "o_totalprice")
+
+
+@register("split_by_source")
+def q_split_by_source(spark, sf):
+    d = B.table(spark, sf, "documents")
+    a, b = OF.split_by_source(d, "src0")
+    return a.select(F.lit("src0").alias("side"), "doc_id").unionByName(b.select(F.lit("other").alias("side"), "doc_id")) \
+        .groupBy("side").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("ingest_counters")
+def q_ingest_counters(spark, sf):
+    p = B.table(spark, sf, "pages")
+    out = OF.ingest_counters(p, F.col("html").rlike("(?is)<title>.+?</title>"))
+    return out.select("success_count", "failed_count", "total_count", r6("success_rate").alias("success_rate"))
+
+
+@register("domain_counts")
+def q_domain_counts(spark, sf):
+    return OF.domain_counts(B.table(spark, sf, "documents"), "lang").select(F.col("lang").alias("domain"), "n")
+
+
+@register("score_bands")
+def q_score_bands(spark, sf):
+    m = QUERIES["match_rules_topk"](spark, sf)
+    return m.groupBy(T.score_band("score").alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _doc_terms(spark, sf, n):
+    d = B.table(spark, sf, "documents")
+    return TM.key_terms(d, "doc_id", "text", n, B.KEY_STOP)
+
+
+@register("key_terms")
+def q_key_terms(spark, sf):
+    kt = _doc_terms(spark, sf, 5)
+    return kt.select("doc_id", "term", F.col("tf").cast("long").alias("tf"), r6("tfidf").alias("tfidf"),
+                     F.col("term_rank").cast("long").alias("term_rank"))
+
+
+@register("keyword_overlap")
+def q_keyword_overlap(spark, sf):
+    pairs = QUERIES["match_rules_topk"](spark, sf)
+    cvt = _doc_terms(spark, sf, 10).withColumnRenamed("doc_id", "cv_id")
+    o = B.offers(spark, sf)
+    jt = TM.key_terms(o, "offer_id", "description", 10, B.KEY_STOP)
+    return TM.keyword_overlap(pairs, cvt, jt)

@@ -355,3 +355,6 @@ def skill_frame(spark: SparkSession, skills: list[str]) -> DataFrame:
 
 def canonical_domain_map(aliases=None) -> dict:
     return dict(DOMAIN_ALIASES if aliases is None else aliases)
+
+# FIXED VALUES — stop words of the key-term extractor
+KEY_TERM_STOP_WORDS = ["le", "la", "les", "un", "une", "des", "et", "ou", "de", "du", "ce", "cette", "ces"]
