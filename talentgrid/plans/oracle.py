@@ -725,3 +725,26 @@ SELECT p.cv_id, p.offer_id, coalesce(i.n_common, 0)::BIGINT AS n_common,
        CASE WHEN nj.n_job > 0 THEN floor((coalesce(i.n_common, 0) / nj.n_job) * 100)::BIGINT END AS overlap_pct
 FROM pairs p LEFT JOIN nj ON nj.id = p.offer_id LEFT JOIN inter i ON i.cv_id = p.cv_id AND i.offer_id = p.offer_id
 """
+
+
+# ------------------------------------------------------------------ streaming (batch equivalents)
+ORACLE["stream_dedup"] = "SELECT DISTINCT user_id, event_type FROM events"
+
+ORACLE["stream_window_counts"] = """
+WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS ws, event_type FROM events),
+c AS (SELECT ws, event_type, count(*) AS n FROM w GROUP BY 1, 2),
+m AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events)
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, n::BIGINT AS n
+FROM c, m WHERE ws + INTERVAL 6 HOUR <= m.wm
+"""
+
+ORACLE["stream_feedback"] = """
+SELECT user_id, event_id, event_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events) WHERE rn = 1
+"""
+
+ORACLE["retention"] = """
+SELECT CASE WHEN ts >= TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 7 DAY THEN 'keep'
+            WHEN ts >= TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 30 DAY THEN 'archive' ELSE 'expire' END AS action,
+       count(*)::BIGINT AS n FROM events GROUP BY 1
+"""

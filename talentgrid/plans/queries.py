@@ -507,3 +507,41 @@ def q_keyword_overlap(spark, sf):
     o = B.offers(spark, sf)
     jt = TM.key_terms(o, "offer_id", "description", 10, B.KEY_STOP)
     return TM.keyword_overlap(pairs, cvt, jt)
+
+
+# ------------------------------------------------------------------ streaming
+from talentgrid.streaming import streams as ST  # noqa: E402
+
+
+def _events_stream(spark, sf):
+    schema = B.table(spark, sf, "events").schema
+    return ST.file_stream(spark, sf, schema, "parquet", glob="events.parquet")
+
+
+@register("stream_dedup")
+def q_stream_dedup(spark, sf):
+    s = _events_stream(spark, sf).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    out = ST.run_to_parquet(ST.dedup_stream(s, ["user_id", "event_type"], "ts", "400 days"), "dedup")
+    return spark.read.parquet(out).select("user_id", "event_type")
+
+
+@register("stream_window_counts")
+def q_stream_window_counts(spark, sf):
+    s = _events_stream(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    out = ST.run_to_parquet(ST.window_counts(s, "ts", ["event_type"], "6 hours", "1 hour"), "wcounts")
+    return spark.read.parquet(out).select(F.col("window_start").cast("string").alias("window_start"), "event_type",
+                                          F.col("n").cast("long").alias("n"))
+
+
+@register("stream_feedback")
+def q_stream_feedback(spark, sf):
+    s = _events_stream(spark, sf).select("user_id", "event_id", "event_type", "ts")
+    path = ST.upsert_stream(s, "user_id", "ts", "feedback")
+    return spark.read.parquet(path).select("user_id", "event_id", "event_type")
+
+
+@register("retention")
+def q_retention(spark, sf):
+    e = B.table(spark, sf, "events")
+    cls = ST.retention_classes(e, "ts", "2024-02-01 00:00:00")
+    return e.groupBy(cls.alias("action")).agg(F.count(F.lit(1)).alias("n"))
