@@ -545,3 +545,27 @@ def q_retention(spark, sf):
     e = B.table(spark, sf, "events")
     cls = ST.retention_classes(e, "ts", "2024-02-01 00:00:00")
     return e.groupBy(cls.alias("action")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------ ML dataflow
+from talentgrid.operators import ml as ML  # noqa: E402
+
+
+@register("embed_texts")
+def q_embed_texts(spark, sf):
+    d = B.table(spark, sf, "documents").select("doc_id", "text")
+    out = ML.batch_embedding_map(d, "text", dim=256)
+    return out.select("doc_id", F.size("embedding").cast("long").alias("dim"),
+                      r6(FV.norm("embedding")).alias("norm"))
+
+
+@register("train_classifier")
+def q_train_classifier(spark, sf):
+    ex = _examples(spark, sf).withColumn("label", TR.label_index(F.col("domain"), B.TEST_TRAIN_DOMAINS).cast("double"))
+    sp = TR.stratified_split(ex, "domain", "ord", ratio=0.2, seed=42)
+    train = sp.filter(F.col("split") == "train")
+    ev = sp.filter(F.col("split") == "eval")
+    _, pred = ML.train_domain_classifier(train, "input", "label", ev)
+    pairs = pred.select(F.col("label").cast("string").alias("true_domain"),
+                        F.col("prediction").cast("string").alias("pred_domain"))
+    return EV.weighted_prf(pairs)
