@@ -163,10 +163,12 @@ def _kw_units(text: Column, weights: dict) -> list[Column]:
     weight maps are literals, evaluated narrowly per row."""
     cols = []
     for d, kws in weights.items():
-        arr = F.array(*[F.struct(F.lit(kw.lower()).alias("kw"), F.lit(int(round(w * 100))).alias("u"))
-                        for kw, w in kws.items()])
-        cols.append(F.aggregate(F.filter(arr, lambda e: text.contains(e["kw"])), F.lit(0),
-                                lambda acc, e: acc + e["u"]))
+        parts = [F.when(text.contains(kw.lower()), F.lit(int(round(w * 100)))).otherwise(F.lit(0))
+                 for kw, w in kws.items()]
+        total = parts[0]
+        for p in parts[1:]:
+            total = total + p
+        cols.append(total)
     return cols
 
 

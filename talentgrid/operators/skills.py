@@ -19,15 +19,15 @@ def _vocab_array(items: list[str]) -> Column:
 
 
 def matched_terms(text_lower: Column, items: list[str]) -> Column:
-    """Vocabulary entries contained in the (lower-cased) text, in vocabulary order."""
-    hit = F.filter(_vocab_array(items), lambda e: text_lower.contains(e["kw"]))
-    return F.transform(hit, lambda e: e["name"])
+    """Vocabulary entries contained in the (lower-cased) text, in vocabulary order.
+    One ``when(contains)`` per entry, compacted: plain expressions that whole-stage
+    codegen compiles (a lambda over a literal array would be interpreted per row)."""
+    return F.array_compact(F.array(*[F.when(text_lower.contains(s.lower()), F.lit(s)) for s in items]))
 
 
 def matched_ords(text_lower: Column, items: list[str]) -> Column:
     """Ordinals of the contained vocabulary entries (sorted)."""
-    hit = F.filter(_vocab_array(items), lambda e: text_lower.contains(e["kw"]))
-    return F.transform(hit, lambda e: e["ord"])
+    return F.array_compact(F.array(*[F.when(text_lower.contains(s.lower()), F.lit(i)) for i, s in enumerate(items)]))
 
 
 def extract_skills(docs: DataFrame, skills: list[str] | None = None, text_col: str = "text",

@@ -55,8 +55,15 @@ LANG_COMPETENCES = {
 TEST_INTENTS = [("competences", ["und", "der"]), ("entretien", ["the", "and"])]
 
 
+# natural key per table: used to spread a table whose scan yields too few splits
+TABLE_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "embeddings": "vec_id",
+              "events": "user_id", "labels": "doc_id", "benchmark": "item_id", "orders": "o_orderkey",
+              "lineitem": "l_orderkey", "part": "p_partkey", "customer": "c_custkey", "supplier": "s_suppkey"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    from talentgrid.session import spread
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), TABLE_KEYS.get(name))
 
 
 def cvs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,9 +162,9 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def whole_word_skills(text_lower, skills: list[str]):
     """Annotator stand-in: vocabulary skills present as whole ASCII words (stricter than
     the substring extractor, so precision < 1)."""
-    arr = F.array(*[F.struct(F.lit(s).alias("name"), F.lit(f"(^|[^a-z]){s.lower()}([^a-z]|$)").alias("rx"))
-                    for s in skills])
-    return F.transform(F.filter(arr, lambda e: F.regexp(text_lower, e["rx"])), lambda e: e["name"])
+    # literal patterns (compiled once per task), kept in vocabulary order
+    return F.array_compact(F.array(*[F.when(text_lower.rlike(f"(^|[^a-z]){s.lower()}([^a-z]|$)"), F.lit(s))
+                                     for s in skills]))
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:

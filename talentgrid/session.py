@@ -68,3 +68,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
+
+
+def spread(df, key: str | None = None):
+    """Guard against under-split scans: a file with a single row group is read by one
+    task, which would run every per-row text operator on one core. When the scan has
+    fewer partitions than the cluster has cores, hash-partition it by its key into
+    ``spark.sql.shuffle.partitions`` parts (later aggregations on the same key then need
+    no further exchange). On a cluster reading many files this is a no-op."""
+    spark = df.sparkSession
+    n = df.rdd.getNumPartitions()
+    cores = spark.sparkContext.defaultParallelism
+    if n >= cores:
+        return df
+    from pyspark.sql import functions as F
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = df.repartition(parts, key) if key and key in df.columns else df.repartition(parts)
+    # Catalyst would push later (possibly costly) predicates below the exchange, back
+    # into the single scan task; an always-true but non-deterministic filter is a
+    # barrier it does not cross, so that work runs on all partitions.
+    return out.filter(F.spark_partition_id() >= 0)
