@@ -21,7 +21,7 @@ def test_greedy_matches_sequential(spark):
         n = rnd.randint(1, 12)
         for j in range(n):
             rows.append((case * 100 + j, f"{case}-i{rnd.randint(0, 3)}", rnd.choice([None, "t1", "t2"]),
-                         rnd.choice(["c1", "c2"])))
+                         f"{case}-" + rnd.choice(["c1", "c2"])))
     df = spark.createDataFrame(rows, "ord long, id string, title string, company string")
     got = {r.ord for r in DD.greedy_dedup(df, "id", ["title", "company"], "ord").filter("kept").collect()}
     exp = set()
