@@ -157,3 +157,16 @@ def score_band(c, high: float = 0.7, medium: float = 0.5, low: float = 0.3) -> C
     c = col_(c)
     return (F.when(c >= high, "high").when(c >= medium, "medium")
             .when(c < low, "low").otherwise("neutral"))
+
+
+def parse_iso_ts(c) -> Column:
+    """ISO-8601 text (with or without microseconds / 'T') → timestamp; null when invalid."""
+    return F.coalesce(F.try_to_timestamp(col_(c), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSS")),
+                      F.try_to_timestamp(col_(c), F.lit("yyyy-MM-dd'T'HH:mm:ss")),
+                      F.try_to_timestamp(col_(c)))
+
+
+def offer_content(title, company, description) -> Column:
+    """"title - company\\n\\ndescription"."""
+    return F.concat(F.coalesce(col_(title), F.lit("")), F.lit(" - "), F.coalesce(col_(company), F.lit("")),
+                    F.lit("\n\n"), F.coalesce(col_(description), F.lit("")))

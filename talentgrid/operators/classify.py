@@ -272,3 +272,19 @@ def domain_map(scores_long: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return (scores_long.groupBy(id_col)
             .agg(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["domain"], e["score"])))
                  .alias("domain_scores")))
+
+
+def sorted_domain_scores(scores_long: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Per document the (domain, score) list sorted by score desc, ties in domain order."""
+    e = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("_neg"), "domain_ord", "domain", "score")))
+    return scores_long.groupBy(id_col).agg(F.transform(e, lambda x: F.struct(x["domain"], x["score"]))
+                                           .alias("ranked_domains"))
+
+
+def domain_prompt(vocab: dict, spark) -> DataFrame:
+    """One descriptive text per domain: "Domaine: <label>. Mots-clés: k1, k2, ..."."""
+    from talentgrid.functions.text import domain_label
+    df = V.vocab_frame(spark, vocab)
+    g = df.groupBy("domain", "domain_ord").agg(F.array_sort(F.collect_list(F.struct("kw_ord", "keyword"))).alias("_k"))
+    return g.select("domain", F.concat(F.lit("Domaine: "), domain_label("domain"), F.lit(". Mots-clés: "),
+                                       F.array_join(F.transform("_k", lambda e: e["keyword"]), ", ")).alias("prompt"))

@@ -215,3 +215,51 @@ def match_weighted(cvs: DataFrame, offers: DataFrame, skill_vocab: list[str], we
     ranked = top_k_per_group(scored, ["cv_domain", "skills"], [F.col("score").desc(), F.col("ord").asc()], k)
     return _attach(cvs, ranked, ["rank", "offer_id", "score", F.col("h").alias("matched_skills"),
                                  F.col("kw_u").cast("long").alias("domain_units")])
+
+
+# ------------------------------------------------------------------ C2 / E2 / I7 / F1 / F8
+def domain_similarity(cv_domain: Column, job_domain: Column, related: dict) -> Column:
+    """1.0 same domain, 0.5 when the job domain is related to the CV domain (directed
+    edges of a literal relation table), else 0.0."""
+    pairs = [F.lit(f"{a}\u0001{b}") for a, bs in related.items() for b in bs]
+    rel = F.array(*pairs) if pairs else F.array().cast("array<string>")
+    key = F.concat(cv_domain, F.lit("\u0001"), job_domain)
+    return F.when(cv_domain == job_domain, F.lit(1.0)).when(F.array_contains(rel, key), F.lit(0.5)).otherwise(F.lit(0.0))
+
+
+def best_match_per_cv(cvs: DataFrame, matches: DataFrame, offer_domains: DataFrame | None = None) -> DataFrame:
+    """Top-1 offer per CV with a domain-match flag; CVs without any match keep a filler
+    row (null offer, score 0.0, no match). ``matches``: (cv_id, rank, offer_id, score)."""
+    top = matches.filter(F.col("rank") == 1).select("cv_id", "offer_id", "score")
+    if offer_domains is not None:
+        top = top.join(offer_domains.select("offer_id", F.col("domain").alias("offer_domain")), "offer_id", "left")
+    out = cvs.select("cv_id", F.col("domain").alias("cv_domain")).join(top, "cv_id", "left")
+    dm = F.coalesce(F.col("offer_domain") == F.col("cv_domain"), F.lit(False)) if offer_domains is not None \
+        else F.lit(None).cast("boolean")
+    return out.select("cv_id", "cv_domain", "offer_id", F.coalesce("score", F.lit(0.0)).alias("score"),
+                      dm.alias("domain_match"))
+
+
+def domain_offers(cvs: DataFrame, offers: DataFrame, k: int = 5, score_col: str = "raw_score") -> DataFrame:
+    """Fallback search for every CV: offers of the CV's main domain by stored score.
+    The top-``k`` per domain is computed once (partial window limit) and joined to the
+    CVs on the domain — ``k`` rows per CV whatever the size of the domain."""
+    top = top_k_per_group(offers, ["domain"], [F.col(score_col).desc(), F.col("ord").asc()], k)
+    return (cvs.select("cv_id", F.col("domain").alias("cv_domain"))
+            .join(top.select(F.col("domain").alias("cv_domain"), "offer_id", F.col(score_col).alias("score"), "rank"),
+                  "cv_domain")
+            .select("cv_id", "rank", "offer_id", "score"))
+
+
+def global_top_k(df: DataFrame, k: int, score_col: str = "score", ord_col: str = "ord") -> DataFrame:
+    """Global top-``k`` (TakeOrderedAndProject: per-partition top-k, then one merge)."""
+    return df.orderBy(F.col(score_col).desc(), F.col(ord_col).asc()).limit(k)
+
+
+def page_size(n: int | None, default: int = 5, lo: int = 1, hi: int = 20) -> int:
+    """Validate a requested result count (1..20, default 5)."""
+    if n is None:
+        return default
+    if not lo <= int(n) <= hi:
+        raise ValueError(f"limit must be within {lo}..{hi}, got {n}")
+    return int(n)

@@ -748,3 +748,27 @@ SELECT CASE WHEN ts >= TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 7 DAY THEN 'ke
             WHEN ts >= TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 30 DAY THEN 'archive' ELSE 'expire' END AS action,
        count(*)::BIGINT AS n FROM events GROUP BY 1
 """
+
+
+# ------------------------------------------------------------------ per-CV summaries
+ORACLE["best_match_per_cv"] = f"""
+WITH m AS (SELECT cv_id, offer_id, score FROM {_sub('match_rules_topk')} WHERE rank = 1)""" + "," + \
+    cv_offer_ctes().replace("WITH", "", 1) + """
+SELECT c.cv_id, c.domain AS cv_domain, m.offer_id, coalesce(m.score, 0.0) AS score,
+       coalesce(o.domain = c.domain, FALSE) AS domain_match
+FROM cv c LEFT JOIN m ON m.cv_id = c.cv_id LEFT JOIN off o ON o.offer_id = m.offer_id
+"""
+
+ORACLE["domain_offers_topk"] = cv_offer_ctes() + """,
+r AS (SELECT offer_id, domain, raw_score, row_number() OVER (PARTITION BY domain ORDER BY raw_score DESC, offer_id) AS rank
+      FROM off)
+SELECT c.cv_id, r.rank::BIGINT AS rank, r.offer_id, round(r.raw_score, 6) AS score
+FROM cv c JOIN r ON r.domain = c.domain WHERE r.rank <= 5
+"""
+
+ORACLE["domain_map"] = _fallback_scores_sql(B.LANG_VOCAB) + """,
+r AS (SELECT doc_id, domain, domain_ord, round(score, 6) AS score FROM s)
+SELECT doc_id, string_agg(domain || ':' || printf('%.6f', score), ',' ORDER BY domain_ord) AS scores,
+       arg_min(domain, (-score, domain_ord)) AS top_domain
+FROM r GROUP BY doc_id
+"""

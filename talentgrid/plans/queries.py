@@ -569,3 +569,32 @@ def q_train_classifier(spark, sf):
     pairs = pred.select(F.col("label").cast("string").alias("true_domain"),
                         F.col("prediction").cast("string").alias("pred_domain"))
     return EV.weighted_prf(pairs)
+
+
+# ------------------------------------------------------------------ per-CV summaries
+@register("best_match_per_cv")
+def q_best_match_per_cv(spark, sf):
+    m = QUERIES["match_rules_topk"](spark, sf)
+    cv = B.cv_analysis(spark, sf)
+    off = B.offer_analysis(spark, sf).select("offer_id", "domain")
+    out = M.best_match_per_cv(cv, m, off)
+    return out.select("cv_id", "cv_domain", "offer_id", "score", "domain_match")
+
+
+@register("domain_offers_topk")
+def q_domain_offers_topk(spark, sf):
+    out = M.domain_offers(B.cv_analysis(spark, sf), B.offer_analysis(spark, sf), k=MATCH_K)
+    return out.select("cv_id", F.col("rank").cast("long").alias("rank"), "offer_id", r6("score").alias("score"))
+
+
+@register("domain_map")
+def q_domain_map(spark, sf):
+    docs = B.table(spark, sf, "documents")
+    lng = C.domain_scores_fallback_long(docs, B.LANG_VOCAB).withColumn("score", r6("score"))
+    m = C.domain_map(lng)
+    ranked = C.sorted_domain_scores(lng)
+    return m.join(ranked, "doc_id").select(
+        "doc_id",
+        F.array_join(F.transform(F.map_entries("domain_scores"),
+                                 lambda e: F.concat(e["key"], F.lit(":"), F.format_number(e["value"], 6))), ",").alias("scores"),
+        F.element_at("ranked_domains", 1)["domain"].alias("top_domain"))
