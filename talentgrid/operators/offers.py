@@ -16,7 +16,7 @@ def offer_defaults(df: DataFrame) -> DataFrame:
     def pick(name, default):
         own = F.col(f"metadata.{name}") if "metadata" in df.columns else F.lit(None)
         base = F.col(name) if name in df.columns else F.lit(None)
-        return F.coalesce(own, base, F.lit(default) if default is not None else F.lit(None))
+        return F.coalesce(own, base, F.lit(default) if default is not None else F.lit(None)).alias(name)
     meta = F.struct(pick("title", ""), pick("company", ""), pick("location", ""),
                     pick("domain", "informatique_reseaux"), pick("country", "France"),
                     pick("source", "indeed"), pick("url", ""), pick("score", 0.0).cast("double").alias("score"))
@@ -34,7 +34,8 @@ def format_offers(df: DataFrame) -> DataFrame:
         F.coalesce(F.col("metadata.company"), F.lit("N/A")).alias("company"),
         F.coalesce(F.col("metadata.location"), F.lit("N/A")).alias("location"),
         F.coalesce(F.col("metadata.domain"), F.lit("unknown")).alias("domain"),
-        truncate(F.coalesce(F.col("content"), F.lit("")), 200).alias("description"), "*")
+        truncate(F.coalesce(F.col("content"), F.lit("")), 200).alias("description"),
+        *[c for c in df.columns if c not in ("id", "title", "company", "location", "domain", "description")])
 
 
 def min_score(df: DataFrame, threshold: float, col: str = "score") -> DataFrame:

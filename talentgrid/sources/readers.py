@@ -135,7 +135,7 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """JSON object keyed by cv_id → one row per CV."""
     from pyspark.sql import types as T
-    t = spark.read.option("wholetext", "true").text(path)
+    t = spark.read.text(path, wholetext=True)
     m = F.from_json("value", T.MapType(T.StringType(), SC.ANNOTATION))
     return t.select(F.explode(m).alias("cv_id", "a")).select("cv_id", "a.*")
 
