@@ -90,8 +90,10 @@ def cv_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cv_id, domain, main_score, skills): fallback analysis of every document."""
     from talentgrid.operators.classify import analyze_documents
     docs = cvs(spark, sf_dir)
+    from talentgrid.session import materialize
     a = analyze_documents(docs, LANG_VOCAB, TEST_SKILLS, id_col="cv_id")
-    return a.select("cv_id", F.col("main_domain").alias("domain"), "main_score", "skills")
+    # narrow and consumed by several branches of the matchers: computed once
+    return materialize(a.select("cv_id", F.col("main_domain").alias("domain"), "main_score", "skills"))
 
 
 def offer_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,9 +105,10 @@ def offer_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.concat_ws(" ", "title", "description")).alias("text"))
     a = domain_scores_fallback(o, LANG_VOCAB, id_col="offer_id", text_col="text",
                                carry=["title_lower", "text"])
-    return a.select("offer_id", F.col("main_domain").alias("domain"),
-                    F.col("main_score").alias("raw_score"), "text", "title_lower",
-                    F.col("offer_id").alias("ord"))
+    from talentgrid.session import materialize
+    return materialize(a.select("offer_id", F.col("main_domain").alias("domain"),
+                                F.col("main_score").alias("raw_score"), "text", "title_lower",
+                                F.col("offer_id").alias("ord")))
 
 
 # basic analyser vocabulary (no surrounding spaces, so skills can contain keywords)

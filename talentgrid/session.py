@@ -88,3 +88,12 @@ def spread(df, key: str | None = None):
     # into the single scan task; an always-true but non-deterministic filter is a
     # barrier it does not cross, so that work runs on all partitions.
     return out.filter(F.spark_partition_id() >= 0)
+
+
+def materialize(df):
+    """Write an intermediate result to the shared checkpoint folder and read it back
+    (eager, reliable ``checkpoint()``): used for a derived table that several branches of
+    one plan consume, so the expensive work upstream runs once and a lost executor
+    re-reads files instead of recomputing the whole lineage."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
