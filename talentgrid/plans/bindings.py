@@ -165,8 +165,9 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def whole_word_skills(text_lower, skills: list[str]):
     """Annotator stand-in: vocabulary skills present as whole ASCII words (stricter than
     the substring extractor, so precision < 1)."""
-    # literal patterns (compiled once per task), kept in vocabulary order
-    return F.array_compact(F.array(*[F.when(text_lower.rlike(f"(^|[^a-z]){s.lower()}([^a-z]|$)"), F.lit(s))
+    # literal patterns (compiled once per task), kept in vocabulary order; look-arounds
+    # express "not preceded / followed by a-z" without alternation backtracking
+    return F.array_compact(F.array(*[F.when(text_lower.rlike(f"(?<![a-z]){s.lower()}(?![a-z])"), F.lit(s))
                                      for s in skills]))
 
 
