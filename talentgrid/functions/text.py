@@ -170,3 +170,8 @@ def offer_content(title, company, description) -> Column:
     """"title - company\\n\\ndescription"."""
     return F.concat(F.coalesce(col_(title), F.lit("")), F.lit(" - "), F.coalesce(col_(company), F.lit("")),
                     F.lit("\n\n"), F.coalesce(col_(description), F.lit("")))
+
+
+def json_field(c, path: str) -> Column:
+    """One field of a JSON text column (``$.a.b``); null when absent."""
+    return F.get_json_object(col_(c), path)

@@ -96,3 +96,26 @@ def upsert_feedback(existing: DataFrame, new_sessions: DataFrame) -> DataFrame:
 
 def write_evaluation_report(metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.mode("overwrite").json(path)
+
+
+def ingest_scraped(df: DataFrame, domain_override: str | None = None, vocab: dict | None = None,
+                   skills: list[str] | None = None, skill_domain: dict | None = None,
+                   max_jobs: int = 0, order_col: str = "ord") -> DataFrame:
+    """Scraped offers ready to store: incomplete ones (no title or description) skipped,
+    domain = the override, else the stored domain, else the extended analyser's best
+    domain over "title description"; optional cap (0 = none). Batching of uploads was a
+    transport detail; the result is written by the caller."""
+    from talentgrid.operators.offers import complete_offers
+    from talentgrid.operators.classify import domain_scores_extended
+    x = complete_offers(df)
+    if max_jobs > 0:
+        x = x.orderBy(order_col).limit(max_jobs)
+    if domain_override:
+        return x.withColumn("domain", F.lit(domain_override))
+    if vocab is None:
+        return x
+    txt = x.select(F.col("id").alias("_id"), F.concat_ws(" ", "title", "description").alias("_t"))
+    sc = domain_scores_extended(txt, vocab, skills or [], skill_domain or {}, id_col="_id", text_col="_t")
+    best = sc.groupBy("_id").agg(F.max_by("domain", F.struct("score", -F.col("domain_ord"))).alias("_d"))
+    return x.join(best, x["id"] == best["_id"], "left").withColumn(
+        "domain", F.coalesce(F.nullif(F.col("domain"), F.lit("")), F.col("_d"))).drop("_id", "_d")

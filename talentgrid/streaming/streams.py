@@ -93,3 +93,18 @@ def retention_classes(df: DataFrame, ts_col: str, now: str, keep_days: int = 7,
     return (F.when(ts >= now_c - F.expr(f"INTERVAL {keep_days} DAYS"), F.lit("keep"))
             .when(ts >= now_c - F.expr(f"INTERVAL {archive_days} DAYS"), F.lit("archive"))
             .otherwise(F.lit("expire")))
+
+
+def stream_offers(spark: SparkSession, folder: str, country_code: str = "fr", delay: str = "1 day") -> DataFrame:
+    """Incremental offer ingest: new JSON offer files → normalised location and salary,
+    deterministic id, collected-at timestamp, repeats of an id within the watermark
+    dropped. Returns the streaming DataFrame (start it with ``run_to_parquet``)."""
+    from talentgrid.functions.ids import offer_id
+    from talentgrid.functions.text import extract_salary, normalize_location, parse_iso_ts
+    from talentgrid.sources.schemas import OFFER
+    s = file_stream(spark, folder, OFFER, "json")
+    s = s.select("title", "company", normalize_location(F.coalesce("location", F.lit("")), country_code).alias("location"),
+                 "description", F.coalesce("salary", extract_salary("description")).alias("salary"),
+                 "domain", parse_iso_ts("date_collected").cast("timestamp").alias("date_collected"))
+    s = s.withColumn("id", offer_id("title", "company", "location", "description"))
+    return dedup_stream(s, ["id"], "date_collected", delay)

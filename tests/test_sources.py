@@ -136,3 +136,16 @@ def test_domain_similarity_and_prompt(spark):
     p = {r.domain: r.prompt for r in C.domain_prompt({"finance": ["audit", "bilan"]}, spark).collect()}
     assert p["finance"] == "Domaine: Finance. Mots-clés: audit, bilan"
     assert M.page_size(None) == 5
+
+
+def test_ingest_scraped_and_storage_summary(spark, tmpdir_path):
+    df = spark.createDataFrame([("1", "Comptable", "audit finance bilan", None, 1), ("2", "", "x", None, 2),
+                                ("3", "Dev", "python", "informatique_reseaux", 3)],
+                               "id string, title string, description string, domain string, ord long")
+    out = {r.id: r.domain for r in W.ingest_scraped(df, vocab={"finance": ["audit", "bilan"], "it": ["python"]}).collect()}
+    assert out == {"1": "finance", "3": "informatique_reseaux"}
+    assert {r.domain for r in W.ingest_scraped(df, domain_override="x").collect()} == {"x"}
+    for name in ["batch_1.json", "indeed_2.json", "emergency_backup_3.json"]:
+        _write(os.path.join(tmpdir_path, name), {})
+    s = {r.file_class: r.files for r in R.storage_summary(spark, tmpdir_path, "2100-01-01 00:00:00").collect()}
+    assert s == {0: 1, 1: 1, 2: 1}

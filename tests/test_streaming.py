@@ -27,3 +27,17 @@ def test_window_counts_and_retention(spark):
         .select(F.to_timestamp("ts").alias("ts"), "t")
     cls = {r.ts.day: r.c for r in ev.select("ts", ST.retention_classes(ev, "ts", "2024-01-09 00:00:00").alias("c")).collect()}
     assert cls[1] == "archive" and cls[2] == "keep"
+
+
+def test_stream_offers_normalises_and_dedups(spark, tmpdir_path):
+    land = os.path.join(tmpdir_path, "offers")
+    os.makedirs(land)
+    o = {"title": "Dev", "company": "A", "location": "Paris - 75001", "description": "Salaire 45K€",
+         "date_collected": "2025-04-06T05:00:00.000001"}
+    with open(os.path.join(land, "a.json"), "w") as f:
+        json.dump(o, f)
+    with open(os.path.join(land, "b.json"), "w") as f:
+        json.dump(dict(o, date_collected="2025-04-06T06:00:00"), f)
+    out = ST.run_to_parquet(ST.stream_offers(spark, land), "offers")
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == 1 and rows[0].location == "Paris" and rows[0].salary == "45K"
