@@ -772,3 +772,19 @@ SELECT doc_id, string_agg(domain || ':' || printf('%.6f', score), ',' ORDER BY d
        arg_min(domain, (-score, domain_ord)) AS top_domain
 FROM r GROUP BY doc_id
 """
+
+
+ORACLE["offer_format"] = f"""
+WITH pg AS (SELECT page_id AS offer_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title,
+                   regexp_extract(url, '://([^/]+)', 1) AS company,
+                   regexp_extract(url, '/(en|fr|de|es)/', 1) AS location,
+                   {html_text_sql('html')} AS description FROM pages),
+c AS (SELECT *, coalesce(title, '') || ' - ' || coalesce(company, '') || chr(10) || chr(10) || coalesce(description, '')
+                AS content FROM pg)
+SELECT offer_id, 'informatique_reseaux' AS domain, 'France' AS country, 'indeed' AS source, md5(content) AS content_md5,
+       length(CASE WHEN length(content) > 200 THEN substring(content, 1, 200) || '...' ELSE content END)::BIGINT
+         AS description_len,
+       CASE WHEN contains(coalesce(location, ''), 'fr') THEN location ELSE 'fr, France' END AS relocated,
+       'Informatique & Réseaux' AS domain_label
+FROM c
+"""

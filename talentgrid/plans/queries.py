@@ -598,3 +598,15 @@ def q_domain_map(spark, sf):
         F.array_join(F.transform(F.map_entries("domain_scores"),
                                  lambda e: F.concat(e["key"], F.lit(":"), F.format_number(e["value"], 6))), ",").alias("scores"),
         F.element_at("ranked_domains", 1)["domain"].alias("top_domain"))
+
+
+@register("offer_format")
+def q_offer_format(spark, sf):
+    cards = B.offer_cards(spark, sf)
+    x = OF.offer_defaults(cards.withColumn("id", F.col("offer_id").cast("string")))
+    f = OF.format_offers(x)
+    return f.select(F.col("offer_id"), "domain", F.col("metadata.country").alias("country"),
+                    F.col("metadata.source").alias("source"), F.md5("content").alias("content_md5"),
+                    F.length("description").cast("long").alias("description_len"),
+                    OF.relocate(F.col("location"), "fr", "France").alias("relocated"),
+                    T.display_name("domain").alias("domain_label"))
