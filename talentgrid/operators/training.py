@@ -149,3 +149,22 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str, ratio: float =
     easy = x.filter(inside | outside).withColumn("split", F.when(inside, "eval").otherwise("train"))
     cols = df.columns + ["split"]
     return easy.select(*cols).unionByName(ranked.select(*cols))
+
+
+def prompt_dataset(spark, sources: list[str], domains: list[str], n_per_domain: int, out_path: str | None = None,
+                   mapping: dict | None = None) -> DataFrame:
+    """End to end: read the training sources → examples → keep listed domains → required
+    fields → de-duplicate (keep first) → expand to the per-domain quota → prompt text;
+    written as CSV when ``out_path`` is given. Returns the prompts."""
+    from talentgrid.operators.dedup import dedup_examples
+    from talentgrid.sources.readers import read_training_sources
+    src = read_training_sources(spark, sources)
+    ex = required_fields(domain_in(build_examples(src, mapping=mapping), domains))
+    ex = ex.withColumn("ord", F.struct(F.col("source"), F.col("_row")))
+    ex = dedup_examples(ex, "ord")
+    ex = expand_to_quota(ex.select("ord", "instruction", "input", "output", "domain"), n_per_domain, domains)
+    out = render_prompt(ex)
+    if out_path:
+        out.select("instruction", "input", "output", "domain", "formatted_text").write.mode("overwrite") \
+            .option("header", "true").option("escape", '"').csv(out_path)
+    return out

@@ -149,3 +149,28 @@ def test_ingest_scraped_and_storage_summary(spark, tmpdir_path):
         _write(os.path.join(tmpdir_path, name), {})
     s = {r.file_class: r.files for r in R.storage_summary(spark, tmpdir_path, "2100-01-01 00:00:00").collect()}
     assert s == {0: 1, 1: 1, 2: 1}
+
+
+def test_prompt_dataset_and_small_helpers(spark, tmpdir_path):
+    d = tmpdir_path
+    with open(os.path.join(d, "cv_data.csv"), "w", encoding="utf-8") as f:
+        f.write("text,category\n" + "\n".join(f'"Profil numéro {i} avec expérience",IT' for i in range(3)) + "\n")
+    out = TR.prompt_dataset(spark, [os.path.join(d, "cv_data.csv")], ["informatique_reseaux", "finance"], 5,
+                            os.path.join(d, "prompts"))
+    rows = out.collect()
+    assert len(rows) == 5 and all(r.formatted_text.startswith("<s>[INST] ") for r in rows)
+    assert sum(1 for r in rows if r.variant >= 0) == 2
+    # A6 text csv, H8 fallback id, H17 percent, A15 embeddings writer
+    txt = R.read_text_csv(spark, os.path.join(d, "cv_data.csv"), "text")
+    assert txt.count() == 3
+    from talentgrid.functions.ids import fallback_offer_id
+    from talentgrid.functions.text import percent
+    x = spark.createDataFrame([(None, "Dev", "A", "Desc", 0.125)], "id string, t string, c string, d string, p double")
+    r = x.select(fallback_offer_id("id", "t", "c", "d").alias("i"), percent("p").alias("pc")).first()
+    import hashlib
+    assert r.i == hashlib.md5("dev|A|desc".encode()).hexdigest() and r.pc == 13
+    emb = spark.createDataFrame([([0.1, 0.2], "t", "finance", 0.9)], "embedding array<double>, text string, "
+                                                                     "classification string, confidence double")
+    meta = W.write_embeddings(emb, os.path.join(d, "emb"), "cv.csv", "text").first()
+    assert meta.dim == 2 and meta.n == 1
+    assert R.read_embeddings(spark, os.path.join(d, "emb", "data")).count() == 1
