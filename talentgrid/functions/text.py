@@ -175,3 +175,12 @@ def offer_content(title, company, description) -> Column:
 def json_field(c, path: str) -> Column:
     """One field of a JSON text column (``$.a.b``); null when absent."""
     return F.get_json_object(col_(c), path)
+
+
+def trimmed_length(c) -> Column:
+    """``length(trim_ws(c))`` without rewriting the string: only the leading whitespace
+    run and (on the reversed text) the trailing one are scanned."""
+    c = col_(c)
+    lead = F.length(F.regexp_extract(c, "^" + WS + "*", 0))
+    trail = F.length(F.regexp_extract(F.reverse(c), "^" + WS + "*", 0))
+    return F.greatest(F.lit(0), F.length(c) - lead - trail)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentgrid import vocab as V
-from talentgrid.functions.text import trim_ws
+from talentgrid.functions.text import trim_ws, trimmed_length
 
 
 def _spaced(domain: Column) -> Column:
@@ -43,7 +43,7 @@ def build_examples(rows: DataFrame, source_col: str = "source", text_col: str =
     exceeds ``min_len``; domain from the category map; CV wording when the source name
     mentions resume/cv, offer wording otherwise."""
     t = F.col(text_col)
-    r = rows.filter(t.isNotNull() & (F.length(trim_ws(t.cast("string"))) > min_len))
+    r = rows.filter(t.isNotNull() & (trimmed_length(t.cast("string")) > min_len))
     dom = category_to_domain(F.col(category_col).cast("string"), mapping, default_domain) \
         if category_col else F.lit(default_domain)
     skills = F.coalesce(F.col(skills_col).cast("string"), F.lit("Non spécifié")) if skills_col else F.lit("Non spécifié")
@@ -69,7 +69,7 @@ def domain_in(df: DataFrame, domains: list[str], col: str = "domain") -> DataFra
 
 
 def expand_to_quota(df: DataFrame, n_per_domain: int, domains: list[str] | None = None,
-                    order_col: str = "ord", prefix_variant: bool = False) -> DataFrame:
+                    order_col: str = "ord", prefix_variant: bool = False, materialize_input: bool = True) -> DataFrame:
     """Every example of the listed domains, plus max(0, n − count) variants per domain:
     variant i copies the example at position i mod count and takes template i mod 5
     (CV or offer wording chosen from the base instruction). ``prefix_variant`` gives the
@@ -81,6 +81,11 @@ def expand_to_quota(df: DataFrame, n_per_domain: int, domains: list[str] | None
     group of unbounded size is ever gathered and no join fans out.
     """
     x = df if (prefix_variant or domains is None) else domain_in(df, domains)
+    if materialize_input:
+        # read twice (counts, rows): written once to the shared folder instead of
+        # recomputing the upstream plan
+        from talentgrid.session import materialize
+        x = materialize(x)
     cnt = x.groupBy("domain").agg(F.count(F.lit(1)).alias("_c"))
     small = cnt.filter(F.col("_c") < n_per_domain)
     # with a literal domain list the count table has at most one row per listed domain:
@@ -126,13 +131,16 @@ def render_prompt(df: DataFrame) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, label_col: str, id_col: str, ratio: float = 0.2, seed: int = 42,
-                     buckets: int = 4096) -> DataFrame:
+                     buckets: int = 4096, materialize_input: bool = True) -> DataFrame:
     """Exact stratified split: per label the ``floor(ratio·n + 0.5)`` rows with the smallest
     md5(id|seed) go to ``eval``. The cut is found without ranking whole strata: rows are
     counted per (label, hash bucket), a bounded table whose cumulative sums locate the
     boundary bucket; only rows of that one bucket per label are ranked. Adds ``split``."""
     from pyspark.sql import Window
     h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit("|"), F.lit(str(seed))))
+    if materialize_input:
+        from talentgrid.session import materialize
+        df = materialize(df)
     x = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring(h, 1, 3), 16, 10).cast("int"))
     bc = x.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_n"))        # ≤ labels × 4096 rows
     w = Window.partitionBy(label_col).orderBy("_b")

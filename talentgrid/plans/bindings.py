@@ -167,7 +167,8 @@ def whole_word_skills(text_lower, skills: list[str]):
     the substring extractor, so precision < 1)."""
     # literal patterns (compiled once per task), kept in vocabulary order; look-arounds
     # express "not preceded / followed by a-z" without alternation backtracking
-    return F.array_compact(F.array(*[F.when(text_lower.rlike(f"(?<![a-z]){s.lower()}(?![a-z])"), F.lit(s))
+    return F.array_compact(F.array(*[F.when(text_lower.contains(s.lower())
+                                            & text_lower.rlike(f"(?<![a-z]){s.lower()}(?![a-z])"), F.lit(s))
                                      for s in skills]))
 
 
