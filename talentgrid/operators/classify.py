@@ -24,12 +24,12 @@ def _spark(df: DataFrame):
 
 def keyword_hits(docs: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "text",
                  how: str = "left", extra_text: list[str] | None = None,
-                 carry: list[str] | None = None) -> DataFrame:
+                 carry: list[str] | None = None, lowered: bool = False) -> DataFrame:
     """(id, domain, domain_ord, keyword, kw_ord, occ) for every vocabulary keyword the
     text contains (case-insensitive substring). ``how="left"`` keeps documents with no
-    hit as one row with null keyword columns."""
+    hit as one row with null keyword columns. ``lowered``: the text is already lower-case."""
     vdf = vocab if isinstance(vocab, DataFrame) else V.vocab_frame(_spark(docs), vocab)
-    text = F.lower(F.col(text_col))
+    text = F.col(text_col) if lowered else F.lower(F.col(text_col))
     if extra_text:
         text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in [text_col] + extra_text]))
     carry = carry or []
@@ -78,14 +78,15 @@ def fallback_units(occ: Column) -> Column:
 
 
 def domain_scores_fallback(docs: DataFrame, vocab=None, id_col: str = "doc_id",
-                           text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+                           text_col: str = "text", carry: list[str] | None = None,
+                           lowered: bool = False) -> DataFrame:
     """Fallback CV analysis: per domain 0.5 + Σ over present keywords (0.025 for one
     occurrence, else 0.05·min(occ, 3)), capped at 1.0. Returns one row per document
     with ``score_<i>`` columns, ``main_domain`` and ``main_score``."""
     vocab = V.FALLBACK_KEYWORDS if vocab is None else vocab
     domains = _domains(vocab)
     carry = carry or []
-    hits = keyword_hits(docs, vocab, id_col, text_col, carry=carry)
+    hits = keyword_hits(docs, vocab, id_col, text_col, carry=carry, lowered=lowered)
     wide = _per_domain_sums(hits, id_col, len(domains), fallback_units(F.col("occ")), "_u", carry)
     scores = [F.least(F.lit(1.0), F.lit(0.5) + F.col(f"_u{i}") * F.lit(0.025)) for i in range(len(domains))]
     main, best = argmax_domain(scores, domains)
@@ -101,8 +102,10 @@ def analyze_documents(docs: DataFrame, vocab=None, skills: list[str] | None = No
     aggregation)."""
     from talentgrid.operators.skills import extract_skills
     skills = V.TECHNICAL_SKILLS if skills is None else skills
-    d = extract_skills(docs, skills, text_col, skill_limit)
-    return domain_scores_fallback(d, vocab, id_col, text_col, carry=["skills"] + (carry or []))
+    # lower-case the (possibly long) text once for both vocabulary passes
+    d = docs.select(id_col, F.lower(F.col(text_col)).alias("_low"), *(carry or []))
+    d = extract_skills(d, skills, "_low", skill_limit, lowered=True)
+    return domain_scores_fallback(d, vocab, id_col, "_low", carry=["skills"] + (carry or []), lowered=True)
 
 
 def domain_scores_fallback_long(docs: DataFrame, vocab=None, id_col: str = "doc_id",

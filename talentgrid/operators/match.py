@@ -78,6 +78,29 @@ def _attach(cvs: DataFrame, ranked: DataFrame, keep: list[str]) -> DataFrame:
     return c.join(ranked, ["cv_domain", "skills"]).select("cv_id", *keep)
 
 
+
+
+def _candidates(prof: DataFrame, post: DataFrame, zeros: DataFrame, offer_cols: list[str],
+                cv_extra: list[str] | None = None, post_extra: list[str] | None = None) -> DataFrame:
+    """All candidate (CV profile, offer) rows from ONE equi-join on a composite key:
+    CV skill postings meet offer skill postings on ('S', skill) and every CV profile meets
+    the zero-hit candidates of its domain on ('D', domain). ``hit`` is 1 for a shared
+    skill, 0 for a zero-hit candidate; callers aggregate per (profile, offer)."""
+    cv_extra = cv_extra or []
+    post_extra = post_extra or []
+    cp = prof.select("cv_domain", "skills", F.posexplode("sk_ords").alias("pos", "skill_ord"), *cv_extra)
+    cside = cp.select("cv_domain", "skills", F.lit("S").alias("_k"), F.lit("").alias("_kd"),
+                      F.col("skill_ord").alias("_ks"), "pos", *cv_extra) \
+        .unionByName(prof.select("cv_domain", "skills", F.lit("D").alias("_k"), F.col("cv_domain").alias("_kd"),
+                                 F.lit(-1).alias("_ks"), F.lit(-1).alias("pos"),
+                                 *[F.lit(None).cast("int").alias(c) for c in cv_extra]))
+    oside = post.select(F.lit("S").alias("_k"), F.lit("").alias("_kd"), F.col("skill_ord").alias("_ks"),
+                        *offer_cols, *post_extra, F.lit(1).alias("hit")) \
+        .unionByName(zeros.select(F.lit("D").alias("_k"), F.col("cv_domain").alias("_kd"), F.lit(-1).alias("_ks"),
+                                  *offer_cols, *[F.lit(None).alias(c) for c in post_extra], F.lit(0).alias("hit")),
+                     allowMissingColumns=True)
+    return cside.join(oside, ["_k", "_kd", "_ks"])
+
 # ------------------------------------------------------------------ I2 rules scorer
 def rules_score(h: Column, n: Column, dm: Column) -> Column:
     """min(1, 0.1 + 0.3·[domain match] + min(0.6, (hits/n)·0.6)); 0 skill bonus if n = 0."""
@@ -102,13 +125,9 @@ def match_rules(cvs: DataFrame, offers: DataFrame, skill_vocab: list[str], domai
     prof = _cv_profiles(cvs, skill_vocab)
     post = reps.select("offer_id", F.col("domain").alias("o_domain"), "ord",
                        F.explode("prof").alias("skill_ord"))
-    hit_pairs = (_cv_postings(prof).join(post, "skill_ord")
-                 .groupBy("cv_domain", "skills", "offer_id", "o_domain", "ord")
-                 .agg(F.count(F.lit(1)).alias("h")))
-    zero = (prof.select("cv_domain", "skills").join(z_same.unionByName(z_other).drop("prof"), "cv_domain")
-            .withColumn("h", F.lit(0).cast("long")))
-    cand = (hit_pairs.unionByName(zero)
-            .groupBy("cv_domain", "skills", "offer_id", "o_domain", "ord").agg(F.max("h").alias("h")))
+    zeros = z_same.unionByName(z_other).drop("prof")
+    cand = (_candidates(prof, post, zeros, ["offer_id", "o_domain", "ord"])
+            .groupBy("cv_domain", "skills", "offer_id", "o_domain", "ord").agg(F.sum("hit").alias("h")))
     dm = F.col("o_domain").eqNullSafe(F.col("cv_domain"))
     scored = cand.select("cv_domain", "skills", "offer_id", "ord", "h",
                          dm.alias("domain_match"),
@@ -144,10 +163,9 @@ def match_bonus(cvs: DataFrame, offers: DataFrame, skill_vocab: list[str], domai
     post = reps.select("offer_id", F.col("domain").alias("o_domain"), "ord", "raw_score",
                        F.explode("prof").alias("skill_ord"))
     keys = ["cv_domain", "skills", "offer_id", "o_domain", "ord", "raw_score"]
-    hit_pairs = _cv_postings(prof).join(post, "skill_ord").groupBy(*keys).agg(F.count(F.lit(1)).alias("h"))
-    zero = (prof.select("cv_domain", "skills").join(z_same.unionByName(z_other).drop("prof"), "cv_domain")
-            .withColumn("h", F.lit(0).cast("long")))
-    cand = hit_pairs.unionByName(zero).groupBy(*keys).agg(F.max("h").alias("h"))
+    zeros = z_same.unionByName(z_other).drop("prof")
+    cand = (_candidates(prof, post, zeros, ["offer_id", "o_domain", "ord", "raw_score"])
+            .groupBy(*keys).agg(F.sum("hit").alias("h")))
     dm = F.col("o_domain").eqNullSafe(F.col("cv_domain"))
     scored = cand.select(*keys, "h", F.when(dm, F.lit(0.2)).otherwise(F.lit(0.0)).alias("domain_bonus"),
                          F.least(F.lit(0.3), F.col("h") * F.lit(0.05)).alias("skills_bonus"),

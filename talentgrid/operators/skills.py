@@ -32,11 +32,11 @@ def matched_ords(text_lower: Column, items: list[str]) -> Column:
 
 def extract_skills(docs: DataFrame, skills: list[str] | None = None, text_col: str = "text",
                    limit: int | None = 10, default: list[str] | None = None,
-                   out_col: str = "skills") -> DataFrame:
+                   out_col: str = "skills", lowered: bool = False) -> DataFrame:
     """Add ``skills``: vocabulary skills contained in the text, in vocabulary order,
     first ``limit`` kept (None = all); ``default`` replaces an empty list."""
     skills = V.TECHNICAL_SKILLS if skills is None else skills
-    found = matched_terms(F.lower(F.col(text_col)), skills)
+    found = matched_terms(F.col(text_col) if lowered else F.lower(F.col(text_col)), skills)
     if limit:
         found = F.slice(found, 1, limit)
     if default:

@@ -104,7 +104,7 @@ def offer_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
         "offer_id", F.lower(F.col("title")).alias("title_lower"),
         F.lower(F.concat_ws(" ", "title", "description")).alias("text"))
     a = domain_scores_fallback(o, LANG_VOCAB, id_col="offer_id", text_col="text",
-                               carry=["title_lower", "text"])
+                               carry=["title_lower", "text"], lowered=True)
     from talentgrid.session import materialize
     return materialize(a.select("offer_id", F.col("main_domain").alias("domain"),
                                 F.col("main_score").alias("raw_score"), "text", "title_lower",
