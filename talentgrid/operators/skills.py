@@ -64,6 +64,9 @@ def skill_frequency(docs: DataFrame, skills_col: str = "skills") -> DataFrame:
 def distinct_skills(docs: DataFrame, skills: list[str], skills_col: str = "skills") -> DataFrame:
     """Distinct skills over all documents, in vocabulary order (``list(set())`` made
     deterministic)."""
-    order = F.create_map(*[x for i, s in enumerate(skills) for x in (F.lit(s), F.lit(i))])
+    first = {}
+    for i, s in enumerate(skills):
+        first.setdefault(s, i)
+    order = F.create_map(*[x for s, i in first.items() for x in (F.lit(s), F.lit(i))])
     return (skill_frequency(docs, skills_col)
             .select("skill", F.try_element_at(order, F.col("skill")).alias("skill_ord")))
