@@ -59,16 +59,31 @@ def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append") -> str
     return out
 
 
-def upsert_stream(stream: DataFrame, key: str, version_col: str, name: str) -> str:
+def _latest_version(spark: SparkSession, table: str) -> str | None:
+    """Newest complete version folder (``v<epoch>`` holding ``_SUCCESS``) of a table."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    done = [st.getPath().toString() for st in fs.listStatus(path)
+            if st.isDirectory() and st.getPath().getName().startswith("v")
+            and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]
+    return sorted(done)[-1] if done else None
+
+
+def upsert_stream(stream: DataFrame, key: str, version_col: str, name: str, table: str | None = None) -> str:
     """Latest-wins upsert of every micro-batch into a Parquet table. Each batch merges
     into a new table version (folder ``v<epoch>``); readers take the newest complete one.
-    Returns the table folder."""
+    The epoch-numbered folder makes a replayed batch overwrite its own output
+    (idempotent), and a restarted query resumes from the newest complete version.
+    Returns the newest version folder."""
     from talentgrid.operators.feedback import upsert_latest
     spark = stream.sparkSession
     run = f"{name}-{uuid.uuid4().hex[:8]}"
-    table = scratch_path(spark, f"stream-table/{run}")
-    ck = scratch_path(spark, f"stream-ckpt/{run}")
-    state = {"current": None}
+    table = table or scratch_path(spark, f"stream-table/{run}")
+    ck = (table.rstrip("/") + "-checkpoint") if table else scratch_path(spark, f"stream-ckpt/{run}")
+    state = {"current": _latest_version(spark, table)}   # resume after a driver restart
 
     def merge(batch: DataFrame, epoch: int):
         s = batch.sparkSession
