@@ -281,3 +281,18 @@ def page_size(n: int | None, default: int = 5, lo: int = 1, hi: int = 20) -> int
     if not lo <= int(n) <= hi:
         raise ValueError(f"limit must be within {lo}..{hi}, got {n}")
     return int(n)
+
+
+def hybrid_match(cv_vectors: DataFrame, offer_vectors: DataFrame, cvs: DataFrame, offers: DataFrame,
+                 skill_vocab: list[str], domains: list[str], k: int = 5, min_score: float = 0.0) -> DataFrame:
+    """Vector search (top-``k`` by cosine, then the CV's domain or all) merged with the
+    rules scorer's top-``k``: vector results win on a shared id, the union is re-sorted by
+    score (ties: vector rows first), re-ranked and cut to ``k``.
+
+    cv_vectors: (qid, vec, domain); offer_vectors: (iid, vec, domain, ord)."""
+    from talentgrid.operators.dedup import hybrid_merge
+    from talentgrid.operators.vectors import vector_search
+    vec = vector_search(cv_vectors, offer_vectors, limit=k).select(
+        F.col("qid").alias("cv_id"), F.col("iid").alias("offer_id"), F.col("cos").alias("score"), "rank")
+    scr = match_rules(cvs, offers, skill_vocab, domains, k=k, min_score=min_score)
+    return hybrid_merge(vec, scr.select("cv_id", "offer_id", "score", "rank"), k)

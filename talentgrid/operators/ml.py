@@ -25,16 +25,17 @@ from talentgrid.functions.vectors import l2_normalize
 
 def embed_texts(df: DataFrame, text_col: str = "text", out_col: str = "embedding", dim: int = 256,
                 normalize: bool = True, encoder: Callable[[list[str]], np.ndarray] | None = None,
-                batch_size: int = 64) -> DataFrame:
+                batch_size: int = 64, idf: bool = True) -> DataFrame:
     """Add ``embedding`` (array<double>). Default: hashed TF-IDF of letter tokens (IDF
     fitted on ``df``). With ``encoder`` (texts → [n, d] array) the encoder runs per Arrow
     batch of ``batch_size`` texts; a failing batch yields nulls, never random vectors."""
     if encoder is None:
         tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[^\p{L}]+", toLowercase=True)
         tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim)
-        idf = IDF(inputCol="_tf", outputCol="_v")
-        model = Pipeline(stages=[tok, tf, idf]).fit(df)
-        out = model.transform(df).withColumn(out_col, vector_to_array("_v").cast("array<double>")) \
+        stages = [tok, tf] + ([IDF(inputCol="_tf", outputCol="_v")] if idf else [])
+        vcol = "_v" if idf else "_tf"
+        model = Pipeline(stages=stages).fit(df)
+        out = model.transform(df).withColumn(out_col, vector_to_array(vcol).cast("array<double>")) \
             .drop("_tok", "_tf", "_v")
     else:
         @F.pandas_udf(T.ArrayType(T.DoubleType()))

@@ -610,3 +610,17 @@ def q_offer_format(spark, sf):
                     F.length("description").cast("long").alias("description_len"),
                     OF.relocate(F.col("location"), "fr", "France").alias("relocated"),
                     T.display_name("domain").alias("domain_label"))
+
+
+@register("hybrid_match")
+def q_hybrid_match(spark, sf):
+    cv = B.cv_analysis(spark, sf)
+    off = B.offer_analysis(spark, sf)
+    cvv = ML.embed_texts(B.table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), "text"),
+                         "text", "vec", dim=256, idf=False) \
+        .join(cv.select(F.col("cv_id").alias("qid"), "domain"), "qid").select("qid", "vec", "domain")
+    ofv = ML.embed_texts(off.select(F.col("offer_id").alias("iid"), "text", "domain", "ord"),
+                         "text", "vec", dim=256, idf=False).select("iid", "vec", "domain", "ord")
+    out = M.hybrid_match(cvv, ofv, cv, off, B.TEST_SKILLS, B.LANGS, k=MATCH_K, min_score=MATCH_MIN_SCORE)
+    return out.select("cv_id", F.col("rank").cast("long").alias("rank"), "offer_id", r6("score").alias("score"),
+                      "source")

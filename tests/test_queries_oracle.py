@@ -45,4 +45,4 @@ def test_query_matches_oracle(spark, duck, name):
 
 def test_every_query_has_oracle_or_is_rows_only():
     rows_only = set(E.queries()) - set(E.oracle_sql())
-    assert rows_only <= {"html_cards", "embed_texts", "train_classifier"}
+    assert rows_only <= {"html_cards", "embed_texts", "train_classifier", "hybrid_match"}
