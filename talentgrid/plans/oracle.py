@@ -788,3 +788,13 @@ SELECT offer_id, 'informatique_reseaux' AS domain, 'France' AS country, 'indeed'
        'Informatique & Réseaux' AS domain_label
 FROM c
 """
+
+
+ORACLE["category_map"] = f"""
+WITH cm AS (SELECT * FROM {values(list(B.TEST_CATEGORY_MAP.items()), ['k', 'v'])}),
+li AS (SELECT * FROM {values([(d, i) for i, d in enumerate(['anglais', 'francais', 'allemand', 'other'])], ['d', 'i'])}),
+x AS (SELECT d.doc_id, d.lang AS category,
+             CASE WHEN coalesce(cm.v, 'autre') = 'autre' THEN 'other' ELSE coalesce(cm.v, 'autre') END AS domain
+      FROM documents d LEFT JOIN cm ON cm.k = regexp_replace(d.lang, '^\\s+|\\s+$', '', 'g'))
+SELECT x.doc_id, x.category, x.domain, coalesce(li.i, 0)::BIGINT AS label FROM x LEFT JOIN li ON li.d = x.domain
+"""

@@ -624,3 +624,12 @@ def q_hybrid_match(spark, sf):
     out = M.hybrid_match(cvv, ofv, cv, off, B.TEST_SKILLS, B.LANGS, k=MATCH_K, min_score=MATCH_MIN_SCORE)
     return out.select("cv_id", F.col("rank").cast("long").alias("rank"), "offer_id", r6("score").alias("score"),
                       "source")
+
+
+@register("category_map")
+def q_category_map(spark, sf):
+    rows = B.training_rows(spark, sf)
+    dom = TR.canonical_domain(TR.category_to_domain(F.col("category"), B.TEST_CATEGORY_MAP, "autre"),
+                              {"autre": "other"})
+    return rows.select(F.col("ord").alias("doc_id"), "category", dom.alias("domain"),
+                       TR.label_index(dom, ["anglais", "francais", "allemand", "other"]).cast("long").alias("label"))
