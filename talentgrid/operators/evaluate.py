@@ -116,10 +116,9 @@ def retrieval_prf(matched: DataFrame, relevant: DataFrame, group: str = "cv_id",
 
 
 def expected_vs_detected(truth: DataFrame, global_recall: DataFrame, group: str = "cv_id") -> DataFrame:
-    """Expected skills per CV and detected = int(expected × global recall); the one-row
-    recall table is joined as a broadcast (its size is one row by construction)."""
-    e = truth.select(group, F.size(F.array_distinct("true_skills")).alias("expected"), F.lit(1).alias("_one"))
-    rec = global_recall.select(F.col("recall").alias("_rec"), F.lit(1).alias("_one"))
-    j = e.join(F.broadcast(rec), "_one", "left")
-    return j.select(group, F.col("expected").cast("long").alias("expected"),
-                    F.floor(F.col("expected") * F.col("_rec")).cast("long").alias("detected"))
+    """Expected skills per CV and detected = int(expected × global recall); the global
+    recall enters as a scalar subquery (no join)."""
+    rec = global_recall.select("recall").scalar()
+    e = truth.select(group, F.size(F.array_distinct("true_skills")).alias("expected"))
+    return e.select(group, F.col("expected").cast("long").alias("expected"),
+                    F.floor(F.col("expected") * rec).cast("long").alias("detected"))

@@ -23,10 +23,8 @@ def key_terms(df: DataFrame, id_col: str, text_col: str, n: int = 5, stop_words=
     tok = tokens(df, id_col, text_col, stop_words)
     tf = tok.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    ndocs = df.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
-    x = (tf.join(dfreq, "term").withColumn("_one", F.lit(1))
-         .join(F.broadcast(ndocs), "_one")                        # one-row table
-         .withColumn("tfidf", F.col("tf") * F.log(F.col("_n") / F.col("df"))))
+    ndocs = df.agg(F.count(F.lit(1))).scalar()                    # scalar subquery, no join
+    x = tf.join(dfreq, "term").withColumn("tfidf", F.col("tf") * F.log(ndocs / F.col("df")))
     return top_k_per_group(x, [id_col], [F.col("tfidf").desc(), F.col("term").asc()], n, "term_rank") \
         .select(id_col, "term", "tf", "df", "tfidf", "term_rank")
 

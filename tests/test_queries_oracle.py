@@ -46,3 +46,15 @@ def test_query_matches_oracle(spark, duck, name):
 def test_every_query_has_oracle_or_is_rows_only():
     rows_only = set(E.queries()) - set(E.oracle_sql())
     assert rows_only <= {"html_cards", "embed_texts", "train_classifier", "hybrid_match"}
+
+
+@pytest.mark.parametrize("name", sorted(n for n in E.queries() if not n.startswith("stream_")
+                                        and n != "train_classifier"))
+def test_no_cross_join_in_plan(spark, name):
+    """Only the literal vocabulary may be the build side of a nested-loop join (theta
+    join on ``Contains``); no Cartesian product anywhere."""
+    plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    for line in plan.split("\n"):
+        if "BroadcastNestedLoopJoin" in line:
+            assert "BuildRight" in line and "Contains(" in line, line
