@@ -58,10 +58,6 @@ def _cv_profiles(cvs: DataFrame, skill_vocab: list[str]) -> DataFrame:
     return prof.withColumn("sk_ords", F.transform("skills", lambda s: F.try_element_at(m, F.lower(s))))
 
 
-def _cv_postings(prof: DataFrame) -> DataFrame:
-    return prof.select("cv_domain", "skills", F.posexplode("sk_ords").alias("pos", "skill_ord"))
-
-
 def _other_domain_firsts(firsts: DataFrame, domains: list[str], k: int, order_cols,
                          dcol: str = "domain") -> DataFrame:
     """For each domain d of the literal list: the first ``k`` rows of ``firsts`` whose

@@ -82,7 +82,8 @@ def spread(df, key: str | None = None):
     if n >= cores:
         return df
     from pyspark.sql import functions as F
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # enough parts to keep every core busy, not the (possibly large) shuffle default
+    parts = max(cores, min(int(spark.conf.get("spark.sql.shuffle.partitions")), cores * 4))
     out = df.repartition(parts, key) if key and key in df.columns else df.repartition(parts)
     # Catalyst would push later (possibly costly) predicates below the exchange, back
     # into the single scan task; an always-true but non-deterministic filter is a
