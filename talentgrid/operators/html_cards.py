@@ -17,23 +17,11 @@ from pyspark.sql import functions as F
 CARD_SCHEMA = ("page_id long, card_pos int, title string, company string, location string, "
                "description string, href string")
 
-# selector alternatives, tried in order: (tag, css class or None)
-INDEED_SELECTORS = {
-    "card": [("div", "job_seen_beacon"), ("div", "jobsearch-SerpJobCard")],
-    "title": [("h2", "jobTitle"), ("a", "jobtitle")],
-    "company": [("span", "companyName"), ("span", "company")],
-    "location": [("div", "companyLocation"), ("div", "location")],
-    "description": [("div", "job-snippet"), ("div", "summary")],
-    "link": [("a", "jcs-JobTitle"), ("a", "jobtitle")],
-}
-SAMPLE_SELECTORS = {
-    "card": [("div", "job-card")],
-    "title": [("h2", "job-title")],
-    "company": [("div", "company-name")],
-    "location": [("div", "job-location")],
-    "description": [("div", "job-description")],
-    "link": [("a", None)],
-}
+# selector alternatives, tried in order: (tag, css class or None); the job-site card
+# layouts are fixed values kept with the vocabularies
+from talentgrid.vocab import JOB_SITE_SELECTORS as INDEED_SELECTORS  # noqa: E402
+from talentgrid.vocab import SAMPLE_CARD_SELECTORS as SAMPLE_SELECTORS  # noqa: E402
+
 ARTICLE_SELECTORS = {
     "card": [("article", None)],
     "title": [("h1", None)],

@@ -306,6 +306,24 @@ INTENT_KEYWORDS = [
     ("entretien", ["entretien", "interview", "question", "embauche"]),
 ]
 
+# offer-card layouts: (tag, css class) alternatives tried in order per field
+JOB_SITE_SELECTORS = {
+    "card": [("div", "job_seen_beacon"), ("div", "jobsearch-SerpJobCard")],
+    "title": [("h2", "jobTitle"), ("a", "jobtitle")],
+    "company": [("span", "companyName"), ("span", "company")],
+    "location": [("div", "companyLocation"), ("div", "location")],
+    "description": [("div", "job-snippet"), ("div", "summary")],
+    "link": [("a", "jcs-JobTitle"), ("a", "jobtitle")],
+}
+SAMPLE_CARD_SELECTORS = {
+    "card": [("div", "job-card")],
+    "title": [("h2", "job-title")],
+    "company": [("div", "company-name")],
+    "location": [("div", "job-location")],
+    "description": [("div", "job-description")],
+    "link": [("a", None)],
+}
+
 DISPLAY_NAMES = {
     "informatique_reseaux": "Informatique & Réseaux",
     "automatismes_info_industrielle": "Automatismes & Info. Industrielle",
