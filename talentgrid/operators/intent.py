@@ -2,49 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentgrid import vocab as V
 
 
+def _any_contains(text: Column, kws: list[str]) -> Column:
+    hit = F.lit(False)
+    for kw in kws:
+        hit = hit | text.contains(kw.lower())
+    return hit
+
+
 def message_intent(turns: DataFrame, intents=None, conv_col: str = "conv_id", role_col: str = "role",
                    text_col: str = "text", order_col: str = "turn", resume: DataFrame | None = None,
                    resume_min_len: int = 100) -> DataFrame:
     """Intent per conversation: ``cv_evaluation`` when a résumé longer than
     ``resume_min_len`` is attached; else the first intent group with a keyword in the
-    user turns (lower-cased, joined by spaces); else ``general``.
+    user turns (lower-cased, each followed by a space, concatenated); else ``general``.
 
     When no keyword contains whitespace it cannot straddle two turns, so containment in
     the joined text equals "some turn contains it": per-turn flags are OR-ed by a plain
-    aggregation (partial, map-side) and no conversation is ever gathered. Keywords with
-    spaces fall back to the ordered join of the conversation's user turns.
+    aggregation (partial, map-side). A keyword with spaces, L characters long, can only
+    reach into the next L turns (each adds at least one separator), so each turn is
+    checked together with its next L turns — a bounded window frame, never the whole
+    conversation gathered into one row.
     """
     intents = V.INTENT_KEYWORDS if intents is None else intents
     users = turns.filter(F.col(role_col) == "user")
     low = F.lower(F.col(text_col))
     spaced = any(any(ch.isspace() for ch in kw) for _, kws in intents for kw in kws)
     if not spaced:
-        flags = []
-        for i, (_, kws) in enumerate(intents):
-            hit = F.lit(False)
-            for kw in kws:
-                hit = hit | low.contains(kw.lower())
-            flags.append(F.max(hit.cast("int")).alias(f"_i{i}"))
-        agg = users.groupBy(conv_col).agg(*flags)
-        hits = [F.col(f"_i{i}") == 1 for i in range(len(intents))]
+        ctx = low
     else:
-        joined = (users.groupBy(conv_col)
-                  .agg(F.array_sort(F.collect_list(F.struct(order_col, low.alias("t")))).alias("_ts"))
-                  .select(conv_col, F.concat(F.array_join(F.transform("_ts", lambda e: e["t"]), " "), F.lit(" "))
-                          .alias("_q")))
-        agg = joined
-        hits = []
-        for _, kws in intents:
-            h = F.lit(False)
-            for kw in kws:
-                h = h | F.col("_q").contains(kw.lower())
-            hits.append(h)
+        span = max(len(kw) for _, kws in intents for kw in kws)
+        w = Window.partitionBy(conv_col).orderBy(order_col).rowsBetween(0, span)
+        ctx = F.concat(F.array_join(F.collect_list(low).over(w), " "), F.lit(" "))
+    x = users.select(conv_col, ctx.alias("_ctx"))
+    agg = x.groupBy(conv_col).agg(*[F.max(_any_contains(F.col("_ctx"), kws).cast("int")).alias(f"_i{i}")
+                                    for i, (_, kws) in enumerate(intents)])
+    hits = [F.col(f"_i{i}") == 1 for i in range(len(intents))]
     convs = turns.select(conv_col).distinct()
     out = convs.join(agg, conv_col, "left")
     intent = F.lit("general")

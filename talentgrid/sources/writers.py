@@ -23,9 +23,19 @@ def write_offers(df: DataFrame, path: str, partition_by: list[str] | None = None
 
 
 def offer_envelope(df: DataFrame, timestamp: str) -> DataFrame:
-    """(timestamp, count, jobs) per batch key ``batch`` — for small exports only."""
-    return df.groupBy("batch").agg(F.lit(timestamp).alias("timestamp"), F.count(F.lit(1)).alias("count"),
-                                   F.collect_list(F.struct(*[c for c in df.columns if c != "batch"])).alias("jobs"))
+    """The batch envelope (timestamp, count) per batch key ``batch`` — a manifest; the
+    jobs themselves are written row-wise by ``write_offer_batches`` instead of being
+    gathered into one array per batch."""
+    return df.groupBy("batch").agg(F.lit(timestamp).alias("timestamp"), F.count(F.lit(1)).alias("count"))
+
+
+def write_offer_batches(df: DataFrame, path: str, timestamp: str) -> DataFrame:
+    """Offers as JSON lines partitioned by ``batch`` plus a manifest of (batch,
+    timestamp, count); returns the manifest."""
+    df.write.mode("overwrite").partitionBy("batch").json(path + "/jobs")
+    manifest = offer_envelope(df, timestamp)
+    manifest.write.mode("overwrite").json(path + "/manifest")
+    return manifest
 
 
 def upsert_collection(existing: DataFrame, updates: DataFrame, id_col: str = "id",

@@ -31,8 +31,9 @@ def test_writers_and_parsers(spark, tmpdir_path):
     offers = spark.createDataFrame([("b1", "1", "Dev", "A", "Paris", "d", 1), ("b1", "2", "Ops", "B", "Lyon", "e", 1)],
                                    "batch string, id string, title string, company string, location string, "
                                    "description string, version int")
-    env = W.offer_envelope(offers.drop("version"), "2025-01-01").first()
-    assert env["count"] == 2 and len(env.jobs) == 2
+    env = W.write_offer_batches(offers.drop("version"), os.path.join(tmpdir_path, "env"), "2025-01-01").first()
+    assert env["count"] == 2 and env.timestamp == "2025-01-01"
+    assert spark.read.json(os.path.join(tmpdir_path, "env", "jobs")).count() == 2
     W.write_offers(offers, os.path.join(tmpdir_path, "o.csv"))
     W.write_offers(offers, os.path.join(tmpdir_path, "o_parquet"), partition_by=["batch"])
     assert spark.read.parquet(os.path.join(tmpdir_path, "o_parquet")).count() == 2
@@ -47,3 +48,20 @@ def test_writers_and_parsers(spark, tmpdir_path):
     assert got[0].microsecond == 580189 and got[1].second == 17 and got[2] is None
     j = spark.createDataFrame([('{"k": 7, "a": {"b": "x"}}',)], "p string")
     assert j.select(T.json_field("p", "$.a.b").alias("x")).first().x == "x"
+
+
+def test_intent_spaced_and_plain(spark):
+    from talentgrid.operators.intent import message_intent
+    turns = spark.createDataFrame([
+        (1, 0, "user", "Bonjour"), (1, 1, "assistant", "skill"), (1, 2, "user", "quelles compétences ?"),
+        (2, 0, "user", "mock"), (2, 1, "user", "interview please"),
+        (3, 0, "user", "hello there"), (3, 1, "user", "friend"),
+        (4, 0, "user", "rien")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.intent for r in message_intent(turns).collect()}
+    assert got == {1: "competences", 2: "entretien", 3: "general", 4: "general"}
+    spaced = [("greet", ["there friend"]), ("other", ["xyz"])]
+    got = {r.conv_id: r.intent for r in message_intent(turns, spaced).collect()}
+    assert got[3] == "greet" and got[1] == "general"
+    res = spark.createDataFrame([(4, "x" * 150)], "conv_id long, resume_content string")
+    got = {r.conv_id: r.intent for r in message_intent(turns, resume=res).collect()}
+    assert got[4] == "cv_evaluation"
