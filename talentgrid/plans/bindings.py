@@ -61,9 +61,14 @@ TABLE_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_
               "lineitem": "l_orderkey", "part": "p_partkey", "customer": "c_custkey", "supplier": "s_suppkey"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, where=None) -> DataFrame:
+    """A driver table; ``where`` (a Column) is applied at the scan, so it is pushed into
+    the Parquet reader before any spreading."""
     from talentgrid.session import spread
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), TABLE_KEYS.get(name))
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if where is not None:
+        df = df.filter(where)
+    return spread(df, TABLE_KEYS.get(name))
 
 
 def cvs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -433,7 +433,8 @@ from talentgrid.operators import terms as TM  # noqa: E402
 
 @register("offer_filters")
 def q_offer_filters(spark, sf):
-    d = B.table(spark, sf, "documents")
+    # the equality filters reach the Parquet scan (PushedFilters); the operator re-states them
+    d = B.table(spark, sf, "documents", where=(F.col("lang") == "fr") & (F.col("source") == "src3"))
     x = OF.offer_filter(d, "fr", None, domain_col="lang")
     x = x.filter(F.col("source") == "src3")
     x = OF.keyword_search(x.withColumn("title", F.substring_index("text", "\n", 1)), "pour", ["title", "text"])

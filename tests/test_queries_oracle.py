@@ -58,3 +58,8 @@ def test_no_cross_join_in_plan(spark, name):
     for line in plan.split("\n"):
         if "BroadcastNestedLoopJoin" in line:
             assert "BuildRight" in line and "Contains(" in line, line
+
+
+def test_filters_reach_the_scan(spark):
+    plan = E.queries()["offer_filters"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(lang), IsNotNull(source), EqualTo(lang,fr), EqualTo(source,src3)]" in plan
