@@ -76,25 +76,33 @@ def _attach(cvs: DataFrame, ranked: DataFrame, keep: list[str]) -> DataFrame:
 
 
 
-def _candidates(prof: DataFrame, post: DataFrame, zeros: DataFrame, offer_cols: list[str],
-                cv_extra: list[str] | None = None, post_extra: list[str] | None = None) -> DataFrame:
+def _candidates(prof: DataFrame, post: DataFrame, zeros: DataFrame | None, offer_cols: list[str],
+                cv_extra: list[str] | None = None, post_extra: list[str] | None = None,
+                same_domain_only: bool = False) -> DataFrame:
     """All candidate (CV profile, offer) rows from ONE equi-join on a composite key:
     CV skill postings meet offer skill postings on ('S', skill) and every CV profile meets
     the zero-hit candidates of its domain on ('D', domain). ``hit`` is 1 for a shared
-    skill, 0 for a zero-hit candidate; callers aggregate per (profile, offer)."""
+    skill, 0 for a zero-hit candidate; callers aggregate per (profile, offer).
+    ``same_domain_only`` keys the postings by (domain, skill) as well: the blocking that
+    is exact when no cross-domain offer can reach the threshold."""
     cv_extra = cv_extra or []
     post_extra = post_extra or []
     cp = prof.select("cv_domain", "skills", F.posexplode("sk_ords").alias("pos", "skill_ord"), *cv_extra)
-    cside = cp.select("cv_domain", "skills", F.lit("S").alias("_k"), F.lit("").alias("_kd"),
-                      F.col("skill_ord").alias("_ks"), "pos", *cv_extra) \
-        .unionByName(prof.select("cv_domain", "skills", F.lit("D").alias("_k"), F.col("cv_domain").alias("_kd"),
-                                 F.lit(-1).alias("_ks"), F.lit(-1).alias("pos"),
-                                 *[F.lit(None).cast("int").alias(c) for c in cv_extra]))
-    oside = post.select(F.lit("S").alias("_k"), F.lit("").alias("_kd"), F.col("skill_ord").alias("_ks"),
-                        *offer_cols, *post_extra, F.lit(1).alias("hit")) \
-        .unionByName(zeros.select(F.lit("D").alias("_k"), F.col("cv_domain").alias("_kd"), F.lit(-1).alias("_ks"),
-                                  *offer_cols, *[F.lit(None).alias(c) for c in post_extra], F.lit(0).alias("hit")),
-                     allowMissingColumns=True)
+    ckd = F.col("cv_domain") if same_domain_only else F.lit("")
+    okd = F.col("o_domain") if same_domain_only else F.lit("")
+    cside = cp.select("cv_domain", "skills", F.lit("S").alias("_k"), ckd.alias("_kd"),
+                      F.col("skill_ord").alias("_ks"), "pos", *cv_extra)
+    oside = post.select(F.lit("S").alias("_k"), okd.alias("_kd"), F.col("skill_ord").alias("_ks"),
+                        *offer_cols, *post_extra, F.lit(1).alias("hit"))
+    if zeros is not None:
+        cside = cside.unionByName(prof.select("cv_domain", "skills", F.lit("D").alias("_k"),
+                                              F.col("cv_domain").alias("_kd"), F.lit(-1).alias("_ks"),
+                                              F.lit(-1).alias("pos"),
+                                              *[F.lit(None).cast("int").alias(c) for c in cv_extra]))
+        oside = oside.unionByName(zeros.select(F.lit("D").alias("_k"), F.col("cv_domain").alias("_kd"),
+                                               F.lit(-1).alias("_ks"), *offer_cols,
+                                               *[F.lit(None).alias(c) for c in post_extra], F.lit(0).alias("hit")),
+                                  allowMissingColumns=True)
     return cside.join(oside, ["_k", "_kd", "_ks"])
 
 # ------------------------------------------------------------------ I2 rules scorer
@@ -111,6 +119,11 @@ def match_rules(cvs: DataFrame, offers: DataFrame, skill_vocab: list[str], domai
     cvs: (cv_id, domain, skills array<string> of vocabulary skills)
     offers: (offer_id, domain, text lower-cased "title description", ord)
     → (cv_id, rank, offer_id, score, matched_skills, domain_match)
+
+    Blocking: without a domain match a score is at most 0.7 and without a shared skill
+    at most 0.4, so ``min_score > 0.7`` restricts candidates exactly to same-domain offers
+    sharing a skill — the skill postings are then keyed by (domain, skill) and no zero-hit
+    candidates are generated.
     """
     o = offers.select("offer_id", "domain", "ord", matched_ords(F.col("text"), skill_vocab).alias("prof"))
     reps = top_k_per_group(o, ["domain", "prof"], [F.col("ord")], k, "_r").drop("_r")
@@ -121,8 +134,9 @@ def match_rules(cvs: DataFrame, offers: DataFrame, skill_vocab: list[str], domai
     prof = _cv_profiles(cvs, skill_vocab)
     post = reps.select("offer_id", F.col("domain").alias("o_domain"), "ord",
                        F.explode("prof").alias("skill_ord"))
-    zeros = z_same.unionByName(z_other).drop("prof")
-    cand = (_candidates(prof, post, zeros, ["offer_id", "o_domain", "ord"])
+    blocked = min_score > 0.7
+    zeros = None if blocked else z_same.unionByName(z_other).drop("prof")
+    cand = (_candidates(prof, post, zeros, ["offer_id", "o_domain", "ord"], same_domain_only=blocked)
             .groupBy("cv_domain", "skills", "offer_id", "o_domain", "ord").agg(F.sum("hit").alias("h")))
     dm = F.col("o_domain").eqNullSafe(F.col("cv_domain"))
     scored = cand.select("cv_domain", "skills", "offer_id", "ord", "h",
