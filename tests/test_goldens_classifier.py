@@ -100,3 +100,23 @@ def test_vocabulary_sanity():
     for d, rel in V.DOMAIN_RELATIONS.items():
         assert all(r in V.DOMAINS for r in rel)
     assert len(V.TECHNICAL_SKILLS) == 127 and len(V.COMMON_SKILLS) == 45
+
+
+def test_functional_core_texts(spark):
+    out = _analyze(spark, [("a", "Ingénieur en développement logiciel avec expérience en Python et DevOps")])
+    assert out["a"].main_domain == "informatique_reseaux" and len(out["a"].skills) > 0
+    job = spark.createDataFrame([("j", "Développeur Python Senior",
+                                  "Nous recherchons un développeur Python avec expérience en DevOps et AWS")],
+                                "doc_id string, title string, description string")
+    assert C.guess_domain(job).first().guessed_domain == "informatique_reseaux"
+
+
+def test_basic_and_extended_analysers_on_unit_text(spark):
+    df = spark.createDataFrame([("it", IT)], "doc_id string, text string")
+    basic = {r.domain: r.score for r in C.domain_scores_basic(df).collect()}
+    # "web" and "javascript", "react" hit developpement_web; skills JavaScript/React add 0.5 each
+    assert basic["developpement_web"] > basic.get("cybersecurite", 0)
+    ext = {r.domain: r.score for r in C.domain_scores_extended(
+        df, V.DOMAIN_KEYWORDS, V.TECHNICAL_SKILLS, {"Python": "informatique_reseaux", "Docker": "informatique_reseaux"}
+    ).collect()}
+    assert max(ext, key=ext.get) == "informatique_reseaux" and all(0 <= v <= 1 for v in ext.values())
