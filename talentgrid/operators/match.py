@@ -227,17 +227,20 @@ def match_weighted(cvs: DataFrame, offers: DataFrame, skill_vocab: list[str], we
     n = F.size("skills")
     prof = prof.withColumn("_w", F.transform(low, lambda s: F.when(
         (n - F.array_position(F.reverse(low), s)) < 3, F.lit(15)).otherwise(F.lit(10))))
+    # one composite-key join: skill postings meet on ('S', CV domain, skill), every CV
+    # profile meets its domain's zero-hit candidates on ('D', CV domain)
     cpost = prof.select("cv_domain", "skills", F.posexplode(F.arrays_zip("sk_ords", "_w")).alias("pos", "z")) \
-        .select("cv_domain", "skills", "pos", F.col("z.sk_ords").alias("skill_ord"), F.col("z._w").alias("w"))
-    post = reps.select("cv_domain", "offer_id", "ord", "kw_u", "tprof", F.explode("prof").alias("skill_ord"))
+        .select("cv_domain", "skills", F.lit("S").alias("_k"), F.col("z.sk_ords").alias("_ks"),
+                F.col("z._w").alias("w"))
+    czero = prof.select("cv_domain", "skills", F.lit("D").alias("_k"), F.lit(-1).alias("_ks"), F.lit(0).alias("w"))
+    opost = reps.select("cv_domain", F.lit("S").alias("_k"), F.explode("prof").alias("_ks"), "offer_id", "ord",
+                        "kw_u", "tprof", F.lit(1).alias("hit"))
+    ozero = firsts.select("cv_domain", F.lit("D").alias("_k"), F.lit(-1).alias("_ks"), "offer_id", "ord", "kw_u",
+                          F.array().cast("array<int>").alias("tprof"), F.lit(0).alias("hit"))
     keys = ["cv_domain", "skills", "offer_id", "ord", "kw_u"]
-    hit_pairs = (cpost.join(post, ["cv_domain", "skill_ord"])
-                 .groupBy(*keys)
-                 .agg(F.sum(F.col("w") + F.when(F.array_contains("tprof", F.col("skill_ord")), 5).otherwise(0))
-                      .alias("s_u"), F.count(F.lit(1)).alias("h")))
-    zero = (prof.select("cv_domain", "skills").join(firsts.drop("prof", "tprof"), "cv_domain")
-            .withColumn("s_u", F.lit(0).cast("long")).withColumn("h", F.lit(0).cast("long")))
-    cand = hit_pairs.unionByName(zero).groupBy(*keys).agg(F.max("s_u").alias("s_u"), F.max("h").alias("h"))
+    contrib = F.col("hit") * (F.col("w") + F.when(F.array_contains("tprof", F.col("_ks")), 5).otherwise(0))
+    cand = (cpost.unionByName(czero).join(opost.unionByName(ozero), ["cv_domain", "_k", "_ks"])
+            .groupBy(*keys).agg(F.sum(contrib).alias("s_u"), F.sum("hit").alias("h")))
     total = F.least(F.lit(100), F.lit(20) + F.least(F.lit(50), F.col("s_u")) + F.col("kw_u"))
     scored = cand.withColumn("score", total / F.lit(100.0))
     ranked = top_k_per_group(scored, ["cv_domain", "skills"], [F.col("score").desc(), F.col("ord").asc()], k)
