@@ -291,3 +291,17 @@ def domain_prompt(vocab: dict, spark) -> DataFrame:
     g = df.groupBy("domain", "domain_ord").agg(F.array_sort(F.collect_list(F.struct("kw_ord", "keyword"))).alias("_k"))
     return g.select("domain", F.concat(F.lit("Domaine: "), domain_label("domain"), F.lit(". Mots-clés: "),
                                        F.array_join(F.transform("_k", lambda e: e["keyword"]), ", ")).alias("prompt"))
+
+
+def domain_summary(scores_long: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``domain_map`` and ``sorted_domain_scores`` from one aggregation per document."""
+    e = F.collect_list(F.struct("domain_ord", "domain", "score"))
+    x = scores_long.groupBy(id_col).agg(e.alias("_e"))
+    by_ord = F.array_sort("_e")
+    by_score = F.array_sort(F.transform("_e", lambda v: F.struct((-v["score"]).alias("_neg"), v["domain_ord"].alias("o"),
+                                                                 v["domain"].alias("domain"), v["score"].alias("score"))))
+    return x.select(id_col,
+                    F.map_from_entries(F.transform(by_ord, lambda v: F.struct(v["domain"], v["score"])))
+                    .alias("domain_scores"),
+                    F.transform(by_score, lambda v: F.struct(v["domain"].alias("domain"), v["score"].alias("score")))
+                    .alias("ranked_domains"))

@@ -592,9 +592,7 @@ def q_domain_offers_topk(spark, sf):
 def q_domain_map(spark, sf):
     docs = B.table(spark, sf, "documents")
     lng = C.domain_scores_fallback_long(docs, B.LANG_VOCAB).withColumn("score", r6("score"))
-    m = C.domain_map(lng)
-    ranked = C.sorted_domain_scores(lng)
-    return m.join(ranked, "doc_id").select(
+    return C.domain_summary(lng).select(
         "doc_id",
         F.array_join(F.transform(F.map_entries("domain_scores"),
                                  lambda e: F.concat(e["key"], F.lit(":"), F.format_number(e["value"], 6))), ",").alias("scores"),
