@@ -3,6 +3,8 @@ hot profile holding most offers and CVs without skills."""
 
 import random
 
+from pyspark.sql import functions as F
+
 import pytest
 
 from talentgrid.operators import match as M
@@ -114,3 +116,25 @@ def test_plan_has_no_cartesian_and_limits_windows(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
     assert "WindowGroupLimit" in plan
+
+
+def test_hybrid_match_equals_composition(spark):
+    from talentgrid.operators import dedup as DD
+    from talentgrid.operators import vectors as VX
+    cvs, offers = _data(8)
+    c, o = _frames(spark, cvs, offers)
+    import random
+    rnd = random.Random(3)
+    cv_vec = spark.createDataFrame([(cv, [rnd.random() for _ in range(4)], dom) for cv, dom, _ in cvs],
+                                   "qid long, vec array<double>, domain string")
+    of_vec = spark.createDataFrame([(oid, [rnd.random() for _ in range(4)], dom, ordv)
+                                    for oid, dom, _, _, _, ordv in offers],
+                                   "iid long, vec array<double>, domain string, ord long")
+    sk = [s.capitalize() for s in SKILLS]
+    got = sorted((r.cv_id, r.rank, r.offer_id, r.source)
+                 for r in M.hybrid_match(cv_vec, of_vec, c, o, sk, DOMAINS, k=3, min_score=0.3).collect())
+    vec = VX.vector_search(cv_vec, of_vec, limit=3).select(
+        F.col("qid").alias("cv_id"), F.col("iid").alias("offer_id"), F.col("cos").alias("score"), "rank")
+    scr = M.match_rules(c, o, sk, DOMAINS, k=3, min_score=0.3).select("cv_id", "offer_id", "score", "rank")
+    exp = sorted((r.cv_id, r.rank, r.offer_id, r.source) for r in DD.hybrid_merge(vec, scr, 3).collect())
+    assert got == exp and len(got) > 0
