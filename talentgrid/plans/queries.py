@@ -14,6 +14,22 @@ from pyspark.sql import functions as F
 
 from talentgrid.operators import classify as C
 from talentgrid.plans import bindings as B
+from talentgrid.operators import skills as S
+from talentgrid.operators import match as M
+from talentgrid.operators import vectors as VX
+from talentgrid.functions import vectors as FV
+from talentgrid.functions import ids as IDS
+from talentgrid.operators import dedup as DD
+from talentgrid.operators import evaluate as EV
+from talentgrid.operators import feedback as FB
+from talentgrid.operators import training as TR
+from talentgrid.operators import intent as IN
+from talentgrid.operators import html_cards as HC
+from talentgrid.functions import text as T
+from talentgrid.operators import offers as OF
+from talentgrid.operators import terms as TM
+from talentgrid.streaming import streams as ST
+from talentgrid.operators import ml as ML
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -45,8 +61,6 @@ def q_main_domain(spark, sf):
 
 
 # ------------------------------------------------------------------ skills / titles
-from talentgrid.operators import skills as S  # noqa: E402
-from talentgrid.operators import match as M  # noqa: E402
 
 
 @register("extract_skills")
@@ -137,8 +151,6 @@ def q_competence_coverage(spark, sf):
 
 
 # ------------------------------------------------------------------ embeddings
-from talentgrid.operators import vectors as VX  # noqa: E402
-from talentgrid.functions import vectors as FV  # noqa: E402
 
 
 @register("match_embedding_topk")
@@ -183,8 +195,6 @@ def q_composite_embedding(spark, sf):
 
 
 # ------------------------------------------------------------------ ids / dedup / merge
-from talentgrid.functions import ids as IDS  # noqa: E402
-from talentgrid.operators import dedup as DD  # noqa: E402
 
 
 @register("offer_ids")
@@ -217,7 +227,6 @@ def q_hybrid_merge(spark, sf):
 
 
 # ------------------------------------------------------------------ evaluation
-from talentgrid.operators import evaluate as EV  # noqa: E402
 
 
 def _pred_truth(spark, sf):
@@ -276,7 +285,6 @@ def q_expected_vs_detected(spark, sf):
 
 
 # ------------------------------------------------------------------ feedback
-from talentgrid.operators import feedback as FB  # noqa: E402
 
 
 @register("valid_ratings")
@@ -314,7 +322,6 @@ def q_feedback_upsert(spark, sf):
 
 
 # ------------------------------------------------------------------ training data
-from talentgrid.operators import training as TR  # noqa: E402
 
 
 def _examples(spark, sf):
@@ -358,9 +365,6 @@ def q_stratified_split(spark, sf):
 
 
 # ------------------------------------------------------------------ intents / html / scalar text
-from talentgrid.operators import intent as IN  # noqa: E402
-from talentgrid.operators import html_cards as HC  # noqa: E402
-from talentgrid.functions import text as T  # noqa: E402
 
 
 @register("message_intent")
@@ -427,8 +431,6 @@ def q_truncate(spark, sf):
 
 
 # ------------------------------------------------------------------ filters / limits / counters
-from talentgrid.operators import offers as OF  # noqa: E402
-from talentgrid.operators import terms as TM  # noqa: E402
 
 
 @register("offer_filters")
@@ -511,7 +513,6 @@ def q_keyword_overlap(spark, sf):
 
 
 # ------------------------------------------------------------------ streaming
-from talentgrid.streaming import streams as ST  # noqa: E402
 
 
 def _events_stream(spark, sf):
@@ -549,7 +550,6 @@ def q_retention(spark, sf):
 
 
 # ------------------------------------------------------------------ ML dataflow
-from talentgrid.operators import ml as ML  # noqa: E402
 
 
 @register("embed_texts")
