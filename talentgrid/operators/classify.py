@@ -18,17 +18,32 @@ from talentgrid import vocab as V
 from talentgrid.functions.text import occurrences
 
 
+# the theta join keeps the whole vocabulary on every executor
+MAX_BROADCAST_VOCAB = 100_000
+
+
 def _spark(df: DataFrame):
     return df.sparkSession
 
 
 def keyword_hits(docs: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "text",
                  how: str = "left", extra_text: list[str] | None = None,
-                 carry: list[str] | None = None, lowered: bool = False) -> DataFrame:
+                 carry: list[str] | None = None, lowered: bool = False,
+                 literal: bool = False) -> DataFrame:
     """(id, domain, domain_ord, keyword, kw_ord, occ) for every vocabulary keyword the
     text contains (case-insensitive substring). ``how="left"`` keeps documents with no
     hit as one row with null keyword columns. ``lowered``: the text is already lower-case."""
-    vdf = vocab if isinstance(vocab, DataFrame) else V.vocab_frame(_spark(docs), vocab)
+    if isinstance(vocab, DataFrame) and not literal:
+        # a caller-supplied vocabulary table is broadcast only behind a size check
+        n = vocab.count()
+        if n > MAX_BROADCAST_VOCAB:
+            raise ValueError(f"vocabulary of {n} rows exceeds {MAX_BROADCAST_VOCAB}; split it into "
+                             "several calls or pass a literal vocabulary")
+        vdf = vocab
+    elif isinstance(vocab, DataFrame):
+        vdf = vocab          # built here from literal rows: size known at plan time
+    else:
+        vdf = V.vocab_frame(_spark(docs), vocab)
     text = F.col(text_col) if lowered else F.lower(F.col(text_col))
     if extra_text:
         text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in [text_col] + extra_text]))
@@ -140,7 +155,7 @@ def weighted_term_scores(docs: DataFrame, terms: dict, id_col: str = "doc_id",
     rows = [(d, di, t, ti, t.lower(), float(w)) for di, (d, ts) in enumerate(terms.items())
             for ti, (t, w) in enumerate(ts)]
     vdf = spark.createDataFrame(rows, V.VOCAB_SCHEMA)
-    hits = keyword_hits(docs, vdf, id_col, text_col, extra_text=extra_text)
+    hits = keyword_hits(docs, vdf, id_col, text_col, extra_text=extra_text, literal=True)
     wide = _per_domain_sums(hits, id_col, len(domains), F.coalesce(F.col("weight"), F.lit(0.0)), "score_")
     return wide
 
@@ -258,7 +273,7 @@ def competence_coverage(docs: DataFrame, competences: dict, id_col: str = "doc_i
             for k in kws:
                 rows.append((d, ci, k, 0, k.lower(), None))
     vdf = spark.createDataFrame(rows, V.VOCAB_SCHEMA)
-    hits = keyword_hits(docs, vdf, id_col, text_col)
+    hits = keyword_hits(docs, vdf, id_col, text_col, literal=True)
     wide = _per_domain_sums(hits, id_col, len(comps),
                             F.when(F.col("kw_ord").isNotNull(), F.lit(1)).otherwise(F.lit(0)), "_n")
     arr = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(c).alias("competence"),

@@ -65,3 +65,15 @@ def test_intent_spaced_and_plain(spark):
     res = spark.createDataFrame([(4, "x" * 150)], "conv_id long, resume_content string")
     got = {r.conv_id: r.intent for r in message_intent(turns, resume=res).collect()}
     assert got[4] == "cv_evaluation"
+
+
+def test_caller_vocabulary_is_size_checked(spark, monkeypatch):
+    import pytest
+    from talentgrid.operators import classify as C
+    docs = spark.createDataFrame([(1, "python and java")], "doc_id long, text string")
+    vdf = V.vocab_frame(spark, {"it": ["python", "java"]})
+    hits = C.keyword_hits(docs, vdf, "doc_id", "text", how="inner")
+    assert hits.count() == 2
+    monkeypatch.setattr(C, "MAX_BROADCAST_VOCAB", 1)
+    with pytest.raises(ValueError):
+        C.keyword_hits(docs, vdf, "doc_id", "text")
