@@ -29,16 +29,35 @@ def _spark(df: DataFrame):
 def keyword_hits(docs: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "text",
                  how: str = "left", extra_text: list[str] | None = None,
                  carry: list[str] | None = None, lowered: bool = False,
-                 literal: bool = False) -> DataFrame:
+                 literal: bool = False, _depth: int = 0) -> DataFrame:
     """(id, domain, domain_ord, keyword, kw_ord, occ) for every vocabulary keyword the
     text contains (case-insensitive substring). ``how="left"`` keeps documents with no
     hit as one row with null keyword columns. ``lowered``: the text is already lower-case."""
     if isinstance(vocab, DataFrame) and not literal:
-        # a caller-supplied vocabulary table is broadcast only behind a size check
+        # a caller-supplied vocabulary table is broadcast only behind a size check; a
+        # larger one is split into hash chunks that are each under the limit and joined
+        # one after the other, each re-checked (exact: every keyword lands in one chunk; inner
+        # hits are unioned, documents without any hit are added once)
         n = vocab.count()
         if n > MAX_BROADCAST_VOCAB:
-            raise ValueError(f"vocabulary of {n} rows exceeds {MAX_BROADCAST_VOCAB}; split it into "
-                             "several calls or pass a literal vocabulary")
+            import math
+            chunks = math.ceil(n / MAX_BROADCAST_VOCAB) * 2        # hash skew headroom
+            parts = []
+            for i in range(chunks):
+                # the hash is salted by the split depth, so a chunk that is still too large is
+                # re-split along different lines
+                part = vocab.filter(F.pmod(F.xxhash64(F.col("kw"), F.lit(_depth)), F.lit(chunks)) == i)
+                # not marked literal: each chunk is counted again and re-split if needed
+                parts.append(keyword_hits(docs, part, id_col, text_col, "inner", extra_text, carry, lowered,
+                                          _depth=_depth + 1))
+            hits = parts[0]
+            for p_ in parts[1:]:
+                hits = hits.unionByName(p_)
+            if how == "left":
+                none = keyword_hits(docs, vocab.limit(0), id_col, text_col, "left", extra_text, carry, lowered,
+                                    literal=True)
+                hits = hits.unionByName(none.join(hits.select(id_col).distinct(), id_col, "left_anti"))
+            return hits
         vdf = vocab
     elif isinstance(vocab, DataFrame):
         vdf = vocab          # built here from literal rows: size known at plan time
