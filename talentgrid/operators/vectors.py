@@ -47,11 +47,19 @@ def _block_top_k(k: int, w_cos: float, w_dom: float, related: dict, exclude_self
             with np.errstate(divide="ignore", invalid="ignore"):
                 cos = np.where(den == 0, 0.0, (qv @ iv.T) / den)
             qd = qc["domain"].to_numpy()
-            same = qd[:, None] == idom[None, :]
+            # domain codes: integer comparisons and a small relation matrix, no Python pair loop
+            names = sorted(set(qd.tolist()) | set(idom.tolist()), key=str)
+            code = {n: i for i, n in enumerate(names)}
+            qc_ = np.array([code[v] for v in qd])
+            ic_ = np.array([code[v] for v in idom])
+            same = qc_[:, None] == ic_[None, :]
             dsim = same.astype(np.float64)
             if rel:
-                relm = np.array([[(a, b) in rel for b in idom] for a in qd], dtype=bool)
-                dsim = np.where(same, 1.0, np.where(relm, 0.5, 0.0))
+                relmat = np.zeros((len(names), len(names)), dtype=bool)
+                for a, b in rel:
+                    if a in code and b in code:
+                        relmat[code[a], code[b]] = True
+                dsim = np.where(same, 1.0, np.where(relmat[qc_][:, ic_], 0.5, 0.0))
             score = w_cos * cos + w_dom * dsim
             qid = qc["qid"].to_numpy()
             if exclude_self:
