@@ -38,7 +38,7 @@ def _block_top_k(k: int, w_cos: float, w_dom: float, related: dict, exclude_self
         iid = it["iid"].to_numpy()
         iord = it["ord"].to_numpy()
         kk = min(k, len(iid))
-        out = []
+        parts = {c: [] for c in cols}
         # query rows in chunks: the score matrix stays chunk × block in memory
         for s0 in range(0, len(q), chunk):
             qc = q.iloc[s0:s0 + chunk]
@@ -74,9 +74,14 @@ def _block_top_k(k: int, w_cos: float, w_dom: float, related: dict, exclude_self
                     cand = np.arange(len(row))
                 idx = cand[np.lexsort((iord[cand], -row[cand]))][:kk]
                 idx = idx[np.isfinite(row[idx])]
-                out.append(pd.DataFrame({"qid": qid[r], "iid": iid[idx], "cos": cos[r, idx], "dsim": dsim[r, idx],
-                                         "score": row[idx], "ord": iord[idx]}))
-        return pd.concat(out, ignore_index=True)
+                parts["qid"].append(np.full(len(idx), qid[r]))
+                parts["iid"].append(iid[idx])
+                parts["cos"].append(cos[r, idx])
+                parts["dsim"].append(dsim[r, idx])
+                parts["score"].append(row[idx])
+                parts["ord"].append(iord[idx])
+        # one frame per group, assembled from flat arrays
+        return pd.DataFrame({c: np.concatenate(v) for c, v in parts.items()})
     return fn
 
 
