@@ -64,22 +64,30 @@ def _block_top_k(k: int, w_cos: float, w_dom: float, related: dict, exclude_self
             qid = qc["qid"].to_numpy()
             if exclude_self:
                 score = np.where(qid[:, None] == iid[None, :], -np.inf, score)
-            for r in range(len(qid)):
-                row = score[r]
-                if kk < len(row):
-                    # every item scoring at least the k-th best, so ties at the cut stay exact
-                    kth = np.partition(row, len(row) - kk)[len(row) - kk]
-                    cand = np.nonzero(row >= kth)[0]
-                else:
-                    cand = np.arange(len(row))
-                idx = cand[np.lexsort((iord[cand], -row[cand]))][:kk]
-                idx = idx[np.isfinite(row[idx])]
-                parts["qid"].append(np.full(len(idx), qid[r]))
-                parts["iid"].append(iid[idx])
-                parts["cos"].append(cos[r, idx])
-                parts["dsim"].append(dsim[r, idx])
-                parts["score"].append(row[idx])
-                parts["ord"].append(iord[idx])
+            # top-k of every row at once: all entries scoring at least the row's k-th best
+            # (ties at the cut stay exact), then one lexsort by (row, -score, ord)
+            n = score.shape[1]
+            fin = np.isfinite(score)
+            if kk < n:
+                kth = np.partition(np.where(fin, score, -np.inf), n - kk, axis=1)[:, n - kk]
+                mask = fin & (score >= kth[:, None])
+            else:
+                mask = fin
+            r_idx, c_idx = np.nonzero(mask)
+            order = np.lexsort((iord[c_idx], -score[r_idx, c_idx], r_idx))
+            r_idx, c_idx = r_idx[order], c_idx[order]
+            if len(r_idx):
+                starts = np.r_[0, np.flatnonzero(np.diff(r_idx)) + 1]
+                sizes = np.diff(np.r_[starts, len(r_idx)])
+                rank = np.arange(len(r_idx)) - np.repeat(starts, sizes)
+                keep = rank < kk
+                r_idx, c_idx = r_idx[keep], c_idx[keep]
+            parts["qid"].append(qid[r_idx])
+            parts["iid"].append(iid[c_idx])
+            parts["cos"].append(cos[r_idx, c_idx])
+            parts["dsim"].append(dsim[r_idx, c_idx])
+            parts["score"].append(score[r_idx, c_idx])
+            parts["ord"].append(iord[c_idx])
         # one frame per group, assembled from flat arrays
         return pd.DataFrame({c: np.concatenate(v) for c, v in parts.items()})
     return fn
