@@ -138,3 +138,32 @@ def test_hybrid_match_equals_composition(spark):
     scr = M.match_rules(c, o, sk, DOMAINS, k=3, min_score=0.3).select("cv_id", "offer_id", "score", "rank")
     exp = sorted((r.cv_id, r.rank, r.offer_id, r.source) for r in DD.hybrid_merge(vec, scr, 3).collect())
     assert got == exp and len(got) > 0
+
+
+def test_knn_blocks_and_ties_equal_brute_force(spark):
+    import math
+    from talentgrid.operators import vectors as VX
+    rnd = random.Random(11)
+    base = [[rnd.choice([0.0, 1.0, 2.0]) for _ in range(3)] for _ in range(6)]
+    items = [(i, base[i % 6], f"d{i % 3}", 100 - i) for i in range(30)]     # many exact ties
+    queries = [(q, base[(q * 5) % 6], f"d{q % 3}") for q in range(12)]
+    rel = {"d0": ["d1"], "d2": ["d0"]}
+    qdf = spark.createDataFrame(queries, "qid long, vec array<double>, domain string")
+    idf = spark.createDataFrame(items, "iid long, vec array<double>, domain string, ord long")
+    got = sorted((r.qid, r.rank, r.iid) for r in
+                 VX.knn_blocked(qdf, idf, 4, 0.7, 0.3, rel, exclude_self=True, block_rows=7).collect())
+
+    def cosine(a, b):
+        na, nb = math.sqrt(sum(x * x for x in a)), math.sqrt(sum(x * x for x in b))
+        return 0.0 if na * nb == 0 else sum(x * y for x, y in zip(a, b)) / (na * nb)
+    exp = []
+    for q, qv, qd in queries:
+        sc = []
+        for i, iv, idom, o in items:
+            if i == q:
+                continue
+            ds = 1.0 if idom == qd else (0.5 if idom in rel.get(qd, []) else 0.0)
+            sc.append((-(0.7 * cosine(qv, iv) + 0.3 * ds), o, i))
+        sc.sort()
+        exp += [(q, r + 1, i) for r, (_, _, i) in enumerate(sc[:4])]
+    assert got == sorted(exp)
