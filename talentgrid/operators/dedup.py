@@ -36,7 +36,7 @@ def dedup_examples(df: DataFrame, order_col: str = "ord") -> DataFrame:
 
 
 def greedy_dedup(df: DataFrame, key1: str, key2_cols: list[str], order_col: str = "ord",
-                 max_rounds: int = 64) -> DataFrame:
+                 max_rounds: int = 64, key1_implies_key2: bool = False) -> DataFrame:
     """Exact order-dependent de-duplication: a row is dropped when an earlier *kept* row
     shares ``key1`` or the ``key2_cols`` tuple (nulls equal); otherwise kept.
 
@@ -46,7 +46,15 @@ def greedy_dedup(df: DataFrame, key1: str, key2_cols: list[str], order_col: str
     joined back on the key, and the state is checkpointed to the shared checkpoint
     folder so lineage stays one round deep and a lost executor only redoes one round.
     Returns ``df`` with a boolean ``kept`` column.
+
+    ``key1_implies_key2``: when equal ``key1`` values always come with equal ``key2`` tuples
+    (e.g. ``key1`` is the md5 offer id over non-empty title/company/…), every conflict is a
+    ``key2`` conflict and one keep-first pass on ``key2`` is the exact answer.
     """
+    if key1_implies_key2:
+        first = keep_first(df.select(*key2_cols, order_col), key2_cols, order_col) \
+            .select(order_col, F.lit(True).alias("kept"))
+        return df.join(first, order_col, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     from talentgrid.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
     k2 = F.struct(*[F.col(c) for c in key2_cols])

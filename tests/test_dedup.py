@@ -55,3 +55,17 @@ def test_hybrid_merge(spark):
                               "cv_id long, offer_id string, score double, rank int")
     out = [(r.offer_id, r.source) for r in DD.hybrid_merge(v, s, 3).orderBy("rank").collect()]
     assert out == [("a", "vector"), ("d", "scraped"), ("b", "vector")]
+
+
+def test_fast_path_when_ids_imply_title_company(spark):
+    from pyspark.sql import functions as F
+    from talentgrid.functions.ids import offer_id
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice(["Dev", "Ops"]), rnd.choice(["A", "B"]), rnd.choice(["Paris", "Lyon"]),
+             rnd.choice(["x", "y"])) for i in range(40)]
+    df = spark.createDataFrame(rows, "ord long, title string, company string, location string, description string") \
+        .withColumn("id", offer_id("title", "company", "location", "description"))
+    slow = {r.ord for r in DD.greedy_dedup(df, "id", ["title", "company"], "ord").filter("kept").collect()}
+    fast = {r.ord for r in DD.greedy_dedup(df, "id", ["title", "company"], "ord", key1_implies_key2=True)
+            .filter(F.col("kept")).collect()}
+    assert slow == fast and len(fast) == 4
