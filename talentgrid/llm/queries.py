@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import chat, license, mixing, quality
+from talentgrid.llm import bpe, chat, license, mixing, quality
 from talentgrid.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 
+def vocabulary() -> str:
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
 def register(name: str):
     def deco(fn):
         QUERIES[name] = fn
@@ -21,6 +26,12 @@ def register(name: str):
     return deco
 
 
+@register("op1_bpe_round_trip")
+def op1(spark, sf):
+    out = bpe.round_trip(table(spark, sf, "documents"), vocabulary(), public_tokenizers.PATTERN)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 @register("op5_chat_perspectives")
 def op5(spark, sf):
     out = chat.rotate(table(spark, sf, "conversations"))
