@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import bpe, chat, license, mixing, quality
+from talentgrid.llm import bpe, chat, langid, license, mixing, quality
 from talentgrid.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,15 @@ def op5(spark, sf):
                       F.md5("segment").alias("segment_md5"))
 
 
+@register("op6_language_id")
+def op6(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    train = docs.filter(F.col("doc_id").isNotNull() & ~held_out).select(F.col("doc_id").alias("id"), "text", "lang")
+    out = langid.predict(docs, langid.fit(train))
+    return out.withColumnRenamed("id", "doc_id").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @register("op8_quality_rules")
 def op8(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
