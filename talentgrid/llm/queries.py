@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import bpe, chat, langid, license, mixing, quality
+from talentgrid.llm import bpe, chat, langid, license, mixing, pii, quality
 from talentgrid.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,18 @@ def op1(spark, sf):
     return out.withColumnRenamed("id", "doc_id")
 
 
+@register("op3_pii")
+def op3(spark, sf):
+    got = pii.spans(table(spark, sf, "documents"))
+    n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    plain = lambda s, kind: F.struct(s["start"].alias("start"), kind.alias("kind"), s["end"].alias("end"))
+    base = F.transform("base", lambda s: plain(s, s["kind"]))
+    terms = F.transform("terms", lambda s: plain(s, F.lit(len(pii.KINDS))))
+    return got.select(F.col("id").alias("doc_id"), *[n(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)],
+                      F.sha2(pii.labelled(base), 256).alias("base_sha256"),
+                      pii.labelled(F.sort_array(F.concat(base, terms))).alias("spans"))
+
+
 @register("op5_chat_perspectives")
 def op5(spark, sf):
     out = chat.rotate(table(spark, sf, "conversations"))
