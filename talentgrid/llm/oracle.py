@@ -27,6 +27,16 @@ from z
 """
 
 
+OP2 = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v, row_number() over () as uid
+    from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select q.uid as quid, q.vec_id as query_id, c.uid, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+    from v q join v c on q.uid <> c.uid where q.vec_id % 20 = 0)
+select query_id, rank, vec_id, score from (select *, row_number() over (partition by quid order by score desc, vec_id nulls last, uid) as rank from p)
+where rank <= 20
+"""
+
+
 def op9() -> str:
     known = "MAP {" + ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in license.SENTENCES.items()) + "}"
     norm = "trim(regexp_replace(regexp_replace(lower(s), " \
@@ -93,4 +103,4 @@ from pl join s8 on pl.source is not distinct from s8.source left join got on got
 """
 
 
-ORACLE = {"op5_chat_perspectives": OP5, "op9_license_scan": op9(), "op10_source_mix": op10()}
+ORACLE = {"op2_inner_product_topk": OP2, "op5_chat_perspectives": OP5, "op9_license_scan": op9(), "op10_source_mix": op10()}

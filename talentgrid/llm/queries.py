@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import bpe, chat, langid, license, mixing, pii, quality
+from talentgrid.llm import bpe, chat, langid, license, mixing, pii, quality, topk
 from talentgrid.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,12 @@ def op1(spark, sf):
     return out.withColumnRenamed("id", "doc_id")
 
 
+@register("op2_inner_product_topk")
+def op2(spark, sf):
+    out = topk.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+    return out.withColumnRenamed("id", "vec_id")
+
+
 @register("op3_pii")
 def op3(spark, sf):
     got = pii.spans(table(spark, sf, "documents"))
