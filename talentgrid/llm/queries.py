@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import bpe, chat, langid, license, mixing, pii, quality, topk
+from talentgrid.llm import bpe, chat, jaccard, langid, license, mixing, pii, quality, topk
 from talentgrid.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,12 @@ def op3(spark, sf):
                       pii.labelled(F.sort_array(F.concat(base, terms))).alias("spans"))
 
 
+@register("op4_jaccard_join")
+def op4(spark, sf):
+    out = jaccard.join(table(spark, sf, "documents"), 4, 85, 100)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 @register("op5_chat_perspectives")
 def op5(spark, sf):
     out = chat.rotate(table(spark, sf, "conversations"))
