@@ -38,11 +38,10 @@ from pyspark.sql import functions as F
 
 from talentgrid.llm.common import key_of, stored
 from talentgrid.llm.components import Forest, components
+from talentgrid.llm.counting import PACKED, frequencies, often, pack, range_bits
 
 ORDERS = 3
 CHUNK_DOCS = 1024
-#: Documents whose tokens make one counting range, about.
-RANGE_DOCS = 4096
 BLOCK = 512
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -89,44 +88,13 @@ def _sets(texts, size):
 
 
 def _packed(size: int, bits: int):
-    """Chunk to rows (rng, chunk, keys, counts): distinct tokens of its sets by range, the
-    32 bits after the range bits being the key."""
+    """Chunk to the packed distinct tokens of its distinct sets."""
     def run(key, table):
         _, sets = _sets(table.column("text").to_pylist(), size)
-        tokens = np.concatenate([*sets.values(), np.zeros(0, "uint64")])
-        tokens, counts = np.unique(tokens >> np.uint64(32 - bits), return_counts=True)
-        rng = (tokens >> np.uint64(32)).astype("int64")
-        edge = np.flatnonzero(np.diff(rng)) + 1
-        parts = list(zip(np.split(rng, edge), np.split(tokens.astype("<u4"), edge),
-                         np.split(np.minimum(counts, 65535).astype("<u2"), edge))) if len(tokens) else []
-        return pa.table({
-            "rng": pa.array([int(r[0]) for r, _, _ in parts], pa.int64()),
-            "chunk": pa.array([key[0].as_py()] * len(parts), pa.int64()),
-            "keys": pa.array([k.tobytes() for _, k, _ in parts], pa.binary()),
-            "counts": pa.array([c.tobytes() for _, _, c in parts], pa.binary())})
+        return pack(key[0].as_py(), np.concatenate([*sets.values(), np.zeros(0, "uint64")]), bits)
     return run
 
 
-def _counted(key, table):
-    """Range to rows (chunk, rng, keys, counts): per chunk the tokens met twice or more in
-    all, with their frequencies."""
-    keys = [np.frombuffer(k, "<u4") for k in table.column("keys").to_pylist()]
-    counts = np.concatenate([np.frombuffer(c, "<u2") for c in table.column("counts").to_pylist()]).astype("int64")
-    every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.minimum(np.bincount(place, counts, len(every)), 2 ** 32 - 1).astype("<u4")
-    out, at = [], 0
-    for chunk, k in zip(table.column("chunk").to_pylist(), keys):
-        f = total[place[at:at + len(k)]]
-        at += len(k)
-        often = f >= 2
-        if often.any():
-            out.append((chunk, k[often].tobytes(), f[often].tobytes()))
-    return pa.table({"chunk": pa.array([c for c, _, _ in out], pa.int64()),
-                     "rng": pa.array([key[0].as_py()] * len(out), pa.int64()),
-                     "keys": pa.array([k for _, k, _ in out], pa.binary()),
-                     "counts": pa.array([f for _, _, f in out], pa.binary())})
-
-
 _NODES = "id {id}, th long, n long, sig string, pre0 array<long>, pre array<binary>, shared binary"
 
 
@@ -135,18 +103,10 @@ def _prefixed(size: int, bits: int, num: int, den: int):
     comes with its prefixes and its frequent tokens, once a chunk."""
     def run(docs, freq):
         rows, sets = _sets(docs.column("text").to_pylist(), size)
-        keys = [np.frombuffer(k, "<u4").astype("uint64") + (np.uint64(r) << np.uint64(32))
-                for r, k in zip(freq.column("rng").to_pylist(), freq.column("keys").to_pylist())]
-        known = np.concatenate([*keys, np.zeros(0, "uint64")])
-        often = np.concatenate([*(np.frombuffer(c, "<u4") for c in freq.column("counts").to_pylist()), np.zeros(0, "<u4")])
-        o = np.argsort(known)
-        known, often = known[o], often[o]
-        live = {}
+        every = frequencies(freq, np.concatenate([*sets.values(), np.zeros(0, "uint64")]), bits)
+        live, at = {}, 0
         for sig, s in sets.items():
-            k = s >> np.uint64(32 - bits)
-            at = np.searchsorted(known, k)
-            at[at == len(known)] = 0
-            f = np.where(known[at] == k, often[at], 1).astype("int64") if len(known) else np.ones(len(s), "int64")
+            f, at = every[at:at + len(s)], at + len(s)
             need = int(least_overlap(len(s), num, den))
             if (f >= 2).sum() < need:
                 continue
@@ -237,12 +197,11 @@ def join(docs: DataFrame, size: int, num: int, den: int, id_col="doc_id", text_c
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("th"), body.alias("text"))
     n_docs = d.count()
     chunks = max(1, math.ceil(n_docs / CHUNK_DOCS))
-    bits = min(30, max(0, math.ceil(math.log2(max(1, n_docs / RANGE_DOCS)))))
+    bits = range_bits(n_docs)
     d = d.select(F.pmod(F.xxhash64(key_of(F.col("id")), "th"), F.lit(chunks)).alias("chunk"), "id", "th", "text")
-    packed = d.groupBy("chunk").applyInArrow(_packed(size, bits), "rng long, chunk long, keys binary, counts binary")
-    often = packed.groupBy("rng").applyInArrow(_counted, "chunk long, rng long, keys binary, counts binary")
+    packed = d.groupBy("chunk").applyInArrow(_packed(size, bits), PACKED)
     id_type = d.schema["id"].dataType
-    nodes = d.groupBy("chunk").cogroup(often.groupBy("chunk")).applyInArrow(
+    nodes = d.groupBy("chunk").cogroup(often(packed).groupBy("chunk")).applyInArrow(
         _prefixed(size, bits, num, den), _NODES.format(id=id_type.simpleString()))
     nodes = stored(nodes, "jaccard-nodes")
     live = nodes.filter("shared is not null").select("sig", "n", "pre0", "pre", "shared")
