@@ -31,10 +31,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the per-worker tables (entries); reaching one only empties that table.
-MAX_STATES = 100_000
-MAX_PIECES = 300_000
-MAX_CHUNKS = 400_000
+#: Bounds of the per-worker tables (entries); reaching one only renews that table.
+MAX_STATES = 200_000
+MAX_PAIRS = 600_000
+MAX_PIECES = 100_000
+MAX_CHUNKS = 500_000
 #: A vocabulary file larger than this is not broadcast.
 MAX_VOCAB_BYTES = 64 << 20
 OUT_ROWS = 256
@@ -48,13 +49,17 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """The merges applied literally: again and again the leftmost neighbours of lowest
     rank become one."""
+    none = 1 << 60
     parts = [piece[i:i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best = min((ranks[p], i) if (p := parts[i] + parts[i + 1]) in ranks else (1 << 60, i) for i in range(len(parts) - 1))
-        if best[0] == 1 << 60:
-            break
-        i = best[1]
+    rank = [ranks.get(x + y, none) for x, y in zip(parts, parts[1:])]
+    while rank and (low := min(rank)) < none:
+        i = rank.index(low)
         parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        del rank[i]
+        if i:
+            rank[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+        if i < len(rank):
+            rank[i] = ranks.get(parts[i] + parts[i + 1], none)
     return parts
 
 
@@ -75,9 +80,10 @@ class Transducer:
                     self.kids.append({})
                     self.token_at.append(-1)
                 node = nxt
-            self.token_at[node] = i
-        self.whole: dict[int, bool] = {}
-        self.follows: dict[tuple[int, int], bool] = {}
+            # a token that the merges do not make of its own bytes ends no hypothesis
+            if len(merged(token, ranks)) == 1:
+                self.token_at[node] = i
+        self.follows: dict[int, bool] = {}
         self._restart()
 
     def _restart(self):
@@ -85,48 +91,41 @@ class Transducer:
         self.states, self.number = [start], {start: 0}
         self.steps: dict[int, tuple[int, tuple]] = {}
 
-    def is_whole(self, t: int) -> bool:
-        """The merges make one token of this token's bytes."""
-        got = self.whole.get(t)
-        if got is None:
-            got = self.whole[t] = len(merged(self.bytes_of[t], self.ranks)) == 1
-        return got
-
     def may_follow(self, a: int, b: int) -> bool:
         """The merges keep the border between these neighbours."""
-        got = self.follows.get((a, b))
-        if got is None:
-            if len(self.follows) > 4 * MAX_PIECES:
-                self.follows.clear()
-            x, y = self.bytes_of[a], self.bytes_of[b]
-            got = self.follows[a, b] = merged(x + y, self.ranks) == [x, y]
+        if len(self.follows) > MAX_PAIRS:
+            self.follows.clear()
+        x, y = self.bytes_of[a], self.bytes_of[b]
+        got = self.follows[a << 32 | b] = merged(x + y, self.ranks) == [x, y]
         return got
 
     def step(self, state: int, byte: int) -> tuple[int, tuple]:
-        """(next state, tokens now certain); makes the step if it is new."""
-        got = self.steps.get(state << 8 | byte)
-        if got is not None:
-            return got
+        """Makes the step: (next state, tokens now certain)."""
+        kids, token_at, follows = self.kids, self.token_at, self.follows
         live = []
         for last, node, due in self.states[state]:
-            node = self.kids[node].get(byte)
+            node = kids[node].get(byte)
             if node is None:
                 continue
-            if self.kids[node]:
+            if kids[node]:
                 live.append((last, node, due))
-            t = self.token_at[node]
-            if t >= 0 and self.is_whole(t) and (last < 0 or self.may_follow(last, t)):
-                live.append((t, 0, due + (t,)))
+            t = token_at[node]
+            if t >= 0:
+                if last >= 0:
+                    ok = follows.get(last << 32 | t)
+                    if not (self.may_follow(last, t) if ok is None else ok):
+                        continue
+                live.append((t, 0, (*due, t)))
         if not live:
             raise ValueError(f"byte {byte} has no token in the vocabulary")
-        sure = min(len(h[2]) for h in live)
+        # what all hypotheses agree on is certain
         first = live[0][2]
-        for h in live:
-            k = 0
-            while k < sure and h[2][k] == first[k]:
-                k += 1
-            sure = k
-        live = tuple((last, node, due[sure:]) for last, node, due in live)
+        sure = len(first)
+        for _, _, due in live[1:]:
+            sure = min(sure, len(due))
+            if due[:sure] != first[:sure]:
+                sure = next(k for k in range(sure) if due[k] != first[k])
+        live = tuple([(last, node, due[sure:]) for last, node, due in live]) if sure else tuple(live)
         nxt = self.number.get(live)
         if nxt is None:
             nxt = self.number[live] = len(self.states)
@@ -151,16 +150,21 @@ class Transducer:
 
 
 class _Table(dict):
-    """A dict that makes missing values, and starts anew when it reaches its bound."""
+    """A dict that makes missing values. At its bound it becomes the older generation and
+    starts anew; what is still asked for comes over from there."""
 
     def __init__(self, make, bound):
         super().__init__()
-        self.make, self.bound = make, bound
+        self.make, self.bound, self.old = make, bound, {}
 
     def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
         if len(self) >= self.bound:
+            self.old = dict(self)
             self.clear()
-        got = self[key] = self.make(key)
+        self[key] = got
         return got
 
 
@@ -171,6 +175,8 @@ class Encoder:
         # \s is the Unicode White_Space property
         self.split = regex.compile(pattern).findall
         self.machine = Transducer(ranks)
+        self.id_bytes = {i: i.to_bytes(4, "little") for i in ranks.values()}
+        self.marks = frozenset(",.")
         # a string that is itself a token is that token, also where the merges alone
         # would not make it
         self.pieces = _Table(self._piece, MAX_PIECES)
@@ -178,22 +184,26 @@ class Encoder:
         self.spaced = _Table(self._spaced, MAX_CHUNKS)
         # a space before a character that is not white space always begins a piece; texts
         # with other spaces are split as a whole
-        self.odd_space = re.compile(r" \s|\s $").search
+        self.odd_space = re.compile(r" \s").search
 
     def _piece(self, piece: str) -> bytes:
         data = piece.encode()
         whole = self.machine.ranks.get(data)
-        if whole is not None and not self.machine.is_whole(whole):
-            return np.array([whole], "<u4").tobytes()
-        return np.array(self.machine.encode(data), "<u4").tobytes()
+        if whole is not None:
+            return self.id_bytes[whole]
+        return b"".join(map(self.id_bytes.__getitem__, self.machine.encode(data)))
 
     def _spaced(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():  # one piece
-            return self._piece(" " + word)
+        # Latin letters alone are one piece, a comma or stop after them another
+        if word.isalpha():
+            if max(word) < "\u0250":
+                return self._piece(" " + word)
+        elif word[-1:] in self.marks and word[:-1].isalpha() and max(word) < "\u0250":
+            return self.spaced[word[:-1]] + self.pieces[word[-1]]
         return b"".join(map(self.pieces.__getitem__, self.split(" " + word)))
 
     def encode(self, text: str) -> bytes:
-        if self.odd_space(text):
+        if self.odd_space(text) or text[-2:-1].isspace() and text[-1] == " ":
             return b"".join(map(self.pieces.__getitem__, self.split(text)))
         head, *rest = text.split(" ")
         return self.first[head] + b"".join(map(self.spaced.__getitem__, rest))
