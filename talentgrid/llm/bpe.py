@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 MAX_STATES = 200_000
 MAX_PAIRS = 600_000
 MAX_PIECES = 100_000
-MAX_CHUNKS = 500_000
+MAX_CHUNKS = 600_000
+#: Bytes of a piece after which the state is remembered.
+HEAD = 6
 #: A vocabulary file larger than this is not broadcast.
 MAX_VOCAB_BYTES = 64 << 20
 OUT_ROWS = 256
@@ -90,6 +92,7 @@ class Transducer:
         start = ((-1, 0, ()),)
         self.states, self.number = [start], {start: 0}
         self.steps: dict[int, tuple[int, tuple]] = {}
+        self.heads: dict[bytes, tuple[int, tuple]] = {}
 
     def may_follow(self, a: int, b: int) -> bool:
         """The merges keep the border between these neighbours."""
@@ -136,10 +139,14 @@ class Transducer:
     def encode(self, piece: bytes) -> list[int]:
         if len(self.states) > MAX_STATES:
             self._restart()
-        out: list[int] = []
-        state, steps = 0, self.steps
-        for b in piece:
-            got = steps.get(state << 8 | b) or self.step(state, b)
+        steps = self.steps
+        # pieces that begin alike take up where the first of them was
+        head = self.heads.get(piece[:HEAD])
+        state, out = (head[0], list(head[1])) if head else (0, [])
+        for at in range(HEAD if head else 0, len(piece)):
+            if at == HEAD:
+                self.heads[piece[:HEAD]] = (state, tuple(out))
+            got = steps.get(state << 8 | piece[at]) or self.step(state, piece[at])
             state = got[0]
             if got[1]:
                 out += got[1]

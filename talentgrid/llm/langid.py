@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-ORDER = 5
+ORDER = 4
 MAX_DOCS = 2000
-MAX_BYTES = 2 << 20
+MAX_BYTES = 1 << 20
 #: Per-worker tables: entries, and the longest word that is kept.
-MAX_WORDS = 400_000
+MAX_WORDS = 500_000
 MAX_GRAMS = 400_000
 KEPT_WORD = 64
 ROWS = 64
@@ -99,58 +99,97 @@ def code_length(tree: dict, context: bytes, byte: int) -> float:
     return bits + 8.0
 
 
+class _Words(dict):
+    """Word to row of the table of code lengths. Missing words get a row and are noted in
+    ``new``, or, if the older generation has them, in ``moved``."""
+
+    def __init__(self, old):
+        super().__init__()
+        self.old, self.rows, self.new, self.moved = old, 0, [], []
+
+    def __missing__(self, word):
+        at = self.rows
+        self.rows += 1
+        was = self.old.get(word)
+        if was is None:
+            self.new.append((at, word))
+        else:
+            self.moved.append((at, was))
+        if len(word) <= KEPT_WORD:
+            self[word] = at
+        return at
+
+
+class _Grams(dict):
+    """Context and byte to row of the table of their code lengths in every language. A
+    context that a language has not seen costs what the next shorter one does."""
+
+    def __init__(self, langs, nodes):
+        super().__init__()
+        self.nodes = nodes
+        self.bits = np.full((1024, langs), 8.0)  # the row of the empty gram is the uniform byte
+        self[b""] = 0
+
+    def __missing__(self, gram):
+        context, byte = gram[:-1], gram[-1]
+        base = self[gram[1:] if context else b""]
+        shorter = self.bits[base].tolist()
+        for lang, total, seen in self.nodes.get(context, ()):
+            n = seen.get(byte)
+            kinds = len(seen)
+            shorter[lang] = log2((total + kinds) / n) if n else log2((total + kinds) / kinds) + shorter[lang]
+        at = self[gram] = len(self)
+        if at == len(self.bits):
+            self.bits = np.concatenate([self.bits, np.zeros_like(self.bits)])
+        self.bits[at] = shorter
+        return at
+
+
 class Scorer:
     """Code lengths of words in all languages, through bounded tables."""
 
     def __init__(self, langs, trees):
-        self.langs, self.trees = langs, trees
-        self._clear()
-
-    def _clear(self):
-        self.words: dict[bytes, int] = {}
-        self.grams: dict[bytes, int] = {}
-        self.gram_bits = np.zeros((1024, len(self.langs)))
-        self.bits = np.zeros((1024, len(self.langs)))
-        self.n_words = 0
-
-    @staticmethod
-    def _room(a, n):
-        return a if n <= len(a) else np.concatenate([a, np.zeros((max(n - len(a), len(a)), a.shape[1]))])
-
-    def _gram(self, gram: bytes) -> int:
-        at = self.grams.get(gram)
-        if at is None:
-            at = self.grams[gram] = len(self.grams)
-            self.gram_bits = self._room(self.gram_bits, at + 1)
-            self.gram_bits[at] = [code_length(t, gram[:-1], gram[-1]) for t in self.trees]
-        return at
+        self.langs = langs
+        self.nodes: dict[bytes, list] = {}
+        for lang, tree in enumerate(trees):
+            for context, (total, seen) in tree.items():
+                self.nodes.setdefault(context, []).append((lang, total, seen))
+        self.words, self.grams = _Words({}), _Grams(len(langs), self.nodes)
+        self.bits = self.old_bits = np.zeros((1024, len(langs)))
+
+    def _renew(self):
+        if self.words.rows > MAX_WORDS:
+            self.words, self.old_bits = _Words(dict(self.words)), self.bits
+            self.bits = np.zeros_like(self.bits)
+        if len(self.grams) > MAX_GRAMS:
+            self.grams = _Grams(len(self.langs), self.nodes)
+
+    def _fill(self):
+        """Code lengths of the words that came up since the last call."""
+        words = self.words
+        if words.rows > len(self.bits):
+            more = max(words.rows - len(self.bits), len(self.bits))
+            self.bits = np.concatenate([self.bits, np.zeros((more, len(self.langs)))])
+        if words.moved:
+            at, was = zip(*words.moved)
+            self.bits[list(at)] = self.old_bits[list(was)]
+        if words.new:
+            rows, sizes = [], []
+            for _, w in words.new:
+                x = b" " + w + b" "
+                head = [x[:i] for i in range(2, min(ORDER, len(x)) + 1)]
+                rows += map(self.grams.__getitem__, head)
+                rows += map(self.grams.__getitem__, [x[i:i + ORDER + 1] for i in range(len(x) - ORDER)])
+                sizes.append(len(x) - 1)
+            starts = np.cumsum([0, *sizes[:-1]])
+            self.bits[[at for at, _ in words.new]] = np.add.reduceat(self.grams.bits[rows], starts)
+        words.new, words.moved = [], []
 
     def totals(self, texts: list[bytes]) -> np.ndarray:
         """Bits of every text in every language."""
-        if len(self.words) > MAX_WORDS or self.n_words > 2 * MAX_WORDS or len(self.grams) > MAX_GRAMS:
-            self._clear()
-        split = [t.split() for t in texts]
-        index, new, sizes = [], [], []
-        words = self.words
-        for ws in split:
-            row = []
-            for w in ws:
-                at = words.get(w)
-                if at is None:
-                    at = self.n_words
-                    self.n_words += 1
-                    if len(w) <= KEPT_WORD:
-                        words[w] = at
-                    x = b" " + w + b" "
-                    g = [self._gram(x[max(0, i - ORDER):i + 1]) for i in range(1, len(x))]
-                    new += g
-                    sizes.append(len(g))
-                row.append(at)
-            index.append(row)
-        if sizes:
-            starts = np.cumsum([0, *sizes[:-1]])
-            self.bits = self._room(self.bits, self.n_words)
-            self.bits[self.n_words - len(sizes):self.n_words] = np.add.reduceat(self.gram_bits[new], starts)
+        self._renew()
+        index = [list(map(self.words.__getitem__, t.split())) for t in texts]
+        self._fill()
         return np.array([self.bits[row].sum(0) if row else np.zeros(len(self.langs)) for row in index])
 
 
