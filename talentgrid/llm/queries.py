@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import bpe, chat, jaccard, langid, license, mixing, pii, quality, topk
+from talentgrid.llm import bpe, chat, jaccard, langid, license, mixing, pii, quality, suffix, topk
 from talentgrid.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,12 @@ def op6(spark, sf):
     return out.withColumnRenamed("id", "doc_id").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@register("op7_suffix_dedup")
+def op7(spark, sf):
+    out = suffix.remove_repeats(table(spark, sf, "documents"), texts=False)
+    return out.withColumnRenamed("id", "doc_id").drop("kept")
+
+
 @register("op8_quality_rules")
 def op8(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
