@@ -14,8 +14,9 @@ windows need.
    (``SAMPLE_DOCS``), range-partition the suffixes into buckets; a leading string that is
    several splitters at once is spread over all their buckets. The sample only balances.
 3. A bucket sorts its suffixes by multikey quicksort and compares the windows of each run
-   of equal leading bytes. Its first and last run may go on in other buckets, so their
-   windows are compared across the boundaries: one digest per distinct window and bucket.
+   of equal leading bytes. Runs of a leading string that fills several buckets go on beyond
+   the boundaries, and so their windows are compared across them: one digest per distinct
+   window and bucket.
 4. The repeated windows come back to their documents as byte ranges.
 
 Runs are bounded by their bucket, buckets by the splitters, and what crosses boundaries is
@@ -154,16 +155,17 @@ def splitters(leads: list[bytes], buckets: int) -> list[bytes]:
     return [leads[len(leads) * i // buckets] for i in range(1, buckets)] if leads else []
 
 
-_SUFFIX = "bucket long, chunk long, loc long, base long, at int, last int, part binary"
+_SUFFIX = "bucket long, chunk long, loc long, base long, at int, last int, open boolean, part binary"
 
 
 def _suffixes(length: int, bits: int, shared, deals: int):
     """Chunk to the suffixes whose leading bytes are met twice or more. ``part`` holds the
     bytes from the first window's start to the last one's end, ``at`` the anchor's and
-    ``last`` the last window's place in it, ``base`` the part's place in the text."""
+    ``last`` the last window's place in it, ``base`` the part's place in the text; ``open`` suffixes may have equals in other
+    buckets."""
     def run(docs, answer):
         cuts = shared.value
-        out = {c: [] for c in ("bucket", "loc", "base", "at", "last", "part")}
+        out = {c: [] for c in ("bucket", "loc", "base", "at", "last", "open", "part")}
         locs = docs.column("loc").to_pylist()
         for number, texts in _slabs(_texts(docs)):
             a = Anchors(texts, length)
@@ -171,9 +173,11 @@ def _suffixes(length: int, bits: int, shared, deals: int):
             first, last, at, doc = (x[keep] for x in (a.first, a.last, a.at, a.doc))
             leads = np.array([a.buffer[p:p + SORTED_BYTES] for p in at.tolist()], f"S{SORTED_BYTES}")
             lo, hi = np.searchsorted(cuts, leads, "left"), np.searchsorted(cuts, leads, "right")
-            # a leading string that is several splitters is spread over their buckets
+            # a leading string that is two or more splitters is spread over their buckets
+            wide = hi - lo > 1
             spread = _mix((first + a.starts[doc]).astype("uint64") * _ODD + np.array([locs[number + d] for d in doc.tolist()], "int64").view("uint64"))
-            lo = lo + (spread % (hi - lo + 1).astype("uint64")).astype("int64")
+            lo = np.where(wide, lo + (spread % (hi - lo + 1).astype("uint64")).astype("int64"), hi)
+            out["open"].append(wide.astype("int64"))
             out["bucket"].append(lo * deals + (a.key[keep] % np.uint64(deals)).astype("int64"))
             out["loc"] += [locs[number + d] for d in doc.tolist()]
             out["base"].append(first - a.starts[doc])
@@ -185,7 +189,7 @@ def _suffixes(length: int, bits: int, shared, deals: int):
         chunk = docs.column("chunk")[0].as_py() if docs.num_rows else 0
         return pa.table({"bucket": cat("bucket", "int64"), "chunk": pa.array([chunk] * n, pa.int64()),
                          "loc": pa.array(out["loc"], pa.int64()), "base": cat("base", "int64"),
-                         "at": cat("at", "int32"), "last": cat("last", "int32"), "part": pa.array(out["part"], pa.binary())})
+                         "at": cat("at", "int32"), "last": cat("last", "int32"), "open": cat("open", bool), "part": pa.array(out["part"], pa.binary())})
     return run
 
 
@@ -215,8 +219,8 @@ _FOUND = "chunk long, loc long, start long, stop long, digest binary, n long"
 
 def _resolved(length: int):
     """Bucket to byte ranges (chunk, loc, start, stop) that are repeated within it, and for
-    its outer runs one row per distinct window with its ``digest`` and count ``n``, and with
-    a range where the bucket alone does not decide it."""
+    its open suffixes one row per distinct window with its ``digest`` and count ``n``, and
+    with a range where the bucket alone does not decide it."""
     lead = length // 2
 
     def run(table):
@@ -236,7 +240,7 @@ def _resolved(length: int):
         new[1:] = (keys[1:] != keys[:-1]).any(1)
         run_no = np.empty(len(order), "int64")
         run_no[order] = np.cumsum(new) - 1
-        outer = (run_no == 0) | (run_no == run_no.max())
+        outer = np.array(table.column("open").to_pylist(), bool)
         in_run = np.bincount(run_no)[run_no]
         live = np.flatnonzero(outer | (in_run > 1))
         if not len(live):
