@@ -1,13 +1,80 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again as
-the next one's input."""
+the next one's input.
+
+1. quality: documents that the quality rules reject go.
+2. near-duplicates: one document of each class of near-copies stays, the one of smallest id.
+3. personal data: base spans are masked, disclosing terms generalised or removed.
+4. mixing: every document stays as often as the source mix plays it, at least once: the
+   targets say how much a source is repeated, and clean documents are kept.
+5. tokens: byte-level BPE ids of every document.
+
+Every stage takes any number of rows (none included), nulls in any column and further
+columns of any name; all but the last return the columns they were given.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from talentgrid.llm import bpe, jaccard, mixing, pii, quality
+from talentgrid.llm.common import key_of, stored
+
+#: Near-copies share 80 % of their five-word shingles.
+SHINGLE, NUM, DEN = 5, 80, 100
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the weak-supervision posterior keeps, unchanged. The votes are
+    written once with their rows, so the texts are measured once."""
+    voted = stored(quality.votes(quality.measures(docs, F.col("text"))), "quality-rows")
+    kept = quality.scored(voted, quality.fit(voted)).filter("kept")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class one document, with the class's smallest id (of several with that id,
+    the one whose text has the smallest hash); documents without words all stay."""
+    found = stored(jaccard.join(docs, SHINGLE, NUM, DEN), "near-classes")
+    worded = found.filter("n > 0")
+    first = worded.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "th")).alias("x"))
+    first = first.select(key_of(F.col("x.id")).alias("idk"), F.col("x.th").alias("th")).withColumn("one", F.lit(True))
+    bare = found.filter("n = 0").select(key_of(F.col("id")).alias("idk"), "th").distinct().withColumn("one", F.lit(False))
+    d = docs.select(F.struct("*").alias("row"), key_of(F.col("doc_id")).alias("idk"),
+                    F.xxhash64(F.col("text").cast("string")).alias("th"))
+    picked = d.join(first.unionByName(bare), ["idk", "th"])
+    # rows with equal id and text are one class; the join has brought them together
+    one = picked.filter("one").dropDuplicates(["idk", "th"])
+    return one.unionByName(picked.filter("not one")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with sanitised texts."""
+    return pii.sanitise(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix plays it in full, rounded, and at least once."""
+    mixed = mixing.taken(docs, weights=(1,), share=1.5).filter("size > 0")
+    # rows with equal id, source and size share their plays
+    times = mixed.groupBy(key_of(F.col("id")).alias("idk"), key_of(F.col("source")).alias("src"), "size") \
+        .agg(F.greatest(F.lit(1), F.round(F.sum("taken") / F.sum("size")).cast("int")).alias("times"))
+    d = docs.select(F.struct("*").alias("row"), key_of(F.col("doc_id")).alias("idk"), key_of(F.col("source")).alias("src"),
+                    mixing.word_count(F.col("text")).alias("size"))
+    d = d.join(times, ["idk", "src", "size"], "left")
+    d = d.withColumn("again", F.explode(F.array_repeat(F.lit(0), F.coalesce("times", F.lit(1)))))
+    return d.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids)."""
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode(docs, vocabulary, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
-from talentgrid.llm.common import stored
 
-STAGES: list = []
+STAGES = [("quality", quality_rules), ("near-duplicates", near_duplicates), ("personal-data", personal_data),
+          ("mix", source_mix), ("tokens", tokens)]
 
 #: The fitted and hashed steps have no SQL twin; tests hold the stages to brute force.
 ORACLE_SQL = None

@@ -2,8 +2,7 @@
 
 Each rule looks at one measure of a text and votes good (1), bad (-1) or abstains (0).
 Documents with the same votes are one row of a pattern table (at most 3 ** rules rows),
-over which expectation-maximisation estimates the share of good documents and the accuracy
-of every rule. A document is kept when its posterior probability of being good is at least
+over which expectation-maximisation estimates the accuracy of every rule. A document is kept when its posterior probability of being good is at least
 ``keep_at``; no single rule has to pass. Measures, votes and posterior are SQL functions
 inside one scan of the texts; only the pattern counts reach the driver.
 
@@ -25,17 +24,21 @@ from talentgrid.llm.common import WORD
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-#: (measure, good test, bad test): a rule votes 1, -1 or, where neither holds, abstains.
+#: (rule, good test, bad test): a rule votes 1, -1 or, where neither holds, abstains. The
+#: absence of one fault is no evidence of quality, so most rules only ever vote bad; prose
+#: votes good where the whole text reads like sentences.
 RULES = (
-    ("length", "n_words >= 100", "n_words < 50"),
-    ("word_length", "word_chars between 3 * n_words and 9 * n_words",
-     "word_chars < 2 * n_words or word_chars > 12 * n_words"),
-    ("symbols", "50 * n_symbols <= n_words", "10 * n_symbols > n_words"),
-    ("dup_lines", "n_dup_lines = 0 and n_lines > 1", "10 * n_dup_lines > 3 * n_lines"),
-    ("repeat_words", "100 * n_repeat_words <= 10 * n_words", "100 * n_repeat_words > 30 * n_words"),
-    ("capitals", "5 * n_upper <= word_chars", "2 * n_upper > word_chars"),
-    ("line_ends", "2 * n_line_ends >= n_lines", "10 * n_line_ends < n_lines"),
-    ("bangs", "n_bangs = 0", "20 * n_bangs > n_words"),
+    ("prose", "2 * n_line_ends >= n_lines and word_chars between 3 * n_words and 9 * n_words"
+              " and 50 * n_symbols <= n_words and 5 * n_upper <= word_chars and n_bangs = 0", "false"),
+    ("length", "n_words >= 300 and n_lines >= 5 and 10 * n_symbols <= n_words", "n_words < 50"),
+    ("word_length", "false", "word_chars < 2 * n_words or word_chars > 12 * n_words"),
+    ("symbols", "false", "10 * n_symbols > n_words"),
+    ("marked_words", "false", "5 * n_symbols > n_words"),
+    ("dup_lines", "false", "10 * n_dup_lines > 3 * n_lines"),
+    ("repeat_words", "false", "100 * n_repeat_words > 30 * n_words"),
+    ("capitals", "false", "2 * n_upper > word_chars"),
+    ("line_ends", "false", "n_lines > 1 and 10 * n_line_ends < n_lines"),
+    ("bangs", "false", "20 * n_bangs > n_words"),
 )
 
 
@@ -73,32 +76,30 @@ def votes(measured: DataFrame, rules=RULES) -> DataFrame:
                     | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def fit(voted: DataFrame, rounds: int = 30) -> tuple[float, list[float]]:
-    """``(log odds of the prior, log odds of every rule's accuracy)`` by
-    expectation-maximisation over the counts of the vote patterns. Accuracies start at 0.8
-    and stay in [0.55, 0.98], so that no rule can turn into its opposite."""
+def fit(voted: DataFrame, start: float = 0.85, rounds: int = 40) -> list[float]:
+    """The log odds of every rule's accuracy, by expectation-maximisation over the counts
+    of the vote patterns, good and bad being equally likely beforehand: a rule gains where
+    others agree with its votes and loses where they don't. Accuracies begin at ``start``
+    and stay in [0.55, 0.98], so that no rule turns into its opposite."""
     rows = [(r.votes, r["count"]) for r in voted.groupBy("votes").count().collect()]  # at most 3 ** rules
     k = len(rows[0][0]) if rows else 0
-    prior, acc = 0.8, [0.8] * k
-    odds = lambda p: math.log(p / (1 - p))
-    for _ in range(rounds if rows else 0):
-        w = [odds(a) for a in acc]
-        post = [1 / (1 + math.exp(-odds(prior) - sum(v * x for v, x in zip(vs, w)))) for vs, _ in rows]
-        right, total = [1.0] * k, [2.0] * k
-        for (vs, n), p in zip(rows, post):
+    acc = [start] * k
+    for _ in range(rounds):
+        w = [math.log(a / (1 - a)) for a in acc]
+        right, total = [10 * start] * k, [10.0] * k  # ten made-up votes
+        for vs, n in rows:
+            good = 1 / (1 + math.exp(-sum(v * x for v, x in zip(vs, w))))
             for j, v in enumerate(vs):
                 if v:
-                    right[j] += n * (p if v > 0 else 1 - p)
+                    right[j] += n * (good if v > 0 else 1 - good)
                     total[j] += n
-        acc = [min(0.98, max(0.55, a / b)) for a, b in zip(right, total)]
-        prior = min(0.98, max(0.02, sum(n * p for (_, n), p in zip(rows, post)) / sum(n for _, n in rows)))
-    return odds(prior), [odds(a) for a in acc]
+        acc = [min(0.98, max(0.55, r / t)) for r, t in zip(right, total)]
+    return [math.log(a / (1 - a)) for a in acc]
 
 
-def scored(voted: DataFrame, model: tuple[float, list[float]], keep_at: float = 0.5) -> DataFrame:
+def scored(voted: DataFrame, weights: list[float], keep_at: float = 0.5) -> DataFrame:
     """Adds ``quality`` (posterior probability) and ``kept``."""
-    base, weights = model
-    logit = F.lit(base)
+    logit = F.lit(0.0)
     for j, w in enumerate(weights):
         logit = logit + F.get("votes", F.lit(j)) * F.lit(w)
     return voted.withColumn("quality", 1 / (1 + F.exp(-logit))) \
