@@ -13,8 +13,8 @@ under every one of them, and candidates are verified by their exact overlap.
 2. Sets that share prefix tokens form families (connected components over the token
    buckets). A family is worked off in blocks of bounded size: inside a unit the prefix
    filters of all orders are intersected, and the pairs left are verified unless already
-   connected. Large families meet block by block in a second pass that skips the pairs
-   which the first has connected. Units return spanning edges, never all pairs.
+   connected. The blocks of a large family meet two by two in a second pass, between the
+   classes that the first has found. Units return spanning edges, never all pairs.
 3. The components of those edges are the classes. Equal sets are one node throughout, so a
    group of exact copies, however large, costs one set per chunk.
 
@@ -152,40 +152,40 @@ def _share(prefixes: list[np.ndarray]) -> np.ndarray:
 
 
 def _linked(num: int, den: int):
-    """Unit to spanning edges (a, b). Sets with one ``label`` are already connected; with
-    two sides only pairs across them are looked at."""
+    """Unit to (a, b): with one side, every set connected to another and the root of its
+    class within the unit; with two, spanning edges between the labels (those roots) of
+    either side, pairs across them only being looked at."""
     def run(table):
-        o = np.argsort(np.array(table.column("sig").to_pylist(), dtype=str), kind="stable")
-        table = table.take(pa.array(o))
-        sig, label, side = (table.column(c).to_pylist() for c in ("sig", "label", "side"))
+        table = table.take(pa.array(np.argsort(np.array(table.column("sig").to_pylist(), dtype=str), kind="stable")))
+        sig, label = (table.column(c).to_pylist() for c in ("sig", "label"))
+        side = np.array(table.column("side").to_pylist())
         n = np.array(table.column("n").to_pylist(), "int64")
         pre = [[np.array(p, "int64").view("uint64") for p in table.column("pre0").to_pylist()]]
         rest = table.column("pre").to_pylist()
         for k in range(ORDERS - 1):
             pre.append([np.frombuffer(r[k], "uint64") for r in rest])
         shared = [np.frombuffer(s, "uint64") for s in table.column("shared").to_pylist()]
+        # the prefix filters of all orders, and the size filter
         ok = np.triu(np.ones((len(n), len(n)), bool), 1)
         for p in pre:
             ok &= _share(p)
         ok &= den * np.minimum.outer(n, n) >= num * np.maximum.outer(n, n)
-        sides = np.array(side)
-        if len(set(side)) > 1:
-            ok &= sides[:, None] != sides[None, :]
+        two = len(set(side.tolist())) > 1
+        if two:
+            ok &= side[:, None] != side[None, :]
         forest, edges = Forest(), []
-        first = {}
-        for s, x in zip(sig, label):
-            if x in first:
-                forest.join(first[x], s)
-            else:
-                first[x] = s
-        for i, j in zip(*np.nonzero(ok)):
-            if forest.root(sig[i]) == forest.root(sig[j]):
+        for i, j in zip(*(x.tolist() for x in np.nonzero(ok))):
+            if forest.root(label[i]) == forest.root(label[j]):
                 continue
             both = overlap(shared[i], shared[j])
             if den * both >= num * (int(n[i]) + int(n[j]) - both):
-                forest.join(sig[i], sig[j])
-                edges.append((sig[i], sig[j]))
-        return pa.table({"a": pa.array([a for a, _ in edges], pa.string()), "b": pa.array([b for _, b in edges], pa.string())})
+                forest.join(label[i], label[j])
+                edges.append((label[i], label[j]))
+        if not two:
+            edges = [(s, forest.root(s)) for s in sig]
+        large = bool(table.column("blocks")[0].as_py() > 1)
+        return pa.table({"a": pa.array([a for a, _ in edges], pa.string()), "b": pa.array([b for _, b in edges], pa.string()),
+                         "large": pa.array([large] * len(edges), pa.bool_())})
     return run
 
 
@@ -215,24 +215,23 @@ def join(docs: DataFrame, size: int, num: int, den: int, id_col="doc_id", text_c
     sets = live.dropDuplicates(["sig"]).join(family.withColumnRenamed("node", "sig"), "sig") \
         .withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     sets = stored(sets, "jaccard-sets")
-    unit = _linked(num, den)
-    cols = ["sig", "n", "pre0", "pre", "shared"]
+    unit, edge = _linked(num, den), "a string, b string, large boolean"
+    cols = ["sig", "n", "pre0", "pre", "shared", "blocks"]
     own = sets.select("root", "block", *cols, F.col("sig").alias("label"), F.lit(0).alias("side"))
-    links = stored(own.groupBy("root", "block").applyInArrow(unit, "a string, b string"), "jaccard-links")
-    classes = components(links)
-    large = sets.filter("blocks > 1")
-    if not large.isEmpty():
-        label = F.coalesce("root0", "sig")
-        large = large.join(classes.select(F.col("node").alias("sig"), F.col("root").alias("root0")), "sig", "left")
+    within = stored(own.groupBy("root", "block").applyInArrow(unit, edge), "jaccard-within")
+    classes = within.select(F.col("a").alias("sig"), F.col("b").alias("root"))
+    if not within.filter("large").isEmpty():
+        large = sets.filter("blocks > 1").join(classes.withColumnRenamed("root", "label"), "sig")
         across = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("other <> block")
         across = across.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-                               *cols, label.alias("label"), F.col("block").alias("side"))
-        more = across.groupBy("root", "lo", "hi").applyInArrow(unit, "a string, b string")
-        classes = components(stored(links.unionByName(more), "jaccard-links"))
+                               *cols, "label", F.col("block").alias("side"))
+        links = stored(across.groupBy("root", "lo", "hi").applyInArrow(unit, edge).select("a", "b").distinct(), "jaccard-across")
+        top = components(links).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        classes = classes.join(top, "root", "left").select("sig", F.coalesce("top", "root").alias("root"))
 
     # the smallest id of every class
     lows = nodes.filter("sig is not null").groupBy("sig").agg(F.min("id").alias("low"))
-    lows = lows.join(classes.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    lows = lows.join(classes, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     names = lows.groupBy("root").agg(F.min("low").alias("component"))
     by_sig = lows.join(names, "root").select("sig", "component")
     some = nodes.filter("sig is not null").select("id", "th", "n", "sig").join(by_sig, "sig")
