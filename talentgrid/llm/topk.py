@@ -36,6 +36,7 @@ CHUNK = 16384
 HEAD = 4096
 TILE = 1024
 QUERY_TILE = 256
+LEVELS = 4
 #: Products of vectors up to this length are exact in doubles.
 EXACT = 2.0 ** 52
 _LAST = np.iinfo("int64").max
@@ -93,16 +94,19 @@ def _exact(a: np.ndarray, b: np.ndarray, big: bool) -> np.ndarray:
 
 
 class Side:
-    """Vectors with their rotated head axes and residual lengths."""
+    """Vectors with their rotated components and, for each of ``LEVELS`` prefixes of the
+    axes, the length of what lies beyond it."""
 
     def __init__(self, uid, ids, v, axes):
         self.uid, self.v = uid, v
         self.ids = np.where(np.isnan(ids), _LAST, np.nan_to_num(ids)).astype("int64") if ids.dtype.kind == "f" else ids
-        turned = v @ axes if len(v) else v
-        h = max(1, v.shape[1] // 4) if v.ndim == 2 and v.shape[1] else 0
-        self.lead = np.ascontiguousarray(turned[:, :h])
+        d = v.shape[1] if len(v) else 0
+        self.turned = v @ axes if d else np.zeros((len(v), 0))
         self.norm = np.sqrt((v * v).sum(1)) if len(v) else np.zeros(0)
-        self.rest = np.sqrt(np.maximum(self.norm ** 2 - (self.lead ** 2).sum(1), 0.0))
+        self.cuts = [d * (i + 1) // LEVELS for i in range(LEVELS)]
+        square = np.cumsum(self.turned ** 2, 1)
+        total = square[:, -1] if d else np.zeros(len(v))
+        self.rest = [np.sqrt(np.maximum(total - square[:, c - 1], 0.0)) if c else self.norm for c in self.cuts]
 
 
 def best(queries: Side, cands: Side, k: int, theta: np.ndarray):
@@ -117,14 +121,25 @@ def best(queries: Side, cands: Side, k: int, theta: np.ndarray):
         t = theta[q]
         score = [np.zeros(0, "int64")] * n
         place = [np.zeros(0, "int64")] * n
-        qn, ql, qr = queries.norm[q], queries.lead[q], queries.rest[q]
+        qn = queries.norm[q]
         for c0 in range(0, len(cands.uid), TILE):
             c = slice(c0, min(c0 + TILE, len(cands.uid)))
             slack = 1e-9 * (1 + qn * cands.norm[c0])
             if not (qn * cands.norm[c0] + slack >= t).any():
                 break
-            bound = ql @ cands.lead[c].T + np.outer(qr, cands.rest[c]) + slack[:, None]
-            qi, ci = np.nonzero((bound >= t[:, None]) & (queries.uid[q][:, None] != cands.uid[c][None, :]))
+            # partial sums over more and more axes, until nothing or little is left
+            least = (t - slack)[:, None]
+            part, live, at = np.zeros((n, c.stop - c.start)), None, 0
+            for cut, qr, cr in zip(queries.cuts, queries.rest, cands.rest):
+                part += queries.turned[q, at:cut] @ cands.turned[c, at:cut].T
+                at = cut
+                live = part + np.outer(qr[q], cr[c]) >= least
+                few = np.count_nonzero(live)
+                if few * 64 < live.size:
+                    break
+            qi, ci = np.nonzero(live)
+            other = queries.uid[q][qi] != cands.uid[c][ci]
+            qi, ci = qi[other], ci[other]
             if not len(qi):
                 continue
             s = _exact(queries.v[q][qi], cands.v[c][ci], big)
