@@ -186,9 +186,9 @@ def sanitise(docs: DataFrame, id_col="doc_id", text_col="text", **thresholds) ->
     terms by ``[TERM]`` or, from ``remove_at``, by nothing. Overlapping spans are replaced
     together by the first."""
     got = spans(docs, id_col, text_col, **thresholds)
-    base_marks = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(
+    base_marks = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.concat(
         F.lit("["), F.upper(F.get(F.array(*[F.lit(k) for k in KINDS]), s["kind"])), F.lit("]")).alias("put")))
-    term_marks = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(
+    term_marks = F.transform("terms", lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), s["end"].alias("end"), F.when(
         s["removed"], F.lit("")).otherwise(F.lit("[TERM]")).alias("put")))
     # rows with equal id and text have equal spans
     marks = got.filter((F.size("base") > 0) | (F.size("terms") > 0)) \
@@ -198,10 +198,10 @@ def sanitise(docs: DataFrame, id_col="doc_id", text_col="text", **thresholds) ->
     d = docs.select(F.struct("*").alias("row"), body.alias("body"), key_of(F.col(id_col)).alias("idk"))
     d = d.withColumn("th", F.xxhash64("body")).join(marks, ["idk", "th"], "left")
     # union of overlapping spans, then the text between them
-    start = F.array().cast("array<struct<start:int,end:int,put:string>>")
+    start = F.array().cast("array<struct<start:int,kind:int,end:int,put:string>>")
     last = lambda a: F.element_at(a, -1)
     merge = lambda a, m: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] > m["start"]), F.concat(
-        F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), F.greatest(
+        F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["start"].alias("start"), last(a)["kind"].alias("kind"), F.greatest(
             last(a)["end"], m["end"]).alias("end"), last(a)["put"].alias("put"))))).otherwise(F.concat(a, F.array(m)))
     d = d.withColumn("u", F.when(F.col("marks").isNotNull(), F.aggregate("marks", start, merge)))
     cut = F.transform("u", lambda m, i: F.concat(F.substring(
