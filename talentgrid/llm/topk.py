@@ -39,7 +39,7 @@ QUERY_TILE = 256
 LEVELS = 4
 #: Products of vectors up to this length are exact in doubles.
 EXACT = 2.0 ** 52
-_LAST = np.iinfo("int64").max
+_LAST = int(np.iinfo("int64").max)
 
 
 def prepared(vectors: DataFrame, query: Column, id_col: str, vec_col: str, scale: float) -> DataFrame:
@@ -99,7 +99,7 @@ class Side:
 
     def __init__(self, uid, ids, v, axes):
         self.uid, self.v = uid, v
-        self.ids = np.where(np.isnan(ids), _LAST, np.nan_to_num(ids)).astype("int64") if ids.dtype.kind == "f" else ids
+        self.ids = ids
         d = v.shape[1] if len(v) else 0
         self.turned = v @ axes if d else np.zeros((len(v), 0))
         self.norm = np.sqrt((v * v).sum(1)) if len(v) else np.zeros(0)
@@ -169,8 +169,7 @@ def _groups(sorted_ids):
 
 
 def _side(table, axes, order=False) -> Side:
-    ids = table.column("id").to_numpy() if isinstance(table.column("id"), pa.ChunkedArray) \
-        else table.column("id").to_numpy(zero_copy_only=False)
+    ids = np.asarray(table.column("id").fill_null(_LAST))  # behind all others in ties
     uid = np.asarray(table.column("uid"))
     v = _matrix(table.column("v"))
     if order:
