@@ -70,6 +70,8 @@ def measures(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def votes(measured: DataFrame, rules=RULES) -> DataFrame:
+    """Adds ``votes`` and ``base_failed``. Write the result before filtering on it (see
+    ``common.stored``): a filter pushed below the measures would take them again."""
     vote = [F.when(F.expr(good), 1).when(F.expr(bad), -1).otherwise(0) for _, good, bad in rules]
     return measured.withColumn("votes", F.array(*vote)) \
         .withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
