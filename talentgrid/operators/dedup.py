@@ -36,16 +36,17 @@ def dedup_examples(df: DataFrame, order_col: str = "ord") -> DataFrame:
 
 
 def greedy_dedup(df: DataFrame, key1: str, key2_cols: list[str], order_col: str = "ord",
-                 max_rounds: int = 64, key1_implies_key2: bool = False) -> DataFrame:
+                 key1_implies_key2: bool = False) -> DataFrame:
     """Exact order-dependent de-duplication: a row is dropped when an earlier *kept* row
-    shares ``key1`` or the ``key2_cols`` tuple (nulls equal); otherwise kept.
+    shares ``key1`` or the ``key2_cols`` tuple (nulls equal, in either key); otherwise kept.
+    ``order_col`` is unique. Returns ``df`` with a boolean ``kept`` column.
 
-    Rounds: a row whose every earlier key-mate is already dropped becomes kept; a row
-    with an earlier kept key-mate becomes dropped. The first undecided row is always
-    decided, so the loop ends; each round is two grouped aggregations (partial, map-side)
-    joined back on the key, and the state is checkpointed to the shared checkpoint
-    folder so lineage stays one round deep and a lost executor only redoes one round.
-    Returns ``df`` with a boolean ``kept`` column.
+    Only (order, key hashes) go through the rounds, and of rows with both keys equal only
+    the first. A row all of whose earlier key-mates are dropped is kept, and its key-mates
+    are dropped; decided rows leave the state, so every round is smaller than the last.
+    The first undecided row is always decided, so the rounds end by themselves; their
+    number is that of the longest chain of alternating decisions. Each round is written to
+    the shared checkpoint folder.
 
     ``key1_implies_key2``: when equal ``key1`` values always come with equal ``key2`` tuples
     (e.g. ``key1`` is the md5 offer id over non-empty title/company/…), every conflict is a
@@ -57,27 +58,25 @@ def greedy_dedup(df: DataFrame, key1: str, key2_cols: list[str], order_col: str
         return df.join(first, order_col, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     from talentgrid.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
-    k2 = F.struct(*[F.col(c) for c in key2_cols])
-    st = df.withColumn("_k1", F.col(key1)).withColumn("_k2", F.xxhash64(k2)).withColumn("_k2s", k2) \
-        .withColumn("_st", F.lit(0))              # 0 undecided, 1 kept, 2 dropped
-    st = st.checkpoint()
-    for _ in range(max_rounds):
-        if st.filter(F.col("_st") == 0).limit(1).count() == 0:
-            break
-        active = F.when(F.col("_st") != 2, F.col(order_col))
-        kept = F.when(F.col("_st") == 1, F.col(order_col))
-        a1 = st.groupBy("_k1").agg(F.min(active).alias("_a1"), F.min(kept).alias("_p1"))
-        a2 = st.groupBy("_k2", "_k2s").agg(F.min(active).alias("_a2"), F.min(kept).alias("_p2"))
-        j = st.join(a1, "_k1").join(a2, ["_k2", "_k2s"])
-        o = F.col(order_col)
-        new = (F.when(F.col("_st") != 0, F.col("_st"))
-               .when((F.col("_p1") < o) | (F.col("_p2") < o), F.lit(2))
-               .when((F.col("_a1") == o) & (F.col("_a2") == o), F.lit(1))
-               .otherwise(F.lit(0)))
-        st = j.withColumn("_st", new).drop("_a1", "_p1", "_a2", "_p2").checkpoint()
-    else:
-        raise RuntimeError("greedy_dedup did not converge")
-    return st.withColumn("kept", F.col("_st") == 1).drop("_k1", "_k2", "_k2s", "_st")
+    def digest(*cols):
+        # nulls are told apart from every value and equal each other
+        return F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(cols)])), 256)
+
+    keys = df.select(digest(key1).alias("k1"), digest(*key2_cols).alias("k2"), F.col(order_col).alias("o"))
+    open_rows = keys.groupBy("k1", "k2").agg(F.min("o").alias("o")).checkpoint()
+    kept = []
+    while not open_rows.isEmpty():
+        first1 = open_rows.groupBy("k1").agg(F.min("o").alias("f1"))
+        first2 = open_rows.groupBy("k2").agg(F.min("o").alias("f2"))
+        state = open_rows.join(first1, "k1").join(first2, "k2")
+        now = state.filter((F.col("f1") == F.col("o")) & (F.col("f2") == F.col("o"))).select("k1", "k2", "o").checkpoint()
+        kept.append(now.select("o"))
+        open_rows = open_rows.join(now.select("k1"), "k1", "left_anti").join(now.select("k2"), "k2", "left_anti").checkpoint()
+    done = df.select(F.col(order_col).alias("o")).limit(0) if not kept else kept[0]
+    for more in kept[1:]:
+        done = done.unionByName(more)
+    done = done.select(F.col("o").alias(order_col), F.lit(True).alias("kept"))
+    return df.join(done, order_col, "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
 
 
 def not_already_present(scraped: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:

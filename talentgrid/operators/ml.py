@@ -28,26 +28,23 @@ def embed_texts(df: DataFrame, text_col: str = "text", out_col: str = "embedding
                 batch_size: int = 64, idf: bool = True) -> DataFrame:
     """Add ``embedding`` (array<double>). Default: hashed TF-IDF of letter tokens (IDF
     fitted on ``df``). With ``encoder`` (texts → [n, d] array) the encoder runs per Arrow
-    batch of ``batch_size`` texts; a failing batch yields nulls, never random vectors."""
+    batch of ``batch_size`` texts; its errors end the job. A null text counts as empty."""
     if encoder is None:
-        tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[^\p{L}]+", toLowercase=True)
+        df = df.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+        tok = RegexTokenizer(inputCol="_text", outputCol="_tok", pattern=r"[^\p{L}]+", toLowercase=True)
         tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim)
         stages = [tok, tf] + ([IDF(inputCol="_tf", outputCol="_v")] if idf else [])
         vcol = "_v" if idf else "_tf"
         model = Pipeline(stages=stages).fit(df)
         out = model.transform(df).withColumn(out_col, vector_to_array(vcol).cast("array<double>")) \
-            .drop("_tok", "_tf", "_v")
+            .drop("_text", "_tok", "_tf", "_v")
     else:
         @F.pandas_udf(T.ArrayType(T.DoubleType()))
         def enc(texts: pd.Series) -> pd.Series:
             res = []
             for i in range(0, len(texts), batch_size):
                 chunk = texts.iloc[i:i + batch_size].fillna("").tolist()
-                try:
-                    arr = np.asarray(encoder(chunk), dtype=np.float64)
-                    res.extend(list(arr))
-                except Exception:  # noqa: BLE001
-                    res.extend([None] * len(chunk))
+                res.extend(list(np.asarray(encoder(chunk), dtype=np.float64)))
             return pd.Series(res)
         out = df.withColumn(out_col, enc(F.col(text_col)))
     if normalize:
@@ -57,7 +54,7 @@ def embed_texts(df: DataFrame, text_col: str = "text", out_col: str = "embedding
 
 def batch_embedding_map(df: DataFrame, text_col: str = "text", **kw) -> DataFrame:
     """Embed each distinct text once and join the vectors back (key = md5 of the text)."""
-    keyed = df.withColumn("_key", F.md5(F.col(text_col)))
+    keyed = df.withColumn("_key", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     uniq = keyed.select("_key", text_col).dropDuplicates(["_key"])
     emb = embed_texts(uniq, text_col, **kw).select("_key", kw.get("out_col", "embedding"))
     return keyed.join(emb, "_key").drop("_key")

@@ -131,11 +131,12 @@ def render_prompt(df: DataFrame) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, label_col: str, id_col: str, ratio: float = 0.2, seed: int = 42,
-                     buckets: int = 4096, materialize_input: bool = True) -> DataFrame:
+                     materialize_input: bool = True) -> DataFrame:
     """Exact stratified split: per label the ``floor(ratio·n + 0.5)`` rows with the smallest
     md5(id|seed) go to ``eval``. The cut is found without ranking whole strata: rows are
     counted per (label, hash bucket), a bounded table whose cumulative sums locate the
-    boundary bucket; only rows of that one bucket per label are ranked. Adds ``split``."""
+    boundary bucket; only rows of that one bucket per label are ranked. A null label is a
+    label like any other. Adds ``split``."""
     from pyspark.sql import Window
     h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit("|"), F.lit(str(seed))))
     if materialize_input:
@@ -148,7 +149,8 @@ def stratified_split(df: DataFrame, label_col: str, id_col: str, ratio: float =
           .withColumn("_tot", F.sum("_n").over(Window.partitionBy(label_col)))
           .withColumn("_k", F.floor(F.lit(ratio) * F.col("_tot") + F.lit(0.5)).cast("long"))
           .withColumn("_before", F.col("_cum") - F.col("_n")))
-    x = x.join(bc.select(label_col, "_b", "_k", "_before", "_cum"), [label_col, "_b"])
+    cuts = bc.select(F.col(label_col).alias("_l"), F.col("_b").alias("_lb"), "_k", "_before", "_cum")
+    x = x.join(cuts, F.col(label_col).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_lb"))).drop("_l", "_lb")
     inside = (F.col("_cum") <= F.col("_k"))
     outside = (F.col("_before") >= F.col("_k"))
     boundary = x.filter(~inside & ~outside)

@@ -69,3 +69,19 @@ def test_fast_path_when_ids_imply_title_company(spark):
     fast = {r.ord for r in DD.greedy_dedup(df, "id", ["title", "company"], "ord", key1_implies_key2=True)
             .filter(F.col("kept")).collect()}
     assert slow == fast and len(fast) == 4
+
+
+def test_null_ids_are_one_key(spark):
+    rows = [(1, None, "a", "x"), (2, None, "b", "x"), (3, "i", "b", "x"), (4, "j", None, None), (5, "k", None, None)]
+    df = spark.createDataFrame(rows, "ord long, id string, title string, company string")
+    out = DD.greedy_dedup(df, "id", ["title", "company"], "ord")
+    assert out.count() == 5
+    assert {r.ord for r in out.filter("kept").collect()} == _greedy(rows) == {1, 3, 4}
+
+
+def test_long_chain(spark):
+    """Each row conflicts with the one before; every other one stays."""
+    rows = [(i, f"i{i // 2}", f"t{(i + 1) // 2}", "x") for i in range(140)]
+    df = spark.createDataFrame(rows, "ord long, id string, title string, company string").coalesce(1)
+    got = {r.ord for r in DD.greedy_dedup(df, "id", ["title", "company"], "ord").filter("kept").collect()}
+    assert got == _greedy(rows) and len(got) == 70

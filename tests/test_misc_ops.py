@@ -78,3 +78,14 @@ def test_caller_vocabulary_is_size_checked(spark, monkeypatch):
     docs2 = spark.createDataFrame([(1, "python and java"), (2, "nothing")], "doc_id long, text string")
     got = sorted((r.doc_id, r.keyword) for r in C.keyword_hits(docs2, vdf, "doc_id", "text").collect())
     assert got == [(1, "java"), (1, "python"), (2, None)]
+
+
+def test_null_labels_and_texts_keep_their_rows(spark):
+    from talentgrid.operators import ml, training
+    rows = [(i, None if i % 3 == 0 else f"l{i % 3}", None if i % 5 == 0 else f"text {i % 4}") for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, label string, text string")
+    out = training.stratified_split(df, "label", "id").groupBy("label", "split").count().collect()
+    assert sum(r["count"] for r in out) == 30
+    assert {r.label: r["count"] for r in out if r.split == "eval"} == {None: 2, "l1": 2, "l2": 2}
+    assert ml.embed_texts(df, dim=16).count() == 30
+    assert ml.batch_embedding_map(df, dim=16).count() == 30
