@@ -12,6 +12,8 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as E  # noqa: E402
 from check_oracle import digest  # noqa: E402
 from talentgrid.plans.bindings import TABLES  # noqa: E402
+from talentgrid.plans.oracle import ORACLE  # noqa: E402
+from talentgrid.plans.queries import QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
@@ -31,7 +33,7 @@ def test_entry(spark):
     assert E.entry(spark).schema == df.schema
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF)
     srows = [tuple(r) for r in df.collect()]
@@ -44,11 +46,11 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_oracle_or_is_rows_only():
-    rows_only = set(E.queries()) - set(E.oracle_sql())
+    rows_only = set(QUERIES) - set(ORACLE)
     assert rows_only <= {"html_cards", "embed_texts", "train_classifier", "hybrid_match"}
 
 
-@pytest.mark.parametrize("name", sorted(n for n in E.queries() if not n.startswith("stream_")
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("stream_")
                                         and n != "train_classifier"))
 def test_no_cross_join_in_plan(spark, name):
     """Only the literal vocabulary may be the build side of a nested-loop join (theta
