@@ -731,11 +731,8 @@ FROM pairs p LEFT JOIN nj ON nj.id = p.offer_id LEFT JOIN inter i ON i.cv_id = p
 ORACLE["stream_dedup"] = "SELECT DISTINCT user_id, event_type FROM events"
 
 ORACLE["stream_window_counts"] = """
-WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS ws, event_type FROM events),
-c AS (SELECT ws, event_type, count(*) AS n FROM w GROUP BY 1, 2),
-m AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events)
-SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, n::BIGINT AS n
-FROM c, m WHERE ws + INTERVAL 6 HOUR <= m.wm
+SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*)::BIGINT AS n
+FROM events GROUP BY 1, 2
 """
 
 ORACLE["stream_feedback"] = """

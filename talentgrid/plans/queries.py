@@ -530,8 +530,9 @@ def q_stream_dedup(spark, sf):
 @register("stream_window_counts")
 def q_stream_window_counts(spark, sf):
     s = _events_stream(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    out = ST.run_to_parquet(ST.window_counts(s, "ts", ["event_type"], "6 hours", "1 hour"), "wcounts")
-    return spark.read.parquet(out).select(F.col("window_start").cast("string").alias("window_start"), "event_type",
+    counts = ST.window_counts(s, "ts", ["event_type"], "6 hours", "1 hour")
+    out = ST.run_updates(counts, ["window_start", "window_end", "event_type"], "wcounts")
+    return out.select(F.col("window_start").cast("string").alias("window_start"), "event_type",
                                           F.col("n").cast("long").alias("n"))
 
 

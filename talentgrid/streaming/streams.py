@@ -38,8 +38,9 @@ def dedup_stream(stream: DataFrame, keys: list[str], event_time: str, delay: str
 
 def window_counts(stream: DataFrame, event_time: str, group_cols: list[str], size: str = "6 hours",
                   delay: str = "1 hour") -> DataFrame:
-    """Arrivals per tumbling window and group; append mode emits a window once the
-    watermark has passed its end (late rows beyond the delay are dropped)."""
+    """Arrivals per tumbling window and group. In append mode a window comes out once the
+    watermark has passed its end, in update mode (see :func:`run_updates`) also while it is
+    open; rows later than the delay are dropped."""
     return (stream.withWatermark(event_time, delay)
             .groupBy(F.window(F.col(event_time), size).alias("w"), *group_cols)
             .agg(F.count(F.lit(1)).alias("n"))
@@ -59,6 +60,24 @@ def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append") -> str
     return out
 
 
+def run_updates(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Run an aggregating stream to completion in update mode and return its latest row per
+    key, so windows that the watermark has not closed are there as well. Every micro-batch
+    writes its updates to a folder of its own; a repeated batch overwrites only that."""
+    spark = df.sparkSession
+    run = f"{name}-{uuid.uuid4().hex[:8]}"
+    out, ck = scratch_path(spark, f"stream-out/{run}"), scratch_path(spark, f"stream-ckpt/{run}")
+    values = [c for c in df.columns if c not in keys]
+
+    def put(batch, batch_id):
+        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/part={batch_id}")
+
+    df.writeStream.foreachBatch(put).option("checkpointLocation", ck).outputMode("update") \
+        .trigger(availableNow=True).start().awaitTermination()
+    last = F.max_by(F.struct(*values), "_batch")
+    return spark.read.parquet(out).groupBy(*keys).agg(last.alias("_v")).select(*keys, "_v.*")
+
+
 def _latest_version(spark: SparkSession, table: str) -> str | None:
     """Newest complete version folder (``v<epoch>`` holding ``_SUCCESS``) of a table."""
     jvm = spark.sparkContext._jvm
