@@ -75,10 +75,13 @@ class _Tree(HTMLParser):
 
 
 def _iter(node):
-    for ch in node.children:
-        if isinstance(ch, _Node):
-            yield ch
-            yield from _iter(ch)
+    """All elements below ``node`` in document order; no recursion, pages may nest without
+    end."""
+    todo = [ch for ch in reversed(node.children) if isinstance(ch, _Node)]
+    while todo:
+        n = todo.pop()
+        yield n
+        todo += [ch for ch in reversed(n.children) if isinstance(ch, _Node)]
 
 
 def _select(node, sel):
@@ -87,18 +90,14 @@ def _select(node, sel):
 
 
 def _text(node) -> str:
-    parts = []
-
-    def walk(n):
-        for ch in n.children:
-            if isinstance(ch, _Node):
-                if ch.tag not in ("script", "style"):
-                    walk(ch)
-            else:
-                s = ch.strip()
-                if s:
-                    parts.append(s)
-    walk(node)
+    parts, todo = [], list(reversed(node.children))
+    while todo:
+        ch = todo.pop()
+        if isinstance(ch, _Node):
+            if ch.tag not in ("script", "style"):
+                todo += reversed(ch.children)
+        elif ch.strip():
+            parts.append(ch.strip())
     return "".join(parts)
 
 

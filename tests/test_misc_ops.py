@@ -89,3 +89,13 @@ def test_null_labels_and_texts_keep_their_rows(spark):
     assert {r.label: r["count"] for r in out if r.split == "eval"} == {None: 2, "l1": 2, "l2": 2}
     assert ml.embed_texts(df, dim=16).count() == 30
     assert ml.batch_embedding_map(df, dim=16).count() == 30
+
+
+def test_deeply_nested_page():
+    from talentgrid.operators import html_cards as HC
+    selectors = {"card": [("div", "job")]}
+    page = "<ul>" + "<li>" * 5000 + "<div class='job'>x</div>"
+    tree = HC._Tree()
+    tree.feed(page)
+    assert [HC._text(n) for n in HC._select(tree.root, selectors["card"][0])] == ["x"]
+    assert HC._text(tree.root) == "x"
