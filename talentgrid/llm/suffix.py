@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentgrid.llm.common import key_of, stored
+from talentgrid.llm.common import key_of
 from talentgrid.llm.counting import PACKED, frequencies, often, pack, range_bits
 
 LENGTH = 200
@@ -304,6 +304,35 @@ def _found(chunk, loc, start, stop, digest, n):
                      "stop": pa.array(stop, long), "digest": pa.array(digest, pa.binary()), "n": pa.array(n, long)})
 
 
+_RANGES = "chunk long, loc long, start long, stop long"
+
+
+def _routed(key, table):
+    """Ranges of a chunk, and the windows of equal digest that came from other buckets:
+    those met twice or more are ranges too. Overlapping ranges become one."""
+    chunk, loc, start, stop, n = (table.column(c).to_numpy() for c in ("chunk", "loc", "start", "stop", "n"))
+    digest = table.column("digest")
+    far = np.asarray(digest.is_valid())
+    keep = ~far
+    if far.any():
+        which = np.flatnonzero(far)
+        _, same = np.unique(np.array(digest.filter(digest.is_valid()).to_pylist(), "S16"), return_inverse=True)
+        often = np.bincount(same, n[which])[same] > 1
+        keep[which[often & ~np.isnan(loc[which].astype("float64"))]] = True
+    rows = pa.Table.from_arrays([table.column(c) for c in ("chunk", "loc", "start", "stop")], ["chunk", "loc", "start", "stop"]) \
+        .filter(pa.array(keep))
+    chunk, loc, start, stop = (rows.column(c).to_numpy().astype("int64") for c in rows.column_names)
+    o = np.lexsort((start, loc, chunk))
+    chunk, loc, start, stop = chunk[o], loc[o], start[o], stop[o]
+    if len(o):
+        doc = np.concatenate([[0], np.cumsum((chunk[1:] != chunk[:-1]) | (loc[1:] != loc[:-1]))]) << 40
+        reach = np.maximum.accumulate(stop + doc)
+        head = np.flatnonzero(np.concatenate([[True], (start + doc)[1:] > reach[:-1]]))
+        tail = np.concatenate([head[1:], [len(o)]]) - 1
+        chunk, loc, start, stop = chunk[head], loc[head], start[head], (reach - doc)[tail]
+    return pa.table({"chunk": chunk, "loc": loc, "start": start, "stop": stop})
+
+
 def _cut(texts: bool):
     """Documents and their ranges to what is left of them."""
     def run(docs, ranges):
@@ -352,10 +381,9 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", length: in
     grouped = d.groupBy("chunk")
     answer = often(grouped.applyInArrow(_packed(length, bits), PACKED))
     suffixes = grouped.cogroup(answer.groupBy("chunk")).applyInArrow(_suffixes(length, bits, shared, deals), _SUFFIX)
-    found = stored(suffixes.groupBy("bucket").applyInArrow(_resolved(length), _FOUND), "suffix-found")
-    across = found.filter("digest is not null").groupBy("digest").agg(
-        F.sum("n").alias("n"), F.collect_list(F.when(F.col("loc").isNotNull(), F.struct("chunk", "loc", "start", "stop"))).alias("r"))
-    across = across.filter("n > 1").select(F.explode("r").alias("r")).select("r.*")  # a row per bucket at most
-    ranges = found.filter("digest is null").select("chunk", "loc", "start", "stop").unionByName(across)
+    found = suffixes.groupBy("bucket").applyInArrow(_resolved(length), _FOUND)
+    # a range goes to its chunk, an open window to where all of its digest meet
+    route = F.when(F.col("digest").isNull(), F.col("chunk")).otherwise(F.pmod(F.xxhash64("digest"), F.lit(chunks)))
+    ranges = found.withColumn("route", route).groupBy("route").applyInArrow(_routed, _RANGES)
     return grouped.cogroup(ranges.groupBy("chunk")).applyInArrow(
         _cut(texts), f"id {d.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
