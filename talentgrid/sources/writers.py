@@ -124,8 +124,11 @@ def ingest_scraped(df: DataFrame, domain_override: str | None = None, vocab: dic
         return x.withColumn("domain", F.lit(domain_override))
     if vocab is None:
         return x
-    txt = x.select(F.col("id").alias("_id"), F.concat_ws(" ", "title", "description").alias("_t"))
+    # by text, not by id: repeated or missing ids neither add up nor go without a domain
+    text = F.concat_ws(" ", "title", "description")
+    x = x.withColumn("_id", F.sha2(text, 256))
+    txt = x.select("_id", text.alias("_t")).dropDuplicates(["_id"])
     sc = domain_scores_extended(txt, vocab, skills or [], skill_domain or {}, id_col="_id", text_col="_t")
     best = sc.groupBy("_id").agg(F.max_by("domain", F.struct("score", -F.col("domain_ord"))).alias("_d"))
-    return x.join(best, x["id"] == best["_id"], "left").withColumn(
+    return x.join(best, "_id", "left").withColumn(
         "domain", F.coalesce(F.nullif(F.col("domain"), F.lit("")), F.col("_d"))).drop("_id", "_d")

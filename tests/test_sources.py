@@ -151,6 +151,14 @@ def test_ingest_scraped_and_storage_summary(spark, tmpdir_path):
     assert s == {0: 1, 1: 1, 2: 1}
 
 
+def test_ingest_scraped_repeated_and_null_ids(spark):
+    rows = [("1", "A", "audit bilan", None, 1), ("1", "B", "python python", None, 2), (None, "C", "audit", None, 3),
+            (None, "D", "python", None, 4), ("1", "A", "audit bilan", None, 5)]
+    df = spark.createDataFrame(rows, "id string, title string, description string, domain string, ord long")
+    out = {r.ord: r.domain for r in W.ingest_scraped(df, vocab={"finance": ["audit", "bilan"], "it": ["python"]}).collect()}
+    assert out == {1: "finance", 2: "it", 3: "finance", 4: "it", 5: "finance"}
+
+
 def test_prompt_dataset_and_small_helpers(spark, tmpdir_path):
     d = tmpdir_path
     with open(os.path.join(d, "cv_data.csv"), "w", encoding="utf-8") as f:
