@@ -26,10 +26,12 @@ SHINGLE, NUM, DEN = 5, 80, 100
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the weak-supervision posterior keeps, unchanged. The votes are
-    written once with their rows, so the texts are measured once."""
-    voted = stored(quality.votes(quality.measures(docs, F.col("text"))), "quality-rows")
-    kept = quality.scored(voted, quality.fit(voted)).filter("kept")
+    """The documents that the weak-supervision posterior keeps, unchanged. One pass counts
+    the votes and one decides; the texts are not written in between."""
+    voted = quality.votes(quality.measures(docs, F.col("text")))
+    judged = quality.scored(voted, quality.fit(voted)).select("row", "kept", F.monotonically_increasing_id().alias("at"))
+    # the running number keeps the filter above the measures, which it would repeat below
+    kept = judged.filter(F.col("kept") & (F.col("at") >= 0))
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
@@ -68,9 +70,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids)."""
+    """(doc_id, n_tokens, ids). The tables are small: the other stages' executors share
+    their memory with the workers that this one leaves behind."""
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode(docs, vocabulary, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
+    return bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, tables=0.2).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("quality", quality_rules), ("near-duplicates", near_duplicates), ("personal-data", personal_data),

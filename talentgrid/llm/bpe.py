@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 MAX_STATES = 200_000
 MAX_PAIRS = 600_000
 MAX_PIECES = 100_000
-MAX_CHUNKS = 600_000
+MAX_CHUNKS = 500_000
 #: Bytes of a piece after which the state is remembered.
 HEAD = 6
 #: A vocabulary file larger than this is not broadcast.
@@ -68,8 +68,8 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 class Transducer:
     """Lazily determinised transducer from bytes to token ids."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], tables: float = 1.0):
+        self.ranks, self.most = ranks, int(MAX_STATES * tables)
         self.bytes_of = {i: t for t, i in ranks.items()}
         self.kids: list[dict[int, int]] = [{}]
         self.token_at = [-1]
@@ -137,7 +137,7 @@ class Transducer:
         return got
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > self.most:
             self._restart()
         steps = self.steps
         # pieces that begin alike take up where the first of them was
@@ -178,17 +178,17 @@ class _Table(dict):
 class Encoder:
     """Whole texts to token ids (little-endian unsigned 32-bit bytes)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, tables: float = 1.0):
         # \s is the Unicode White_Space property
         self.split = regex.compile(pattern).findall
-        self.machine = Transducer(ranks)
+        self.machine = Transducer(ranks, tables)
         self.id_bytes = {i: i.to_bytes(4, "little") for i in ranks.values()}
         self.marks = frozenset(",.")
         # a string that is itself a token is that token, also where the merges alone
         # would not make it
-        self.pieces = _Table(self._piece, MAX_PIECES)
-        self.first = _Table(lambda w: b"".join(map(self.pieces.__getitem__, self.split(w))), MAX_CHUNKS)
-        self.spaced = _Table(self._spaced, MAX_CHUNKS)
+        self.pieces = _Table(self._piece, int(MAX_PIECES * tables))
+        self.first = _Table(lambda w: b"".join(map(self.pieces.__getitem__, self.split(w))), int(MAX_CHUNKS * tables))
+        self.spaced = _Table(self._spaced, int(MAX_CHUNKS * tables))
         # a space before a character that is not white space always begins a piece; texts
         # with other spaces are split as a whole
         self.odd_space = re.compile(r" \s").search
@@ -280,12 +280,12 @@ class _Worker:
     made: dict = {}
 
     @classmethod
-    def get(cls, data, pattern: str):
-        key = (data.id if hasattr(data, "id") else id(data), pattern)
+    def get(cls, data, pattern: str, tables: float = 1.0):
+        key = (data.id if hasattr(data, "id") else id(data), pattern, tables)
         if key not in cls.made:
             cls.made.clear()
             ranks = read_ranks(data.value)
-            cls.made[key] = (Encoder(ranks, pattern), Decoder(ranks))
+            cls.made[key] = (Encoder(ranks, pattern, tables), Decoder(ranks))
         return cls.made[key]
 
 
@@ -309,12 +309,13 @@ def _batches(it, row, names, types):
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], ["id", *names])
 
 
-def encode(docs: DataFrame, vocab_path: str, pattern: str, id_col="doc_id", text_col="text") -> DataFrame:
-    """(id, n_tokens, ids array<int>)."""
+def encode(docs: DataFrame, vocab_path: str, pattern: str, id_col="doc_id", text_col="text", tables: float = 1.0) -> DataFrame:
+    """(id, n_tokens, ids array<int>). ``tables`` scales the bounds of the workers' tables:
+    less memory for more work, the same ids."""
     x, data = _id_and_text(docs, id_col, text_col), _vocabulary(docs.sparkSession, vocab_path)
 
     def run(it):
-        enc, _ = _Worker.get(data, pattern)
+        enc, _ = _Worker.get(data, pattern, tables)
 
         def row(text):
             ids = np.frombuffer(enc.encode(text or ""), "<u4").astype("int32")
