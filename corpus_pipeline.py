@@ -38,9 +38,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class one document, with the class's smallest id (of several with that id,
     the one whose text has the smallest hash); documents without words all stay."""
-    found = stored(jaccard.join(docs, SHINGLE, NUM, DEN), "near-classes")
+    # by the key of the class: its smallest id can be null, or name another class too
+    found = stored(jaccard.join(docs, SHINGLE, NUM, DEN).drop("component"), "near-classes")
     worded = found.filter("n > 0")
-    first = worded.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "th")).alias("x"))
+    first = worded.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "th")).alias("x"))
     first = first.select(key_of(F.col("x.id")).alias("idk"), F.col("x.th").alias("th")).withColumn("one", F.lit(True))
     bare = found.filter("n = 0").select(key_of(F.col("id")).alias("idk"), "th").distinct().withColumn("one", F.lit(False))
     d = docs.select(F.struct("*").alias("row"), key_of(F.col("doc_id")).alias("idk"),

@@ -190,9 +190,10 @@ def _linked(num: int, den: int):
 
 
 def join(docs: DataFrame, size: int, num: int, den: int, id_col="doc_id", text_col="text") -> DataFrame:
-    """(id, th, n, component): ``component`` is the smallest id reachable over links of
-    similarity ``num / den`` or more between sets of ``size``-word shingles, ``th`` a hash
-    of the text."""
+    """(id, th, n, component, class): ``component`` is the smallest id reachable over links
+    of similarity ``num / den`` or more between sets of ``size``-word shingles, ``th`` a hash
+    of the text. ``class`` is the key of the class itself, which ids that are null or used
+    twice do not change; a text without words is a class of its id and text."""
     body = F.col(text_col).cast("string")
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(body).alias("th"), body.alias("text"))
     n_docs = d.count()
@@ -233,7 +234,8 @@ def join(docs: DataFrame, size: int, num: int, den: int, id_col="doc_id", text_c
     lows = nodes.filter("sig is not null").groupBy("sig").agg(F.min("id").alias("low"))
     lows = lows.join(classes, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     names = lows.groupBy("root").agg(F.min("low").alias("component"))
-    by_sig = lows.join(names, "root").select("sig", "component")
+    by_sig = lows.join(names, "root").select("sig", "component", F.col("root").alias("class"))
     some = nodes.filter("sig is not null").select("id", "th", "n", "sig").join(by_sig, "sig")
-    none = nodes.filter("sig is null").select("id", "th", "n", F.col("id").alias("component"))
-    return some.select("id", "th", "n", "component").unionByName(none)
+    alone = F.concat_ws(":", F.col("th").cast("string"), key_of(F.col("id")))
+    none = nodes.filter("sig is null").select("id", "th", "n", F.col("id").alias("component"), alone.alias("class"))
+    return some.select("id", "th", "n", "component", "class").unionByName(none)

@@ -1,6 +1,7 @@
 """Every opN query with a SQL twin equals it; the pipeline equals its stages done plainly."""
 
 import os
+import random
 import re
 import sys
 
@@ -17,7 +18,7 @@ from talentgrid.llm import quality  # noqa: E402
 from talentgrid.llm.common import stored  # noqa: E402
 from talentgrid.llm.oracle import ORACLE  # noqa: E402
 from talentgrid.llm.queries import QUERIES  # noqa: E402
-from tests.llm.helpers import awkward_rows, documents  # noqa: E402
+from tests.llm.helpers import awkward_rows, documents, prose  # noqa: E402
 from tests.llm.test_jaccard import plain as plain_classes  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -94,6 +95,24 @@ def test_one_document_of_a_class_stays(spark):
     assert bare(out) == bare(rows)
 
 
+def test_classes_without_a_name_of_their_own_stay(spark):
+    """Null and repeated ids name no class: as many survivors as brute-force classes."""
+    rng = random.Random(8)
+    near = prose(rng, 120, 10 ** 6)
+    rows = [(None, prose(rng, 60, 10 ** 6), "en", "a") for _ in range(5)]          # different texts, all without id
+    rows += [(5, prose(rng, 60, 10 ** 6), "en", "a") for _ in range(4)]            # and all of one id
+    rows += [(None, near, "en", "a"), (None, near + " end", "en", "a"), (None, near + " end", "fr", "a")]
+    rows += [(5, near.replace(" ", "  ") + " last", "en", "b"), rows[0], rows[5], (None, "", "en", "a"), (5, " ", "en", "a")]
+    # rows renumbered, so that every class has a name that no other has
+    named = {i: c for i, n, c in plain_classes([(i, *r[1:]) for i, r in enumerate(rows)], P.SHINGLE, P.NUM, P.DEN)}
+    class_of = {(r[1] or ""): named[i] for i, r in enumerate(rows)}
+    out = [tuple(r) for r in P.near_duplicates(spark, documents(spark, rows), SF).collect()]
+    got = sorted(class_of[r[1]] for r in out if r[1].split())
+    assert got == sorted({named[i] for i, r in enumerate(rows) if r[1].split()}) and len(got) == 10
+    assert sorted(str(r[0]) for r in out if not r[1].split()) == ["5", "None"]
+    assert [r[0] for r in out if class_of[r[1]] == class_of[near]] == [5]
+
+
 def test_mix_keeps_every_document(spark):
     docs = documents(spark, awkward_rows())
     out = P.source_mix(spark, docs, SF)
