@@ -4,8 +4,9 @@ the next one's input.
 1. quality: documents that the quality rules reject go.
 2. near-duplicates: one document of each class of near-copies stays, the one of smallest id.
 3. personal data: base spans are masked, disclosing terms generalised or removed.
-4. mixing: every document stays as often as the source mix plays it, at least once: the
-   targets say how much a source is repeated, and clean documents are kept.
+4. mixing: every document stays as often as the source mix (op10's weights) plays it, at
+   least once: clean documents are kept, so a source whose target is below its size is not
+   reduced to it.
 5. tokens: byte-level BPE ids of every document.
 
 Every stage takes any number of rows (none included), nulls in any column and further
@@ -17,6 +18,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from talentgrid.llm import bpe, jaccard, mixing, pii, quality
 from talentgrid.llm.common import key_of, stored
@@ -58,15 +60,21 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix plays it in full, rounded, and at least once."""
-    mixed = mixing.taken(docs, weights=(1,), share=1.5).filter("size > 0")
+    """Every document as often as the mix plays it in full, rounded, and at least once. The
+    plays of a source are a run of whole epochs and one begun, so its words meet a target above
+    its size to within half a document; a source with a smaller target stays whole."""
+    mixed = mixing.taken(docs).filter("size > 0")
     # rows with equal id, source and size share their plays
     times = mixed.groupBy(key_of(F.col("id")).alias("idk"), key_of(F.col("source")).alias("src"), "size") \
-        .agg(F.greatest(F.lit(1), F.round(F.sum("taken") / F.sum("size")).cast("int")).alias("times"))
+        .agg(F.count("*").alias("n"), F.sum(F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size")).cast("int"))).alias("plays"))
     d = docs.select(F.struct("*").alias("row"), key_of(F.col("doc_id")).alias("idk"), key_of(F.col("source")).alias("src"),
-                    mixing.word_count(F.col("text")).alias("size"))
+                    mixing.word_count(F.col("text")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("th"))
     d = d.join(times, ["idk", "src", "size"], "left")
-    d = d.withColumn("again", F.explode(F.array_repeat(F.lit(0), F.coalesce("times", F.lit(1)))))
+    # and they are dealt one by one, not as an average that rounds for all of them alike
+    place = F.row_number().over(W.partitionBy("idk", "src", "size").orderBy("th"))
+    share = F.expr("plays div n") + F.when(place <= F.col("plays") % F.col("n"), 1).otherwise(0)
+    d = d.withColumn("times", F.when(F.col("n") > 1, share).otherwise(F.coalesce("plays", F.lit(1))).cast("int"))
+    d = d.withColumn("again", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
     return d.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 

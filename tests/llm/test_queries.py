@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "..", "tools"))
 import __spark_entry__ as E  # noqa: E402
 import corpus_pipeline as P  # noqa: E402
 from check_oracle import digest  # noqa: E402
-from talentgrid.llm import quality  # noqa: E402
+from talentgrid.llm import mixing, quality  # noqa: E402
 from talentgrid.llm.common import stored  # noqa: E402
 from talentgrid.llm.oracle import ORACLE  # noqa: E402
 from talentgrid.llm.queries import QUERIES  # noqa: E402
@@ -120,6 +120,22 @@ def test_mix_keeps_every_document(spark):
     assert docs.count() < out.count() <= 2 * docs.count()
 
 
+def test_mix_meets_the_targets_of_the_operator(spark):
+    """Words of every source: its target where that is above its size, else the source; also
+    with null and repeated ids of equal size."""
+    rng = random.Random(9)
+    rows = [(i if s == "a" else None if s == "b" else 7, prose(rng, 50), "en", s) for s in "abc" for i in range(40)]
+    rows += [(1000 + i, prose(rng, rng.randint(1, 900)), "en", s) for s in "de" for i in range(30)]
+    docs = documents(spark, rows)
+    goal = {r.source: (r.target, r.source_size) for r in mixing.taken(docs).select("source", "target", "source_size").distinct().collect()}
+    assert any(t < n for t, n in goal.values()) and any(n < t < 1.9 * n for t, n in goal.values())
+    got = {r.source: r.w for r in P.source_mix(spark, docs, SF).groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("w")).collect()}
+    for s, (target, size) in goal.items():
+        # blocks are dealt to within a few, see test_mixing
+        slack = 450 + 6 * max(1, min(mixing.BLOCK_WORDS, -(-size // mixing.MIN_BLOCKS)))
+        assert abs(got[s] - max(target, size)) <= (slack if s in "de" else 400), (s, got, goal)
+
+
 @there
 def test_run(spark):
     out = P.run(spark, SF)
