@@ -1,17 +1,18 @@
 """Personal data: base spans, and terms that disclose them.
 
 Base spans are e-mail addresses, IP numbers, payment cards and telephone numbers, found by
-patterns. The values found are the protected entities. A term near an entity discloses it
-as far as knowing the term tells the entity: over all documents, the pointwise mutual
-information of the two is set against the information of the entity,
+patterns. The values found are the protected entities. A term in a document of an entity
+discloses it as far as knowing the term tells the entity: over all documents, the pointwise
+mutual information of the two is set against the information of the entity,
 
     log2(N * n(entity, term) / (n(entity) * n(term))) / log2(N / n(entity)),
 
 which is 1 when the term is only ever met with the entity and 0 when it tells nothing.
 Pairs met in at least ``MIN_SUPPORT`` documents count. From ``GENERALISE_AT`` a term is
-replaced by a general word, from ``REMOVE_AT`` it goes. ``n(entity, term)`` counts documents
-with the term within ``REACH`` characters of the entity; ``n(term)`` counts documents with
-the term anywhere.
+replaced by a general word, from ``REMOVE_AT`` it goes, wherever it stands in the documents
+that name the entity. All counts are of documents, the two being anywhere in the text, the
+term outside base spans when it is met with the entity. An entity of fewer documents than
+the support has no pairs, so only the others are paired with the terms of their documents.
 
 All of it is SQL functions. Counts are combined before each shuffle and the pair join is
 salted, so an entity found in a third of all documents is spread over tasks. The patterns
@@ -33,7 +34,6 @@ from talentgrid.llm.common import key_of, stored
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-REACH = 80
 MIN_SUPPORT = 3
 GENERALISE_AT = 0.75
 REMOVE_AT = 0.95
@@ -50,6 +50,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WORDS = r"[\p{L}\p{N}]{3,}+"
+#: The same beside base spans, which are filled with a character that is none.
+CLEAR_WORDS = r"(?<![\p{L}\p{N}\x{FFFF}])[\p{L}\p{N}]{3,}+(?!\x{FFFF})"
 
 
 def running(lens: Column) -> Column:
@@ -115,43 +117,61 @@ def base(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
 
 
 def contexts(based: DataFrame) -> DataFrame:
-    """One row per base span: its document, entity, and the term occurrences within reach,
-    ``terms`` (start, end, value), none of them inside a base span."""
-    d = based.filter(F.size("base") > 0).withColumn("s", F.explode("base"))
-    before = F.substring("body", F.greatest(F.col("s.start") - REACH + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(REACH)))
-    after = F.substring("body", F.col("s.end") + 1, F.lit(REACH))
-    # a word cut by the reach is no term
-    before = F.when(F.col("s.start") > REACH, F.regexp_replace(before, r"^[\p{L}\p{N}]+", "")).otherwise(before)
-    after = F.when(F.length("body") > F.col("s.end") + REACH, F.regexp_replace(after, r"[\p{L}\p{N}]+$", "")).otherwise(after)
-    d = d.select("idk", "th", "base", F.concat_ws(":", F.col("s.kind").cast("string"), F.lower("s.value")).alias("entity"),
-                 F.col("s.start").alias("s0"), F.col("s.end").alias("s1"), before.alias("before"), after.alias("after"))
-    d = _add_matches(d, "t0", "before", WORDS, F.lit(True))
-    d = _add_matches(d, "t1", "after", WORDS, F.lit(True))
+    """One row per document with base spans: (idk, th), its distinct ``entities`` and the
+    occurrences of terms, ``terms`` (start, end, value), none of them touching a base span."""
+    d = based.filter(F.size("base") > 0).select("idk", "th", "body", "base").dropDuplicates(["idk", "th"])
+    name = lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"]))
+    start = F.array().cast("array<struct<start:int,end:int>>")
+    grown = lambda a, s: F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(
+        F.element_at(a, -1)["end"], s["end"]).alias("end"))
+    union = F.aggregate("base", start, lambda a, s: F.when(
+        (F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] > s["start"]),
+        F.concat(F.slice(a, 1, F.size(a) - 1), F.array(grown(a, s)))).otherwise(
+        F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))))
+    d = d.select("idk", "th", "body", F.array_distinct(F.transform("base", name)).alias("entities"), union.alias("u"))
+    before = lambda i: F.coalesce(F.get("u", i - 1)["end"], F.lit(0))
+    filled = F.transform("u", lambda s, i: F.concat(F.substring(F.col("body"), before(i) + 1, s["start"] - before(i)),
+                                                    F.repeat(F.lit("\uffff"), s["end"] - s["start"])))
+    rest = F.substring(F.col("body"), F.element_at("u", -1)["end"] + 1, F.length("body"))
+    d = d.select("idk", "th", "entities", F.concat(F.array_join(filled, ""), rest).alias("clear"))
+    d = _add_matches(d, "t", "clear", CLEAR_WORDS, F.lit(True))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    moved = lambda col, by: F.transform(F.coalesce(col, none), lambda t: F.struct(
-        (t["start"] + by).alias("start"), (t["end"] + by).alias("end"), F.lower(t["value"]).alias("value")))
-    d = d.withColumn("t", F.concat(moved("t0", F.col("s0") - F.length("before")), moved("t1", F.col("s1"))))
-    clear = F.filter("t", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return d.select("idk", "th", "entity", clear.alias("terms"))
+    terms = F.transform(F.coalesce("t", none), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lower(t["value"]).alias("value")))
+    return d.select("idk", "th", "entities", terms.alias("terms"))
+
+
+def salted(few: DataFrame) -> DataFrame:
+    return few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def of_entities(near: DataFrame, entities: DataFrame, *cols) -> DataFrame:
+    """The rows of :func:`contexts`, one for each of their entities that ``entities`` has."""
+    rows = near.select("idk", "th", F.explode("entities").alias("entity"), *cols, F.pmod(F.hash("idk", "th"), F.lit(SALTS)).alias("salt"))
+    return rows.join(salted(entities), ["entity", "salt"], "left_semi")
 
 
 def disclosures(near: DataFrame, docs: DataFrame, text: Column, n_docs: int, min_support: int = MIN_SUPPORT,
                 generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """(entity, term, share, removed): the pairs whose disclosure is at least
     ``generalise_at``. ``near`` has the rows of :func:`contexts`."""
-    per_doc = near.select("entity", "idk", "th", F.explode(F.concat(
-        F.array(F.lit("")), F.array_distinct(F.transform("terms", lambda t: t["value"])))).alias("term")).distinct()
-    pairs = per_doc.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_support)
-    # the empty term stands for the entity alone
-    alone = pairs.filter("term = ''").select("entity", F.col("n_both").alias("n_entity"))
-    pairs = pairs.filter("term <> ''").join(alone, "entity")
+    n = F.lit(float(max(n_docs, 1)))
+    alone = near.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")) \
+        .filter((F.col("n_entity") >= min_support) & (F.col("n_entity") < n))
+    words = F.array_distinct(F.transform("terms", lambda t: t["value"]))
+    pairs = of_entities(near, alone.select("entity"), words.alias("words")).select("entity", F.explode("words").alias("term")) \
+        .groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_support)
+    # a term is in as many documents at least as have it beside an entity: pairs whose share
+    # is too small with that number already need no count over all texts
+    seen = near.select(F.explode(words)).select(F.col("col").alias("term")).groupBy("term").agg(F.count("*").alias("n_seen"))
+    most = F.log2(n * F.col("n_both") / (F.col("n_entity") * F.col("n_seen"))) / F.log2(n / F.col("n_entity"))
+    pairs = pairs.join(alone, "entity").join(seen, "term").filter(most >= generalise_at - 1e-9).drop("n_seen")
+    pairs = stored(pairs, "pii-met")
     wanted = pairs.select("term").distinct()
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORDS), F.lit(0)))
-    counts = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")) \
+    every = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORDS), F.lit(0)))
+    counts = docs.select(F.explode(every).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")) \
         .join(wanted, "term", "left_semi")
-    n = F.lit(float(max(n_docs, 1)))
     share = F.log2(n * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log2(n / F.col("n_entity"))
-    return pairs.filter(F.col("n_entity") < n).join(counts, "term") \
+    return pairs.join(counts, "term") \
         .select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise_at) \
         .withColumn("removed", F.col("share") >= remove_at)
 
@@ -163,11 +183,10 @@ def spans(docs: DataFrame, id_col="doc_id", text_col="text", **thresholds) -> Da
     near = stored(contexts(found), "pii-near")
     found = found.drop("body")
     pairs = stored(disclosures(near, docs, F.col(text_col), found.count(), **thresholds), "pii-pairs")
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    hits = near.select("idk", "th", "entity", F.explode("terms").alias("t")) \
-        .select("idk", "th", "entity", F.col("t.value").alias("term"), F.col("t.start").alias("start"),
-                F.col("t.end").alias("end"), F.pmod(F.hash("idk", "th"), F.lit(SALTS)).alias("salt"))
-    hits = hits.join(pairs.withColumn("salt", salt), ["entity", "term", "salt"])
+    hits = of_entities(near, pairs.select("entity").distinct(), "terms") \
+        .select("idk", "th", "entity", "salt", F.explode("terms").alias("t")) \
+        .select("idk", "th", "entity", F.col("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"), "salt")
+    hits = hits.join(salted(pairs), ["entity", "term", "salt"])
     per = hits.groupBy("idk", "th", "start", "end").agg(F.max("removed").alias("removed")) \
         .groupBy("idk", "th").agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
     none = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")

@@ -57,6 +57,18 @@ def test_terms_that_disclose(spark):
     assert all(not got[i].terms and not got[i].base for i in range(100, 160))
 
 
+def test_terms_far_from_the_entity(spark):
+    """A name in the heading and an address in the footer; every occurrence is marked, words
+    that touch a span are not."""
+    filler = " ".join(f"the manager and some words dear contact or line{i % 3}" for i in range(20))
+    rows = [(i, f"Zorblax report\n{filler}\nétazorjoe@x.org\n{filler} ZORBLAX quux7joe@x.org, +49 30 1234567, joe@x.org 😀zorblax", "en", "a") for i in range(4)]
+    rows += [(100 + i, filler + f" number{i}", "en", "b") for i in range(60)]
+    rows.append(rows[0])
+    got = {r.id: [rows[0][1][t.start:t.end] for t in r.terms] for r in pii.spans(documents(spark, rows)).collect() if r.terms}
+    assert got == {i: ["Zorblax", "report", "ZORBLAX", "zorblax"] for i in range(4)}
+    assert not any("zorblax" in r.text.lower() for r in pii.sanitise(documents(spark, rows)).collect())
+
+
 def test_disclosure_share_equals_its_formula(spark):
     import math
     rows = corpus()
