@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import bpe, chat, jaccard, langid, license, mixing, pii, quality, suffix, topk
-from talentgrid.llm.common import stored, table
+from talentgrid.llm import bpe, chat, jaccard, langid, license, mixing, periodic, pii, quality, suffix, topk
+from talentgrid.llm.common import WORD, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -100,3 +100,25 @@ def op9(spark, sf):
 def op10(spark, sf):
     out = mixing.taken(table(spark, sf, "documents"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): with h = crc32 of the decimal id, every tenth text goes on from word a
+    by repeating the p words there; the others are as they are."""
+    h = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1))
+    some = docs.select("doc_id", F.col("text").cast("string").alias("text"), h.alias("h")) \
+        .withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})"))))
+    again = F.expr("""array_join(transform(sequence(0, size(w) - 1), i -> w[int(if(i < a, i, a + (i - a) % p))]), ' ')""")
+    some = some.withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.when(F.size("w") > 0, F.col("g") % F.size("w"))) \
+        .withColumn("p", F.lit(1) + F.floor((F.size("w") - F.col("a")) / (3 + F.col("g") % 8)))
+    return some.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(again).alias("text"))
+
+
+@register("op13_periodic_runs")
+def op13(spark, sf):
+    out = periodic.runs(made_periodic(table(spark, sf, "documents").select("doc_id", "text")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return out.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                      F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                      F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
