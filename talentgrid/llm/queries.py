@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import bpe, chat, jaccard, langid, license, mixing, periodic, pii, quality, suffix, topk
+from talentgrid.llm import bpe, chat, jaccard, langid, license, mixing, periodic, pii, quality, simhash, suffix, topk
 from talentgrid.llm.common import WORD, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,9 @@ def op13(spark, sf):
     return out.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
                       F.expr("1000 * best.length div best.period").alias("exponent_milli"),
                       F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@register("op11_simhash_dedup")
+def op11(spark, sf):
+    out = simhash.join(table(spark, sf, "documents"), 4, 4)
+    return out.select(F.col("id").alias("doc_id"), simhash.hexed("fp").alias("fingerprint"), F.col("component").alias("component_id"))
