@@ -37,6 +37,25 @@ where rank <= 20
 """
 
 
+OP12 = """
+with t as (select 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' as up, 'abcdefghijklmnopqrstuvwxyz' as low,
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+' as term),
+d as (select row_number() over () as uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), up, low), term) as terms from documents, t),
+s as (select count(*) filter (len(terms) > 0) as n_docs, sum(len(terms)) as total from d),
+q as (select row_number() over () as quid, item_id, regexp_extract_all(translate(coalesce(text, ''), up, low), term) as terms from benchmark, t),
+qt as (select quid, item_id, term, count(*) as times from (select quid, item_id, unnest(terms) as term from q) group by all),
+tf as (select uid, doc_id, n, term, count(*) as tf from (select uid, doc_id, len(terms) as n, unnest(terms) as term from d)
+    where term in (select term from qt) group by all),
+w as (select term, cast(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) as bigint) as w from tf, s group by term),
+p as (select quid, item_id, uid, doc_id, cast(sum(times * w * ((1000000000 * tf) //
+    (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // cast(total as bigint))))) as bigint) as score
+    from qt join tf using (term) join w using (term), s group by all)
+select item_id, rank, doc_id, score from (select *, cast(row_number() over (partition by quid order by score desc, doc_id nulls last, uid) as int) as rank
+    from p where score > 0)
+where rank <= 20
+"""
+
+
 def op9() -> str:
     known = "MAP {" + ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in license.SENTENCES.items()) + "}"
     norm = "trim(regexp_replace(regexp_replace(lower(s), " \
@@ -103,4 +122,5 @@ from pl join s8 on pl.source is not distinct from s8.source left join got on got
 """
 
 
-ORACLE = {"op2_inner_product_topk": OP2, "op5_chat_perspectives": OP5, "op9_license_scan": op9(), "op10_source_mix": op10()}
+ORACLE = {"op2_inner_product_topk": OP2, "op5_chat_perspectives": OP5, "op9_license_scan": op9(), "op10_source_mix": op10(),
+          "op12_lexical_search": OP12}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talentgrid.llm import bpe, chat, jaccard, langid, license, mixing, periodic, pii, quality, simhash, suffix, topk
+from talentgrid.llm import bpe, chat, jaccard, langid, lexical, license, mixing, periodic, pii, quality, simhash, suffix, topk
 from talentgrid.llm.common import WORD, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,9 @@ def op13(spark, sf):
 def op11(spark, sf):
     out = simhash.join(table(spark, sf, "documents"), 4, 4)
     return out.select(F.col("id").alias("doc_id"), simhash.hexed("fp").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@register("op12_lexical_search")
+def op12(spark, sf):
+    out = lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 20)
+    return out.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
