@@ -22,6 +22,8 @@ other than the id and the text are not looked at (:func:`encode` keeps one id co
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
 import hashlib
 import re
 
@@ -36,6 +38,8 @@ MAX_STATES = 200_000
 MAX_PAIRS = 600_000
 MAX_PIECES = 100_000
 MAX_CHUNKS = 500_000
+#: Longer strings are not remembered, so the entries of a table are bounded in bytes too.
+KEPT_CHARS = 64
 #: Bytes of a piece after which the state is remembered.
 HEAD = 6
 #: A vocabulary file larger than this is not broadcast.
@@ -158,13 +162,15 @@ class Transducer:
 
 class _Table(dict):
     """A dict that makes missing values. At its bound it becomes the older generation and
-    starts anew; what is still asked for comes over from there."""
+    starts anew; what is still asked for comes over from there. Long keys are made each time."""
 
     def __init__(self, make, bound):
         super().__init__()
         self.make, self.bound, self.old = make, bound, {}
 
     def __missing__(self, key):
+        if len(key) > KEPT_CHARS:
+            return self.make(key)
         got = self.old.get(key)
         if got is None:
             got = self.make(key)
@@ -288,6 +294,16 @@ class _Worker:
             cls.made[key] = (Encoder(ranks, pattern, tables), Decoder(ranks))
         return cls.made[key]
 
+    @classmethod
+    def release(cls):
+        """Gives the tables' memory back to the system."""
+        cls.made.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
 
 def _vocabulary(spark, path: str):
     with open(path, "rb") as f:
@@ -309,9 +325,10 @@ def _batches(it, row, names, types):
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], ["id", *names])
 
 
-def encode(docs: DataFrame, vocab_path: str, pattern: str, id_col="doc_id", text_col="text", tables: float = 1.0) -> DataFrame:
+def encode(docs: DataFrame, vocab_path: str, pattern: str, id_col="doc_id", text_col="text", tables: float = 1.0, keep: bool = True) -> DataFrame:
     """(id, n_tokens, ids array<int>). ``tables`` scales the bounds of the workers' tables:
-    less memory for more work, the same ids."""
+    less memory for more work, the same ids. Unless ``keep``, a worker drops its tables at the
+    end of every partition, so that it holds nothing while other stages run."""
     x, data = _id_and_text(docs, id_col, text_col), _vocabulary(docs.sparkSession, vocab_path)
 
     def run(it):
@@ -321,7 +338,12 @@ def encode(docs: DataFrame, vocab_path: str, pattern: str, id_col="doc_id", text
             ids = np.frombuffer(enc.encode(text or ""), "<u4").astype("int32")
             return len(ids), ids
 
-        return _batches(it, row, ["n_tokens", "ids"], [pa.int64(), pa.list_(pa.int32())])
+        try:
+            yield from _batches(it, row, ["n_tokens", "ids"], [pa.int64(), pa.list_(pa.int32())])
+        finally:
+            if not keep:
+                del enc, row
+                _Worker.release()
 
     return x.mapInArrow(run, f"id {x.schema['id'].dataType.simpleString()}, n_tokens long, ids array<int>")
 
