@@ -79,10 +79,10 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids). The tables are small: the other stages' executors share
-    their memory with the workers that this one leaves behind."""
+    """(doc_id, n_tokens, ids). The tables are small and dropped after every partition: the
+    other stages' executors share their memory with the workers that this one leaves behind."""
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, tables=0.2).withColumnRenamed("id", "doc_id")
+    return bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, tables=0.2, keep=False).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("quality", quality_rules), ("near-duplicates", near_duplicates), ("personal-data", personal_data),
