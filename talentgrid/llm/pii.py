@@ -9,8 +9,8 @@ mutual information of the two is set against the information of the entity,
 
 which is 1 when the term is only ever met with the entity and 0 when it tells nothing.
 Pairs met in at least ``MIN_SUPPORT`` documents count. From ``GENERALISE_AT`` a term is
-replaced by a general word, from ``REMOVE_AT`` it goes, wherever it stands in the documents
-that name the entity. All counts are of documents, the two being anywhere in the text, the
+generalised all the way to the mark ``[TERM]`` (no broader word is looked up), from
+``REMOVE_AT`` it goes, wherever it stands in the documents that name the entity. All counts are of documents, the two being anywhere in the text, the
 term outside base spans when it is met with the entity. An entity of fewer documents than
 the support has no pairs, so only the others are paired with the terms of their documents.
 
@@ -38,6 +38,8 @@ MIN_SUPPORT = 3
 GENERALISE_AT = 0.75
 REMOVE_AT = 0.95
 SALTS = 16
+#: So many terms are broadcast to be counted over all texts; more are joined after the count.
+BROADCAST_TERMS = 500_000
 
 _LOCAL = "A-Za-z0-9._%+-"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
@@ -166,10 +168,13 @@ def disclosures(near: DataFrame, docs: DataFrame, text: Column, n_docs: int, min
     most = F.log2(n * F.col("n_both") / (F.col("n_entity") * F.col("n_seen"))) / F.log2(n / F.col("n_entity"))
     pairs = pairs.join(alone, "entity").join(seen, "term").filter(most >= generalise_at - 1e-9).drop("n_seen")
     pairs = stored(pairs, "pii-met")
-    wanted = pairs.select("term").distinct()
+    wanted = stored(pairs.select("term").distinct(), "pii-terms")
     every = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORDS), F.lit(0)))
-    counts = docs.select(F.explode(every).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")) \
-        .join(wanted, "term", "left_semi")
+    words = docs.select(F.explode(every).alias("term"))
+    few = wanted.count() <= BROADCAST_TERMS
+    # only the terms asked for are shuffled, unless they are too many to broadcast
+    counts = (words.join(F.broadcast(wanted), "term", "left_semi") if few else words).groupBy("term").agg(F.count("*").alias("n_term"))
+    counts = counts if few else counts.join(wanted, "term", "left_semi")
     share = F.log2(n * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log2(n / F.col("n_entity"))
     return pairs.join(counts, "term") \
         .select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise_at) \

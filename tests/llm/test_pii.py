@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from talentgrid.llm import pii
-from tests.llm.helpers import SCHEMA, awkward_rows, documents
+from tests.llm.helpers import SCHEMA, awkward_rows, documents, prose
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -103,3 +103,14 @@ def test_sanitise(spark):
 def test_only_sql_functions(spark):
     plan = pii.spans(documents(spark, corpus()))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_terms_counted_alike_with_and_without_broadcast(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(i, f"{prose(rng, 30)} mail{i % 5}@x.org secret{i % 5} project{i % 7}", "en", "a") for i in range(80)]
+    docs = documents(spark, rows)
+    show = lambda: sorted(map(str, pii.spans(docs).select("id", "terms").collect()))
+    some = show()
+    assert any("removed=True" in r for r in some)
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", -1)
+    assert show() == some
