@@ -1,31 +1,40 @@
 """CV × offer scorers with exact per-CV top-k — without a cross join.
 
-The scorers (rules, vector bonus, weighted) depend on an offer only through
-(domain, the set of CV-vocabulary skills its text contains, an offer-level number).
-Three exact reductions follow, and together they replace the all-pairs nested loop:
-
-1. **Offer representatives.** Offers with the same (domain, skill profile) score
-   identically for every CV up to their own order key, so only the first ``k`` of each
-   such group can reach any CV's top-``k``. A ``row_number() <= k`` window does that cut;
-   Spark plans it as a ``WindowGroupLimit`` that also runs *before* the shuffle, so a
-   profile holding a third of all offers shrinks to ``k`` rows per map task.
-2. **CV profiles.** CVs with the same (domain, skill list) get the same top-``k``; it is
-   computed once per profile and joined back to the CVs (equi-join, ``k`` rows each).
-3. **Candidates.** An offer sharing no skill with the CV can only be in its top-``k`` if
-   it is among the first ``k`` of its domain class (same / other domain) in score
-   order; those come from small per-domain tables joined on the CV domain. All offers
-   sharing a skill come from an equi-join of skill postings. The union is scored
-   exactly and cut with a per-profile ``WindowGroupLimit``.
-
-No side is broadcast unless its size is fixed at plan time (the skill vocabulary).
+The scorers (rules, vector bonus, weighted) depend on an offer only through its domain, the set
+of CV skills its text contains and an offer-level number, and they never fall as a CV's skills
+are found. Four exact reductions follow; together they replace the all-pairs nested loop:
+
+1. **Classes of offers.** Offers of one domain and skill profile score alike up to their own
+   order, so a class keeps its first ``k`` (a ``row_number() <= k`` window, which Spark plans as a
+   ``WindowGroupLimit`` that also runs *before* the shuffle: a profile holding a third of all
+   offers shrinks to ``k`` rows per map task). Classes are searched by their best member, and only
+   the ``k`` best classes of a CV are opened.
+2. **Profiles of CVs.** CVs with the same domain and skill list share one search.
+3. **Zero-hit classes** can only matter among the first ``k`` of the CV's domain or of all
+   classes; any other is beaten by ``k`` of those.
+4. **Threshold search over skill postings.** A profile's skills are ordered from the rarest on.
+   The classes of its rarest skill, with the zero-hit ones, give the ``k``-th best score so far.
+   A class met first at the j-th skill holds none of the rarer ones, so the skills from j on bound
+   its score; the postings of skill j are read only where that bound reaches the threshold —
+   for all domains, or for the CV's own domain where only its domain bonus can reach it.
+
+The skills searched for are those the CVs name, in a vocabulary or not; offers are read for all of
+them in one pass (:mod:`talentgrid.operators.patterns`). Domains are values, not a list: CVs of any
+domain, or of none, are served; a missing domain is the empty one, and two missing domains match.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talentgrid.operators.skills import matched_ords
+from talentgrid.operators.patterns import find_terms
+from talentgrid.session import materialize
+
+NO_SKILLS = "array<string>"
 
 
 def top_k_per_group(df: DataFrame, group_cols, order_cols, k: int, rank_col: str = "rank") -> DataFrame:
@@ -41,69 +50,162 @@ def rerank(df: DataFrame, group_cols, score_col: str = "score", ord_col: str = "
     return df.withColumn(rank_col, F.row_number().over(w))
 
 
-def _ord_map(skill_vocab: list[str]) -> Column:
-    seen, pairs = set(), []
-    for i, s in enumerate(skill_vocab):
-        if s.lower() not in seen:
-            seen.add(s.lower())
-            pairs += [F.lit(s.lower()), F.lit(i)]
-    return F.create_map(*pairs)
-
-
-def _cv_profiles(cvs: DataFrame, skill_vocab: list[str]) -> DataFrame:
-    """Distinct (cv_domain, skills) with per-position skill ordinals."""
-    m = _ord_map(skill_vocab)
-    prof = cvs.select(F.col("domain").alias("cv_domain"),
-                      F.coalesce(F.col("skills"), F.array().cast("array<string>")).alias("skills")).distinct()
-    return prof.withColumn("sk_ords", F.transform("skills", lambda s: F.try_element_at(m, F.lower(s))))
-
-
-def _other_domain_firsts(firsts: DataFrame, domains: list[str], k: int, order_cols,
-                         dcol: str = "domain") -> DataFrame:
-    """For each domain d of the literal list: the first ``k`` rows of ``firsts`` whose
-    domain differs from d (``firsts`` already holds the first k of every domain)."""
-    x = firsts.withColumn("cv_domain", F.explode(F.array(*[F.lit(d) for d in domains])))
-    x = x.filter(~F.col(dcol).eqNullSafe(F.col("cv_domain")))
-    return top_k_per_group(x, ["cv_domain"], order_cols, k, "_z").drop("_z")
-
-
-def _attach(cvs: DataFrame, ranked: DataFrame, keep: list[str]) -> DataFrame:
-    """Join per-profile results back to the CVs (equi-join on the profile key)."""
-    c = cvs.select("cv_id", F.col("domain").alias("cv_domain"),
-                   F.coalesce(F.col("skills"), F.array().cast("array<string>")).alias("skills"))
-    return c.join(ranked, ["cv_domain", "skills"]).select("cv_id", *keep)
-
-
-
-
-def _candidates(prof: DataFrame, post: DataFrame, zeros: DataFrame | None, offer_cols: list[str],
-                cv_extra: list[str] | None = None, post_extra: list[str] | None = None,
-                same_domain_only: bool = False) -> DataFrame:
-    """All candidate (CV profile, offer) rows from ONE equi-join on a composite key:
-    CV skill postings meet offer skill postings on ('S', skill) and every CV profile meets
-    the zero-hit candidates of its domain on ('D', domain). ``hit`` is 1 for a shared
-    skill, 0 for a zero-hit candidate; callers aggregate per (profile, offer).
-    ``same_domain_only`` keys the postings by (domain, skill) as well: the blocking that
-    is exact when no cross-domain offer can reach the threshold."""
-    cv_extra = cv_extra or []
-    post_extra = post_extra or []
-    cp = prof.select("cv_domain", "skills", F.posexplode("sk_ords").alias("pos", "skill_ord"), *cv_extra)
-    ckd = F.col("cv_domain") if same_domain_only else F.lit("")
-    okd = F.col("o_domain") if same_domain_only else F.lit("")
-    cside = cp.select("cv_domain", "skills", F.lit("S").alias("_k"), ckd.alias("_kd"),
-                      F.col("skill_ord").alias("_ks"), "pos", *cv_extra)
-    oside = post.select(F.lit("S").alias("_k"), okd.alias("_kd"), F.col("skill_ord").alias("_ks"),
-                        *offer_cols, *post_extra, F.lit(1).alias("hit"))
-    if zeros is not None:
-        cside = cside.unionByName(prof.select("cv_domain", "skills", F.lit("D").alias("_k"),
-                                              F.col("cv_domain").alias("_kd"), F.lit(-1).alias("_ks"),
-                                              F.lit(-1).alias("pos"),
-                                              *[F.lit(None).cast("int").alias(c) for c in cv_extra]))
-        oside = oside.unionByName(zeros.select(F.lit("D").alias("_k"), F.col("cv_domain").alias("_kd"),
-                                               F.lit(-1).alias("_ks"), *offer_cols,
-                                               *[F.lit(None).alias(c) for c in post_extra], F.lit(0).alias("hit")),
-                                  allowMissingColumns=True)
-    return cside.join(oside, ["_k", "_kd", "_ks"])
+def domain_key(col: str | Column) -> Column:
+    """Domain as a never-null key: a missing domain is the empty one."""
+    return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
+
+
+def _skills() -> Column:
+    return F.filter(F.coalesce(F.col("skills"), F.array().cast(NO_SKILLS)), lambda s: s.isNotNull())
+
+
+@dataclass
+class Scorer:
+    """What a scorer adds to the search. ``score`` takes columns: hits h, skill units u, the
+    offer-level number base, the domain match dm and the number n of the CV's skills, and may only
+    rise with h, u and base. ``order`` ranks offers of one class; ``own_domain``: an offer has a
+    row per CV domain, and only those of the CV's domain are candidates."""
+
+    score: Callable[[Column, Column, Column, Column, Column], Column]
+    order: list[Column]
+    own_domain: bool = False
+    needs_domain: bool = False  # an empty domain matches nothing
+
+
+@dataclass
+class Index:
+    """The searchable side: ``members`` (cid and the offers of each class, k at most) and
+    ``classes`` (cid, ck, prof, tprof, base, ord), with the skills ``found`` in offers."""
+
+    members: DataFrame
+    classes: DataFrame
+    postings: DataFrame
+    most: float
+
+
+def skill_table(cvs: DataFrame) -> DataFrame:
+    """(no, term): the distinct lower-cased skills that the CVs name."""
+    names = cvs.select(F.explode(F.array_distinct(F.transform(_skills(), lambda s: F.lower(s)))).alias("term")).distinct()
+    return materialize(names.filter("term <> ''").withColumn("no", F.monotonically_increasing_id()))
+
+
+def offer_index(offers: DataFrame, scorer: Scorer, k: int) -> Index:
+    """``offers``: (ck, prof, tprof, base, ord, offer_id, ...)."""
+    by = [*scorer.order, F.col("offer_id").asc()]
+    members = materialize(top_k_per_group(offers, ["ck", "prof", "tprof"], by, k, "_r"))
+    classes = members.filter("_r = 1").select("ck", "prof", "tprof", "base", "ord", "offer_id") \
+        .withColumn("cid", F.monotonically_increasing_id())
+    classes = materialize(classes)
+    members = members.drop("_r").join(classes.select("cid", "ck", "prof", "tprof"), ["ck", "prof", "tprof"])
+    postings = classes.select("cid", "ck", "prof", "tprof", "base", "ord", "offer_id", F.explode("prof").alias("no"))
+    return Index(members, classes, postings, classes.agg(F.max("base")).first()[0] or 0.0)
+
+
+def cv_profiles(cvs: DataFrame, skills: DataFrame, postings: DataFrame, cv_key: Column) -> DataFrame:
+    """(pid, dk, ck, skills, n, sk): distinct domain and skill lists; ``sk`` holds their skills
+    found in any offer from the rarest on: no, c (times in the list), w (weight of the last
+    position: 15 among the first three, else 10) and what c and units come to from there on."""
+    prof = cvs.select(domain_key("domain").alias("dk"), _skills().alias("skills")).distinct()
+    prof = materialize(prof.withColumn("pid", F.monotonically_increasing_id()))
+    named = prof.select("pid", F.posexplode(F.transform("skills", lambda s: F.lower(s))).alias("pos", "term")) \
+        .groupBy("pid", "term").agg(F.count("*").alias("c"), F.max("pos").alias("last"))
+    often = postings.groupBy("no").agg(F.count("*").alias("df"))
+    known = named.join(skills, "term").join(often, "no")
+    w = F.when(F.col("last") < 3, 15).otherwise(10)
+    sk = known.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("df", "no", F.col("c").cast("long").alias("c"), w.cast("long").alias("w")))).alias("sk"))
+    rest = lambda i, f: F.aggregate(F.slice(F.col("sk"), i + 1, F.size("sk")), F.lit(0).cast("long"), lambda a, s: a + f(s))
+    bounded = F.transform("sk", lambda s, i: F.struct(
+        s["no"].alias("no"), s["c"].alias("c"), s["w"].alias("w"), rest(i, lambda x: x["c"]).alias("rest_c"),
+        rest(i, lambda x: x["c"] * (x["w"] + 5)).alias("rest_u")))
+    none = F.array().cast("array<struct<no:bigint,c:bigint,w:bigint,rest_c:bigint,rest_u:bigint>>")
+    out = prof.join(sk, "pid", "left").withColumn("sk", F.when(F.col("sk").isNotNull(), bounded).otherwise(none))
+    return materialize(out.select("pid", "dk", cv_key.alias("ck"), "skills", F.size("skills").alias("n"), "sk"))
+
+
+def _scored(pairs: DataFrame, scorer: Scorer) -> DataFrame:
+    """Adds h, u, dm and score to (profile, class) rows."""
+    hits = F.filter("sk", lambda s: F.array_contains("prof", s["no"]))
+    total = lambda f: F.aggregate("hits", F.lit(0).cast("long"), lambda a, s: a + f(s))
+    title = lambda s: F.when(F.array_contains("tprof", s["no"]), 5).otherwise(0)
+    out = pairs.withColumn("hits", hits).withColumn("h", total(lambda s: s["c"])) \
+        .withColumn("u", total(lambda s: s["c"] * (s["w"] + title(s)))).withColumn("dm", _same(scorer, "ock"))
+    return out.withColumn("score", scorer.score(F.col("h"), F.col("u"), F.col("base"), F.col("dm"), F.col("n"))).drop("hits")
+
+
+def _same(scorer: Scorer, other: str) -> Column:
+    same = F.col("ck") == F.col(other)
+    return same & (F.col("ck") != "") if scorer.needs_domain else same
+
+
+def visits(prof: DataFrame, scorer: Scorer, most: float, first: int, last: int | None, theta: Column) -> DataFrame:
+    """The postings to read: one row per profile and skill position in [first, last) whose
+    bound reaches ``theta``, with the key (no, dkey); dkey is the CV's domain, or '*' for all."""
+    x = prof.select("pid", "ck", "n", "sk", theta.alias("theta"), F.posexplode("sk").alias("at", "s"))
+    x = x.filter((F.col("at") >= first) & (F.col("at") < last if last is not None else F.lit(True)))
+    bound = lambda dm: scorer.score(F.col("s.rest_c"), F.col("s.rest_u"), F.lit(most), dm, F.col("n"))
+    reaches = lambda dm: F.coalesce(bound(dm) >= F.col("theta"), F.lit(True))
+    own = F.when(reaches(F.lit(True)), F.concat(F.lit("="), F.col("ck")))
+    key = own if scorer.own_domain else F.when(reaches(F.lit(False)), F.lit("*")).otherwise(own)
+    return x.withColumn("dkey", key).filter(F.col("dkey").isNotNull()) \
+        .select("pid", "ck", "n", "sk", "at", F.col("s.no").alias("no"), "dkey")
+
+
+def _met(wanted: DataFrame, index: Index, scorer: Scorer) -> DataFrame:
+    """(profile, class) rows of the wanted postings, each pair where it first meets."""
+    own = index.postings.withColumn("dkey", F.concat(F.lit("="), F.col("ck")))
+    post = own if scorer.own_domain else own.unionByName(index.postings.withColumn("dkey", F.lit("*")))
+    met = wanted.join(post.withColumnRenamed("ck", "ock"), ["no", "dkey"])
+    rarer = F.slice(F.col("sk"), F.lit(1), F.col("at"))
+    return met.filter(~F.exists(rarer, lambda s: F.array_contains("prof", s["no"]))).drop("at", "dkey", "no")
+
+
+def _zero_hits(prof: DataFrame, index: Index, scorer: Scorer, k: int) -> DataFrame:
+    """(profile, class) rows of the first classes of the CV's domain and of all, where the CV
+    finds no skill."""
+    by = [*scorer.order, F.col("offer_id").asc()]
+    classes = index.classes.withColumnRenamed("ck", "ock")
+    firsts = top_k_per_group(classes, ["ock"], by, k, "_f").drop("_f")
+    out = prof.join(firsts, prof["ck"] == firsts["ock"])
+    if not scorer.own_domain:
+        every = firsts.orderBy(*by).limit(k).withColumn("one", F.lit(1))  # k rows
+        out = out.unionByName(prof.withColumn("one", F.lit(1)).join(F.broadcast(every), "one").drop("one").filter("ck <> ock"))
+    return out.filter(~F.exists("sk", lambda s: F.array_contains("prof", s["no"])))
+
+
+def search(cvs: DataFrame, index: Index, prof: DataFrame, scorer: Scorer, k: int, min_score: float | None = None) -> DataFrame:
+    """The top ``k`` members per CV: (cv_id, rank, h, u, dm, score and the members' columns)."""
+    least = F.lit(min_score).cast("double")
+    best = [F.col("score").desc(), F.col("ord").asc(), F.col("offer_id").asc()]
+    kept = ["pid", "ck", "n", "skills", "cid", "h", "u", "dm", "score", "ord", "offer_id"]
+    narrow = prof.select("pid", "ck", "n", "sk")
+
+    def ranked(pairs):
+        x = _scored(pairs, scorer)
+        x = x if min_score is None else x.filter(F.col("score") >= least)
+        return top_k_per_group(x.select("pid", "cid", "ock", "h", "u", "dm", "score", "ord", "offer_id"), ["pid"], best, k).drop("rank")
+
+    # the rarest skill's classes and the zero-hit ones give the threshold
+    head = visits(prof, scorer, index.most, 0, 1, least)
+    start = materialize(ranked(_met(head, index, scorer).unionByName(_zero_hits(narrow, index, scorer, k))))
+    theta = start.groupBy("pid").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+    rest = prof.join(theta, "pid", "left")
+    rest = visits(rest, scorer, index.most, 1, None, F.greatest(F.col("kth"), least))
+    found = start.unionByName(ranked(_met(rest, index, scorer)))
+    classes = top_k_per_group(found, ["pid"], best, k).drop("rank", "ord", "offer_id", "score", "ock")
+    opened = classes.join(index.members.withColumnRenamed("ck", "ock"), "cid").join(prof.select("pid", "dk", "ck", "n", "skills"), "pid")
+    opened = opened.withColumn("score", scorer.score(F.col("h"), F.col("u"), F.col("base"), F.col("dm"), F.col("n")))
+    opened = opened if min_score is None else opened.filter(F.col("score") >= least)
+    opened = top_k_per_group(opened, ["pid"], best, k)
+    c = cvs.select("cv_id", domain_key("domain").alias("dk"), _skills().alias("skills"))
+    return c.join(opened, ["dk", "skills"])
+
+
+def _profiled(offers: DataFrame, skills: DataFrame, text: str, out: str) -> DataFrame:
+    return find_terms(offers, text, skills.select("no", "term"), "_h").withColumn(out, F.transform("_h", lambda h: h["no"])).drop("_h")
+
+
+NO_TITLE = "array<bigint>"
+
 
 # ------------------------------------------------------------------ I2 rules scorer
 def rules_score(h: Column, n: Column, dm: Column) -> Column:
@@ -112,40 +214,30 @@ def rules_score(h: Column, n: Column, dm: Column) -> Column:
     return F.least(F.lit(1.0), (F.lit(0.1) + F.when(dm, F.lit(0.3)).otherwise(F.lit(0.0))) + sb)
 
 
-def match_rules(cvs: DataFrame, offers: DataFrame, skill_vocab: list[str], domains: list[str],
-                k: int = 5, min_score: float = 0.0) -> DataFrame:
+def rules_search(cvs: DataFrame, offers: DataFrame, k: int, separate: bool = False):
+    """(index, profiles, scorer) of the rules scorer."""
+    scorer = Scorer(lambda h, u, base, dm, n: rules_score(h, n, dm), [F.col("ord").asc()], needs_domain=separate)
+    skills = skill_table(cvs)
+    # a skill must lie within the title or the description: nothing spans the border
+    text = F.concat_ws("\u0000", F.lower("title"), F.lower("description")) if separate else F.col("text")
+    o = _profiled(offers.select("offer_id", domain_key("domain").alias("ck"), "ord", text.alias("text")), skills, "text", "prof")
+    o = o.select("offer_id", "ck", "ord", "prof", F.array().cast(NO_TITLE).alias("tprof"), F.lit(0.0).alias("base"))
+    index = offer_index(o, scorer, k)
+    return index, cv_profiles(cvs, skills, index.postings, F.col("dk")), scorer
+
+
+def match_rules(cvs: DataFrame, offers: DataFrame, k: int = 5, min_score: float = 0.0, separate: bool = False) -> DataFrame:
     """Top-``k`` offers per CV under the rules scorer, ``score >= min_score``.
 
-    cvs: (cv_id, domain, skills array<string> of vocabulary skills)
-    offers: (offer_id, domain, text lower-cased "title description", ord)
-    → (cv_id, rank, offer_id, score, matched_skills, domain_match)
+    cvs: (cv_id, domain, skills array<string>); offers: (offer_id, domain, text lower-cased
+    "title description", ord) → (cv_id, rank, offer_id, score, matched_skills, domain_match)
 
-    Blocking: without a domain match a score is at most 0.7 and without a shared skill
-    at most 0.4, so ``min_score > 0.7`` restricts candidates exactly to same-domain offers
-    sharing a skill — the skill postings are then keyed by (domain, skill) and no zero-hit
-    candidates are generated.
+    ``separate``: the variant that looks for a skill in the title or in the description (columns
+    ``title`` and ``description`` instead of ``text``) and matches no empty domain.
     """
-    o = offers.select("offer_id", "domain", "ord", matched_ords(F.col("text"), skill_vocab).alias("prof"))
-    reps = top_k_per_group(o, ["domain", "prof"], [F.col("ord")], k, "_r").drop("_r")
-    firsts = top_k_per_group(reps, ["domain"], [F.col("ord")], k, "_f").drop("_f")
-    z_same = firsts.withColumnRenamed("domain", "o_domain").withColumn("cv_domain", F.col("o_domain"))
-    z_other = _other_domain_firsts(firsts, domains, k, [F.col("ord")]).withColumnRenamed("domain", "o_domain")
-
-    prof = _cv_profiles(cvs, skill_vocab)
-    post = reps.select("offer_id", F.col("domain").alias("o_domain"), "ord",
-                       F.explode("prof").alias("skill_ord"))
-    blocked = min_score > 0.7
-    zeros = None if blocked else z_same.unionByName(z_other).drop("prof")
-    cand = (_candidates(prof, post, zeros, ["offer_id", "o_domain", "ord"], same_domain_only=blocked)
-            .groupBy("cv_domain", "skills", "offer_id", "o_domain", "ord").agg(F.sum("hit").alias("h")))
-    dm = F.col("o_domain").eqNullSafe(F.col("cv_domain"))
-    scored = cand.select("cv_domain", "skills", "offer_id", "ord", "h",
-                         dm.alias("domain_match"),
-                         rules_score(F.col("h"), F.size("skills"), dm).alias("score"))
-    scored = scored.filter(F.col("score") >= F.lit(min_score))
-    ranked = top_k_per_group(scored, ["cv_domain", "skills"], [F.col("score").desc(), F.col("ord").asc()], k)
-    return _attach(cvs, ranked, ["rank", "offer_id", "score", F.col("h").alias("matched_skills"),
-                                 "domain_match"])
+    index, prof, scorer = rules_search(cvs, offers, k, separate)
+    out = search(cvs, index, prof, scorer, k, min_score)
+    return out.select("cv_id", "rank", "offer_id", "score", F.col("h").alias("matched_skills"), F.col("dm").alias("domain_match"))
 
 
 # ------------------------------------------------------------------ I1 vector-bonus scorer
@@ -154,98 +246,74 @@ def bonus_score(raw: Column, h: Column, dm: Column) -> Column:
     return (raw + F.when(dm, F.lit(0.2)).otherwise(F.lit(0.0))) + F.least(F.lit(0.3), h * F.lit(0.05))
 
 
-def match_bonus(cvs: DataFrame, offers: DataFrame, skill_vocab: list[str], domains: list[str],
-                k: int = 5) -> DataFrame:
+def match_bonus(cvs: DataFrame, offers: DataFrame, k: int = 5) -> DataFrame:
     """Top-``k`` per CV of raw + domain bonus + skills bonus.
 
-    offers: (offer_id, domain, text = lower-cased content, raw_score, ord)
+    offers: (offer_id, domain, text = lower-cased content, raw_score, ord); a missing raw score
+    counts as 0.
     → (cv_id, rank, offer_id, raw_score, domain_bonus, skills_bonus, matched_skills, score)
     """
-    order = [F.col("raw_score").desc(), F.col("ord").asc()]
-    o = offers.select("offer_id", "domain", "ord", "raw_score",
-                      matched_ords(F.col("text"), skill_vocab).alias("prof"))
-    reps = top_k_per_group(o, ["domain", "prof"], order, k, "_r").drop("_r")
-    firsts = top_k_per_group(reps, ["domain"], order, k, "_f").drop("_f")
-    z_same = firsts.withColumnRenamed("domain", "o_domain").withColumn("cv_domain", F.col("o_domain"))
-    z_other = _other_domain_firsts(firsts, domains, k, order).withColumnRenamed("domain", "o_domain")
-
-    prof = _cv_profiles(cvs, skill_vocab)
-    post = reps.select("offer_id", F.col("domain").alias("o_domain"), "ord", "raw_score",
-                       F.explode("prof").alias("skill_ord"))
-    keys = ["cv_domain", "skills", "offer_id", "o_domain", "ord", "raw_score"]
-    zeros = z_same.unionByName(z_other).drop("prof")
-    cand = (_candidates(prof, post, zeros, ["offer_id", "o_domain", "ord", "raw_score"])
-            .groupBy(*keys).agg(F.sum("hit").alias("h")))
-    dm = F.col("o_domain").eqNullSafe(F.col("cv_domain"))
-    scored = cand.select(*keys, "h", F.when(dm, F.lit(0.2)).otherwise(F.lit(0.0)).alias("domain_bonus"),
-                         F.least(F.lit(0.3), F.col("h") * F.lit(0.05)).alias("skills_bonus"),
-                         bonus_score(F.col("raw_score"), F.col("h"), dm).alias("score"))
-    ranked = top_k_per_group(scored, ["cv_domain", "skills"], [F.col("score").desc(), F.col("ord").asc()], k)
-    return _attach(cvs, ranked, ["rank", "offer_id", "raw_score", "domain_bonus", "skills_bonus",
-                                 F.col("h").alias("matched_skills"), "score"])
+    scorer = Scorer(lambda h, u, base, dm, n: bonus_score(base, h, dm), [F.col("base").desc(), F.col("ord").asc()])
+    skills = skill_table(cvs)
+    o = offers.select("offer_id", domain_key("domain").alias("ck"), "ord", "text", F.coalesce("raw_score", F.lit(0.0)).alias("base"))
+    o = _profiled(o, skills, "text", "prof").select("offer_id", "ck", "ord", "prof", F.array().cast(NO_TITLE).alias("tprof"), "base")
+    index = offer_index(o, scorer, k)
+    out = search(cvs, index, cv_profiles(cvs, skills, index.postings, F.col("dk")), scorer, k)
+    return out.select("cv_id", "rank", "offer_id", F.col("base").alias("raw_score"),
+                      F.when(F.col("dm"), F.lit(0.2)).otherwise(F.lit(0.0)).alias("domain_bonus"),
+                      F.least(F.lit(0.3), F.col("h") * F.lit(0.05)).alias("skills_bonus"),
+                      F.col("h").alias("matched_skills"), "score")
 
 
 # ------------------------------------------------------------------ I3 weighted scorer
-def _kw_units(text: Column, weights: dict) -> list[Column]:
-    """Per domain Σ weight (in hundredths) of the domain keywords the text contains;
-    weight maps are literals, evaluated narrowly per row."""
-    cols = []
+def keyword_units(text: Column, weights: dict) -> Column:
+    """Rows (ck, base, keywords) as an array: per domain min(30, Σ weights in hundredths) of its
+    keywords in the text and which they are; for CVs of any other domain ('' here), nothing."""
+    rows = []
     for d, kws in weights.items():
-        parts = [F.when(text.contains(kw.lower()), F.lit(int(round(w * 100)))).otherwise(F.lit(0))
-                 for kw, w in kws.items()]
-        total = parts[0]
-        for p in parts[1:]:
-            total = total + p
-        cols.append(total)
-    return cols
+        hits = F.array_compact(F.array(*[F.when(text.contains(kw.lower()), F.struct(
+            F.lit(kw).alias("kw"), F.lit(int(round(w * 100))).alias("w"))) for kw, w in kws.items()]))
+        units = F.least(F.lit(30), F.aggregate(hits, F.lit(0), lambda a, h: a + h["w"]))
+        rows.append(F.struct(F.lit(d).alias("ck"), units.cast("double").alias("base"), F.transform(hits, lambda h: h["kw"]).alias("keywords")))
+    rows.append(F.struct(F.lit("").alias("ck"), F.lit(0.0).alias("base"), F.array().cast(NO_SKILLS).alias("keywords")))
+    return F.array(*rows)
 
 
-def match_weighted(cvs: DataFrame, offers: DataFrame, skill_vocab: list[str], weights: dict,
-                   k: int = 5) -> DataFrame:
+def match_weighted(cvs: DataFrame, offers: DataFrame, weights: dict, k: int = 5) -> DataFrame:
     """Top-``k`` per CV under the weighted scorer, computed in exact hundredths:
     min(100, 20 + min(50, Σ_hit (15 if the skill's last position < 3 else 10) + 5·[in title])
     + min(30, Σ weights of the CV domain's keywords present)) / 100.
 
     offers: (offer_id, text = lower(title + " " + description), title_lower, ord)
-    cvs: (cv_id, domain, skills) → (cv_id, rank, offer_id, score, matched_skills, domain_units)
+    cvs: (cv_id, domain, skills) → (cv_id, rank, offer_id, score, matched_skills, domain_units,
+    skill_matches, domain_matches); CVs of a domain without weights have no keyword part.
     """
-    domains = list(weights.keys())
-    units = _kw_units(F.col("text"), weights)
-    o = offers.select("offer_id", "ord",
-                      matched_ords(F.col("text"), skill_vocab).alias("prof"),
-                      matched_ords(F.col("title_lower"), skill_vocab).alias("tprof"),
-                      F.array(*[F.struct(F.lit(d).alias("cv_domain"), F.least(F.lit(30), u).alias("kw_u"))
-                                for d, u in zip(domains, units)]).alias("_ku"))
-    # one row per (offer, CV domain): the keyword part depends on the CV's domain
-    od = o.select("offer_id", "ord", "prof", "tprof", F.inline("_ku"))
-    order = [F.col("kw_u").desc(), F.col("ord").asc()]
-    reps = top_k_per_group(od, ["cv_domain", "prof", "tprof"], order, k, "_r").drop("_r")
-    firsts = top_k_per_group(reps, ["cv_domain"], order, k, "_f").drop("_f")
-
-    prof = _cv_profiles(cvs, skill_vocab)
+    def units(h, u, base, dm, n):
+        return F.least(F.lit(100), F.lit(20) + F.least(F.lit(50), u) + base) / F.lit(100.0)
+
+    scorer = Scorer(units, [F.col("base").desc(), F.col("ord").asc()], own_domain=True)
+    skills = skill_table(cvs)
+    o = _profiled(offers.select("offer_id", "ord", "text", "title_lower"), skills, "text", "prof")
+    o = _profiled(o, skills, "title_lower", "tprof")
+    o = o.select("offer_id", "ord", "prof", "tprof", F.inline(keyword_units(F.col("text"), weights)))
+    index = offer_index(o, scorer, k)
+    listed = F.when(F.col("dk").isin(*weights), F.col("dk")).otherwise(F.lit(""))
+    out = search(cvs, index, cv_profiles(cvs, skills, index.postings, listed), scorer, k)
+    # the CV's own spelling of each skill found, at its first place
     low = F.transform("skills", lambda s: F.lower(s))
-    n = F.size("skills")
-    prof = prof.withColumn("_w", F.transform(low, lambda s: F.when(
-        (n - F.array_position(F.reverse(low), s)) < 3, F.lit(15)).otherwise(F.lit(10))))
-    # one composite-key join: skill postings meet on ('S', CV domain, skill), every CV
-    # profile meets its domain's zero-hit candidates on ('D', CV domain)
-    cpost = prof.select("cv_domain", "skills", F.posexplode(F.arrays_zip("sk_ords", "_w")).alias("pos", "z")) \
-        .select("cv_domain", "skills", F.lit("S").alias("_k"), F.col("z.sk_ords").alias("_ks"),
-                F.col("z._w").alias("w"))
-    czero = prof.select("cv_domain", "skills", F.lit("D").alias("_k"), F.lit(-1).alias("_ks"), F.lit(0).alias("w"))
-    opost = reps.select("cv_domain", F.lit("S").alias("_k"), F.explode("prof").alias("_ks"), "offer_id", "ord",
-                        "kw_u", "tprof", F.lit(1).alias("hit"))
-    ozero = firsts.select("cv_domain", F.lit("D").alias("_k"), F.lit(-1).alias("_ks"), "offer_id", "ord", "kw_u",
-                          F.array().cast("array<int>").alias("tprof"), F.lit(0).alias("hit"))
-    keys = ["cv_domain", "skills", "offer_id", "ord", "kw_u"]
-    contrib = F.col("hit") * (F.col("w") + F.when(F.array_contains("tprof", F.col("_ks")), 5).otherwise(0))
-    cand = (cpost.unionByName(czero).join(opost.unionByName(ozero), ["cv_domain", "_k", "_ks"])
-            .groupBy(*keys).agg(F.sum(contrib).alias("s_u"), F.sum("hit").alias("h")))
-    total = F.least(F.lit(100), F.lit(20) + F.least(F.lit(50), F.col("s_u")) + F.col("kw_u"))
-    scored = cand.withColumn("score", total / F.lit(100.0))
-    ranked = top_k_per_group(scored, ["cv_domain", "skills"], [F.col("score").desc(), F.col("ord").asc()], k)
-    return _attach(cvs, ranked, ["rank", "offer_id", "score", F.col("h").alias("matched_skills"),
-                                 F.col("kw_u").cast("long").alias("domain_units")])
+    names = index_names(skills, out)
+    return names.select("cv_id", "rank", "offer_id", "score", F.col("h").alias("matched_skills"),
+                        F.col("base").cast("long").alias("domain_units"),
+                        F.transform(F.filter("skills", lambda s: F.array_contains("found", F.lower(s))),
+                                    lambda s: F.element_at("skills", F.array_position(low, F.lower(s)).cast("int"))).alias("skill_matches"),
+                        F.col("keywords").alias("domain_matches"))
+
+
+def index_names(skills: DataFrame, rows: DataFrame) -> DataFrame:
+    """Adds ``found``: the names of the skills in ``prof`` (k rows per CV at most)."""
+    profs = rows.select("prof").distinct()
+    named = profs.select("prof", F.explode("prof").alias("no")).join(skills, "no").groupBy("prof").agg(F.collect_set("term").alias("found"))
+    return rows.join(named, "prof", "left").withColumn("found", F.coalesce("found", F.array().cast(NO_SKILLS)))
 
 
 # ------------------------------------------------------------------ C2 / E2 / I7 / F1 / F8
@@ -297,7 +365,7 @@ def page_size(n: int | None, default: int = 5, lo: int = 1, hi: int = 20) -> int
 
 
 def hybrid_match(cv_vectors: DataFrame, offer_vectors: DataFrame, cvs: DataFrame, offers: DataFrame,
-                 skill_vocab: list[str], domains: list[str], k: int = 5, min_score: float = 0.0) -> DataFrame:
+                 k: int = 5, min_score: float = 0.0) -> DataFrame:
     """Vector search (top-``k`` by cosine, then the CV's domain or all) merged with the
     rules scorer's top-``k``: vector results win on a shared id, the union is re-sorted by
     score (ties: vector rows first), re-ranked and cut to ``k``.
@@ -307,5 +375,5 @@ def hybrid_match(cv_vectors: DataFrame, offer_vectors: DataFrame, cvs: DataFrame
     from talentgrid.operators.vectors import vector_search
     vec = vector_search(cv_vectors, offer_vectors, limit=k).select(
         F.col("qid").alias("cv_id"), F.col("iid").alias("offer_id"), F.col("cos").alias("score"), "rank")
-    scr = match_rules(cvs, offers, skill_vocab, domains, k=k, min_score=min_score)
+    scr = match_rules(cvs, offers, k=k, min_score=min_score)
     return hybrid_merge(vec, scr.select("cv_id", "offer_id", "score", "rank"), k)

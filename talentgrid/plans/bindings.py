@@ -106,6 +106,20 @@ def cv_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(a.select("cv_id", F.col("main_domain").alias("domain"), "main_score", "skills"))
 
 
+def open_cvs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CVs as a caller may bring them: a quarter without a domain, a quarter of a domain that no
+    offer has, all with a skill of their own words behind the vocabulary's."""
+    from talentgrid.operators.skills import matched_terms
+    from talentgrid.session import materialize
+    d = table(spark, sf_dir, "documents")
+    low = F.lower(F.col("text"))
+    own = F.regexp_extract(low, "[a-z]{6,}", 0)
+    skills = F.concat(F.slice(matched_terms(low, TEST_SKILLS), 1, 10), F.when(own != "", F.array(own)).otherwise(F.array().cast("array<string>")))
+    m = F.pmod("doc_id", F.lit(4))
+    domain = F.when(m == 0, F.lit(None).cast("string")).when(m == 1, F.lit("elsewhere")).otherwise(F.col("lang"))
+    return materialize(d.select(F.col("doc_id").alias("cv_id"), domain.alias("domain"), skills.alias("skills")))
+
+
 def offer_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(offer_id, domain, raw_score, text, title_lower, ord): offers with their text
     lower-cased once and their domain from the same fallback classifier."""

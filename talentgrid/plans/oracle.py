@@ -69,15 +69,20 @@ def skills_cte(name: str, src: str, id_col: str, text_expr: str, skills, limit:
 {name} AS (SELECT * FROM {name}_all {lim})"""
 
 
-def cv_offer_ctes() -> str:
-    """cv(cv_id, domain, n), cvsk(cv_id, skill, kw, pos), off(offer_id, domain, raw_score, text, title_lower)."""
+def cv_offer_ctes(open_: bool = False) -> str:
+    """cv(cv_id, domain, n), cvsk(cv_id, skill, kw, pos), off(offer_id, domain, raw_score, text, title_lower);
+    ``open_``: the CVs of the binding ``open_cvs``."""
+    own = """
+        UNION ALL SELECT doc_id, w, w, (SELECT count(*) FROM cvsk0 WHERE cvsk0.id = doc_id)
+        FROM (SELECT doc_id, regexp_extract(lower(text), '[a-z]{6,}') AS w FROM documents) WHERE w <> ''"""
+    who = "CASE d.doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'elsewhere' ELSE d.lang END" if open_ else "d.main_domain"
     return f"""WITH
 {d1_cte('cvd1', 'documents', 'doc_id', 'lower(text)', B.LANG_VOCAB)},
 {skills_cte('cvsk0', 'documents', 'doc_id', 'lower(s.text)', B.TEST_SKILLS)},
-cvsk AS (SELECT id AS cv_id, skill, kw, rn - 1 AS pos FROM cvsk0),
-cv AS (SELECT d.id AS cv_id, d.main_domain AS domain,
-              (SELECT count(*) FROM cvsk WHERE cvsk.cv_id = d.id) AS n
-       FROM cvd1 d),
+cvsk AS (SELECT id AS cv_id, skill, kw, rn - 1 AS pos FROM cvsk0 {own if open_ else ''}),
+cv AS (SELECT d.{'doc_id' if open_ else 'id'} AS cv_id, {who} AS domain,
+              (SELECT count(*) FROM cvsk WHERE cvsk.cv_id = d.{'doc_id' if open_ else 'id'}) AS n
+       FROM {'documents' if open_ else 'cvd1'} d),
 pg AS (SELECT page_id AS offer_id,
               regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title,
               {html_text_sql('html')} AS description FROM pages),
@@ -165,6 +170,30 @@ FROM rk WHERE rank <= 5
 """
 
 
+_OPEN_SCORE = {
+    "match_rules_open": ("""least(1.0::DOUBLE, (0.1::DOUBLE + CASE WHEN o_domain = cv_domain THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END)
+                    + CASE WHEN n > 0 THEN least(0.6::DOUBLE, (h / n) * 0.6::DOUBLE) ELSE 0.0::DOUBLE END)""",
+                         "coalesce(o_domain = cv_domain, false) AS domain_match, round(score, 6) AS score"),
+    "match_bonus_open": ("""(raw_score + CASE WHEN o_domain = cv_domain THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END)
+                + least(0.3::DOUBLE, h * 0.05::DOUBLE)""",
+                         "round(raw_score, 6) AS raw_score, round(least(0.3::DOUBLE, h * 0.05::DOUBLE), 6) AS skills_bonus, round(score, 6) AS score")}
+for _name, (_score, _cols) in _OPEN_SCORE.items():
+    ORACLE[_name] = cv_offer_ctes(True) + f""",
+sc AS (SELECT *, {_score} AS score FROM pairs),
+rk AS (SELECT *, row_number() OVER (PARTITION BY cv_id ORDER BY score DESC, offer_id) AS rank FROM sc)
+SELECT cv_id, rank::BIGINT AS rank, offer_id, h::BIGINT AS matched_skills, {_cols} FROM rk WHERE rank <= 5
+"""
+
+_KW_ORD = values([(d, kw, i) for d, kws in B.LANG_WEIGHTS.items() for i, kw in enumerate(kws)], ["domain", "kw", "ord"])
+ORACLE["match_weighted_open"] = ORACLE["match_weighted_topk"].replace(cv_offer_ctes(), cv_offer_ctes(True)).replace(
+    "SELECT cv_id, rank::BIGINT", f"""SELECT rk.cv_id, rk.rank::BIGINT""").replace("offer_id, round(score", "rk.offer_id, round(score").replace(
+    "kw_u::BIGINT AS domain_units\nFROM rk WHERE rank <= 5", f"""kw_u::BIGINT AS domain_units,
+       coalesce((SELECT string_agg((SELECT f.skill FROM cvsk f WHERE f.cv_id = k.cv_id AND f.kw = k.kw ORDER BY f.pos LIMIT 1), ',' ORDER BY k.pos)
+        FROM cvsk k WHERE k.cv_id = rk.cv_id AND contains(o.text, k.kw)), '') AS skill_matches,
+       coalesce((SELECT string_agg(w.kw, ',' ORDER BY w.ord) FROM (SELECT * FROM {_KW_ORD}) w WHERE w.domain = c.domain AND contains(o.text, w.kw)), '') AS domain_matches
+FROM rk JOIN off o USING (offer_id) JOIN cv c ON c.cv_id = rk.cv_id WHERE rank <= 5""")
+
+
 def _basic_oracle() -> str:
     return f"""WITH
 v AS (SELECT * FROM {vocab_values(B.BASIC_VOCAB)}),

@@ -91,8 +91,7 @@ MATCH_MIN_SCORE = 0.3
 
 @register("match_rules_topk")
 def q_match_rules_topk(spark, sf):
-    out = M.match_rules(B.cv_analysis(spark, sf), B.offer_analysis(spark, sf), B.TEST_SKILLS,
-                        B.LANGS, k=MATCH_K, min_score=MATCH_MIN_SCORE)
+    out = M.match_rules(B.cv_analysis(spark, sf), B.offer_analysis(spark, sf), k=MATCH_K, min_score=MATCH_MIN_SCORE)
     return out.select("cv_id", F.col("rank").cast("long").alias("rank"), "offer_id",
                       r6("score").alias("score"), F.col("matched_skills").cast("long").alias("matched_skills"),
                       "domain_match")
@@ -100,8 +99,7 @@ def q_match_rules_topk(spark, sf):
 
 @register("match_bonus_topk")
 def q_match_bonus_topk(spark, sf):
-    out = M.match_bonus(B.cv_analysis(spark, sf), B.offer_analysis(spark, sf), B.TEST_SKILLS,
-                        B.LANGS, k=MATCH_K)
+    out = M.match_bonus(B.cv_analysis(spark, sf), B.offer_analysis(spark, sf), k=MATCH_K)
     return out.select("cv_id", F.col("rank").cast("long").alias("rank"), "offer_id",
                       r6("raw_score").alias("raw_score"), r6("skills_bonus").alias("skills_bonus"),
                       F.col("matched_skills").cast("long").alias("matched_skills"), r6("score").alias("score"))
@@ -109,12 +107,35 @@ def q_match_bonus_topk(spark, sf):
 
 @register("match_weighted_topk")
 def q_match_weighted_topk(spark, sf):
-    out = M.match_weighted(B.cv_analysis(spark, sf), B.offer_analysis(spark, sf), B.TEST_SKILLS,
-                           B.LANG_WEIGHTS, k=MATCH_K)
+    out = M.match_weighted(B.cv_analysis(spark, sf), B.offer_analysis(spark, sf), B.LANG_WEIGHTS, k=MATCH_K)
     return out.select("cv_id", F.col("rank").cast("long").alias("rank"), "offer_id", r6("score").alias("score"),
                       F.col("matched_skills").cast("long").alias("matched_skills"), "domain_units")
 
 
+# CVs of null and unlisted domains, with a skill outside every vocabulary
+@register("match_rules_open")
+def q_match_rules_open(spark, sf):
+    out = M.match_rules(B.open_cvs(spark, sf), B.offer_analysis(spark, sf), k=MATCH_K)
+    return out.select("cv_id", F.col("rank").cast("long").alias("rank"), "offer_id", r6("score").alias("score"),
+                      "matched_skills", "domain_match")
+
+
+@register("match_bonus_open")
+def q_match_bonus_open(spark, sf):
+    out = M.match_bonus(B.open_cvs(spark, sf), B.offer_analysis(spark, sf), k=MATCH_K)
+    return out.select("cv_id", F.col("rank").cast("long").alias("rank"), "offer_id",
+                      r6("raw_score").alias("raw_score"), r6("skills_bonus").alias("skills_bonus"),
+                      "matched_skills", r6("score").alias("score"))
+
+
+@register("match_weighted_open")
+def q_match_weighted_open(spark, sf):
+    out = M.match_weighted(B.open_cvs(spark, sf), B.offer_analysis(spark, sf), B.LANG_WEIGHTS, k=MATCH_K)
+    return out.select("cv_id", F.col("rank").cast("long").alias("rank"), "offer_id", r6("score").alias("score"),
+                      "matched_skills", "domain_units", F.array_join("skill_matches", ",").alias("skill_matches"),
+                      F.array_join("domain_matches", ",").alias("domain_matches"))
+
+
 # ------------------------------------------------------------------ more classifiers
 @register("domain_scores_basic")
 def q_domain_scores_basic(spark, sf):
@@ -621,7 +642,7 @@ def q_hybrid_match(spark, sf):
         .join(cv.select(F.col("cv_id").alias("qid"), "domain"), "qid").select("qid", "vec", "domain")
     ofv = ML.embed_texts(off.select(F.col("offer_id").alias("iid"), "text", "domain", "ord"),
                          "text", "vec", dim=256, idf=False).select("iid", "vec", "domain", "ord")
-    out = M.hybrid_match(cvv, ofv, cv, off, B.TEST_SKILLS, B.LANGS, k=MATCH_K, min_score=MATCH_MIN_SCORE)
+    out = M.hybrid_match(cvv, ofv, cv, off, k=MATCH_K, min_score=MATCH_MIN_SCORE)
     return out.select("cv_id", F.col("rank").cast("long").alias("rank"), "offer_id", r6("score").alias("score"),
                       "source")
 

@@ -59,7 +59,7 @@ def test_read_cv_text_encodings_and_batch_match(spark, tmpdir_path):
     offers = spark.createDataFrame([
         (1, "informatique_reseaux", "devops python docker kubernetes", 1),
         (2, "finance", "audit comptable", 2)], "offer_id long, domain string, text string, ord long")
-    top = {r.cv_id: r.offer_id for r in M.match_rules(a, offers, V.TECHNICAL_SKILLS, V.DOMAINS, k=1, min_score=0.3)
+    top = {r.cv_id: r.offer_id for r in M.match_rules(a, offers, k=1, min_score=0.3)
            .collect()}
     assert top == {"cv_utf8": 1, "cv_latin": 2}
 
