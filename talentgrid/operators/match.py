@@ -28,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -350,6 +351,60 @@ def domain_offers(cvs: DataFrame, offers: DataFrame, k: int = 5, score_col: str
             .select("cv_id", "rank", "offer_id", "score"))
 
 
+def decode_text(path: str, content: bytes) -> str:
+    """Text files: UTF-8, else Latin-1. Other kinds need an extractor of their own."""
+    if not path.lower().endswith(".txt"):
+        raise ValueError(f"no text extractor for {path.rsplit('.', 1)[-1].lower()} files")
+    try:
+        return content.decode("utf-8")
+    except UnicodeDecodeError:
+        return content.decode("latin-1")
+
+
+def batch_match(files: DataFrame, offers: DataFrame, analyse: Callable[[DataFrame], DataFrame], k: int = 5, min_score: float = 0.3,
+                use_fallback: bool = False, extract: Callable[[str, bytes], str] = decode_text) -> DataFrame:
+    """Analyses and matches every CV file; a CV that fails gives an error row and stops nothing.
+
+    files: (path, content), of which ``.pdf`` and ``.txt`` count; ``extract`` gives a file's text,
+    and what it raises becomes the row's error, as does an empty text. ``analyse``: (cv_id, text) →
+    (cv_id, domain, skills). offers: as for :func:`match_rules`. ``use_fallback``: the analysis
+    alone, without offers.
+
+    → one row per file: (cv_id = file stem, path, main_domain, skills, results
+    array<struct<rank, offer_id, score, matched_skills, domain_match>>, error)
+    """
+    x = files.filter(F.lower("path").rlike("[.](pdf|txt)$")).select("path", "content")
+
+    def texts(it):
+        for df in it:
+            out = []
+            for path, content in zip(df["path"], df["content"]):
+                try:
+                    if content is None:
+                        raise ValueError("unreadable file")
+                    text = extract(path, bytes(content))
+                    if not (text or "").strip():
+                        raise ValueError("empty text")
+                    out.append((path, text, None))
+                except Exception as e:  # noqa: BLE001  the file's own failure is its result
+                    out.append((path, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["path", "text", "error"])
+
+    read = x.mapInPandas(texts, "path string, text string, error string").withColumn("row", F.monotonically_increasing_id())
+    read = materialize(read.withColumn("stem", F.regexp_extract("path", r"([^/]*)[.][^./]*$", 1)))
+    found = materialize(analyse(read.filter("error is null").select(F.col("row").alias("cv_id"), "text")))
+    if use_fallback:
+        results = found.select("cv_id").limit(0).withColumn("results", F.lit(None))
+    else:
+        top = match_rules(found, offers, k, min_score)
+        one = F.struct("rank", "offer_id", "score", "matched_skills", "domain_match")
+        results = top.groupBy("cv_id").agg(F.array_sort(F.collect_list(one)).alias("results"))  # k at most
+    out = read.join(found, read["row"] == found["cv_id"], "left").drop("cv_id").join(results, read["row"] == results["cv_id"], "left")
+    kind = "array<struct<rank:int,offer_id:bigint,score:double,matched_skills:bigint,domain_match:boolean>>"
+    return out.select(F.col("stem").alias("cv_id"), "path", F.col("domain").alias("main_domain"), F.coalesce("skills", F.array().cast(NO_SKILLS)).alias("skills"),
+                      F.coalesce(F.col("results").cast(kind), F.array().cast(kind)).alias("results"), "error")
+
+
 def global_top_k(df: DataFrame, k: int, score_col: str = "score", ord_col: str = "ord") -> DataFrame:
     """Global top-``k`` (TakeOrderedAndProject: per-partition top-k, then one merge)."""
     return df.orderBy(F.col(score_col).desc(), F.col(ord_col).asc()).limit(k)

@@ -1,13 +1,14 @@
-"""Embedding operators: exact blocked top-k similarity, vector search, centroids and
-composite embeddings.
-
-Exact nearest neighbours need every (query, item) similarity, but they are never
-materialised as rows: both sides are hashed into blocks of bounded size, each
-(query block, item block) pair is one cogroup whose pandas function does one NumPy
-matrix product and emits only that block's per-query top-k; a final
-``row_number() <= k`` window (partial limit before the shuffle) merges the blocks.
-Block counts come from the row counts, so group memory stays bounded at any scale
-and no side is broadcast.
+"""Embedding operators: exact top-k similarity over a metric index, vector search, centroids
+and composite embeddings.
+
+Exact nearest neighbours: items are clustered by angle (centres fitted on a bounded sample, at
+most ``MAX_CLUSTERS`` of them). A cluster's centre and radius bound the cosine of any of its items
+with a query, and its domains bound the domain part, so a query visits only the clusters whose
+bound reaches its ``k``-th best score so far. A visit is a unit of bounded size (a part of the
+cluster, a chunk of queries): one cogroup whose pandas function does one NumPy matrix product and
+emits only per-query top-k; a final ``row_number() <= k`` window (partial limit before the
+shuffle) merges them. Only the index (one centre per cluster) is sent to every task. On vectors
+without any structure the bounds rule out little, and the work nears that of all pairs.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from talentgrid.functions.vectors import l2_normalize, to_double
 from talentgrid.operators.match import top_k_per_group
+from talentgrid.session import materialize
 
 KNN_SCHEMA = "qid long, iid long, cos double, dsim double, score double, ord long"
 
@@ -74,7 +76,7 @@ def _block_top_k(k: int, w_cos: float, w_dom: float, related: dict, exclude_self
             else:
                 mask = fin
             r_idx, c_idx = np.nonzero(mask)
-            order = np.lexsort((iord[c_idx], -score[r_idx, c_idx], r_idx))
+            order = np.lexsort((iid[c_idx], iord[c_idx], -score[r_idx, c_idx], r_idx))
             r_idx, c_idx = r_idx[order], c_idx[order]
             if len(r_idx):
                 starts = np.r_[0, np.flatnonzero(np.diff(r_idx)) + 1]
@@ -93,29 +95,189 @@ def _block_top_k(k: int, w_cos: float, w_dom: float, related: dict, exclude_self
     return fn
 
 
+#: The metric index: at most so many clusters, of about so many items; centres are fitted on a
+#: bounded sample.
+MAX_CLUSTERS = 4096
+CLUSTER_ROWS = 1024
+SAMPLE_PER_CLUSTER = 16
+ROUNDS = 4
+#: Distinct domains that a cluster lists; more count as any.
+DOMAINS = 64
+#: Items of a similarity matrix.
+MAX_MATRIX = 4096
+_SLACK = 1e-9
+
+
+class MetricIndex:
+    """Clusters of items: unit centres, the largest angle to an item, sizes and domains. Cluster
+    ``len(centres)`` holds the zero vectors, whose cosine is 0 with everything."""
+
+    def __init__(self, centres: np.ndarray):
+        self.centres = centres
+
+    def describe(self, rows):
+        """``rows``: (cl, radius, n, domains), one per cluster that has items."""
+        n = len(self.centres) + 1
+        self.radius, self.size = np.zeros(n), np.zeros(n, "int64")
+        self.domains: list = [()] * n
+        for cl, radius, size, domains in rows:
+            self.radius[cl], self.size[cl], self.domains[cl] = radius, size, domains
+        return self
+
+    def nearest(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cluster, angle) of unit vectors; zero vectors go to the cluster of their own."""
+        zero = ~unit.any(1)
+        cos = unit @ self.centres.T
+        cl = cos.argmax(1)
+        angle = np.arccos(np.clip(cos[np.arange(len(unit)), cl], -1, 1))
+        return np.where(zero, len(self.centres), cl), np.where(zero, 0.0, angle)
+
+    def bounds(self, unit: np.ndarray, domains: list, w_cos: float, w_dom: float, related: dict) -> np.ndarray:
+        """Upper bounds on the score of every (query, cluster); -inf for empty clusters."""
+        angle = np.arccos(np.clip(unit @ self.centres.T, -1, 1))
+        cos = np.cos(np.maximum(0.0, angle - self.radius[:-1] - 1e-7))
+        cos[~unit.any(1)] = 0.0
+        out = w_cos * np.concatenate([cos, np.zeros((len(unit), 1))], 1)
+        if w_dom:
+            best = {}
+            for d in set(domains):
+                rel = related.get(d, ())
+                best[d] = np.array([1.0 if ds is None or d in ds else 0.5 if any(x in rel for x in ds) else 0.0 for ds in self.domains])
+            out += w_dom * np.stack([best[d] for d in domains])
+        return np.where(self.size > 0, out + _SLACK, -np.inf)
+
+
+def _units(vecs) -> np.ndarray:
+    v = np.vstack(vecs).astype(np.float64)
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+
+
+def _usable(df: DataFrame, id_col: str) -> DataFrame:
+    """Rows with an id and a vector of finite numbers; written once, as several jobs read them."""
+    order = [F.col("ord").cast("long").alias("ord")] if "ord" in df.columns else []
+    x = materialize(df.select(F.col(id_col).cast("long").alias(id_col), to_double("vec").alias("vec"),
+                              F.col("domain").cast("string").alias("domain"), *order))
+    fine = F.forall("vec", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.lit(False)))
+    return x.filter(F.col(id_col).isNotNull() & F.col("vec").isNotNull() & fine & (F.size("vec") > 0))
+
+
+def fit_index(items: DataFrame, n: int, cluster_rows: int = CLUSTER_ROWS) -> MetricIndex:
+    """Centres by spherical k-means on at most ``SAMPLE_PER_CLUSTER`` items a cluster, taken by
+    the hash of their id."""
+    k = max(1, min(MAX_CLUSTERS, math.ceil(n / cluster_rows)))
+    share = min(1.0, 1.2 * k * SAMPLE_PER_CLUSTER / max(1, n))
+    x = items if share >= 1 else items.filter(F.pmod(F.xxhash64("iid"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = x.select("vec").limit(k * SAMPLE_PER_CLUSTER).toPandas()["vec"]  # k * SAMPLE_PER_CLUSTER rows at most
+    unit = _units(sample) if len(sample) else np.zeros((0, 1))
+    unit = unit[unit.any(1)]
+    if not len(unit):
+        return MetricIndex(np.zeros((1, unit.shape[1])))
+    centres = unit[np.linspace(0, len(unit) - 1, min(k, len(unit))).astype(int)].copy()
+    for _ in range(ROUNDS):
+        near = (unit @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, unit)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), centres)
+    return MetricIndex(centres)
+
+
+def indexed(items: DataFrame, cluster_rows: int = CLUSTER_ROWS) -> tuple[DataFrame, MetricIndex]:
+    """(iid, vec, domain, ord, cl) of every usable item, stored, and the index over them."""
+    items = _usable(items, "iid")
+    index = fit_index(items, items.count(), cluster_rows)
+
+    def assign(it):
+        for df in it:
+            if len(df):
+                cl, angle = index.nearest(_units(df["vec"]))
+                yield df.assign(cl=cl, angle=angle)
+
+    placed = materialize(items.mapInPandas(assign, "iid long, vec array<double>, domain string, ord long, cl long, angle double"))
+    # one row per cluster
+    stats = placed.groupBy("cl").agg(F.max("angle").alias("radius"), F.count("*").alias("n"))
+    names = placed.select("cl", "domain").distinct()
+    few = names.groupBy("cl").agg(F.count("*").alias("d")).filter(F.col("d") <= DOMAINS).join(names, "cl")
+    listed: dict = {}
+    for cl, domain in few.select("cl", "domain").collect():  # DOMAINS rows a cluster at most
+        listed.setdefault(cl, set()).add(domain)
+    return placed, index.describe([(r.cl, r.radius, r.n, listed.get(r.cl)) for r in stats.collect()])
+
+
+def _units_of(left: DataFrame, placed: DataFrame, index: MetricIndex, nq: int, block_rows: int):
+    """Query and item rows of the units (cluster, part, chunk): parts cut a large cluster, chunks
+    the queries; items go to the chunks that visit their cluster, and nowhere else."""
+    chunks = max(1, math.ceil(nq / block_rows))
+    parts = placed.sparkSession.createDataFrame(
+        [(int(c), max(1, math.ceil(int(n) / block_rows))) for c, n in enumerate(index.size) if n], "cl long, parts int")  # MAX_CLUSTERS rows at most
+    chunk = F.pmod(F.xxhash64("qid"), F.lit(chunks)).alias("chunk")
+    left = left.select("qid", "vec", "domain", chunk, F.explode("visit").alias("cl"))
+    wanted = left.select(F.col("cl").alias("met"), F.col("chunk").alias("by")).distinct()
+    left = left.join(F.broadcast(parts), "cl").withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int")))).drop("parts")
+    right = placed.join(F.broadcast(parts), "cl").withColumn("part", F.pmod(F.xxhash64("iid"), F.col("parts")).cast("int"))
+    right = right.join(wanted, F.col("cl") == F.col("met")).select("iid", "vec", "domain", "ord", "cl", "part", F.col("by").alias("chunk"))
+    return left, right
+
+
 def knn_blocked(queries: DataFrame, items: DataFrame, k: int, w_cos: float = 1.0, w_dom: float = 0.0,
                 related: dict | None = None, exclude_self: bool = False,
-                block_rows: int = 16384) -> DataFrame:
+                block_rows: int = 16384, cluster_rows: int = CLUSTER_ROWS) -> DataFrame:
     """Exact top-``k`` items per query by ``w_cos·cosine + w_dom·domain_similarity``
-    (1 same domain, 0.5 related — directed, 0 else), ties by item ``ord``.
+    (1 same domain, 0.5 related — directed, 0 else), ties by item ``ord``, then id.
 
     queries: (qid long, vec array, domain string); items: (iid long, vec array, domain, ord long)
-    → (qid, iid, cos, dsim, score, ord, rank)
+    → (qid, iid, cos, dsim, score, ord, rank). Rows without an id or whose vector is null, empty or
+    holds null or non-finite numbers take no part; a zero vector has cosine 0 with all.
+
+    Every query first meets the clusters of highest bound that hold ``k`` items; its ``k``-th score
+    there is the threshold, and it then visits the clusters whose bound (cosine at the angle to
+    the centre less the radius, and the best domain similarity) reaches it.
     """
-    nq = queries.count()
-    ni = items.count()
-    qb = max(1, math.ceil(nq / block_rows))
-    ib = max(1, math.ceil(ni / block_rows))
-    qx = (queries.select(F.col("qid").cast("long"), to_double("vec").alias("vec"), F.col("domain").cast("string"))
-          .withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(qb)))
-          .withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(ib - 1)).cast("array<long>"))))
-    ix = (items.select(F.col("iid").cast("long"), to_double("vec").alias("vec"), F.col("domain").cast("string"),
-                       F.col("ord").cast("long"))
-          .withColumn("ib", F.pmod(F.xxhash64("iid"), F.lit(ib)))
-          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)).cast("array<long>"))))
-    part = (qx.groupBy("qb", "ib").cogroup(ix.groupBy("qb", "ib"))
-            .applyInPandas(_block_top_k(k, w_cos, w_dom, related, exclude_self), KNN_SCHEMA))
-    return top_k_per_group(part, ["qid"], [F.col("score").desc(), F.col("ord").asc()], k)
+    placed, index = indexed(items, cluster_rows)
+    if not index.size.any():
+        return placed.sparkSession.createDataFrame([], KNN_SCHEMA + ", rank int")
+    queries = _usable(queries, "qid")
+    related = related or {}
+    need = k + int(exclude_self)
+
+    def first(it):
+        for df in it:
+            if len(df):
+                bound = index.bounds(_units(df["vec"]), df["domain"].tolist(), w_cos, w_dom, related)
+                order = np.argsort(-bound, axis=1, kind="stable")
+                met = np.cumsum(index.size[order], axis=1)
+                n = (met < need).sum(1) + 1
+                yield df.assign(visit=[o[:min(m, int((index.size > 0).sum()))] for o, m in zip(order, n)])
+
+    def rest(it):
+        for df in it:
+            if len(df):
+                bound = index.bounds(_units(df["vec"]), df["domain"].tolist(), w_cos, w_dom, related)
+                seen = np.zeros(bound.shape, bool)
+                for i, v in enumerate(df["visit"]):
+                    seen[i, v] = True
+                theta = df["theta"].fillna(-np.inf).to_numpy()
+                go = (bound >= theta[:, None]) & ~seen & np.isfinite(bound)
+                yield df.drop(columns="theta").assign(visit=[np.flatnonzero(g) for g in go])
+
+    shape = "qid long, vec array<double>, domain string, visit array<long>"
+    q = materialize(queries.mapInPandas(first, shape))
+    nq = q.count()
+    unit = _block_top_k(k, w_cos, w_dom, related, exclude_self)
+    best = [F.col("score").desc(), F.col("ord").asc(), F.col("iid").asc()]
+
+    def met(rows):
+        left, right = _units_of(rows, placed, index, nq, block_rows)
+        part = left.groupBy("cl", "part", "chunk").cogroup(right.groupBy("cl", "part", "chunk")).applyInPandas(unit, KNN_SCHEMA)
+        return top_k_per_group(part, ["qid"], best, k).drop("rank")
+
+    start = materialize(met(q))
+    theta = start.groupBy("qid").agg(F.when(F.count("*") >= k, F.min("score")).alias("theta"))
+    more = q.join(theta, "qid", "left").select("qid", "vec", "domain", "visit", "theta").mapInPandas(rest, shape).filter("size(visit) > 0")
+    more = materialize(more)
+    found = start if more.isEmpty() else start.unionByName(met(more))
+    return top_k_per_group(found, ["qid"], best, k)
 
 
 def embedding_match(cvs: DataFrame, offers: DataFrame, k: int = 3, related: dict | None = None,
@@ -156,8 +318,10 @@ def composite_embedding(df: DataFrame, domain_vectors: DataFrame, key: str, vec_
 
 
 def similarity_matrix(items: DataFrame) -> DataFrame:
-    """All-pairs cosine of a small item set (qid, iid, cos). Meant for bounded inputs
-    such as per-label centroids; uses the blocked kernel, so nothing is cross-joined."""
+    """All-pairs cosine of a small item set (qid, iid, cos), such as per-label centroids. Its
+    result grows with the square of the items: more than ``MAX_MATRIX`` are refused."""
     n = items.count()
+    if n > MAX_MATRIX:
+        raise ValueError(f"a similarity matrix of {n} items has {n * n} rows; at most {MAX_MATRIX} items are allowed")
     q = items.select(F.col("iid").alias("qid"), "vec", "domain")
     return knn_blocked(q, items, max(1, n), 1.0, 0.0).select("qid", "iid", "cos")

@@ -120,6 +120,36 @@ def open_cvs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(d.select(F.col("doc_id").alias("cv_id"), domain.alias("domain"), skills.alias("skills")))
 
 
+def cv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a folder of CV files: (path, content); among the text files a PDF, an empty
+    one and one that is no CV."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    m = F.pmod("doc_id", F.lit(97))
+    ending = F.when(m == 0, F.lit(".pdf")).when(m == 1, F.lit(".png")).otherwise(F.lit(".txt"))
+    return d.select(F.concat(F.lit("/cvs/"), F.col("doc_id").cast("string"), ending).alias("path"),
+                    F.when(m == 2, F.lit(" ")).otherwise(F.col("text")).cast("binary").alias("content"))
+
+
+def analyser():
+    """The fallback analysis of CV texts (cv_id, text) with the test vocabularies."""
+    from talentgrid.operators.classify import analyze_documents
+
+    def run(cvs: DataFrame) -> DataFrame:
+        return analyze_documents(cvs, LANG_VOCAB, TEST_SKILLS, id_col="cv_id").select("cv_id", F.col("main_domain").alias("domain"), "skills")
+    return run
+
+
+def landed_sessions(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """Events as feedback sessions arriving in 16 files: every event gives its user's session
+    anew, with one rating; writes the files to ``folder``."""
+    e = feedback_events(spark, sf_dir)
+    rating = F.struct("system_score", "user_rating")
+    s = e.select(F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("version"), F.col("cv_domain").alias("domain"),
+                 (F.col("event_id") % 6).alias("overall_rating"), F.array(rating).alias("ratings"))
+    s.repartition(16, F.pmod("version", F.lit(16))).write.parquet(folder)
+    return folder
+
+
 def offer_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(offer_id, domain, raw_score, text, title_lower, ord): offers with their text
     lower-cased once and their domain from the same fallback classifier."""

@@ -194,6 +194,16 @@ ORACLE["match_weighted_open"] = ORACLE["match_weighted_topk"].replace(cv_offer_c
 FROM rk JOIN off o USING (offer_id) JOIN cv c ON c.cv_id = rk.cv_id WHERE rank <= 5""")
 
 
+ORACLE["batch_match"] = """WITH top AS (SELECT cv_id, string_agg(rank::VARCHAR || ':' || offer_id::VARCHAR || ':' || printf('%.4f', score), ',' ORDER BY rank) AS results
+    FROM (""" + ORACLE["match_rules_topk"] + """) GROUP BY cv_id), x AS (SELECT 1),""" + cv_offer_ctes().replace("WITH", "", 1) + """
+SELECT c.cv_id::VARCHAR AS cv_id, CASE WHEN c.cv_id % 97 NOT IN (0, 2) THEN c.domain END AS main_domain,
+    CASE WHEN c.cv_id % 97 NOT IN (0, 2) THEN coalesce((SELECT string_agg(k.skill, ',' ORDER BY k.pos) FROM cvsk k WHERE k.cv_id = c.cv_id), '') ELSE '' END AS skills,
+    CASE WHEN c.cv_id % 97 NOT IN (0, 2) THEN coalesce(t.results, '') ELSE '' END AS results,
+    CASE c.cv_id % 97 WHEN 0 THEN 'ValueError: no text extractor for pdf files' WHEN 2 THEN 'ValueError: empty text' END AS error
+FROM cv c LEFT JOIN top t USING (cv_id) WHERE c.cv_id % 97 <> 1
+"""
+
+
 def _basic_oracle() -> str:
     return f"""WITH
 v AS (SELECT * FROM {vocab_values(B.BASIC_VOCAB)}),
@@ -769,6 +779,15 @@ SELECT user_id, event_id, event_type FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events) WHERE rn = 1
 """
 
+ORACLE["stream_feedback_stats"] = f"""WITH {_FB},
+last AS (SELECT *, event_id % 6 AS overall FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM fe) WHERE rn = 1),
+x AS (SELECT cv_domain, GROUPING(cv_domain) AS g, count(*) AS sessions, avg(CASE WHEN overall > 0 THEN overall END) AS o,
+             count(*) FILTER (user_rating > 0) AS n, avg(abs(1.0::DOUBLE + system_score * 4.0::DOUBLE - user_rating)) FILTER (user_rating > 0) AS d
+      FROM last GROUP BY GROUPING SETS ((cv_domain), ()))
+SELECT CASE WHEN g = 1 THEN '__all__' ELSE cv_domain END AS domain, sessions::BIGINT AS sessions, round(o, 6) AS avg_overall, n::BIGINT AS n_ratings,
+       round(greatest(0.0::DOUBLE, 1.0::DOUBLE - d / 4.0::DOUBLE) * 100.0::DOUBLE, 6) AS agreement_pct FROM x
+"""
+
 ORACLE["retention"] = """
 SELECT CASE WHEN ts >= TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 7 DAY THEN 'keep'
             WHEN ts >= TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 30 DAY THEN 'archive' ELSE 'expire' END AS action,

@@ -7,6 +7,7 @@ rounded to 6 decimals (never at a tie) so engines agree bit-for-bit.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -136,6 +137,14 @@ def q_match_weighted_open(spark, sf):
                       F.array_join("domain_matches", ",").alias("domain_matches"))
 
 
+@register("batch_match")
+def q_batch_match(spark, sf):
+    out = M.batch_match(B.cv_files(spark, sf), B.offer_analysis(spark, sf), B.analyser(), k=MATCH_K, min_score=MATCH_MIN_SCORE)
+    line = lambda r: F.concat_ws(":", r["rank"], r["offer_id"], F.format_number(r["score"], 4))
+    return out.select("cv_id", "main_domain", F.array_join("skills", ",").alias("skills"),
+                      F.array_join(F.transform("results", line), ",").alias("results"), "error")
+
+
 # ------------------------------------------------------------------ more classifiers
 @register("domain_scores_basic")
 def q_domain_scores_basic(spark, sf):
@@ -560,8 +569,16 @@ def q_stream_window_counts(spark, sf):
 @register("stream_feedback")
 def q_stream_feedback(spark, sf):
     s = _events_stream(spark, sf).select("user_id", "event_id", "event_type", "ts")
-    path = ST.upsert_stream(s, "user_id", "ts", "feedback")
-    return spark.read.parquet(path).select("user_id", "event_id", "event_type")
+    return ST.latest_stream(s, "user_id", "ts", "feedback").select("user_id", "event_id", "event_type")
+
+
+@register("stream_feedback_stats")
+def q_stream_feedback_stats(spark, sf):
+    table = ST.scratch_path(spark, f"feedback-{uuid.uuid4().hex}")
+    landed = B.landed_sessions(spark, sf, table + "/landing")
+    ST.running_feedback(ST.file_stream(spark, landed, spark.read.parquet(landed).schema, max_files_per_trigger=4), table)
+    out = ST.feedback_after(spark, table)
+    return out.select("domain", "sessions", r6("avg_overall").alias("avg_overall"), "n_ratings", r6("agreement_pct").alias("agreement_pct"))
 
 
 @register("retention")

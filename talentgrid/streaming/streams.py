@@ -3,7 +3,7 @@
 Sources are file streams (new JSON/Parquet files landing in a folder); every query has
 its own checkpoint under the shared ``spark.checkpoint.dir`` so a restarted driver or a
 lost executor resumes from the last committed micro-batch. Sinks are Parquet folders
-(append) or ``foreachBatch`` merges. ``trigger(availableNow=True)`` processes what is
+(append) or one folder of changes per micro-batch. ``trigger(availableNow=True)`` processes what is
 there and stops, which is how tests and scheduled runs drive them.
 """
 
@@ -78,45 +78,79 @@ def run_updates(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return spark.read.parquet(out).groupBy(*keys).agg(last.alias("_v")).select(*keys, "_v.*")
 
 
-def _latest_version(spark: SparkSession, table: str) -> str | None:
-    """Newest complete version folder (``v<epoch>`` holding ``_SUCCESS``) of a table."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    done = [st.getPath().toString() for st in fs.listStatus(path)
-            if st.isDirectory() and st.getPath().getName().startswith("v")
-            and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]
-    return sorted(done)[-1] if done else None
-
-
-def upsert_stream(stream: DataFrame, key: str, version_col: str, name: str, table: str | None = None) -> str:
-    """Latest-wins upsert of every micro-batch into a Parquet table. Each batch merges
-    into a new table version (folder ``v<epoch>``); readers take the newest complete one.
-    The epoch-numbered folder makes a replayed batch overwrite its own output
-    (idempotent), and a restarted query resumes from the newest complete version.
-    Returns the newest version folder."""
-    from talentgrid.operators.feedback import upsert_latest
-    spark = stream.sparkSession
-    run = f"{name}-{uuid.uuid4().hex[:8]}"
-    table = table or scratch_path(spark, f"stream-table/{run}")
-    ck = (table.rstrip("/") + "-checkpoint") if table else scratch_path(spark, f"stream-ckpt/{run}")
-    state = {"current": _latest_version(spark, table)}   # resume after a driver restart
-
-    def merge(batch: DataFrame, epoch: int):
-        s = batch.sparkSession
-        cur = state["current"]
-        existing = s.read.parquet(cur) if cur else batch.limit(0)
-        merged = upsert_latest(existing, batch, key, version_col)
-        path = f"{table}/v{epoch:08d}"
-        merged.write.mode("overwrite").parquet(path)
-        state["current"] = path
-
-    q = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", ck)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return state["current"]
+def latest_stream(stream: DataFrame, key: str, version_col: str, name: str) -> DataFrame:
+    """Latest-wins upsert: the row of highest version per key, kept in streaming state. Every
+    micro-batch writes the keys it changed and nothing else (see :func:`run_updates`)."""
+    cols = stream.columns
+    last = stream.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(version_col)).alias("_row"))
+    return run_updates(last, [key], name).select("_row.*")
+
+
+SESSION_STATE = "version long, domain string, overall_n long, overall long, n long, diff long"
+CHANGES = "domain string, sessions long, overall_n long, overall long, n long, diff long"
+#: Sums are kept in whole millionths of a millionth, so that a replaced session leaves no rest.
+UNIT = 10 ** 12
+
+
+def session_parts(sessions: DataFrame) -> DataFrame:
+    """(session_id, version, domain, overall_n, overall, n, diff): what a feedback session adds to
+    the statistics. ``sessions``: (session_id, version long, domain, overall_rating,
+    ratings array<struct<system_score, user_rating>>); ratings above 0 count."""
+    from talentgrid.operators.feedback import normalized_system_score
+    given = F.filter(F.coalesce("ratings", F.array().cast(sessions.schema["ratings"].dataType)), lambda r: F.coalesce(r["user_rating"] > 0, F.lit(False))
+                     & r["system_score"].isNotNull())
+    far = lambda r: F.abs(normalized_system_score(r["system_score"]) - r["user_rating"])
+    units = lambda c: F.round(c * F.lit(float(UNIT))).cast("long")
+    some = F.coalesce(F.col("overall_rating") > 0, F.lit(False))
+    return sessions.filter("session_id is not null").select(
+        F.col("session_id").cast("string").alias("session_id"), F.coalesce(F.col("version").cast("long"), F.lit(0)).alias("version"), "domain",
+        some.cast("long").alias("overall_n"), F.when(some, units(F.col("overall_rating"))).otherwise(0).cast("long").alias("overall"),
+        F.size(given).cast("long").alias("n"), F.aggregate(F.transform(given, lambda r: units(far(r))), F.lit(0).cast("long"), lambda a, x: a + x).alias("diff"))
+
+
+def _session_changes(key, frames, state):
+    """The newest row of the session against the one in the state: what leaves and what comes."""
+    import pandas as pd
+    cols = ["version", "domain", "overall_n", "overall", "n", "diff"]
+    rows = [r for f in frames for r in f[cols].itertuples(index=False, name=None)]
+    new = max(rows, key=lambda r: r[0])
+    new = (int(new[0]), None if pd.isna(new[1]) else new[1], *(int(x) for x in new[2:]))
+    old = state.get if state.exists else None
+    if old is not None and new[0] < old[0]:
+        return
+    state.update(new)
+    out = [(new[1], 1, *new[2:])] + ([(old[1], -1, *(-x for x in old[2:]))] if old is not None else [])
+    yield pd.DataFrame(out, columns=["domain", "sessions", "overall_n", "overall", "n", "diff"])
+
+
+def running_feedback(sessions: DataFrame, table: str) -> None:
+    """Keeps feedback statistics up to date under ``table`` (a shared folder): the state holds
+    every session's last part, a new version takes back the old one, and each micro-batch writes
+    one row of changes per domain to a folder of its own, which a repeated batch overwrites.
+    Started again with the same table, it goes on where it stopped; read with
+    :func:`feedback_after`."""
+    changes = session_parts(sessions).groupBy("session_id").applyInPandasWithState(
+        _session_changes, CHANGES, SESSION_STATE, "update", "NoTimeout")
+
+    def put(batch, batch_id):
+        sums = [F.sum(c).alias(c) for c in ("sessions", "overall_n", "overall", "n", "diff")]
+        batch.groupBy("domain").agg(*sums).write.mode("overwrite").parquet(f"{table}/changes/part={batch_id}")
+
+    changes.writeStream.foreachBatch(put).option("checkpointLocation", f"{table}/checkpoint").outputMode("update") \
+        .trigger(availableNow=True).start().awaitTermination()
+
+
+def feedback_after(spark: SparkSession, table: str, batch_id: int | None = None) -> DataFrame:
+    """(domain, sessions, avg_overall, n_ratings, agreement_pct) per domain and over all
+    (``__all__``) as of a micro-batch (the last one by default), as the batch statistics have it."""
+    x = spark.read.parquet(f"{table}/changes")
+    x = x if batch_id is None else x.filter(F.col("part") <= batch_id)
+    x = x.rollup("domain").agg(*[F.sum(c).alias(c) for c in ("sessions", "overall_n", "overall", "n", "diff")], F.grouping_id().alias("g"))
+    mean = lambda total, n: F.when(F.col(n) > 0, F.col(total) / F.col(n) / F.lit(float(UNIT)))
+    agree = F.greatest(F.lit(0.0), F.lit(1.0) - mean("diff", "n") / F.lit(4.0)) * F.lit(100.0)
+    return x.filter((F.col("sessions") > 0) | (F.col("g") == 1)).select(
+        F.when(F.col("g") == 1, F.lit("__all__")).otherwise(F.col("domain")).alias("domain"), "sessions",
+        mean("overall", "overall_n").alias("avg_overall"), F.col("n").alias("n_ratings"), agree.alias("agreement_pct"))
 
 
 def retention_classes(df: DataFrame, ts_col: str, now: str, keep_days: int = 7, archive_days: int = 30) -> Column:
