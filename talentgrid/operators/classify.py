@@ -1,12 +1,10 @@
 """Keyword classifiers: per-document domain scores and the winning domain.
 
-Plan shape shared by all of them: the lower-cased text column is joined with the
-broadcast vocabulary on ``contains(text, keyword)`` (a broadcast nested-loop join whose
-build side is the literal vocabulary, so its size is known at plan time), the hits are
-aggregated **once per document** (map-side partial aggregation, one shuffle keyed by
-document id), and the per-domain scores come out as fixed columns because the domain list
-is known at plan time. Documents without any hit are kept by the left outer join, so
-zero-hit domains get their base score without a second scan or join.
+All of them look the lower-cased text up once in an automaton of the whole vocabulary
+(:mod:`talentgrid.operators.patterns`) and add up per domain what it found, row by row: nothing is
+joined or shuffled, the work does not grow with the number of keywords, and rows that share an id
+stay apart. Scores come out as fixed columns because the domain list is known at plan time; a
+domain without a hit has its base score.
 """
 
 from __future__ import annotations
@@ -15,11 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentgrid import vocab as V
-from talentgrid.functions.text import occurrences
-
-
-# the theta join keeps the whole vocabulary on every executor
-MAX_BROADCAST_VOCAB = 100_000
+from talentgrid.operators.patterns import find_terms, sum_terms
 
 
 def _spark(df: DataFrame):
@@ -27,65 +21,50 @@ def _spark(df: DataFrame):
 
 
 def keyword_hits(docs: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "text",
-                 how: str = "left", extra_text: list[str] | None = None,
-                 carry: list[str] | None = None, lowered: bool = False,
-                 literal: bool = False, _depth: int = 0) -> DataFrame:
+                 how: str = "left", carry: list[str] | None = None, lowered: bool = False) -> DataFrame:
     """(id, domain, domain_ord, keyword, kw_ord, occ) for every vocabulary keyword the
     text contains (case-insensitive substring). ``how="left"`` keeps documents with no
-    hit as one row with null keyword columns. ``lowered``: the text is already lower-case."""
-    if isinstance(vocab, DataFrame) and not literal:
-        # a caller-supplied vocabulary table is broadcast only behind a size check; a
-        # larger one is split into hash chunks that are each under the limit and joined
-        # one after the other, each re-checked (exact: every keyword lands in one chunk; inner
-        # hits are unioned, documents without any hit are added once)
-        n = vocab.count()
-        if n > MAX_BROADCAST_VOCAB:
-            import math
-            chunks = math.ceil(n / MAX_BROADCAST_VOCAB) * 2        # hash skew headroom
-            parts = []
-            for i in range(chunks):
-                # the hash is salted by the split depth, so a chunk that is still too large is
-                # re-split along different lines
-                part = vocab.filter(F.pmod(F.xxhash64(F.col("kw"), F.lit(_depth)), F.lit(chunks)) == i)
-                # not marked literal: each chunk is counted again and re-split if needed
-                parts.append(keyword_hits(docs, part, id_col, text_col, "inner", extra_text, carry, lowered,
-                                          _depth=_depth + 1))
-            hits = parts[0]
-            for p_ in parts[1:]:
-                hits = hits.unionByName(p_)
-            if how == "left":
-                none = keyword_hits(docs, vocab.limit(0), id_col, text_col, "left", extra_text, carry, lowered,
-                                    literal=True)
-                hits = hits.unionByName(none.join(hits.select(id_col).distinct(), id_col, "left_anti"))
-            return hits
-        vdf = vocab
-    elif isinstance(vocab, DataFrame):
-        vdf = vocab          # built here from literal rows: size known at plan time
-    else:
-        vdf = V.vocab_frame(_spark(docs), vocab)
+    hit as one row with null keyword columns. ``lowered``: the text is already lower-case.
+    A vocabulary table may have any size: its keywords are looked up in bounded automata, and
+    the hits found are joined with its rows."""
+    from talentgrid.session import materialize
+    vdf = vocab if isinstance(vocab, DataFrame) else V.vocab_frame(_spark(docs), vocab)
+    terms = materialize(vdf.select(F.col("kw").alias("term")).distinct().withColumn("no", F.monotonically_increasing_id()))
     text = F.col(text_col) if lowered else F.lower(F.col(text_col))
-    if extra_text:
-        text = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in [text_col] + extra_text]))
     carry = carry or []
-    t = docs.select(F.col(id_col).alias("_id"), text.alias("_t"), *carry)
-    j = t.join(F.broadcast(vdf), F.col("_t").contains(F.col("kw")), how)
-    return j.select(F.col("_id").alias(id_col), "domain", "domain_ord", "keyword", "kw_ord",
-                    F.when(F.col("kw").isNotNull(), occurrences("_t", "kw")).alias("occ"),
-                    "weight", *carry)
+    found = find_terms(docs.select(F.col(id_col), text.alias("_t"), *carry), "_t", terms, "_h").drop("_t")
+    hits = found.select(id_col, *carry, (F.inline_outer if how == "left" else F.inline)("_h"))
+    words = vdf.join(terms, F.col("kw") == F.col("term")).select("no", "domain", "domain_ord", "keyword", "kw_ord", "weight")
+    return hits.join(words, "no", "left").select(id_col, "domain", "domain_ord", "keyword", "kw_ord", F.col("n").alias("occ"), "weight", *carry)
 
 
-def _domains(vocab) -> list[str]:
-    return list(vocab.keys())
+def _sums(docs: DataFrame, entries: list, n: int, value, id_col: str, text: Column, prefix: str,
+          carry: list[str] | None = None) -> DataFrame:
+    """(id, ``prefix``0.., carry): per row the sums of ``value(times, weight)`` over the entries
+    (keyword, domain ordinal, weight) in the text."""
+    rows = docs.select(F.col(id_col), text.alias("_t"), *(carry or []))
+    out = sum_terms(rows, "_t", [(k.lower(), d, w) for k, d, w in entries], n, value, "_sums")
+    return out.select(id_col, *[F.get("_sums", F.lit(i)).alias(f"{prefix}{i}") for i in range(n)], *(carry or []))
+
+
+def _entries(vocab: dict) -> list:
+    return [(k, i, None) for i, kws in enumerate(vocab.values()) for k in kws]
+
+
+def _present(times, weight):
+    return 1
 
 
-def _per_domain_sums(hits: DataFrame, id_col: str, n_domains: int, value: Column,
-                     prefix: str = "_v", carry: list[str] | None = None) -> DataFrame:
-    """One row per document with one summed column per domain ordinal; ``carry``
-    columns (constant per document) ride along."""
-    aggs = [F.sum(F.when(F.col("domain_ord") == i, value).otherwise(F.lit(0))).alias(f"{prefix}{i}")
-            for i in range(n_domains)]
-    aggs += [F.first(c).alias(c) for c in (carry or [])]
-    return hits.groupBy(id_col).agg(*aggs)
+def _times(times, weight):
+    return times
+
+
+def _weight(times, weight):
+    return weight
+
+
+def _domains(vocab) -> list[str]:
+    return list(vocab.keys())
 
 
 def argmax_domain(scores: list[Column], domains: list[str]) -> tuple[Column, Column]:
@@ -105,10 +84,10 @@ def long_scores(wide: DataFrame, id_col: str, domains: list[str], score_cols: li
 
 
 # --------------------------------------------------------------------------- D1
-def fallback_units(occ: Column) -> Column:
+def fallback_units(times, weight) -> int:
     """Keyword contribution in units of 0.025: 1 for a single occurrence, else
-    2·min(occ, 3). Integer units keep the sums exact in every engine."""
-    return F.when(occ.isNull(), F.lit(0)).when(occ > 1, 2 * F.least(occ, F.lit(3))).otherwise(F.lit(1))
+    2·min(times, 3). Integer units keep the sums exact in every engine."""
+    return 1 if times == 1 else 2 * min(times, 3)
 
 
 def domain_scores_fallback(docs: DataFrame, vocab=None, id_col: str = "doc_id",
@@ -120,8 +99,8 @@ def domain_scores_fallback(docs: DataFrame, vocab=None, id_col: str = "doc_id",
     vocab = V.FALLBACK_KEYWORDS if vocab is None else vocab
     domains = _domains(vocab)
     carry = carry or []
-    hits = keyword_hits(docs, vocab, id_col, text_col, carry=carry, lowered=lowered)
-    wide = _per_domain_sums(hits, id_col, len(domains), fallback_units(F.col("occ")), "_u", carry)
+    text = F.col(text_col) if lowered else F.lower(F.col(text_col))
+    wide = _sums(docs, _entries(vocab), len(domains), fallback_units, id_col, text, "_u", carry)
     scores = [F.least(F.lit(1.0), F.lit(0.5) + F.col(f"_u{i}") * F.lit(0.025)) for i in range(len(domains))]
     main, best = argmax_domain(scores, domains)
     return wide.select(id_col, *[s.alias(f"score_{i}") for i, s in enumerate(scores)],
@@ -132,8 +111,7 @@ def analyze_documents(docs: DataFrame, vocab=None, skills: list[str] | None = No
                       id_col: str = "doc_id", text_col: str = "text", skill_limit: int = 10,
                       carry: list[str] | None = None) -> DataFrame:
     """Fallback analysis in one pass: domain scores, main domain and the first
-    ``skill_limit`` vocabulary skills (extracted narrowly, carried through the single
-    aggregation)."""
+    ``skill_limit`` vocabulary skills."""
     from talentgrid.operators.skills import extract_skills
     skills = V.TECHNICAL_SKILLS if skills is None else skills
     # lower-case the (possibly long) text once for both vocabulary passes
@@ -169,14 +147,9 @@ def weighted_term_scores(docs: DataFrame, terms: dict, id_col: str = "doc_id",
                          text_col: str = "text", extra_text: list[str] | None = None) -> DataFrame:
     """Σ weight of the terms each document contains, one ``score_<i>`` column per domain.
     ``terms`` maps domain → [(term, weight), ...]."""
-    spark = _spark(docs)
-    domains = list(terms.keys())
-    rows = [(d, di, t, ti, t.lower(), float(w)) for di, (d, ts) in enumerate(terms.items())
-            for ti, (t, w) in enumerate(ts)]
-    vdf = spark.createDataFrame(rows, V.VOCAB_SCHEMA)
-    hits = keyword_hits(docs, vdf, id_col, text_col, extra_text=extra_text, literal=True)
-    wide = _per_domain_sums(hits, id_col, len(domains), F.coalesce(F.col("weight"), F.lit(0.0)), "score_")
-    return wide
+    entries = [(t, i, float(w)) for i, ts in enumerate(terms.values()) for t, w in ts]
+    text = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in [text_col] + (extra_text or [])])
+    return _sums(docs, entries, len(terms), _weight, id_col, F.lower(text), "score_")
 
 
 def domain_scores_basic(docs: DataFrame, vocab=None, skills=None, id_col: str = "doc_id",
@@ -207,8 +180,8 @@ def domain_scores_extended(docs: DataFrame, vocab: dict, skills: list[str],
     extracted skill mapped to the domain + 0.05 per extracted skill that is one of the
     domain's keywords; capped at 1. Duplicated keywords count in hits and denominator.
     Skills are extracted from the text (vocabulary order), ``default_skills`` when none.
-    The skill bonus is a narrow lookup in literal maps (units of 0.05), carried through
-    the single per-document aggregation. Rows ``(id, domain, domain_ord, score)``."""
+    The skill bonus is a narrow lookup in literal maps (units of 0.05), carried beside the
+    keyword sums. Rows ``(id, domain, domain_ord, score)``."""
     from talentgrid.operators.skills import extract_skills
     default_skills = V.DEFAULT_SKILLS_EXTENDED if default_skills is None else default_skills
     domains = list(vocab.keys())
@@ -230,9 +203,7 @@ def domain_scores_extended(docs: DataFrame, vocab: dict, skills: list[str],
         bonus_cols.append(b.alias(f"_b{i}"))
     d = d.select(id_col, text_col, *bonus_cols)
     carry = [f"_b{i}" for i in range(len(domains))]
-    hits = keyword_hits(d, vocab, id_col, text_col, carry=carry)
-    wide = _per_domain_sums(hits, id_col, len(domains),
-                            F.when(F.col("kw_ord").isNotNull(), F.lit(1)).otherwise(F.lit(0)), "_k", carry)
+    wide = _sums(d, _entries(vocab), len(domains), _present, id_col, F.lower(F.col(text_col)), "_k", carry)
     scores = [F.least(F.lit(1.0),
                       F.least(F.lit(0.5), F.lit(0.1) + (F.col(f"_k{i}") / F.lit(float(lens[i]))) * F.lit(0.4))
                       + F.col(f"_b{i}") * F.lit(0.05)) for i in range(len(domains))]
@@ -249,8 +220,7 @@ def guess_domain(docs: DataFrame, vocab=None, id_col: str = "doc_id", title_col:
     domains = _domains(vocab)
     d2 = docs.select(id_col, F.concat_ws(" ", F.coalesce(F.col(title_col), F.lit("")),
                                          F.coalesce(F.col(text_col), F.lit(""))).alias("_text"))
-    hits = keyword_hits(d2, vocab, id_col, "_text")
-    wide = _per_domain_sums(hits, id_col, len(domains), F.coalesce(F.col("occ"), F.lit(0)), "occ_")
+    wide = _sums(d2, _entries(vocab), len(domains), _times, id_col, F.lower(F.col("_text")), "occ_")
     cols = [F.col(f"occ_{i}") for i in range(len(domains))]
     main, best = argmax_domain(cols, domains)
     return wide.select(id_col, F.when(best > 0, main).alias("guessed_domain"),
@@ -264,9 +234,7 @@ def classify_confidence(docs: DataFrame, vocab=None, id_col: str = "doc_id", tex
     min(1, n/5); (default_domain, 0.5) when nothing is present."""
     vocab = V.CLASSIFY_KEYWORDS if vocab is None else vocab
     domains = _domains(vocab)
-    hits = keyword_hits(docs, vocab, id_col, text_col)
-    wide = _per_domain_sums(hits, id_col, len(domains),
-                            F.when(F.col("kw_ord").isNotNull(), F.lit(1)).otherwise(F.lit(0)), "n_")
+    wide = _sums(docs, _entries(vocab), len(domains), _present, id_col, F.lower(F.col(text_col)), "n_")
     cols = [F.col(f"n_{i}") for i in range(len(domains))]
     main, best = argmax_domain(cols, domains)
     return wide.select(
@@ -281,20 +249,16 @@ def competence_coverage(docs: DataFrame, competences: dict, id_col: str = "doc_i
     """Per (document, domain, competence): keywords found / keywords listed (a
     deterministic level instead of a random draw). ``competences`` maps
     domain → {competence: [keywords]}. Rows (id, domain, competence, n_found, n_total,
-    level). One shuffle: hits are counted per document into one column per competence
+    level). Hits are counted row by row into one column per competence
     (the competence list is known at plan time), then exploded back to rows."""
-    spark = _spark(docs)
     rows, comps = [], []
     for di, (d, cs) in enumerate(competences.items()):
         for c, kws in cs.items():
             ci = len(comps)
             comps.append((d, c, len(kws)))
             for k in kws:
-                rows.append((d, ci, k, 0, k.lower(), None))
-    vdf = spark.createDataFrame(rows, V.VOCAB_SCHEMA)
-    hits = keyword_hits(docs, vdf, id_col, text_col, literal=True)
-    wide = _per_domain_sums(hits, id_col, len(comps),
-                            F.when(F.col("kw_ord").isNotNull(), F.lit(1)).otherwise(F.lit(0)), "_n")
+                rows.append((k, ci, None))
+    wide = _sums(docs, rows, len(comps), _present, id_col, F.lower(F.col(text_col)), "_n")
     arr = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(c).alias("competence"),
                              F.col(f"_n{i}").cast("long").alias("n_found"),
                              F.lit(n).cast("long").alias("n_total"),

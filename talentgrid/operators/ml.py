@@ -63,7 +63,8 @@ def batch_embedding_map(df: DataFrame, text_col: str = "text", **kw) -> DataFram
 def train_domain_classifier(df: DataFrame, text_col: str, label_col: str, eval_df: DataFrame,
                             num_features: int = 4096, max_iter: int = 50, reg: float = 0.01):
     """Fit tokenizer → hashed TF → IDF → multinomial logistic regression on ``df``;
-    returns (model, predictions on ``eval_df`` with ``prediction``)."""
+    returns (model, predictions on ``eval_df`` with ``prediction``). A null text is empty."""
+    df, eval_df = (x.withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))) for x in (df, eval_df))
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"[^\p{L}]+", toLowercase=True)
     tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
     idf = IDF(inputCol="_tf", outputCol="features")

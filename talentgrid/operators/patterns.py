@@ -36,7 +36,7 @@ class _Automaton:
     def get(cls, name: str, terms):
         if name not in cls.made:
             a = ahocorasick.Automaton()
-            for no, term in terms.value:
+            for no, term in terms:
                 same = a.get(term, None)
                 a.add_word(term, (len(term), (*(same[1] if same else ()), no)))
             if len(a):
@@ -65,7 +65,7 @@ def _looked_up(terms, at: int):
 
     def run(it):
         for batch in it:
-            automaton = _Automaton.get(name, terms)
+            automaton = _Automaton.get(name, terms.value)
             hits = [[{"no": no, "n": n} for no, n in _found(automaton, t.as_py())] for t in batch.column(at)]
             kind = pa.list_(pa.struct([("no", pa.int64()), ("n", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, kind)], [*batch.schema.names, "_hits"])
@@ -94,3 +94,34 @@ def find_terms(rows: DataFrame, text_col: str, terms: DataFrame, out_col: str =
 def _with(df: DataFrame, name: str):
     kind = T.ArrayType(T.StructType([T.StructField("no", T.LongType()), T.StructField("n", T.IntegerType())]))
     return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+
+
+def sum_terms(rows: DataFrame, text_col: str, entries: list, n_groups: int, value, out_col: str = "sums") -> DataFrame:
+    """Adds ``out_col``: per row an array of ``n_groups`` sums over the entries (term, group,
+    weight) that the text contains, of ``value(times, weight)``. An entry listed twice counts
+    twice; rows are not shuffled, and equal ids stay separate rows."""
+    numbered, by_no = {}, []
+    for term, group, weight in entries:
+        if not term:
+            continue
+        if term not in numbered:
+            numbered[term] = len(by_no)
+            by_no.append([])
+        by_no[numbered[term]].append((group, weight))
+    shared = rows.sparkSession.sparkContext.broadcast(([(no, t) for t, no in numbered.items()], by_no))
+    name, at = uuid.uuid4().hex, rows.columns.index(text_col)
+
+    def run(it):
+        for batch in it:
+            terms, groups = shared.value
+            automaton = _Automaton.get(name, terms)
+            out = []
+            for t in batch.column(at):
+                sums = [0.0] * n_groups
+                for no, times in _found(automaton, t.as_py()):
+                    for group, weight in groups[no]:
+                        sums[group] += value(times, weight)
+                out.append(sums)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float64()))], [*batch.schema.names, out_col])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out_col, T.ArrayType(T.DoubleType()))]))

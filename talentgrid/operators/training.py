@@ -130,35 +130,58 @@ def render_prompt(df: DataFrame) -> DataFrame:
     return df.withColumn("formatted_text", text)
 
 
+#: Rows of one boundary group that may be ranked together.
+SMALL = 4096
+
+
 def stratified_split(df: DataFrame, label_col: str, id_col: str, ratio: float = 0.2, seed: int = 42,
-                     materialize_input: bool = True) -> DataFrame:
+                     small: int = SMALL) -> DataFrame:
     """Exact stratified split: per label the ``floor(ratio·n + 0.5)`` rows with the smallest
-    md5(id|seed) go to ``eval``. The cut is found without ranking whole strata: rows are
-    counted per (label, hash bucket), a bounded table whose cumulative sums locate the
-    boundary bucket; only rows of that one bucket per label are ranked. A null label is a
-    label like any other. Adds ``split``."""
+    md5(id|seed) go to ``eval``. A null label is a label like any other, and null ids keep their
+    rows. Adds ``split``.
+
+    Selection by digits, so that no stratum is ever ranked: rows are counted per label and next
+    two hexadecimal digits of the hash (256 rows a label), the running sums tell which prefix the
+    cut lies in, and only rows with that prefix are counted by the next digits, until at most
+    ``small`` rows of a label are left (or the hash ends: rows of one id), which are ranked."""
     from pyspark.sql import Window
-    h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit("|"), F.lit(str(seed))))
-    if materialize_input:
-        from talentgrid.session import materialize
-        df = materialize(df)
-    x = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring(h, 1, 3), 16, 10).cast("int"))
-    bc = x.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_n"))        # ≤ labels × 4096 rows
-    w = Window.partitionBy(label_col).orderBy("_b")
-    bc = (bc.withColumn("_cum", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-          .withColumn("_tot", F.sum("_n").over(Window.partitionBy(label_col)))
-          .withColumn("_k", F.floor(F.lit(ratio) * F.col("_tot") + F.lit(0.5)).cast("long"))
-          .withColumn("_before", F.col("_cum") - F.col("_n")))
-    cuts = bc.select(F.col(label_col).alias("_l"), F.col("_b").alias("_lb"), "_k", "_before", "_cum")
-    x = x.join(cuts, F.col(label_col).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_lb"))).drop("_l", "_lb")
-    inside = (F.col("_cum") <= F.col("_k"))
-    outside = (F.col("_before") >= F.col("_k"))
-    boundary = x.filter(~inside & ~outside)
-    ranked = boundary.withColumn("_r", F.row_number().over(Window.partitionBy(label_col, "_b").orderBy("_h")))
-    ranked = ranked.withColumn("split", F.when(F.col("_before") + F.col("_r") <= F.col("_k"), "eval").otherwise("train"))
-    easy = x.filter(inside | outside).withColumn("split", F.when(inside, "eval").otherwise("train"))
+    from talentgrid.session import materialize
+    df = materialize(df)
+    h = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.lit(str(seed))))
+    x = df.withColumn("_h", h)
+    left = x.groupBy(label_col).agg(F.count("*").alias("_n"))
+    # per label: the prefix the cut lies in, how many rows of it go to eval, and its size
+    cut = left.select(F.col(label_col).alias("_l"), F.lit("").alias("_p"), F.floor(F.lit(ratio) * F.col("_n") + F.lit(0.5)).cast("long").alias("_k"),
+                      F.col("_n").alias("_size"))
+    done, depth = None, 0
+    while True:
+        fine = (F.col("_size") <= small) | (F.length("_p") >= 32)
+        done = cut.filter(fine) if done is None else done.unionByName(cut.filter(fine))
+        open_ = cut.filter(~fine)
+        if depth >= 32 or open_.isEmpty():
+            break
+        depth += 2
+        met = x.select(F.col(label_col).alias("_lab"), "_h").join(open_, F.col("_lab").eqNullSafe(F.col("_l")) & F.col("_h").startswith(F.col("_p")))
+        digits = met.groupBy("_l", "_k", F.substring("_h", 1, depth).alias("_q")).agg(F.count("*").alias("_n"))
+        w = Window.partitionBy("_l").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)  # 256 rows a label
+        digits = digits.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+        cut = digits.filter((F.col("_before") <= F.col("_k")) & (F.col("_k") < F.col("_before") + F.col("_n")))
+        cut = materialize(cut.select("_l", F.col("_q").alias("_p"), (F.col("_k") - F.col("_before")).alias("_k"), F.col("_n").alias("_size")))
+    done = materialize(done)
+    y = x.join(done, F.col(label_col).eqNullSafe(F.col("_l")), "left")
+    head = F.expr("substring(_h, 1, length(_p))")
+    at = F.col("_h").startswith(F.col("_p"))
+    # a label whose cut takes all its rows has no prefix left
+    easy = y.filter(F.col("_p").isNull() | ~at).withColumn("split", F.when(F.col("_p").isNull() | (head < F.col("_p")), "eval").otherwise("train"))
+    hard = y.filter(at).withColumn("_r", F.row_number().over(Window.partitionBy("_l").orderBy("_h")))
+    hard = hard.withColumn("split", F.when(F.col("_r") <= F.col("_k"), "eval").otherwise("train"))
     cols = df.columns + ["split"]
-    return easy.select(*cols).unionByName(ranked.select(*cols))
+    return easy.select(*cols).unionByName(hard.select(*cols))
+
+
+def random_split(df: DataFrame, id_col: str, ratio: float = 0.1, seed: int = 42) -> DataFrame:
+    """The plain split: of all rows the ``floor(ratio·n + 0.5)`` of smallest hash go to ``eval``."""
+    return stratified_split(df.withColumn("_one", F.lit(1)), "_one", id_col, ratio, seed).drop("_one")
 
 
 def prompt_dataset(spark, sources: list[str], domains: list[str], n_per_domain: int, out_path: str | None = None,

@@ -253,10 +253,10 @@ QUOTA = 200
 
 def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as raw training sources: long texts come from a "resume" file, short
-    ones from a "jobs" file; category = language; skills = first three test skills."""
+    ones from a "jobs" file; category = language; skills = the test skills in the text."""
     from talentgrid.operators.skills import matched_terms
     d = table(spark, sf_dir, "documents")
-    sk = F.slice(matched_terms(F.lower(F.col("text")), TEST_SKILLS), 1, 3)
+    sk = matched_terms(F.lower(F.col("text")), TEST_SKILLS)
     return d.select(F.col("doc_id").alias("ord"), "text", F.col("lang").alias("category"),
                     F.concat(F.when(F.col("n_chars") > 2000, F.lit("resume_")).otherwise(F.lit("jobs_")),
                              F.col("source"), F.lit(".csv")).alias("source"),

@@ -542,7 +542,7 @@ SELECT user_id, event_id, event_type FROM r WHERE rn = 1
 def _examples_cte() -> str:
     cm = values(list(B.TEST_CATEGORY_MAP.items()), ["k", "v"])
     return f"""
-{skills_cte('tsk', 'documents', 'doc_id', 'lower(s.text)', B.TEST_SKILLS, 3)},
+{skills_cte('tsk', 'documents', 'doc_id', 'lower(s.text)', B.TEST_SKILLS, None)},
 tsk3 AS (SELECT id, string_agg(skill, ', ' ORDER BY skill_ord) AS skills FROM tsk GROUP BY id),
 cm AS (SELECT * FROM {cm}),
 rows_ AS (SELECT d.doc_id AS ord, d.text, d.lang AS category,

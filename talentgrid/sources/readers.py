@@ -39,11 +39,11 @@ def file_class(name: Column) -> Column:
             .when(name.startswith("emergency_backup_"), F.lit(2)).otherwise(F.lit(1)))
 
 
-def read_offers_prioritised(spark: SparkSession, path: str, domain: str | None = None, max_results: int = 5,
+def read_offers_prioritised(spark: SparkSession, path: str, max_results: int | None, domain: str | None = None,
                             country_code: str | None = None) -> DataFrame:
     """Batch files first, then individual offers, then emergency backups, newest file
     first; domain/country filters; the first occurrence of an id wins (offers without
-    id are all kept); cut at ``max_results`` in that order; then sort by score (the cut
+    id are all kept); cut at ``max_results`` in that order (None: no cut); then sort by score (the cut
     happens before the sort, as in the source)."""
     from talentgrid.operators.dedup import keep_first
     from talentgrid import vocab as V
@@ -56,7 +56,7 @@ def read_offers_prioritised(spark: SparkSession, path: str, domain: str | None =
     o = o.withColumn("ord", F.struct("_cls", (-F.col("_mtime").cast("long")).alias("_t"), "_file", "_pos"))
     with_id = keep_first(o.filter(F.col("id").isNotNull()), ["id"], "ord")
     kept = with_id.unionByName(o.filter(F.col("id").isNull()))
-    capped = kept.orderBy("ord").limit(max_results)
+    capped = kept if max_results is None else kept.orderBy("ord").limit(max_results)
     return capped.orderBy(F.coalesce(F.col("match_score"), F.col("score")).desc_nulls_last(), "ord")
 
 

@@ -67,19 +67,60 @@ def test_intent_spaced_and_plain(spark):
     assert got[4] == "cv_evaluation"
 
 
-def test_caller_vocabulary_is_size_checked(spark, monkeypatch):
-    import pytest
+def test_caller_vocabulary_of_any_size(spark, monkeypatch):
     from talentgrid.operators import classify as C
+    from talentgrid.operators import patterns
     docs = spark.createDataFrame([(1, "python and java")], "doc_id long, text string")
     vdf = V.vocab_frame(spark, {"it": ["python", "java"]})
     hits = C.keyword_hits(docs, vdf, "doc_id", "text", how="inner")
     assert hits.count() == 2
-    monkeypatch.setattr(C, "MAX_BROADCAST_VOCAB", 1)      # forces the chunked path
+    monkeypatch.setattr(patterns, "CHUNK_TERMS", 1)      # forces the chunked path
     docs2 = spark.createDataFrame([(1, "python and java"), (2, "nothing")], "doc_id long, text string")
     got = sorted((r.doc_id, r.keyword) for r in C.keyword_hits(docs2, vdf, "doc_id", "text").collect())
     assert got == [(1, "java"), (1, "python"), (2, None)]
 
 
+def test_classifiers_score_rows_not_ids(spark):
+    """Equal ids stay rows of their own; a vocabulary of 100,000 words changes nothing."""
+    from talentgrid.operators import classify as C
+    docs = spark.createDataFrame([(1, "python"), (1, "Python python audit"), (None, None), (2, "zz")], "doc_id long, text string")
+    vocab = {"it": ["python"], "fin": ["audit"]}
+    large = {"it": ["python", *(f"k{i}x" for i in range(100_000))], "fin": ["audit"]}
+    for v in (vocab, large):
+        got = C.domain_scores_fallback(docs, v).select("doc_id", "score_0", "score_1", "main_domain").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, [
+            (1, 0.525, 0.5, "it"), (1, 0.6, 0.525, "it"), (None, 0.5, 0.5, "it"), (2, 0.5, 0.5, "it")]))
+    got = C.domain_scores_basic(docs, vocab, []).select("doc_id", "domain", "score").collect()
+    assert sorted(map(tuple, got)) == [(1, "fin", 1.0), (1, "it", 1.0), (1, "it", 1.0)]
+    got = C.classify_confidence(docs, vocab, default_domain="none").collect()
+    assert sorted((r.classification, r.confidence) for r in got) == [("it", 0.2), ("it", 0.2), ("none", 0.5), ("none", 0.5)]
+
+
+def test_split_keeps_null_ids_and_ranks_no_stratum(spark):
+    from talentgrid.operators import training
+    rows = [(None if i % 3 == 0 else i, "a" if i % 2 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, label string")
+    out = training.stratified_split(df, "label", "id", 0.25)
+    got = {(r.label, r.split): r["count"] for r in out.groupBy("label", "split").count().collect()}
+    assert sum(got.values()) == 60 and got[None, "eval"] == 8 and got["a", "eval"] == 8
+    plain = training.random_split(df, "id", 0.1)
+    assert {r.split: r["count"] for r in plain.groupBy("split").count().collect()} == {"eval": 6, "train": 54}
+    # many equal hashes never lie in one ranking: every digit of the hash is refined
+    many = spark.range(5000).selectExpr("id", "'x' as label")
+    out = training.stratified_split(many, "label", "id", 0.3, small=4)
+    assert {r.split: r["count"] for r in out.groupBy("split").count().collect()} == {"eval": 1500, "train": 3500}
+    h = sorted((__import__("hashlib").md5(f"{i}|42".encode()).hexdigest(), i) for i in range(5000))
+    assert {r.id for r in out.filter("split = 'eval'").collect()} == {i for _, i in h[:1500]}
+
+
+def test_classifier_takes_null_texts(spark):
+    from talentgrid.operators import ml
+    rows = [(i, None if i % 7 == 0 else f"word{i % 2} text", i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string, label int")
+    _, pred = ml.train_domain_classifier(df, "text", "label", df)
+    assert pred.count() == 40 and pred.columns.count("text") == 1
+
+
 def test_null_labels_and_texts_keep_their_rows(spark):
     from talentgrid.operators import ml, training
     rows = [(i, None if i % 3 == 0 else f"l{i % 3}", None if i % 5 == 0 else f"text {i % 4}") for i in range(30)]
