@@ -268,3 +268,24 @@ TEST_INTENTS_SPACEFREE = [("competences", ["und", "der"]), ("entretien", ["the",
 KEY_STOP = ["le", "la", "les", "un", "une", "des", "et", "ou", "de", "du", "ce", "cette", "ces",
             "the", "and", "that", "with", "for", "der", "die", "und", "das", "los", "las", "del", "que", "por",
             "para", "pour", "dans"]
+
+
+def training_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Training files of three layouts: documents as two CSV folders, pages as a folder of JSON
+    arrays (500 pages a file)."""
+    import uuid
+    from talentgrid.session import scratch_path
+    base = scratch_path(spark, f"training-files-{uuid.uuid4().hex[:8]}")
+    d = table(spark, sf_dir, "documents").filter("text is not null and text <> ''")
+    d = d.withColumn("text", F.regexp_replace("text", r"\r\n?", "\n"))
+    csv = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    d.filter("lang = 'en'").select("doc_id", F.col("text").alias("Resume_str"), F.col("lang").alias("Category")) \
+        .write.options(**csv).csv(f"{base}/resumes.csv")
+    d.filter("lang is distinct from 'en'").select(F.col("source").alias("Key Skills"), F.col("lang").alias("Job_Title"), "doc_id",
+                                                  F.col("text").alias("Full Text")).write.options(**csv).csv(f"{base}/offers.csv")
+    p = table(spark, sf_dir, "pages").select(
+        F.floor(F.col("page_id") / 500).alias("part"),
+        F.struct(F.col("html").alias("description"), F.col("url").alias("role"), F.array(F.lit("a"), F.col("page_id").cast("string")).alias("skills")).alias("o"))
+    p.groupBy("part").agg(F.to_json(F.collect_list("o")).alias("value")).repartition("part") \
+        .write.partitionBy("part").text(f"{base}/pages.json")
+    return [f"{base}/resumes.csv", f"{base}/offers.csv", f"{base}/pages.json"]

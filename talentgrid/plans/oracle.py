@@ -614,6 +614,15 @@ SELECT ord AS doc_id, domain, CASE WHEN rk <= floor(0.2 * n + 0.5) THEN 'eval' E
 """
 
 
+ORACLE["training_sources"] = r"""
+SELECT CASE WHEN lang = 'en' THEN 'resumes' ELSE 'offers' END AS kind,
+       md5(regexp_replace(text, '\r\n?', chr(10), 'g')) AS text_md5, lang AS category,
+       CASE WHEN lang = 'en' THEN NULL ELSE source END AS skills
+FROM documents WHERE text IS NOT NULL AND text <> ''
+UNION ALL SELECT 'pages', md5(html), url, 'a, ' || page_id::VARCHAR FROM pages
+"""
+
+
 # ------------------------------------------------------------------ intents / html / scalar text
 def _intent_sql() -> str:
     parts = []

@@ -394,6 +394,14 @@ def q_stratified_split(spark, sf):
     return out.select(F.col("ord").alias("doc_id"), "domain", "split")
 
 
+@register("training_sources")
+def q_training_sources(spark, sf):
+    from talentgrid.sources.readers import read_training_sources
+    x = read_training_sources(spark, B.training_files(spark, sf))
+    return x.select(F.regexp_extract("source", r"/(resumes|offers|pages)\.", 1).alias("kind"),
+                    F.md5("text").alias("text_md5"), "category", "skills")
+
+
 # ------------------------------------------------------------------ intents / html / scalar text
 
 

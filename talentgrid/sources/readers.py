@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talentgrid import vocab as V
 from talentgrid.sources import schemas as SC
 
 
@@ -46,7 +47,6 @@ def read_offers_prioritised(spark: SparkSession, path: str, max_results: int | N
     id are all kept); cut at ``max_results`` in that order (None: no cut); then sort by score (the cut
     happens before the sort, as in the source)."""
     from talentgrid.operators.dedup import keep_first
-    from talentgrid import vocab as V
     o = read_offers(spark, path)
     o = o.withColumn("_cls", file_class(F.col("_name")))
     if domain:
@@ -79,45 +79,85 @@ def read_cv_text(spark: SparkSession, path: str) -> DataFrame:
     return b.select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("cv_id"), "path", text.alias("text"))
 
 
-TEXT_CANDIDATES = ["description", "resume", "text"]
-CATEGORY_CANDIDATES = ["category", "role", "job_title"]
-SKILL_CANDIDATES = ["skills", "competences", "requirements"]
-
-
-def _pick(columns: list[str], candidates: list[str]) -> str | None:
-    lower = {c.lower(): c for c in columns}
-    for cand in candidates:
-        if cand in lower:
-            return lower[cand]
-    return None
-
-
-def read_training_sources(spark: SparkSession, sources: list[str]) -> DataFrame:
-    """Many CSV/JSON files → (source, text, category, skills); columns are discovered per
-    file at plan time (text/category/skills candidates, else the first column)."""
-    frames = []
-    for src in sources:
-        if src.lower().endswith(".json"):
-            df = spark.read.option("multiLine", "true").json(src)
-        else:
-            df = (spark.read.option("header", "true").option("multiLine", "true").option("quote", '"')
-                  .option("escape", '"').csv(src))
-        cols = df.columns
-        tcol = _pick(cols, TEXT_CANDIDATES) or (cols[0] if cols else None)
-        if tcol is None:
-            continue
-        ccol = _pick(cols, CATEGORY_CANDIDATES)
-        scol = _pick(cols, SKILL_CANDIDATES)
-        frames.append(df.select(F.lit(src).alias("source"), F.col(tcol).cast("string").alias("text"),
-                                (F.col(ccol).cast("string") if ccol else F.lit(None).cast("string")).alias("category"),
-                                (F.col(scol).cast("string") if scol else F.lit(None).cast("string")).alias("skills"),
-                                F.monotonically_increasing_id().alias("_row")))
+#: Column names of at most so many files are shipped to every task (a few hundred bytes a file).
+MAX_FILES_SHIPPED = 20_000
+
+
+def _column_for(kind: str, names: Column, source: Column, known: dict) -> Column:
+    """The file's column for ``kind``: what the known layout says, else the first name that
+    holds one of the words (any case), for the text else the first column."""
+    words = "|".join(V.TRAINING_COLUMN_WORDS[kind])
+    out = F.get(F.filter(names, lambda c: F.lower(c).rlike(words)), F.lit(0))
+    if kind == "text":
+        out = F.coalesce(out, F.get(names, F.lit(0)))
+    for pattern, cols in known.items():
+        out = F.when(source.contains(pattern), F.lit(cols.get(kind)).cast("string")).otherwise(out)
+    return out
+
+
+def _with_file_columns(rows: DataFrame, names: DataFrame, n_files: int) -> DataFrame:
+    """Every row with its file's column names; ``names`` has one row a file, so it is shipped to
+    the rows while the files are at most MAX_FILES_SHIPPED and joined otherwise."""
+    return rows.join(F.broadcast(names) if n_files <= MAX_FILES_SHIPPED else names, "source")
+
+
+def _csv_sources(spark: SparkSession, paths: list[str], known: dict) -> DataFrame:
+    """Headers first, from the first lines of the files; then one positional scan as wide as the
+    widest header, in which every file's own header says what stands where."""
+    from talentgrid.session import materialize
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("source"), F.regexp_replace("value", "^\\ufeff", "").alias("line"),
+        F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_i"))
+    first = (lines.filter((F.col("_start") == 0) & (F.trim("line") != ""))
+             .groupBy("source").agg(F.min_by("line", "_i").alias("line")))
+    cells = F.transform(F.split("line", r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.replace(
+        F.regexp_replace(F.trim(c), r'^"|"$', ""), F.lit('""'), F.lit('"')))
+    names = materialize(first.select("source", cells.alias("_names")))
+    width = names.agg(F.max(F.size("_names"))).first()[0] or 1
+    raw = (spark.read.schema(", ".join(f"_c{i} string" for i in range(width))).option("header", "true")
+           .option("multiLine", "true").option("quote", '"').option("escape", '"').csv(paths))
+    rows = raw.select(F.col("_metadata.file_path").alias("source"), F.array(*[f"_c{i}" for i in range(width)]).alias("_cells"),
+                      F.monotonically_increasing_id().alias("_row"))
+    x = _with_file_columns(rows, names, len(raw.inputFiles()))
+    return x.select("source", *[F.get("_cells", F.array_position("_names", _column_for(k, F.col("_names"), F.col("source"), known))
+                                      .cast("int") - 1).alias(k) for k in V.TRAINING_COLUMN_WORDS], "_row")
+
+
+def _json_sources(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """An array of objects or a single object a file; the columns of a file are the keys of all
+    its objects in alphabetical order."""
+    raw = spark.read.text(paths, wholetext=True)
+    whole = F.coalesce(F.from_json("value", "array<map<string,string>>"),
+                       F.array(F.from_json("value", "map<string,string>")))
+    rows = raw.select(F.col("_metadata.file_path").alias("source"), F.explode(whole).alias("_cells")) \
+        .withColumn("_row", F.monotonically_increasing_id())
+    keys = rows.select("source", F.explode(F.map_keys("_cells")).alias("_k")).distinct()
+    names = keys.groupBy("source").agg(F.array_sort(F.collect_set("_k")).alias("_names"))
+    x = _with_file_columns(rows, names, len(raw.inputFiles()))
+
+    def cell(kind):
+        v = F.try_element_at("_cells", _column_for(kind, F.col("_names"), F.col("source"), {}))
+        items = F.when(v.startswith("["), F.from_json(v, "array<string>"))
+        return F.coalesce(F.array_join(items, ", "), v).alias(kind)
+    return x.select("source", *[cell(k) for k in V.TRAINING_COLUMN_WORDS], "_row")
+
+
+def read_training_sources(spark: SparkSession, sources: list[str], known: dict | None = None) -> DataFrame:
+    """Many CSV/JSON files (or folders of them, told apart by the suffix) → (source, text,
+    category, skills, _row), two scans for all files of a format however many they are and
+    however their columns differ. CSV files of a ``known`` layout (file-name part →
+    column per kind) are read by it, all others by the words in their column names.
+
+    A header is one line; a JSON file fits in a string (2 GB); lists of strings are joined by ", ";
+    unreadable JSON and files without rows give none; cells that a row lacks are null; values are
+    kept as written (no number or date is parsed)."""
+    known = V.KNOWN_TRAINING_FILES if known is None else known
+    is_json = lambda s: s.lower().rstrip("/").endswith(".json")
+    js, cs = [s for s in sources if is_json(s)], [s for s in sources if not is_json(s)]
+    frames = ([_csv_sources(spark, cs, known)] if cs else []) + ([_json_sources(spark, js)] if js else [])
     if not frames:
         return spark.createDataFrame([], "source string, text string, category string, skills string, _row long")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
 
 
 def read_text_csv(spark: SparkSession, path: str, column: str) -> DataFrame:

@@ -376,3 +376,16 @@ def canonical_domain_map(aliases=None) -> dict:
 
 # FIXED VALUES — stop words of the key-term extractor
 KEY_TERM_STOP_WORDS = ["le", "la", "les", "un", "une", "des", "et", "ou", "de", "du", "ce", "cette", "ces"]
+
+# FIXED VALUES: words by which columns of training files are found, and the columns of known files
+TRAINING_COLUMN_WORDS = {
+    "text": ["description", "resume", "text"],
+    "category": ["category", "role", "job_title"],
+    "skills": ["skills", "competences", "requirements"],
+}
+KNOWN_TRAINING_FILES = {
+    "job_descriptions.csv": {"text": "job_description", "category": "category", "skills": "skills_required"},
+    "Resume.csv": {"text": "Resume", "category": "Category"},
+    "job_skills.csv": {"text": "job_description", "skills": "skills"},
+    "job_postings.csv": {"text": "job_description", "category": "role"},
+}
