@@ -289,3 +289,6 @@ def training_files(spark: SparkSession, sf_dir: str) -> list[str]:
     p.groupBy("part").agg(F.to_json(F.collect_list("o")).alias("value")).repartition("part") \
         .write.partitionBy("part").text(f"{base}/pages.json")
     return [f"{base}/resumes.csv", f"{base}/offers.csv", f"{base}/pages.json"]
+
+
+STORED_BUCKETS = 64

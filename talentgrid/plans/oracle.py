@@ -614,6 +614,14 @@ SELECT ord AS doc_id, domain, CASE WHEN rk <= floor(0.2 * n + 0.5) THEN 'eval' E
 """
 
 
+ORACLE["stored_upserts"] = f"""
+WITH e AS (SELECT user_id::VARCHAR AS user_id, event_id, event_type, ts,
+  ('0x' || substr(md5(user_id::VARCHAR), 1, 7))::INT % {B.STORED_BUCKETS} AS b FROM events WHERE user_id IS NOT NULL),
+t AS (SELECT DISTINCT b FROM e WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTE),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM e)
+SELECT user_id, event_id, event_type, b IN (SELECT b FROM t) AS rewritten FROM r WHERE rn = 1
+"""
+
 ORACLE["training_sources"] = r"""
 SELECT CASE WHEN lang = 'en' THEN 'resumes' ELSE 'offers' END AS kind,
        md5(regexp_replace(text, '\r\n?', chr(10), 'g')) AS text_md5, lang AS category,

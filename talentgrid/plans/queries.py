@@ -351,6 +351,21 @@ def q_feedback_upsert(spark, sf):
     return out.select("user_id", "event_id", "event_type")
 
 
+@register("stored_upserts")
+def q_stored_upserts(spark, sf):
+    """The users' last events in a stored table: all but those of the last half hour first, these as a
+    batch of their own; ``rewritten`` says whether the batch wrote the user's bucket."""
+    from talentgrid.session import scratch_path
+    from talentgrid.sources import stored as SD
+    path = scratch_path(spark, f"stored-users-{uuid.uuid4().hex[:8]}")
+    ev = B.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("user_id"), "event_id", "event_type", "ts")
+    late = F.lit(ev.agg(F.max("ts")).first()[0]) - F.expr("interval 30 minutes")
+    SD.upsert_stored(ev.filter(F.col("ts") < late), path, "user_id", "event_id", B.STORED_BUCKETS)
+    touched = SD.upsert_stored(ev.filter(F.col("ts") >= late), path, "user_id", "event_id", B.STORED_BUCKETS)
+    return SD.read_stored(spark, path).select(
+        "user_id", "event_id", "event_type", SD.bucket_of("user_id", B.STORED_BUCKETS).isin(touched).alias("rewritten"))
+
+
 # ------------------------------------------------------------------ training data
 
 

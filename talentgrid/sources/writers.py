@@ -38,18 +38,21 @@ def write_offer_batches(df: DataFrame, path: str, timestamp: str) -> DataFrame:
     return manifest
 
 
+def with_offer_id(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """Offers without an id get the deterministic one of their texts; other tables stay as they are."""
+    from talentgrid.functions.ids import offer_id
+    if id_col in df.columns and all(c in df.columns for c in ["title", "company", "location", "description"]):
+        return df.withColumn(id_col, F.coalesce(F.nullif(F.col(id_col), F.lit("")),
+                                                offer_id("title", "company", "location", "description")))
+    return df
+
+
 def upsert_collection(existing: DataFrame, updates: DataFrame, id_col: str = "id",
                       version_col: str = "version") -> DataFrame:
     """Insert-or-replace by id (the newer version wins); rows without id get the
-    deterministic offer id."""
-    from talentgrid.functions.ids import offer_id
+    deterministic offer id. For a stored table see ``stored.store_collection``."""
     from talentgrid.operators.feedback import upsert_latest
-    def with_id(df):
-        if id_col in df.columns and all(c in df.columns for c in ["title", "company", "location", "description"]):
-            return df.withColumn(id_col, F.coalesce(F.nullif(F.col(id_col), F.lit("")),
-                                                    offer_id("title", "company", "location", "description")))
-        return df
-    return upsert_latest(with_id(existing), with_id(updates), id_col, version_col)
+    return upsert_latest(with_offer_id(existing, id_col), with_offer_id(updates, id_col), id_col, version_col)
 
 
 def ingest_offers(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
