@@ -53,6 +53,8 @@ LANG_COMPETENCES = {
 
 # intent keywords for chat turns (first group wins)
 TEST_INTENTS = [("competences", ["und", "der"]), ("entretien", ["the", "and"])]
+# keywords with spaces: some lie within a turn, some only across the end of one
+TEST_SPACED_INTENTS = [("competences", [". the ", "? und "]), ("entretien", [". de ", "en la"]), ("across", [". a"])]
 
 
 # natural key per table: used to spread a table whose scan yields too few splits

@@ -648,6 +648,19 @@ SELECT c.conv_id, CASE {case} ELSE 'general' END AS intent FROM c LEFT JOIN u US
 
 ORACLE["message_intent"] = _intent_sql()
 
+
+def _intent_joined_sql() -> str:
+    case = " ".join(f"WHEN {' OR '.join(f'contains(t, {q(k.lower())})' for k in kws)} THEN {q(n)}"
+                    for n, kws in B.TEST_SPACED_INTENTS)
+    return f"""
+WITH c AS (SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN lower(coalesce(text, '')) || ' ' END, ''
+  ORDER BY turn, lower(coalesce(text, ''))) AS t FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE {case} ELSE 'general' END AS intent FROM c
+"""
+
+
+ORACLE["message_intent_spaced"] = _intent_joined_sql()
+
 ORACLE["html_to_text"] = f"""
 SELECT page_id, length({html_text_sql('html')})::BIGINT AS text_len, md5({html_text_sql('html')}) AS text_md5 FROM pages
 """

@@ -426,6 +426,11 @@ def q_message_intent(spark, sf):
     return IN.message_intent(conv, B.TEST_INTENTS)
 
 
+@register("message_intent_spaced")
+def q_message_intent_spaced(spark, sf):
+    return IN.message_intent(B.table(spark, sf, "conversations"), B.TEST_SPACED_INTENTS)
+
+
 @register("html_to_text")
 def q_html_to_text(spark, sf):
     p = B.table(spark, sf, "pages")
