@@ -8,10 +8,11 @@ JVM-side DataFrame work.
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CARD_SCHEMA = ("page_id long, card_pos int, title string, company string, location string, "
@@ -101,6 +102,115 @@ def _text(node) -> str:
     return "".join(parts)
 
 
+class _TextTree(_Tree):
+    """As the tree of the cards; comments and declarations part the strings around them."""
+
+    def _part(self, _data):
+        self.cur.children.append(_Node("#other", [], self.cur))
+
+    handle_comment = handle_decl = handle_pi = unknown_decl = _part
+
+
+def _strings(node) -> list[str]:
+    """The text nodes below ``node`` in document order, scripts and styles left out."""
+    out, todo, joined = [], list(reversed(node.children)), False
+    while todo:
+        ch = todo.pop()
+        if isinstance(ch, str):
+            # a stray "<" reaches the tree as a string of its own
+            if joined:
+                out[-1] += ch
+            else:
+                out.append(ch)
+            joined = True
+            continue
+        joined = False
+        if ch is not None and ch.tag not in ("script", "style"):
+            todo.append(None)
+            todo += reversed(ch.children)
+    return out
+
+
+_STEP = re.compile(r"\s*(>?)\s*((?:[\w*-]+)?(?:[.#][\w-]+|\[[^\]]*\])*)")
+_PART = re.compile(r"([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:=\s*[\"']?([^\"'\]]*)[\"']?\s*)?\]")
+
+
+def parse_selector(selector: str) -> list[list[tuple]]:
+    """``a, b > c d`` as alternatives of steps (child only, tag, [(attribute, value)]); steps are tag,
+    ``.class``, ``#id``, ``[attr]``, ``[attr=value]``; anything else is refused."""
+    out = []
+    for alternative in selector.split(","):
+        steps, at, alternative = [], 0, alternative.strip()
+        while at < len(alternative):
+            m = _STEP.match(alternative, at)
+            if not m or not m.group(2):
+                raise ValueError(f"selector not understood: {selector!r}")
+            tag = re.match(r"[\w*-]*", m.group(2)).group(0).lower()
+            tests = [({".": "class", "#": "id"}[kind] if kind else attr.lower(), name if kind else value)
+                     for kind, name, attr, value in (p.groups() for p in _PART.finditer(m.group(2)))]
+            steps.append((m.group(1) == ">", "" if tag == "*" else tag, tests))
+            at = m.end()
+        if not steps:
+            raise ValueError(f"selector not understood: {selector!r}")
+        out.append(steps)
+    return out
+
+
+def _passes(node, tag, tests) -> bool:
+    return (not tag or node.tag == tag) and all(
+        (value in node.cls if name == "class" else name in node.attrs and value in (None, node.attrs[name]))
+        for name, value in tests)
+
+
+def _chosen(root, alternatives) -> list:
+    """Elements that a selector names, in document order, each once; one pass down, in which every
+    element knows the steps that its ancestors have taken (no recursion)."""
+    out, start = [], [(a, 0) for a in range(len(alternatives))]
+    todo = [(ch, frozenset(start), frozenset()) for ch in reversed(root.children) if isinstance(ch, _Node)]
+    while todo:
+        node, within, child_of = todo.pop()
+        went = set()
+        for a, i in within | child_of:
+            child_only, tag, tests = alternatives[a][i]
+            if (not child_only or i == 0 or (a, i) in child_of) and _passes(node, tag, tests):
+                went.add((a, i + 1))
+        if any(i == len(alternatives[a]) for a, i in went):
+            out.append(node)
+        open_ = frozenset((a, i) for a, i in went if i < len(alternatives[a]))
+        below = within | {(a, i) for a, i in open_ if not alternatives[a][i][0]}
+        todo += [(ch, below, open_) for ch in reversed(node.children) if isinstance(ch, _Node)]
+    return out
+
+
+def page_text(html: str, alternatives: list | None = None) -> str:
+    """Visible text of one page, of the chosen elements or all: text nodes parted by a space, every
+    character reference decoded, lines and runs of spaces joined by one space."""
+    tree = _TextTree()
+    try:
+        tree.feed(html)
+        tree.close()
+    except AssertionError:  # the parser's word for markup it gives up on: what was read counts
+        pass
+    if alternatives is None:
+        text = " ".join(_strings(tree.root))
+    else:
+        text = " ".join(" ".join(t for t in map(str.strip, _strings(n)) if t) for n in _chosen(tree.root, alternatives))
+    phrases = (p.strip() for line in text.splitlines() for p in line.split("  "))
+    return " ".join(p for p in phrases if p)
+
+
+def html_text(html, selector: str | None = None) -> Column:
+    """Visible text of HTML by the parser of the cards; with ``selector`` (see
+    :func:`parse_selector`) only of the elements it names, "" if there is none. Null stays null.
+    ``functions.text.html_to_text`` is the plain form within the JVM."""
+    alternatives = None if selector is None else parse_selector(selector)
+
+    @F.pandas_udf("string")
+    def text(s: pd.Series) -> pd.Series:
+        return s.map(lambda h: None if h is None else page_text(h, alternatives))
+    return text(F.col(html) if isinstance(html, str) else html)
+
+
 def parse_cards(html: str, selectors: dict) -> list[dict]:
     """Cards of one page; the first card selector with any match wins; a missing field
     reads "N/A" (link: empty)."""

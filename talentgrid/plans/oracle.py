@@ -666,6 +666,26 @@ SELECT page_id, length({html_text_sql('html')})::BIGINT AS text_len, md5({html_t
 """
 
 
+def _decoded(x: str) -> str:
+    """With the references that the driver's pages hold; ``&amp;`` last, so nothing is decoded twice."""
+    for ent, ch in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
+                    ("&middot;", "·"), ("&amp;", "&")]:
+        x = f"replace({x}, {q(ent)}, {q(ch)})"
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+def _page_text_sql(col: str) -> str:
+    blocks = "'(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->'"
+    return _decoded(f"regexp_replace(regexp_replace({col}, {blocks}, ' ', 'g'), '<[^>]*>', ' ', 'g')")
+
+
+ORACLE["html_page_text"] = f"""
+SELECT page_id, md5({_page_text_sql('html')}) AS text_md5, {_decoded("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title,
+  {_decoded("array_to_string(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href=[^>]*>([^<]*)</a>', 1), ' ')")} AS menu
+FROM pages
+"""
+
+
 def _salary_sql(col: str) -> str:
     from talentgrid import vocab as VV
     from talentgrid.functions.text import portable_regex, WS

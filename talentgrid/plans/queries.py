@@ -438,6 +438,13 @@ def q_html_to_text(spark, sf):
     return p.select("page_id", F.length(t).cast("long").alias("text_len"), F.md5(t).alias("text_md5"))
 
 
+@register("html_page_text")
+def q_html_page_text(spark, sf):
+    p = B.table(spark, sf, "pages")
+    return p.select("page_id", F.md5(HC.html_text("html")).alias("text_md5"), HC.html_text("html", "title").alias("title"),
+                    HC.html_text("html", "nav > ul li a[href], #none").alias("menu"))
+
+
 @register("html_cards")
 def q_html_cards(spark, sf):
     cards = HC.html_cards(B.table(spark, sf, "pages"))
