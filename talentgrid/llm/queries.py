@@ -84,7 +84,8 @@ def op8(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     m = quality.measures(docs, F.col("text")).withColumn("doc_id", F.col("row.doc_id")).drop("row")
     v = stored(quality.votes(m), "quality")
-    return quality.scored(v, quality.fit(v)).select(
+    weights, prior = quality.estimate(v)
+    return quality.scored(v, weights, prior=prior).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.round("quality", 6).alias("quality"))
 

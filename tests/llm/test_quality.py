@@ -57,6 +57,44 @@ def test_em_learns_which_rules_agree(spark):
     assert quality.fit(spark.createDataFrame([], "votes array<int>")) == []
 
 
+def _varied(n, words=("river", "stone", "winter", "garden", "light", "morning", "silver", "road", "answer", "letter")):
+    return [f"{words[(i * 7 + i // 10) % 10]}{chr(97 + i % 23)}{chr(97 + i // 23)}" for i in range(n)]
+
+
+CLEAN = {
+    "danda": "\n".join(" ".join(f"शब्द{chr(0x0915 + (i * 5 + j) % 30)}{chr(0x0915 + (i + j * 7) % 29)}" for j in range(20)) + "।" for i in range(6)),
+    "verse": "\n".join(" ".join(_varied(126)[i * 6:i * 6 + 6]) + ("," if i % 2 else "") for i in range(21)),
+    "list": "\n".join("- " + " ".join(_varied(140)[i * 4:i * 4 + 4]) for i in range(35)),
+    "quotes": "\n".join("“" + " ".join(_varied(144)[i * 18:i * 18 + 18]).capitalize() + ".”" for i in range(8)),
+    "no stops": "\n".join(" ".join(_varied(120)[i * 20:i * 20 + 20]) for i in range(6)),
+}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables not present")
+def test_clean_texts_of_other_forms_are_kept(spark):
+    """Among ordinary documents: a lone bad vote doesn't reject, two that agree do."""
+    ordinary = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    noisy = "\n".join(" ".join(w + "#*" for w in _varied(200)[i * 20:i * 20 + 20]) for i in range(10))
+    rows = [(-1 - i, t, "en", "a") for i, t in enumerate([*CLEAN.values(), noisy])]
+    v = quality.votes(quality.measures(ordinary.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")), F.col("text")))
+    weights, prior = quality.estimate(v)
+    assert 0 < prior <= 3
+    s = quality.scored(v, weights, prior=prior).filter("row.doc_id < 0").select("row.doc_id", "kept", "votes").collect()
+    assert {r.doc_id: r.kept for r in s} == {**{-1 - i: True for i in range(len(CLEAN))}, -1 - len(CLEAN): False}
+    one = {r.doc_id: sum(x < 0 for x in r.votes) for r in s}
+    assert one[-5] == 1 and one[-6] >= 2  # lines without stops: one bad vote; symbols: several
+
+
+def test_the_share_of_good_documents(spark):
+    """Without votes it stays a half; with rules that agree it follows the documents, within bounds."""
+    none = spark.createDataFrame([([0, 0],)] * 50, "votes array<int>")
+    assert quality.estimate(none) == ([pytest.approx(1.7346, abs=1e-3)] * 2, 0.0)
+    many = spark.createDataFrame([([1, 1],)] * 800 + [([-1, -1],)] * 200, "votes array<int>")
+    assert 1.2 < quality.estimate(many)[1] < 1.5
+    few = spark.createDataFrame([([1, 1],)] * 100 + [([-1, -1],)] * 900, "votes array<int>")
+    assert quality.estimate(few)[1] == 0.0
+
+
 def test_empty(spark):
     v = quality.votes(quality.measures(documents(spark, []), F.col("text")))
     assert quality.scored(v, quality.fit(v)).count() == 0
