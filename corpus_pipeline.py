@@ -31,7 +31,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The documents that the weak-supervision posterior keeps, unchanged. One pass counts
     the votes and one decides; the texts are not written in between."""
     voted = quality.votes(quality.measures(docs, F.col("text")))
-    judged = quality.scored(voted, quality.fit(voted)).select("row", "kept", F.monotonically_increasing_id().alias("at"))
+    weights, prior = quality.estimate(voted)
+    judged = quality.scored(voted, weights, prior=prior).select("row", "kept", F.monotonically_increasing_id().alias("at"))
     # the running number keeps the filter above the measures, which it would repeat below
     kept = judged.filter(F.col("kept") & (F.col("at") >= 0))
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
