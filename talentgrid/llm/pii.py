@@ -40,6 +40,8 @@ REMOVE_AT = 0.95
 SALTS = 16
 #: So many terms are broadcast to be counted over all texts; more are joined after the count.
 BROADCAST_TERMS = 500_000
+#: Terms are counted in a sixteenth and in a quarter of the texts before all of them.
+COUNTED_FIRST = (16, 4)
 
 _LOCAL = "A-Za-z0-9._%+-"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
@@ -152,6 +154,16 @@ def of_entities(near: DataFrame, entities: DataFrame, *cols) -> DataFrame:
     return rows.join(salted(entities), ["entity", "salt"], "left_semi")
 
 
+def _documents_with(wanted: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """(term, n_term): the number of documents that hold each of the terms asked for."""
+    every = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORDS), F.lit(0)))
+    words = docs.select(F.explode(every).alias("term"))
+    few = wanted.count() <= BROADCAST_TERMS
+    # only the terms asked for are shuffled, unless they are too many to broadcast
+    counts = (words.join(F.broadcast(wanted), "term", "left_semi") if few else words).groupBy("term").agg(F.count("*").alias("n_term"))
+    return counts if few else counts.join(wanted, "term", "left_semi")
+
+
 def disclosures(near: DataFrame, docs: DataFrame, text: Column, n_docs: int, min_support: int = MIN_SUPPORT,
                 generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """(entity, term, share, removed): the pairs whose disclosure is at least
@@ -168,13 +180,16 @@ def disclosures(near: DataFrame, docs: DataFrame, text: Column, n_docs: int, min
     most = F.log2(n * F.col("n_both") / (F.col("n_entity") * F.col("n_seen"))) / F.log2(n / F.col("n_entity"))
     pairs = pairs.join(alone, "entity").join(seen, "term").filter(most >= generalise_at - 1e-9).drop("n_seen")
     pairs = stored(pairs, "pii-met")
-    wanted = stored(pairs.select("term").distinct(), "pii-terms")
-    every = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORDS), F.lit(0)))
-    words = docs.select(F.explode(every).alias("term"))
-    few = wanted.count() <= BROADCAST_TERMS
-    # only the terms asked for are shuffled, unless they are too many to broadcast
-    counts = (words.join(F.broadcast(wanted), "term", "left_semi") if few else words).groupBy("term").agg(F.count("*").alias("n_term"))
-    counts = counts if few else counts.join(wanted, "term", "left_semi")
+    # the share reaches generalise_at while the term is in at most so many documents
+    most = n * F.col("n_both") / F.col("n_entity") * F.pow(n / F.col("n_entity"), F.lit(-generalise_at))
+    wanted = stored(pairs.groupBy("term").agg(F.max(most * (1 + 1e-9)).alias("most")), "pii-terms")
+    # what a part of the texts holds is in all of them: a term that is too common in a part needs
+    # no count over the rest
+    for parts in COUNTED_FIRST:
+        part = docs.filter(F.pmod(F.xxhash64(text.cast("string")), F.lit(parts)) == 0)
+        found = _documents_with(wanted.select("term"), part, text)
+        wanted = stored(wanted.join(found, "term", "left").filter(F.coalesce("n_term", F.lit(0)) <= F.col("most")).select("term", "most"), "pii-terms")
+    counts = _documents_with(wanted.select("term"), docs, text)
     share = F.log2(n * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log2(n / F.col("n_entity"))
     return pairs.join(counts, "term") \
         .select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise_at) \

@@ -114,3 +114,16 @@ def test_terms_counted_alike_with_and_without_broadcast(spark, monkeypatch):
     assert any("removed=True" in r for r in some)
     monkeypatch.setattr(pii, "BROADCAST_TERMS", -1)
     assert show() == some
+
+
+def test_counting_parts_first_changes_nothing(spark, monkeypatch):
+    rng = random.Random(31)
+    rows = [(i, f"{prose(rng, 20)} mail{i % 6}@x.org secret{i % 6} project{i % 7} often{i % 2}", "en", "a") for i in range(90)]
+    rows += [(1000 + i, f"{prose(rng, 20)} often{i % 2} project{i % 7}", None, None) for i in range(300)] + [(None, None, None, None)] * 3
+    docs = documents(spark, rows)
+    near = pii.contexts(pii.base(docs))
+    show = lambda **x: sorted(map(str, pii.disclosures(near, docs, F.col("text"), len(rows), **x).collect()))
+    some, low = show(), show(generalise_at=0.3)
+    assert any("secret" in r for r in some) and not any("often" in r for r in some) and len(low) > len(some)
+    monkeypatch.setattr(pii, "COUNTED_FIRST", ())
+    assert show() == some and show(generalise_at=0.3) == low
