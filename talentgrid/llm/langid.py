@@ -9,10 +9,11 @@ language; the shortest code wins and its posterior probability is the score. Con
 at the space before a word, so a word costs the same wherever it stands and is coded once
 per worker.
 
-The trees are fitted on whole training documents: for each language the
-``max_docs`` documents of smallest hash, and of these as many as have ``max_bytes`` bytes
-together (the first is always taken). That bounded sample is all that reaches the driver;
-every document is scored.
+The trees are fitted on whole training documents: for each language the ``max_docs`` texts
+of smallest hash (rows with equal id and text count once), and of these as many as have
+``max_bytes`` bytes together, texts of over a sixteenth of that last (the first is always
+taken). The sample is chosen by hashes and lengths; only its own texts are shuffled. That
+bounded sample is all that reaches the driver; every document is scored.
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, or where no
 language was learned; ties go to the smallest language name; texts of any length are read
@@ -31,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from talentgrid.llm.common import stored
+
 ORDER = 4
 MAX_DOCS = 2000
 MAX_BYTES = 1 << 20
@@ -43,12 +46,19 @@ ROWS = 64
 
 def sample(train: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """The bounded training sample (lang, text) of rows (id, text, lang)."""
-    t = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    by = W.partitionBy("lang").orderBy(F.xxhash64("id", "text"), "id", "text")
-    t = t.withColumn("rn", F.row_number().over(by)).filter(F.col("rn") <= max_docs)
-    t = t.withColumn("b", F.sum(F.octet_length("text").cast("long")).over(W.partitionBy("lang").orderBy("rn")
-                                                                        .rowsBetween(W.unboundedPreceding, 0)))
-    return t.filter((F.col("rn") == 1) | (F.col("b") <= max_bytes)).select("lang", "text")
+    t = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()) \
+        .select("lang", "text", F.xxhash64("id", "text").alias("h"))
+    keys = stored(t.select("lang", "h", F.octet_length("text").cast("long").alias("b")), "langid-keys")
+    # a share of the hashes that holds max_docs of them beyond doubt; copies share their hash
+    share = keys.groupBy("lang").agg((F.lit(1.5 * max_docs + 100) / F.approx_count_distinct("h", 0.02)).alias("share"))
+    near = keys.join(F.broadcast(share), "lang").filter(F.col("h") < F.lit(-2.0 ** 63) + F.col("share") * F.lit(2.0 ** 64)) \
+        .groupBy("lang", "h").agg(F.max("b").alias("b"))
+    t_rank = near.withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("rn") <= max_docs)
+    by = W.partitionBy("lang").orderBy(F.col("b") > max_bytes // 16, "rn").rowsBetween(W.unboundedPreceding, 0)
+    chosen = t_rank.withColumn("upto", F.sum("b").over(by)).filter((F.col("upto") <= max_bytes) | (F.col("upto") == F.col("b"))) \
+        .select("lang", "h")
+    # max_docs short rows a language at most; a copy of a chosen text goes no further than its partition
+    return t.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
 
 def _count_grams(it):
