@@ -217,7 +217,9 @@ def search(vectors: DataFrame, query: Column, k: int, id_col="vec_id", vec_col="
     chunks = max(1, math.ceil(queries.count() / CHUNK))
     chunk = F.pmod(F.xxhash64("uid"), F.lit(chunks)).cast("int")
     left = queries.withColumn("chunk", chunk).select("uid", "id", "v", "theta", "chunk", F.explode("visit").alias("block"))
-    right = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    # a block goes only to the chunks that visit it
+    visits = left.select(F.col("block").alias("at"), F.col("chunk").alias("to")).distinct()
+    right = blocks.join(visits, blocks["block"] == visits["at"]).select("uid", "id", "v", "norm", "block", F.col("to").alias("chunk"))
 
     def unit(q, c):
         _, axes, _, _ = shared.value
