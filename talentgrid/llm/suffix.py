@@ -92,7 +92,8 @@ class Anchors:
             self.at = self.first = self.last = self.doc = np.zeros(0, "int64")
             self.key = np.zeros(0, "uint64")
             return
-        low = np.uint64(max(1, len(self.buffer).bit_length()))
+        # cut alike in every slab: of equal hashes the first place wins, wherever the window stands
+        low = np.uint64(32)
         place = (_mix(words) >> low << low) | np.arange(len(words), dtype="uint64")
         best = _sliding_min(place[:n + width - 1], width)[:n] & ((np.uint64(1) << low) - np.uint64(1))
         doc = np.repeat(np.arange(len(texts)), sizes)[:n]
@@ -133,22 +134,21 @@ def _packed(length: int, bits: int):
     return run
 
 
-def sample_leads(docs: DataFrame, length: int) -> tuple[list[bytes], float]:
-    """Leading bytes of the anchors of at most ``SAMPLE_DOCS`` documents, sorted, and the
-    anchors per document."""
+def sample_leads(docs: DataFrame, length: int, n_docs: int) -> tuple[list[bytes], float]:
+    """Leading bytes of the anchors of about ``SAMPLE_DOCS`` documents, sorted, and the
+    anchors of all documents as that sample has it. Rows are drawn where they are read, so
+    no text is shuffled and copies of one text are drawn no more often than others."""
     def run(it):
         for batch in it:
             texts = [t or b"" for t in batch.column(0).to_pylist()]
             for _, ts in _slabs(texts):
                 a = Anchors(ts, length)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([a.buffer[p:p + SORTED_BYTES] for p in a.at.tolist()], pa.binary()),
-                     pa.array(np.full(len(a.at), len(texts), "int64"))], ["lead", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([a.buffer[p:p + SORTED_BYTES] for p in a.at.tolist()], pa.binary())], ["lead"])
 
-    # smallest hashes: a bounded sample that does not depend on the order of rows
-    rows = docs.orderBy("loc").limit(SAMPLE_DOCS).select("text").mapInArrow(run, "lead binary, n long").select("lead")
-    leads = sorted(bytes(r.lead) for r in rows.collect())
-    return leads, len(leads) / SAMPLE_DOCS
+    share = min(1.0, SAMPLE_DOCS / max(1, n_docs))
+    drawn = docs.filter(F.rand(1) < share) if share < 1 else docs
+    leads = sorted(bytes(r.lead) for r in drawn.select("text").mapInArrow(run, "lead binary").collect())
+    return leads, len(leads) / share
 
 
 def splitters(leads: list[bytes], buckets: int) -> list[bytes]:
@@ -373,8 +373,8 @@ def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", length: in
     # two independent hashes: the chunk, and the place in it
     d = d.select("id", F.pmod(F.xxhash64("idk", "text"), F.lit(chunks)).alias("chunk"),
                  F.xxhash64("text", "idk", F.lit(1)).alias("loc"), F.col("text").cast("binary").alias("text"))
-    leads, per_doc = sample_leads(d.select("loc", "text"), length)
-    buckets = max(1, math.ceil(per_doc * max(n_docs, SAMPLE_DOCS) / bucket_suffixes))
+    leads, anchors = sample_leads(d.select("text"), length, n_docs)
+    buckets = max(1, math.ceil(anchors / bucket_suffixes))
     deals = math.ceil(buckets / MAX_SPLITTERS)
     cuts = np.array(splitters(leads, math.ceil(buckets / deals)), f"S{SORTED_BYTES}")
     shared = d.sparkSession.sparkContext.broadcast(cuts)  # MAX_SPLITTERS at most
