@@ -87,6 +87,18 @@ def test_sample_is_bounded(spark):
     assert size.agg(F.max("b")).first()[0] <= 2000
 
 
+def test_sample_counts_copies_once_and_long_texts_last(spark):
+    """2000 equal rows are one text; a text beyond the bytes does not end the sample."""
+    some = [(i, t, "aa", "s") for i, t, lang, _ in rows(3, 60) if lang == "aa"]
+    long = [(1000 + i, "ba ko " * 2000, "aa", "s") for i in range(5)]
+    df = documents(spark, some + long + [(5000, "mi ta ko", "aa", "s")] * 2000).select(F.col("doc_id").alias("id"), "text", "lang")
+    got = Counter(r.text for r in langid.sample(df, max_bytes=10_000).collect())
+    assert got == Counter([t for _, t, *_ in some] + ["mi ta ko"])
+    # only a text beyond the bytes: it is taken all the same
+    only = documents(spark, long[:1]).select(F.col("doc_id").alias("id"), "text", "lang")
+    assert langid.sample(only, max_bytes=100).count() == 1
+
+
 SF = "/root/testdata/sf0.01"
 
 

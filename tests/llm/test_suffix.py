@@ -84,3 +84,16 @@ def test_anchors_of_equal_windows_agree():
         for i in range(first, last + 1):
             where[doc][int(i - a.starts[doc])] = int(at - i)
     assert all(where[0][i + 7] == where[1][i] for i in range(2900))
+
+
+def test_anchors_do_not_depend_on_the_slab():
+    """A passage has the same anchors alone and behind a megabyte of other text."""
+    rng = random.Random(5)
+    passage = prose(rng, 300).encode()
+    alone = suffix.Anchors([passage], 200)
+    far = suffix.Anchors([prose(rng, 250_000).encode(), passage], 200)
+    mine = far.doc == 1
+    assert mine.any() and len(far.buffer) > 1 << 20
+    for a, b in ((alone.at, far.at[mine]), (alone.first, far.first[mine]), (alone.last, far.last[mine])):
+        assert np.array_equal(a, b - far.starts[1])
+    assert np.array_equal(alone.key, far.key[mine])
