@@ -4,10 +4,12 @@ and composite embeddings.
 Exact nearest neighbours: items are clustered by angle (centres fitted on a bounded sample, at
 most ``MAX_CLUSTERS`` of them). A cluster's centre and radius bound the cosine of any of its items
 with a query, and its domains bound the domain part, so a query visits only the clusters whose
-bound reaches its ``k``-th best score so far. A visit is a unit of bounded size (a part of the
-cluster, a chunk of queries): one cogroup whose pandas function does one NumPy matrix product and
-emits only per-query top-k; a final ``row_number() <= k`` window (partial limit before the
-shuffle) merges them. Only the index (one centre per cluster) is sent to every task. On vectors
+bound reaches its ``k``-th best score so far. Neighbouring clusters share a bin of bounded size (a
+large cluster is cut over bins of its own), and a query is sent once to a bin, however many of its
+clusters it visits there. A visit is one cogroup (bin, chunk of queries) whose pandas function does
+NumPy matrix products of the queries with the clusters they visit and emits only per-query top-k; a
+final ``row_number() <= k`` window (partial limit before the shuffle) merges them.
+Only the index (one centre per cluster) is sent to every task. On vectors
 without any structure the bounds rule out little, and the work nears that of all pairs.
 """
 
@@ -27,28 +29,50 @@ from talentgrid.session import materialize
 KNN_SCHEMA = "qid long, iid long, cos double, dsim double, score double, ord long"
 
 
-def _block_top_k(k: int, w_cos: float, w_dom: float, related: dict, exclude_self: bool, chunk: int = 1024):
+def _block_top_k(index: MetricIndex, k: int, w_cos: float, w_dom: float, related: dict, exclude_self: bool, cells: int = 1 << 22):
+    """Top-k of every query over the items of a bin, in the clusters ``visit`` names or, with a
+    threshold ``theta``, in those whose bound reaches it."""
     rel = {(a, b) for a, bs in (related or {}).items() for b in bs}
     cols = ["qid", "iid", "cos", "dsim", "score", "ord"]
 
     def fn(q: pd.DataFrame, it: pd.DataFrame) -> pd.DataFrame:
         if q.empty or it.empty:
             return pd.DataFrame({c: [] for c in cols})
-        iv = np.vstack(it["vec"].to_numpy()).astype(np.float64)
-        inn = np.linalg.norm(iv, axis=1)
-        idom = it["domain"].to_numpy()
-        iid = it["iid"].to_numpy()
-        iord = it["ord"].to_numpy()
-        kk = min(k, len(iid))
+        # of equal vectors of one domain only the first by order can be among the k best; the rest
+        # by cluster, so that a cluster is a slice
+        it = it.sort_values(["ord", "iid"])
+        same = it.assign(vec=[np.asarray(v).tobytes() for v in it["vec"]]).groupby(["domain", "vec"], dropna=False, sort=False).cumcount()
+        it = it[(same <= k).to_numpy()].sort_values("cl", kind="stable")
+        cl, begin = np.unique(it["cl"].to_numpy(), return_index=True)
+        end = np.r_[begin[1:], len(it)]
+        iv_all = np.vstack(it["vec"].to_numpy()).astype(np.float64)
+        inn_all = np.linalg.norm(iv_all, axis=1)
+        idom_all, iid_all, iord_all = it["domain"].to_numpy(), it["iid"].to_numpy(), it["ord"].to_numpy()
+        # queries of like directions together: a chunk then visits few clusters
+        qv_all = np.vstack(q["vec"].to_numpy()).astype(np.float64)
+        qdom_all, qid_all = q["domain"].to_numpy(), q["qid"].to_numpy()
+        theta, visit = q["theta"].to_numpy("float64", na_value=-np.inf), q["visit"].to_numpy()
         parts = {c: [] for c in cols}
-        # query rows in chunks: the score matrix stays chunk × block in memory
-        for s0 in range(0, len(q), chunk):
-            qc = q.iloc[s0:s0 + chunk]
-            qv = np.vstack(qc["vec"].to_numpy()).astype(np.float64)
-            den = np.outer(np.linalg.norm(qv, axis=1), inn)
+        chunk = int(max(16, min(1024, cells // len(it))))
+        near, _ = index.nearest(_units(qv_all))
+        ranked = np.lexsort((qid_all, near))
+        for s0 in range(0, len(ranked), chunk):
+            some = ranked[s0:s0 + chunk]
+            if visit[some[0]] is None:
+                bound = index.bounds(_units(qv_all[some]), qdom_all[some].tolist(), w_cos, w_dom, related or {})[:, cl]
+                go = (bound >= theta[some][:, None]) & np.isfinite(bound)
+            else:
+                go = np.stack([np.isin(cl, visit[i]) for i in some])
+            if not go.any():
+                continue
+            at = np.concatenate([np.arange(begin[c], end[c]) for c in np.flatnonzero(go.any(0))])
+            iv, inn, idom, iid, iord = iv_all[at], inn_all[at], idom_all[at], iid_all[at], iord_all[at]
+            kk = min(k, len(iid))
+            qv, qn = qv_all[some], np.linalg.norm(qv_all[some], axis=1)
+            den = np.outer(qn, inn)
             with np.errstate(divide="ignore", invalid="ignore"):
                 cos = np.where(den == 0, 0.0, (qv @ iv.T) / den)
-            qd = qc["domain"].to_numpy()
+            qd = qdom_all[some]
             # domain codes: integer comparisons and a small relation matrix, no Python pair loop
             names = sorted(set(qd.tolist()) | set(idom.tolist()), key=str)
             code = {n: i for i, n in enumerate(names)}
@@ -63,19 +87,25 @@ def _block_top_k(k: int, w_cos: float, w_dom: float, related: dict, exclude_self
                         relmat[code[a], code[b]] = True
                 dsim = np.where(same, 1.0, np.where(relmat[qc_][:, ic_], 0.5, 0.0))
             score = w_cos * cos + w_dom * dsim
-            qid = qc["qid"].to_numpy()
+            qid = qid_all[some]
             if exclude_self:
                 score = np.where(qid[:, None] == iid[None, :], -np.inf, score)
-            # top-k of every row at once: all entries scoring at least the row's k-th best
-            # (ties at the cut stay exact), then one lexsort by (row, -score, ord)
+            # top-k of every row at once: all entries about as high as the row's k-th best. A matrix
+            # product may round equal pairs differently by their place, so these entries are scored
+            # again one by one, and ties stay ties; then one lexsort by (row, -score, ord)
             n = score.shape[1]
             fin = np.isfinite(score)
             if kk < n:
                 kth = np.partition(np.where(fin, score, -np.inf), n - kk, axis=1)[:, n - kk]
-                mask = fin & (score >= kth[:, None])
+                mask = fin & (score >= (kth - _SLACK)[:, None])
             else:
                 mask = fin
             r_idx, c_idx = np.nonzero(mask)
+            for a in range(0, len(r_idx), 1 << 14):
+                r, c = r_idx[a:a + (1 << 14)], c_idx[a:a + (1 << 14)]
+                length = qn[r] * inn[c]
+                cos[r, c] = np.where(length == 0, 0.0, np.einsum("ij,ij->i", qv[r], iv[c]) / np.where(length == 0, 1.0, length))
+                score[r, c] = w_cos * cos[r, c] + w_dom * dsim[r, c]
             order = np.lexsort((iid[c_idx], iord[c_idx], -score[r_idx, c_idx], r_idx))
             r_idx, c_idx = r_idx[order], c_idx[order]
             if len(r_idx):
@@ -91,7 +121,7 @@ def _block_top_k(k: int, w_cos: float, w_dom: float, related: dict, exclude_self
             parts["score"].append(score[r_idx, c_idx])
             parts["ord"].append(iord[c_idx])
         # one frame per group, assembled from flat arrays
-        return pd.DataFrame({c: np.concatenate(v) for c, v in parts.items()})
+        return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in parts.items()})
     return fn
 
 
@@ -205,24 +235,45 @@ def indexed(items: DataFrame, cluster_rows: int = CLUSTER_ROWS) -> tuple[DataFra
     return placed, index.describe([(r.cl, r.radius, r.n, listed.get(r.cl)) for r in stats.collect()])
 
 
-def _units_of(left: DataFrame, placed: DataFrame, index: MetricIndex, nq: int, block_rows: int):
-    """Query and item rows of the units (cluster, part, chunk): parts cut a large cluster, chunks
-    the queries; items go to the chunks that visit their cluster, and nowhere else."""
-    chunks = max(1, math.ceil(nq / block_rows))
-    parts = placed.sparkSession.createDataFrame(
-        [(int(c), max(1, math.ceil(int(n) / block_rows))) for c, n in enumerate(index.size) if n], "cl long, parts int")  # MAX_CLUSTERS rows at most
+#: Bytes of the vectors of a bin, and of a chunk of queries.
+BIN_BYTES = 32 << 20
+
+
+def _bins(index: MetricIndex, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first bin, number of bins) of every cluster: small clusters fill bins of ``rows`` items in
+    the order of the coarse direction they point to, larger ones are cut over bins of their own."""
+    n = len(index.centres)
+    coarse = index.centres[np.linspace(0, n - 1, max(1, math.isqrt(n))).astype(int)]
+    order = np.r_[np.argsort((index.centres @ coarse.T).argmax(1), kind="stable"), n]
+    first, parts, at, held = np.zeros(n + 1, "int64"), np.ones(n + 1, "int64"), 0, 0
+    for c in order:
+        size = int(index.size[c])
+        if size > rows or held + size > rows:
+            at, held = at + (held > 0), 0
+        first[c] = at
+        if size > rows:
+            parts[c] = math.ceil(size / rows)
+            at += parts[c]
+        else:
+            held += size
+    return first, parts
+
+
+def _units_of(left: DataFrame, placed: DataFrame, first: np.ndarray, parts: np.ndarray, chunks: int):
+    """Query and item rows of the units (bin, chunk): a query has one row per bin of ``bins``; items
+    go to the chunks that visit their bin, and nowhere else."""
+    table = placed.sparkSession.createDataFrame([(c, int(f), int(p)) for c, (f, p) in enumerate(zip(first, parts))], "cl long, first long, parts long")  # MAX_CLUSTERS rows at most
     chunk = F.pmod(F.xxhash64("qid"), F.lit(chunks)).alias("chunk")
-    left = left.select("qid", "vec", "domain", chunk, F.explode("visit").alias("cl"))
-    wanted = left.select(F.col("cl").alias("met"), F.col("chunk").alias("by")).distinct()
-    left = left.join(F.broadcast(parts), "cl").withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int")))).drop("parts")
-    right = placed.join(F.broadcast(parts), "cl").withColumn("part", F.pmod(F.xxhash64("iid"), F.col("parts")).cast("int"))
-    right = right.join(wanted, F.col("cl") == F.col("met")).select("iid", "vec", "domain", "ord", "cl", "part", F.col("by").alias("chunk"))
+    left = left.select("qid", "vec", "domain", "visit", "theta", chunk, F.explode("bins").alias("bin"))
+    wanted = left.select(F.col("bin").alias("met"), F.col("chunk").alias("by")).distinct()
+    right = placed.join(F.broadcast(table), "cl").withColumn("bin", F.col("first") + F.pmod(F.xxhash64("iid"), F.col("parts")))
+    right = right.join(wanted, F.col("bin") == F.col("met")).select("iid", "vec", "domain", "ord", "cl", "bin", F.col("by").alias("chunk"))
     return left, right
 
 
 def knn_blocked(queries: DataFrame, items: DataFrame, k: int, w_cos: float = 1.0, w_dom: float = 0.0,
                 related: dict | None = None, exclude_self: bool = False,
-                block_rows: int = 16384, cluster_rows: int = CLUSTER_ROWS) -> DataFrame:
+                block_rows: int | None = None, cluster_rows: int = CLUSTER_ROWS) -> DataFrame:
     """Exact top-``k`` items per query by ``w_cos·cosine + w_dom·domain_similarity``
     (1 same domain, 0.5 related — directed, 0 else), ties by item ``ord``, then id.
 
@@ -232,7 +283,10 @@ def knn_blocked(queries: DataFrame, items: DataFrame, k: int, w_cos: float = 1.0
 
     Every query first meets the clusters of highest bound that hold ``k`` items; its ``k``-th score
     there is the threshold, and it then visits the clusters whose bound (cosine at the angle to
-    the centre less the radius, and the best domain similarity) reaches it.
+    the centre less the radius, and the best domain similarity) reaches it. Only the threshold and
+    the bins travel with a query; which clusters it visits is worked out from the index again.
+
+    ``block_rows``: items of a bin and queries of a chunk, by default ``BIN_BYTES`` of vectors.
     """
     placed, index = indexed(items, cluster_rows)
     if not index.size.any():
@@ -240,44 +294,47 @@ def knn_blocked(queries: DataFrame, items: DataFrame, k: int, w_cos: float = 1.0
     queries = _usable(queries, "qid")
     related = related or {}
     need = k + int(exclude_self)
+    rows = block_rows or max(1024, BIN_BYTES // (8 * max(1, index.centres.shape[1])))
+    first, parts = _bins(index, rows)
+
+    def bins(clusters):
+        return np.unique(np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in clusters]))
 
-    def first(it):
+    def nearest(it):
         for df in it:
             if len(df):
                 bound = index.bounds(_units(df["vec"]), df["domain"].tolist(), w_cos, w_dom, related)
                 order = np.argsort(-bound, axis=1, kind="stable")
                 met = np.cumsum(index.size[order], axis=1)
                 n = (met < need).sum(1) + 1
-                yield df.assign(visit=[o[:min(m, int((index.size > 0).sum()))] for o, m in zip(order, n)])
+                visit = [o[:min(m, int((index.size > 0).sum()))] for o, m in zip(order, n)]
+                yield df.assign(theta=None, visit=visit, bins=[bins(v) for v in visit])
 
-    def rest(it):
+    def reached(it):
         for df in it:
             if len(df):
                 bound = index.bounds(_units(df["vec"]), df["domain"].tolist(), w_cos, w_dom, related)
-                seen = np.zeros(bound.shape, bool)
-                for i, v in enumerate(df["visit"]):
-                    seen[i, v] = True
                 theta = df["theta"].fillna(-np.inf).to_numpy()
-                go = (bound >= theta[:, None]) & ~seen & np.isfinite(bound)
-                yield df.drop(columns="theta").assign(visit=[np.flatnonzero(g) for g in go])
-
-    shape = "qid long, vec array<double>, domain string, visit array<long>"
-    q = materialize(queries.mapInPandas(first, shape))
-    nq = q.count()
-    unit = _block_top_k(k, w_cos, w_dom, related, exclude_self)
+                go = (bound >= theta[:, None]) & np.isfinite(bound)
+                yield df.assign(theta=theta, visit=None, bins=[bins(np.flatnonzero(g)) for g in go])
+
+    shape = "qid long, vec array<double>, domain string, theta double, visit array<long>, bins array<long>"
+    q = materialize(queries.mapInPandas(nearest, shape))
+    nbins = len({int(b) for f, p, n in zip(first, parts, index.size) if n for b in range(f, f + p)})
+    cores = placed.sparkSession.sparkContext.defaultParallelism
+    chunks = max(1, math.ceil(q.count() / rows), math.ceil(2 * cores / nbins))
+    unit = _block_top_k(index, k, w_cos, w_dom, related, exclude_self)
     best = [F.col("score").desc(), F.col("ord").asc(), F.col("iid").asc()]
 
-    def met(rows):
-        left, right = _units_of(rows, placed, index, nq, block_rows)
-        part = left.groupBy("cl", "part", "chunk").cogroup(right.groupBy("cl", "part", "chunk")).applyInPandas(unit, KNN_SCHEMA)
-        return top_k_per_group(part, ["qid"], best, k).drop("rank")
-
-    start = materialize(met(q))
-    theta = start.groupBy("qid").agg(F.when(F.count("*") >= k, F.min("score")).alias("theta"))
-    more = q.join(theta, "qid", "left").select("qid", "vec", "domain", "visit", "theta").mapInPandas(rest, shape).filter("size(visit) > 0")
-    more = materialize(more)
-    found = start if more.isEmpty() else start.unionByName(met(more))
-    return top_k_per_group(found, ["qid"], best, k)
+    def met(queries):
+        left, right = _units_of(queries, placed, first, parts, chunks)
+        part = left.groupBy("bin", "chunk").cogroup(right.groupBy("bin", "chunk")).applyInPandas(unit, KNN_SCHEMA)
+        return top_k_per_group(part, ["qid"], best, k)
+
+    theta = met(q).groupBy("qid").agg(F.when(F.count("*") >= k, F.min("score")).alias("theta"))
+    # the clusters met first are visited again: every item is met once
+    again = q.select("qid", "vec", "domain").join(theta, "qid", "left").mapInPandas(reached, shape)
+    return met(materialize(again))
 
 
 def embedding_match(cvs: DataFrame, offers: DataFrame, k: int = 3, related: dict | None = None,

@@ -67,3 +67,45 @@ def test_units_carry_no_profiles(spark):
     entries = right.agg(F.sum(F.size("cids"))).first()[0]
     assert entries <= named * 40
     assert [r.offer_id for r in M.match_rules(c, o, k=1).filter("cv_id < 40").orderBy("cv_id").collect()] == list(range(40))
+
+
+@pytest.mark.parametrize("rows", [40, 300, None])
+def test_bins_of_clusters_equal_all_pairs(spark, monkeypatch, rows):
+    """Bins smaller and larger than a cluster, many chunks of queries in a unit; copies of a vector
+    stay ties, first by order."""
+    import numpy as np
+    from talentgrid.operators import vectors as VX
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(600, 8)).astype("float64")
+    v[400:] = v[rng.integers(0, 20, 200)]
+    ords = rng.permutation(600)
+    items = spark.createDataFrame([(i, v[i].tolist(), f"d{i % 3}", int(ords[i])) for i in range(600)], "iid long, vec array<double>, domain string, ord long")
+    queries = items.select(F.col("iid").alias("qid"), "vec", "domain")
+    got = {}
+    for r in VX.knn_blocked(queries, items, 4, exclude_self=True, block_rows=rows, cluster_rows=60).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.iid))
+    norm = np.linalg.norm(v, axis=1)
+    for i in range(600):
+        cos = np.round(v @ v[i] / (norm * norm[i]), 12)
+        cos[i] = -2
+        assert [x for _, x in sorted(got[i])] == np.lexsort((ords, -cos))[:4].tolist(), i
+
+
+def test_a_query_goes_once_to_a_bin(spark):
+    """However many clusters a query visits, its vector is sent once per bin."""
+    import numpy as np
+    from talentgrid.operators import vectors as VX
+    rng = np.random.default_rng(9)
+    items = spark.createDataFrame([(i, rng.normal(size=8).tolist(), "d", i) for i in range(500)], "iid long, vec array<double>, domain string, ord long")
+    placed, index = VX.indexed(items, 20)
+    assert (index.size > 0).sum() >= 20
+    first, parts = VX._bins(index, 250)
+    held = {}
+    for c, n in enumerate(index.size):
+        held[first[c]] = held.get(first[c], 0) + int(n)
+        assert parts[c] == 1
+    assert len([b for b, n in held.items() if n]) <= 4 and max(held.values()) <= 250
+    q = items.select(F.col("iid").alias("qid"), "vec", "domain", F.lit(0.0).alias("theta"), F.array(F.lit(0).cast("long")).alias("visit"),
+                     F.array(*[F.lit(int(b)).cast("long") for b in set(first)]).alias("bins"))
+    left, right = VX._units_of(q, placed, first, parts, 3)
+    assert left.count() == 500 * len(set(first)) and right.count() == 500 * 3
