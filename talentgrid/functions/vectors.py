@@ -30,9 +30,10 @@ def cosine(a, b, guarded: bool = True) -> Column:
 
 
 def l2_normalize(v) -> Column:
-    """Unit vector; a zero vector stays unchanged."""
-    n = norm(v)
-    return F.when(n == 0, to_double(v)).otherwise(F.transform(to_double(v), lambda x: x / n))
+    """Unit vector; a zero vector stays unchanged. The norm is bound to a name first: inside the
+    element's function it would be worked out anew for every element."""
+    unit = lambda n: F.when(n == 0, to_double(v)).otherwise(F.transform(to_double(v), lambda x: x / n))
+    return F.element_at(F.transform(F.array(norm(v)), unit), 1)
 
 
 def add_scaled(a, wa: float, b, wb: float) -> Column:
