@@ -29,10 +29,48 @@ from talentgrid.session import materialize
 KNN_SCHEMA = "qid long, iid long, cos double, dsim double, score double, ord long"
 
 
-def _block_top_k(index: MetricIndex, k: int, w_cos: float, w_dom: float, related: dict, exclude_self: bool, cells: int = 1 << 22):
+#: Queries of a product, items of its slabs, and domains that take a column of it.
+QUERIES, SLAB, COLUMNS = 512, 4096, 32
+
+
+def _runs(ranked: np.ndarray, domains: np.ndarray, columns: int):
+    """Cuts of ``ranked`` into at most ``QUERIES`` queries of at most ``columns`` domains."""
+    at = 0
+    while at < len(ranked):
+        some = ranked[at:at + QUERIES]
+        _, first = np.unique(domains[some], return_index=True)
+        if len(first) > columns:
+            some = some[:np.sort(first)[columns]]
+        yield some
+        at += len(some)
+
+
+def _below(floor: np.ndarray) -> np.ndarray:
+    """Rounded down: no score in single precision lies between a floor and its rounding."""
+    return np.nextafter(floor.astype(np.float32), np.float32(-np.inf))
+
+
+def _kept(r: np.ndarray, c: np.ndarray, about: np.ndarray, n: int, k: int, floor: np.ndarray, slack: float):
+    """The candidates (row, item, score about) that ``k`` others of the row do not rule out, and
+    the rows' floors risen accordingly."""
+    order = np.lexsort((-about, r))
+    r, c, about = r[order], c[order], about[order]
+    begin = np.searchsorted(r, np.arange(n))
+    full = np.flatnonzero(np.diff(np.r_[begin, len(r)]) >= k)
+    floor = floor.copy()
+    floor[full] = np.maximum(floor[full], about[begin[full] + k - 1] - 2 * slack)
+    keep = about >= floor[r]
+    return r[keep], c[keep], about[keep], floor
+
+
+def _block_top_k(index: MetricIndex, k: int, w_cos: float, w_dom: float, related: dict, exclude_self: bool):
     """Top-k of every query over the items of a bin, in the clusters ``visit`` names or, with a
-    threshold ``theta``, in those whose bound reaches it."""
-    rel = {(a, b) for a, bs in (related or {}).items() for b in bs}
+    threshold ``theta``, in those whose bound reaches it.
+
+    All pairs of a chunk of queries and a slab of items are scored by one product in single
+    precision, whose error ``slack`` bounds; the domain part is in its last columns, one for each
+    domain of the chunk. Only pairs about as high as the row's k-th best so far (at first
+    ``theta``) are taken out of it, and what is left of them is scored again in double precision."""
     cols = ["qid", "iid", "cos", "dsim", "score", "ord"]
 
     def fn(q: pd.DataFrame, it: pd.DataFrame) -> pd.DataFrame:
@@ -45,81 +83,101 @@ def _block_top_k(index: MetricIndex, k: int, w_cos: float, w_dom: float, related
         it = it[(same <= k).to_numpy()].sort_values("cl", kind="stable")
         cl, begin = np.unique(it["cl"].to_numpy(), return_index=True)
         end = np.r_[begin[1:], len(it)]
-        iv_all = np.vstack(it["vec"].to_numpy()).astype(np.float64)
-        inn_all = np.linalg.norm(iv_all, axis=1)
-        idom_all, iid_all, iord_all = it["domain"].to_numpy(), it["iid"].to_numpy(), it["ord"].to_numpy()
-        # queries of like directions together: a chunk then visits few clusters
-        qv_all = np.vstack(q["vec"].to_numpy()).astype(np.float64)
-        qdom_all, qid_all = q["domain"].to_numpy(), q["qid"].to_numpy()
+        iv = np.vstack(it["vec"].to_numpy()).astype(np.float64)
+        inn = np.linalg.norm(iv, axis=1)
+        iid, iord = it["iid"].to_numpy(), it["ord"].to_numpy()
+        qv = np.vstack(q["vec"].to_numpy()).astype(np.float64)
+        qn, qid = np.linalg.norm(qv, axis=1), q["qid"].to_numpy()
+        # domain codes: two missing domains are the same
+        code, names = pd.factorize(np.concatenate([it["domain"].to_numpy(object), q["domain"].to_numpy(object)]), use_na_sentinel=False)
+        ic, qc, place = code[:len(it)], code[len(it):], {x: i for i, x in enumerate(names)}
+        rel = {a: [place[b] for b in bs if b in place] for a, bs in (related or {}).items()}
+        rel = {place[a]: np.unique(bs) for a, bs in rel.items() if a in place and bs}
+
+        def similar(a: int, items: np.ndarray) -> np.ndarray:
+            return np.where(items == a, 1.0, np.where(np.isin(items, rel[a]), 0.5, 0.0) if a in rel else 0.0)
+
+        dim, columns = iv.shape[1], min(COLUMNS, len(np.unique(qc))) if w_dom else 0
+        slack = (dim + 2 * columns + 8) * 2.0 ** -23 * (abs(w_cos) + abs(w_dom))
+        items = np.zeros((len(it), dim + columns), np.float32)
+        items[:, :dim] = _units(iv)
+        unit = _units(qv)
         theta, visit = q["theta"].to_numpy("float64", na_value=-np.inf), q["visit"].to_numpy()
         parts = {c: [] for c in cols}
-        chunk = int(max(16, min(1024, cells // len(it))))
-        near, _ = index.nearest(_units(qv_all))
-        ranked = np.lexsort((qid_all, near))
-        for s0 in range(0, len(ranked), chunk):
-            some = ranked[s0:s0 + chunk]
+        by_id = np.argsort(iid, kind="stable")
+
+        def itself(some: np.ndarray):
+            """(row, item) of the items of a query's own id, of which there may be several."""
+            a, b = (np.searchsorted(iid[by_id], qid[some], side) for side in ("left", "right"))
+            row = np.repeat(np.arange(len(some)), b - a)
+            return row, by_id[np.arange(len(row)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[row]]
+
+        def settled(some: np.ndarray, r: np.ndarray, c: np.ndarray):
+            """Scores of the candidates in double precision and the places of each row's k best."""
+            cos, dsim = np.zeros(len(r)), np.zeros(len(r))
+            for a in range(0, len(r), 1 << 14):
+                x, y = some[r[a:a + (1 << 14)]], c[a:a + (1 << 14)]
+                length = qn[x] * inn[y]
+                with np.errstate(invalid="ignore"):
+                    cos[a:a + (1 << 14)] = np.where(length == 0, 0.0, np.einsum("ij,ij->i", qv[x], iv[y]) / np.where(length == 0, 1.0, length))
+            for a in np.unique(qc[some]):
+                mine = qc[some][r] == a
+                dsim[mine] = similar(a, ic[c[mine]])
+            score = w_cos * cos + w_dom * dsim
+            order = np.lexsort((iid[c], iord[c], -score, r))
+            fine = np.isfinite(score) & (qid[some][r] != iid[c]) if exclude_self else np.isfinite(score)
+            order = order[fine[order]]
+            begun = np.searchsorted(r[order], np.arange(len(some)))
+            return cos, dsim, score, order[np.arange(len(order)) - begun[r[order]] < k]
+
+        # queries of like directions together: a chunk then visits few clusters
+        near, _ = index.nearest(unit)
+        product, high = np.empty(QUERIES * SLAB, np.float32), np.empty(QUERIES * SLAB, bool)
+        for some in _runs(np.lexsort((qid, qc, near)), qc, columns or len(names)):
+            m = len(some)
             if visit[some[0]] is None:
-                bound = index.bounds(_units(qv_all[some]), qdom_all[some].tolist(), w_cos, w_dom, related or {})[:, cl]
+                bound = index.bounds(unit[some], q["domain"].to_numpy(object)[some].tolist(), w_cos, w_dom, related or {}, cl)
                 go = (bound >= theta[some][:, None]) & np.isfinite(bound)
             else:
                 go = np.stack([np.isin(cl, visit[i]) for i in some])
             if not go.any():
                 continue
             at = np.concatenate([np.arange(begin[c], end[c]) for c in np.flatnonzero(go.any(0))])
-            iv, inn, idom, iid, iord = iv_all[at], inn_all[at], idom_all[at], iid_all[at], iord_all[at]
-            kk = min(k, len(iid))
-            qv, qn = qv_all[some], np.linalg.norm(qv_all[some], axis=1)
-            den = np.outer(qn, inn)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                cos = np.where(den == 0, 0.0, (qv @ iv.T) / den)
-            qd = qdom_all[some]
-            # domain codes: integer comparisons and a small relation matrix, no Python pair loop
-            names = sorted(set(qd.tolist()) | set(idom.tolist()), key=str)
-            code = {n: i for i, n in enumerate(names)}
-            qc_ = np.array([code[v] for v in qd])
-            ic_ = np.array([code[v] for v in idom])
-            same = qc_[:, None] == ic_[None, :]
-            dsim = same.astype(np.float64)
-            if rel:
-                relmat = np.zeros((len(names), len(names)), dtype=bool)
-                for a, b in rel:
-                    if a in code and b in code:
-                        relmat[code[a], code[b]] = True
-                dsim = np.where(same, 1.0, np.where(relmat[qc_][:, ic_], 0.5, 0.0))
-            score = w_cos * cos + w_dom * dsim
-            qid = qid_all[some]
-            if exclude_self:
-                score = np.where(qid[:, None] == iid[None, :], -np.inf, score)
-            # top-k of every row at once: all entries about as high as the row's k-th best. A matrix
-            # product may round equal pairs differently by their place, so these entries are scored
-            # again one by one, and ties stay ties; then one lexsort by (row, -score, ord)
-            n = score.shape[1]
-            fin = np.isfinite(score)
-            if kk < n:
-                kth = np.partition(np.where(fin, score, -np.inf), n - kk, axis=1)[:, n - kk]
-                mask = fin & (score >= (kth - _SLACK)[:, None])
-            else:
-                mask = fin
-            r_idx, c_idx = np.nonzero(mask)
-            for a in range(0, len(r_idx), 1 << 14):
-                r, c = r_idx[a:a + (1 << 14)], c_idx[a:a + (1 << 14)]
-                length = qn[r] * inn[c]
-                cos[r, c] = np.where(length == 0, 0.0, np.einsum("ij,ij->i", qv[r], iv[c]) / np.where(length == 0, 1.0, length))
-                score[r, c] = w_cos * cos[r, c] + w_dom * dsim[r, c]
-            order = np.lexsort((iid[c_idx], iord[c_idx], -score[r_idx, c_idx], r_idx))
-            r_idx, c_idx = r_idx[order], c_idx[order]
-            if len(r_idx):
-                starts = np.r_[0, np.flatnonzero(np.diff(r_idx)) + 1]
-                sizes = np.diff(np.r_[starts, len(r_idx)])
-                rank = np.arange(len(r_idx)) - np.repeat(starts, sizes)
-                keep = rank < kk
-                r_idx, c_idx = r_idx[keep], c_idx[keep]
-            parts["qid"].append(qid[r_idx])
-            parts["iid"].append(iid[c_idx])
-            parts["cos"].append(cos[r_idx, c_idx])
-            parts["dsim"].append(dsim[r_idx, c_idx])
-            parts["score"].append(score[r_idx, c_idx])
-            parts["ord"].append(iord[c_idx])
+            left = np.zeros((m, dim + columns), np.float32)
+            left[:, :dim] = w_cos * unit[some]
+            if columns:
+                doms, which = np.unique(qc[some], return_inverse=True)
+                left[np.arange(m), dim + which] = w_dom
+                for j, a in enumerate(doms):
+                    items[:, dim + j] = similar(a, ic)
+            floor, (own_row, own_item) = theta[some] - slack - _SLACK, itself(some) if exclude_self else ((), ())
+            r, c, about = np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0)
+            for s in range(0, len(at), SLAB):
+                here = at[s:s + SLAB]
+                n = len(here)
+                block = items[here[0]:here[-1] + 1] if here[-1] - here[0] == n - 1 else items[here]
+                score = np.matmul(left, block.T, out=product[:m * n].reshape(m, n))
+                if len(own_row):
+                    column = np.searchsorted(here, own_item)
+                    inside = np.flatnonzero(here[np.minimum(column, n - 1)] == own_item)
+                    score[own_row[inside], column[inside]] = -np.inf
+                over = np.greater_equal(score, _below(floor)[:, None], out=high[:m * n].reshape(m, n))
+                many = np.flatnonzero(np.count_nonzero(over, axis=1) > 16 * k)
+                if len(many):  # a low floor: the slab's own k-th best is one as well
+                    kth = np.partition(score[many], n - k, axis=1)[:, n - k]
+                    floor[many] = np.maximum(floor[many], kth.astype(np.float64) - 2 * slack)
+                    over[many] = score[many] >= _below(floor[many])[:, None]
+                found = np.flatnonzero(over)
+                r, c, about = np.r_[r, found // n], np.r_[c, here[found % n]], np.r_[about, score.ravel()[found]]
+                if len(r) > 16 * k * m:
+                    r, c, about, floor = _kept(r, c, about, m, k, floor, slack)
+                    if len(r) > 8 * k * m:  # many about equal
+                        order = settled(some, r, c)[-1]
+                        r, c, about = r[order], c[order], about[order]
+            r, c, _, _ = _kept(r, c, about, m, k, floor, slack)
+            cos, dsim, score, order = settled(some, r, c)
+            for name, x in zip(cols, (qid[some][r], iid[c], cos, dsim, score, iord[c])):
+                parts[name].append(x[order])
         # one frame per group, assembled from flat arrays
         return pd.DataFrame({c: np.concatenate(v) if v else [] for c, v in parts.items()})
     return fn
@@ -136,6 +194,10 @@ DOMAINS = 64
 #: Items of a similarity matrix.
 MAX_MATRIX = 4096
 _SLACK = 1e-9
+#: Queries that meet the index at once.
+_ROWS = 1024
+#: Items that a query's threshold is found on, at least.
+FIRST_ROWS = 256
 
 
 class MetricIndex:
@@ -162,19 +224,26 @@ class MetricIndex:
         angle = np.arccos(np.clip(cos[np.arange(len(unit)), cl], -1, 1))
         return np.where(zero, len(self.centres), cl), np.where(zero, 0.0, angle)
 
-    def bounds(self, unit: np.ndarray, domains: list, w_cos: float, w_dom: float, related: dict) -> np.ndarray:
-        """Upper bounds on the score of every (query, cluster); -inf for empty clusters."""
-        angle = np.arccos(np.clip(unit @ self.centres.T, -1, 1))
-        cos = np.cos(np.maximum(0.0, angle - self.radius[:-1] - 1e-7))
+    def bounds(self, unit: np.ndarray, domains: list, w_cos: float, w_dom: float, related: dict, clusters: np.ndarray | None = None,
+               centre: bool = False) -> np.ndarray:
+        """Upper bounds on the score of every (query, cluster), or of the given clusters; -inf for
+        empty clusters. ``centre``: the scores of the clusters' centres instead, no bounds."""
+        of = np.arange(len(self.centres) + 1) if clusters is None else clusters
+        real = of < len(self.centres)
+        cos = np.zeros((len(unit), len(of)))
+        x = np.clip(unit @ self.centres[of[real]].T, -1, 1)
+        # the cosine of the angle less the radius, or 1 within the radius
+        radius = np.minimum(self.radius[of[real]] + 1e-7, np.pi)
+        cos[:, real] = x if centre else np.where(x >= np.cos(radius), 1.0, x * np.cos(radius) + np.sqrt((1 - x) * (1 + x)) * np.sin(radius))
         cos[~unit.any(1)] = 0.0
-        out = w_cos * np.concatenate([cos, np.zeros((len(unit), 1))], 1)
+        out = w_cos * cos
         if w_dom:
             best = {}
             for d in set(domains):
                 rel = related.get(d, ())
-                best[d] = np.array([1.0 if ds is None or d in ds else 0.5 if any(x in rel for x in ds) else 0.0 for ds in self.domains])
+                best[d] = np.array([1.0 if ds is None or d in ds else 0.5 if any(x in rel for x in ds) else 0.0 for ds in (self.domains[c] for c in of)])
             out += w_dom * np.stack([best[d] for d in domains])
-        return np.where(self.size > 0, out + _SLACK, -np.inf)
+        return np.where(self.size[of] > 0, out + _SLACK, -np.inf)
 
 
 def _units(vecs) -> np.ndarray:
@@ -281,8 +350,8 @@ def knn_blocked(queries: DataFrame, items: DataFrame, k: int, w_cos: float = 1.0
     → (qid, iid, cos, dsim, score, ord, rank). Rows without an id or whose vector is null, empty or
     holds null or non-finite numbers take no part; a zero vector has cosine 0 with all.
 
-    Every query first meets the clusters of highest bound that hold ``k`` items; its ``k``-th score
-    there is the threshold, and it then visits the clusters whose bound (cosine at the angle to
+    Every query first meets the clusters of nearest centre that hold ``FIRST_ROWS`` items; its ``k``-th
+    score there is the threshold, and it then visits the clusters whose bound (cosine at the angle to
     the centre less the radius, and the best domain similarity) reaches it. Only the threshold and
     the bins travel with a query; which clusters it visits is worked out from the index again.
 
@@ -293,30 +362,37 @@ def knn_blocked(queries: DataFrame, items: DataFrame, k: int, w_cos: float = 1.0
         return placed.sparkSession.createDataFrame([], KNN_SCHEMA + ", rank int")
     queries = _usable(queries, "qid")
     related = related or {}
-    need = k + int(exclude_self)
+    need = max(k + int(exclude_self), FIRST_ROWS)
     rows = block_rows or max(1024, BIN_BYTES // (8 * max(1, index.centres.shape[1])))
     first, parts = _bins(index, rows)
 
-    def bins(clusters):
-        return np.unique(np.concatenate([np.arange(first[c], first[c] + parts[c]) for c in clusters]))
+    # the bins of every cluster, as rows of a table
+    last = int((first + parts).max())
+    held = np.zeros((len(first), last), np.float32)
+    for c in range(len(first)):
+        held[c, first[c]:first[c] + parts[c]] = 1
 
-    def nearest(it):
+    def some_rows(it):
         for df in it:
-            if len(df):
-                bound = index.bounds(_units(df["vec"]), df["domain"].tolist(), w_cos, w_dom, related)
-                order = np.argsort(-bound, axis=1, kind="stable")
-                met = np.cumsum(index.size[order], axis=1)
-                n = (met < need).sum(1) + 1
-                visit = [o[:min(m, int((index.size > 0).sum()))] for o, m in zip(order, n)]
-                yield df.assign(theta=None, visit=visit, bins=[bins(v) for v in visit])
+            for at in range(0, len(df), _ROWS):
+                yield df.iloc[at:at + _ROWS]
+
+    def nearest(it):
+        for df in some_rows(it):
+            score = index.bounds(_units(df["vec"]), df["domain"].tolist(), w_cos, w_dom, related, centre=True)
+            order = np.argsort(-score, axis=1, kind="stable")
+            met = np.cumsum(index.size[order], axis=1)
+            n = np.minimum((met < need).sum(1) + 1, int((index.size > 0).sum()))
+            visit = [o[:m] for o, m in zip(order, n)]
+            yield df.assign(theta=None, visit=visit, bins=[np.flatnonzero(held[v].any(0)) for v in visit])
 
     def reached(it):
-        for df in it:
-            if len(df):
-                bound = index.bounds(_units(df["vec"]), df["domain"].tolist(), w_cos, w_dom, related)
-                theta = df["theta"].fillna(-np.inf).to_numpy()
-                go = (bound >= theta[:, None]) & np.isfinite(bound)
-                yield df.assign(theta=theta, visit=None, bins=[bins(np.flatnonzero(g)) for g in go])
+        for df in some_rows(it):
+            bound = index.bounds(_units(df["vec"]), df["domain"].tolist(), w_cos, w_dom, related)
+            theta = df["theta"].fillna(-np.inf).to_numpy()
+            go = (bound >= theta[:, None]) & np.isfinite(bound)
+            to = go.astype(np.float32) @ held > 0
+            yield df.assign(theta=theta, visit=None, bins=[np.flatnonzero(g) for g in to])
 
     shape = "qid long, vec array<double>, domain string, theta double, visit array<long>, bins array<long>"
     q = materialize(queries.mapInPandas(nearest, shape))
