@@ -252,10 +252,16 @@ def _units(vecs) -> np.ndarray:
     return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
 
 
+def _kind(df: DataFrame) -> str:
+    """Vectors of floats travel as such, half as wide; they become doubles, unchanged, where they are
+    multiplied."""
+    return "array<float>" if df.schema["vec"].dataType.simpleString() == "array<float>" else "array<double>"
+
+
 def _usable(df: DataFrame, id_col: str) -> DataFrame:
     """Rows with an id and a vector of finite numbers; written once, as several jobs read them."""
     order = [F.col("ord").cast("long").alias("ord")] if "ord" in df.columns else []
-    x = materialize(df.select(F.col(id_col).cast("long").alias(id_col), to_double("vec").alias("vec"),
+    x = materialize(df.select(F.col(id_col).cast("long").alias(id_col), F.col("vec").cast(_kind(df)).alias("vec"),
                               F.col("domain").cast("string").alias("domain"), *order))
     fine = F.forall("vec", lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.lit(False)))
     return x.filter(F.col(id_col).isNotNull() & F.col("vec").isNotNull() & fine & (F.size("vec") > 0))
@@ -293,7 +299,7 @@ def indexed(items: DataFrame, cluster_rows: int = CLUSTER_ROWS) -> tuple[DataFra
                 cl, angle = index.nearest(_units(df["vec"]))
                 yield df.assign(cl=cl, angle=angle)
 
-    placed = materialize(items.mapInPandas(assign, "iid long, vec array<double>, domain string, ord long, cl long, angle double"))
+    placed = materialize(items.mapInPandas(assign, f"iid long, vec {_kind(items)}, domain string, ord long, cl long, angle double"))
     # one row per cluster
     stats = placed.groupBy("cl").agg(F.max("angle").alias("radius"), F.count("*").alias("n"))
     names = placed.select("cl", "domain").distinct()
@@ -394,7 +400,7 @@ def knn_blocked(queries: DataFrame, items: DataFrame, k: int, w_cos: float = 1.0
             to = go.astype(np.float32) @ held > 0
             yield df.assign(theta=theta, visit=None, bins=[np.flatnonzero(g) for g in to])
 
-    shape = "qid long, vec array<double>, domain string, theta double, visit array<long>, bins array<long>"
+    shape = f"qid long, vec {_kind(queries)}, domain string, theta double, visit array<long>, bins array<long>"
     q = materialize(queries.mapInPandas(nearest, shape))
     nbins = len({int(b) for f, p, n in zip(first, parts, index.size) if n for b in range(f, f + p)})
     cores = placed.sparkSession.sparkContext.defaultParallelism

@@ -124,3 +124,15 @@ def test_unit_holds_no_matrix_of_its_pairs(w_cos, w_dom):
     tracemalloc.stop()
     assert len(out) == 512 * 3
     assert peak < 64 << 20, peak >> 20
+
+
+def test_floats_travel_as_floats(spark):
+    """Vectors of floats are sent half as wide and give the rows of the same numbers as doubles."""
+    rng = np.random.default_rng(6)
+    items = spark.createDataFrame([(i, rng.normal(size=8).tolist(), f"d{i % 3}", i) for i in range(300)], "iid long, vec array<float>, domain string, ord long")
+    assert VX.indexed(items)[0].schema["vec"].dataType.simpleString() == "array<float>"
+    rows = []
+    for kind in ("array<float>", "array<double>"):
+        x = items.withColumn("vec", F.col("vec").cast(kind))
+        rows.append(sorted(tuple(r) for r in VX.knn_blocked(x.select(F.col("iid").alias("qid"), "vec", "domain"), x, 4, 0.7, 0.3, {}, True).collect()))
+    assert rows[0] == rows[1] and len(rows[0]) == 1200
